@@ -65,7 +65,7 @@ def _make_scorer(bc, k, metric, digits, id_col, vec_col, key_col, out_q, fan_in,
             pdf = pdf[pdf[vec_col].notna()]
             if len(pdf) == 0:
                 continue
-            C = np.stack(pdf[vec_col].to_numpy()).astype(np.float64)
+            C = _as_matrix(pdf[vec_col].to_numpy(), Q.shape[1])
             S = _score_block(C, Q, metric, qn2)
             S = np_round_half_away(S, digits) if digits is not None else S
             valid = np.isfinite(S)
@@ -96,6 +96,20 @@ def _make_scorer(bc, k, metric, digits, id_col, vec_col, key_col, out_q, fan_in,
     return run
 
 
+def _as_matrix(vectors, dim: int | None = None) -> np.ndarray:
+    """Stack vectors into a float64 matrix; shorter vectors are zero-padded to ``dim``
+    (keyed search over models of different widths: padding keeps dot products
+    and norms, and rows are only scored against queries of their own key)."""
+    lens = {len(v) for v in vectors}
+    if len(lens) == 1 and (dim is None or lens == {dim}):
+        return np.stack(vectors).astype(np.float64)
+    dim = dim or max(lens)
+    out = np.zeros((len(vectors), dim), dtype=np.float64)
+    for i, v in enumerate(vectors):
+        out[i, :len(v)] = v
+    return out
+
+
 def _emit(df, q_ids, q_keys, blk, out_q, id_col, key_col):
     q = df["_q"].to_numpy()
     cols = {out_q: q_ids[q], id_col: df["id"].to_numpy(), "score": df["score"].to_numpy(),
@@ -134,7 +148,7 @@ def search(queries: DataFrame, corpus: DataFrame, k: int | None = 10_000, *,
         return out
 
     qpdf = qsel.toPandas()
-    Q = np.stack(qpdf[query_vec].to_numpy()).astype(np.float64)
+    Q = _as_matrix(qpdf[query_vec].to_numpy())
     if metric == "cosine":
         with np.errstate(divide="ignore", invalid="ignore"):
             Q = Q / np.linalg.norm(Q, axis=1)[:, None]
@@ -161,12 +175,13 @@ def search(queries: DataFrame, corpus: DataFrame, k: int | None = 10_000, *,
     n_parts = max(1, csel.rdd.getNumPartitions())
     merged = partial
     blocks = math.ceil(n_parts / fan_in)
+    part = [query_id] + ([key] if key else [])
     while blocks > 1:
-        w = Window.partitionBy(query_id, "_blk").orderBy(F.col("score").desc(), F.col(id_col).asc())
+        w = Window.partitionBy(*part, "_blk").orderBy(F.col("score").desc(), F.col(id_col).asc())
         merged = (merged.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k)
                   .drop("_r").withColumn("_blk", F.floor(F.col("_blk") / fan_in).cast("long")))
         blocks = math.ceil(blocks / fan_in)
-    w = Window.partitionBy(query_id).orderBy(F.col("score").desc(), F.col(id_col).asc())
+    w = Window.partitionBy(*part).orderBy(F.col("score").desc(), F.col(id_col).asc())
     out_cols = [query_id] + ([key] if key else []) + [id_col, "score", "rank"]
     return (merged.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
             .select(*out_cols))
@@ -183,6 +198,20 @@ def _empty_result(queries, corpus, query_id, id_col, key, k):
     return queries.sparkSession.createDataFrame([], T.StructType(fields))
 
 
+def score_models(queries: DataFrame, corpus: DataFrame, model: str = "model", query_id: str = "query_id",
+                 query_vec: str = "vector", id_col: str = "id", vec_col: str = "embedding",
+                 digits: int = 6) -> DataFrame:
+    """For every model, every query against that model's corpus: cosine and
+    negative Euclidean score, long form ``model, query_id, id, score, euc_score``.
+
+    Both scores come from the blocked scorer keyed by model, so only rows of the
+    same model are paired and nothing beyond the output is materialised."""
+    kw = dict(query_id=query_id, query_vec=query_vec, id_col=id_col, vec_col=vec_col, key=model, digits=digits)
+    cos = search(queries, corpus, None, metric="cosine", **kw)
+    euc = search(queries, corpus, None, metric="neg_euclidean", **kw).withColumnRenamed("score", "euc_score")
+    return cos.join(euc, [model, query_id, id_col]).select(model, query_id, id_col, "score", "euc_score")
+
+
 def attach_text(hits: DataFrame, texts: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """Join document text to a cut result list (text stays out of the scoring stage)."""
     return hits.join(texts.select(id_col, text_col), id_col, "left")
