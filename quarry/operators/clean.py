@@ -184,9 +184,11 @@ def keyword_search(works: DataFrame, terms: DataFrame, k: int = 10_000, lang: st
     shuffle join if it is not); works are tokenised once and deduplicated per
     (work, token) before the join.  Per topic at most k works, by id.
     """
-    docs = works.filter((F.col("language") == lang) & F.col("abstract").isNotNull())
-    toks = (docs.select(id_col, F.explode(F.array_distinct(
-        tx.tokens(F.concat_ws(" ", F.col("title"), F.col("abstract"))))).alias("term")))
+    from quarry.operators.common import spread
+    docs = spread(works.filter((F.col("language") == lang) & F.col("abstract").isNotNull()))
+    from quarry.operators.rerank import explode_tokens
+    toks = (docs.select(id_col, explode_tokens(F.array_distinct(
+        tx.tokens(F.concat_ws(" ", F.col("title"), F.col("abstract")))))).filter(F.col("term").isNotNull()))
     n_groups = terms.groupBy("topic").agg(F.countDistinct("grp").alias("_ng"))
     hits = (toks.join(F.broadcast(terms.select("topic", "grp", "term").distinct()), "term")
             .groupBy("topic", id_col).agg(F.countDistinct("grp").alias("_hit")))

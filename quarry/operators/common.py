@@ -15,6 +15,16 @@ def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> Dat
     return F.broadcast(df) if df.count() <= max_rows else df
 
 
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Give CPU-heavy row work (tokenising, block scoring) at least one partition per core.
+
+    A large input already has many scan partitions and is left alone (no
+    shuffle); only an input that arrives in fewer partitions than the cluster
+    has cores (one big row group, a small table) is spread round-robin."""
+    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+
+
 def rank_within(df: DataFrame, keys, order, k: int | None = None, out: str = "rank") -> DataFrame:
     """``row_number`` per key over ``order`` and an optional cut at k.
 

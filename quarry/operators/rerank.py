@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from quarry.functions import text as tx
 from quarry.functions.vectors import round_half_away
-from quarry.operators.common import broadcast_if_small, rank_within
+from quarry.operators.common import MAX_BROADCAST_ROWS, rank_within, spread
 
 # Fixed values of the reference's keyword scorer (BM25Plus defaults) and of its fusion.
 BM25_K1 = 1.5
@@ -32,10 +32,17 @@ def tokenize(df: DataFrame, text_col: str, keys: list[str], stop_words: DataFram
              out: str = "term") -> DataFrame:
     """One row per token occurrence: ``keys..., term`` (lower, whitespace split,
     ASCII punctuation stripped at both ends, empty and stop words dropped)."""
-    toks = df.select(*keys, F.explode(tx.tokens(text_col)).alias(out))
+    toks = spread(df).select(*keys, explode_tokens(tx.tokens(text_col), out)).filter(F.col(out).isNotNull())
     return remove_stop_words(toks, stop_words, out)
 
 
+def explode_tokens(arr, out: str = "term"):
+    """One row per token.  ``explode_outer`` + a null filter instead of ``explode``:
+    an inner explode makes Catalyst infer a ``size(tokens) > 0`` filter below the
+    generator, which would tokenise every text twice (once before any repartition)."""
+    return F.explode_outer(arr).alias(out)
+
+
 def remove_stop_words(toks: DataFrame, stop_words, col: str = "term") -> DataFrame:
     if stop_words is None:
         return toks
@@ -73,20 +80,30 @@ def bm25_plus(queries: DataFrame, docs: DataFrame, k: int | None = 10, *, group:
                         doc_text=doc_text, k1=k1, b=b, delta=delta, stop_words=stop_words, digits=digits, fill=fill)
         return out.drop("_g")
     g = [group]
-    dtok = token_arrays(docs, doc_text, g + [doc_id], stop_words).withColumn("_dl", F.size("_toks"))
-    stats = dtok.groupBy(*g).agg(F.count("*").alias("_N"), F.avg("_dl").alias("_avgdl"))
-    post = (dtok.select(*g, doc_id, "_dl", F.explode("_toks").alias("term"))
+    # Tokenise once: the postings aggregate is the only consumer of the token
+    # arrays; N comes from a plain count of the documents and avgdl from the
+    # summed term frequencies, so every later use reads the same shuffle.
+    dtok = token_arrays(spread(docs), doc_text, g + [doc_id], stop_words)
+    post = (dtok.select(*g, doc_id, F.size("_toks").alias("_dl"), explode_tokens("_toks"))
+            .filter(F.col("term").isNotNull())
             .groupBy(*g, doc_id, "_dl", "term").agg(F.count("*").alias("_tf")))
+    n_docs = docs.groupBy(*g).agg(F.count("*").alias("_N"))
+    total = post.groupBy(*g).agg(F.sum("_tf").alias("_T"))
+    stats = n_docs.join(total, g, "left").select(
+        *g, "_N", (F.coalesce(F.col("_T"), F.lit(0)) / F.col("_N")).alias("_avgdl"))
     dfreq = post.groupBy(*g, "term").agg(F.count("*").alias("_df"))
     idf = dfreq.join(F.broadcast(stats), g).select(
         *g, "term", F.log((F.col("_N") + 1) / F.col("_df")).alias("_idf"), "_avgdl")
 
     qtok = token_arrays(queries, query_text, g + [query_id], stop_words)
-    qterms = (qtok.select(*g, query_id, F.explode("_toks").alias("term"))
+    qterms = (qtok.select(*g, query_id, explode_tokens("_toks")).filter(F.col("term").isNotNull())
               .groupBy(*g, query_id, "term").agg(F.count("*").alias("_qf")))
+    small_q = qterms.count() <= MAX_BROADCAST_ROWS  # query side only: no corpus work in this check
     qterms = qterms.join(idf, g + ["term"], "left").na.fill(0.0, ["_idf"])
     const = qterms.groupBy(*g, query_id).agg(F.sum(F.col("_qf") * F.col("_idf") * F.lit(delta)).alias("_c"))
-    qside = broadcast_if_small(qterms.filter(F.col("_idf") > 0).select(*g, query_id, "term", "_qf", "_idf", "_avgdl"))
+    qside = qterms.filter(F.col("_idf") > 0).select(*g, query_id, "term", "_qf", "_idf", "_avgdl")
+    if small_q:
+        qside = F.broadcast(qside)
     contrib = (post.join(qside, g + ["term"])
                .select(*g, query_id, doc_id,
                        (F.col("_qf") * F.col("_idf") * (F.col("_tf") * (k1 + 1)) /

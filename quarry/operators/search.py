@@ -157,8 +157,9 @@ def search(queries: DataFrame, corpus: DataFrame, k: int | None = 10_000, *,
     q_keys = qpdf[key].to_numpy() if key else None
     bc = spark.sparkContext.broadcast((q_ids, q_keys, Q, qn2))
 
+    from quarry.operators.common import spread
     ccols = [id_col, vec_col] + ([key] if key else [])
-    csel = corpus.select(*ccols)
+    csel = spread(corpus.select(*ccols))
     id_type = csel.schema[id_col].dataType
     fields = [T.StructField(query_id, queries.schema[query_id].dataType),
               T.StructField(id_col, id_type),

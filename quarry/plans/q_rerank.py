@@ -61,7 +61,9 @@ def base_run(spark, d, k=100):
     """Topic run: run-1 seed vector of each topic searched over the whole corpus, with texts."""
     q = fx.seed_queries(spark, d, 1)
     hits = srch.search(q, fx.corpus(spark, d), k).join(q.select("query_id", "topic"), "query_id")
-    return srch.attach_text(hits, _run_texts(spark, d)).select("topic", "id", "score", "rank", "text")
+    run = srch.attach_text(hits, _run_texts(spark, d)).select("topic", "id", "score", "rank", "text")
+    # the run feeds several rankers: write it once to the shared checkpoint folder
+    return run.checkpoint()
 
 
 def generated_queries(spark, d):
