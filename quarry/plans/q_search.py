@@ -48,3 +48,12 @@ SELECT query_id, id, score, rank FROM ranked WHERE rank <= 100
 def r1_exact_search(spark, sf_dir):
     q = fx.seed_queries(spark, sf_dir, 3)
     return srch.search(q, fx.corpus(spark, sf_dir), 100)
+
+
+@register("R2_search_blocked_multilevel", fx.with_views("""
+SELECT query_id, id, score, rank FROM ranked WHERE rank <= 100
+""", _SEARCH_CTE))
+def r2_blocked(spark, sf_dir):
+    """The same answer from 16 corpus partitions merged through three window levels (fan-in 2)."""
+    q = fx.seed_queries(spark, sf_dir, 3)
+    return srch.search(q, fx.corpus(spark, sf_dir).repartition(16), 100, fan_in=2)
