@@ -213,6 +213,9 @@ def backfill_vectors(works: DataFrame, emb: DataFrame, encoder=None, id_col: str
                      num_features: int = 1 << 12) -> DataFrame:
     """Encode the works that lack a vector and append them to the vector table."""
     todo = missing_vector_texts(works, emb, id_col)
+    base = emb.select(id_col, F.transform("embedding", lambda x: x.cast("float")).alias("embedding"))
+    if todo.isEmpty():  # nothing to encode (an IDF fit needs at least one document)
+        return base
     new = hashed_tfidf(todo, "text", id_col, num_features) if encoder is None else encode(todo, encoder, "text", id_col)
     new = new.select(id_col, F.transform("embedding", lambda x: x.cast("float")).alias("embedding"))
-    return emb.select(id_col, F.transform("embedding", lambda x: x.cast("float")).alias("embedding")).unionByName(new)
+    return base.unionByName(new)

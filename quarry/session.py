@@ -34,7 +34,6 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
         "spark.sql.optimizer.windowGroupLimitThreshold": str(GROUP_LIMIT_THRESHOLD),
         "spark.driver.memory": os.environ.get("QUARRY_DRIVER_MEMORY", "16g"),
-        "spark.sql.ansi.enabled": "false",
     }
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
