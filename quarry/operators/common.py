@@ -15,6 +15,18 @@ def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> Dat
     return F.broadcast(df) if df.count() <= max_rows else df
 
 
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as Parquet under the shared checkpoint folder and read it back.
+
+    Cuts lineage (a lost executor recomputes from the written files, not the
+    whole plan) and lets several consumers share one computation - unlike
+    ``checkpoint()``, the plan runs once."""
+    from quarry.sources.io import scratch_path
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Give CPU-heavy row work (tokenising, block scoring) at least one partition per core.
 

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from quarry.functions import text as tx
 from quarry.functions.vectors import round_half_away
-from quarry.operators.common import MAX_BROADCAST_ROWS, rank_within, spread
+from quarry.operators.common import MAX_BROADCAST_ROWS, materialize, rank_within, spread
 
 # Fixed values of the reference's keyword scorer (BM25Plus defaults) and of its fusion.
 BM25_K1 = 1.5
@@ -113,6 +113,8 @@ def bm25_plus(queries: DataFrame, docs: DataFrame, k: int | None = 10, *, group:
     if digits is not None:
         scored = scored.withColumn("score", round_half_away("score", digits))
     if fill and k is not None:
+        # the fill bound needs the match counts first: compute the matches once
+        scored = materialize(scored, "bm25-matched")
         scored = scored.unionByName(_fill_unmatched(docs, queries, scored, const, g, query_id, doc_id, k, digits))
     order = [F.col("score").desc(), F.col(doc_id).asc()]
     if k is None:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as tx
 from quarry.operators import clean as cl
+from quarry.operators.common import materialize
 from quarry.operators import rerank as rr
 from quarry.operators import search as srch
 from quarry.plans.q_search import _SEARCH_CTE
@@ -63,7 +64,7 @@ def base_run(spark, d, k=100):
     hits = srch.search(q, fx.corpus(spark, d), k).join(q.select("query_id", "topic"), "query_id")
     run = srch.attach_text(hits, _run_texts(spark, d)).select("topic", "id", "score", "rank", "text")
     # the run feeds several rankers: write it once to the shared checkpoint folder
-    return run.checkpoint()
+    return materialize(run, "topic-run")
 
 
 def generated_queries(spark, d):

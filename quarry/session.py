@@ -37,6 +37,9 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     }
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if os.environ.get("QUARRY_EVENT_LOG_DIR"):  # stage/task timings for offline inspection
+        conf["spark.eventLog.enabled"] = "true"
+        conf["spark.eventLog.dir"] = os.environ["QUARRY_EVENT_LOG_DIR"]
     for k, v in conf.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
