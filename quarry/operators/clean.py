@@ -189,10 +189,11 @@ def keyword_search(works: DataFrame, terms: DataFrame, k: int = 10_000, lang: st
     from quarry.operators.rerank import explode_tokens
     toks = (docs.select(id_col, explode_tokens(F.array_distinct(
         tx.tokens(F.concat_ws(" ", F.col("title"), F.col("abstract")))))).filter(F.col("term").isNotNull()))
+    from quarry.operators.common import broadcast_if_small
     n_groups = terms.groupBy("topic").agg(F.countDistinct("grp").alias("_ng"))
-    hits = (toks.join(F.broadcast(terms.select("topic", "grp", "term").distinct()), "term")
+    hits = (toks.join(broadcast_if_small(terms.select("topic", "grp", "term").distinct()), "term")
             .groupBy("topic", id_col).agg(F.countDistinct("grp").alias("_hit")))
-    matched = hits.join(F.broadcast(n_groups), "topic").filter(F.col("_hit") == F.col("_ng"))
+    matched = hits.join(n_groups, "topic").filter(F.col("_hit") == F.col("_ng"))
     w = Window.partitionBy("topic").orderBy(id_col)
     return (matched.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
             .select("topic", id_col, "rank"))

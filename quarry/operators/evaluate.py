@@ -77,7 +77,7 @@ def mean_recall(runs: DataFrame, cps: DataFrame, run_keys, limit_k: DataFrame |
     """M4: M1 per run and topic (whole run, or cut at the topic's k), mean over runs."""
     keys = _keys(run_keys)
     if limit_k is not None:
-        runs = runs.join(F.broadcast(limit_k.select(topic, "top_n")), topic)
+        runs = runs.join(limit_k.select(topic, "top_n"), topic)
         per = recall_at_k(runs, cps, run_keys=keys, topic=topic, count=count, k_col="top_n")
     else:
         per = recall_at_k(runs, cps, run_keys=keys, topic=topic, count=count)
@@ -96,12 +96,17 @@ def compare_recall(ours: DataFrame, keyword: DataFrame, k_table: DataFrame, topi
 def minmax_score(scores: DataFrame, by: str = "model", cos_col: str = "score",
                  dist_col: str = "euc_score") -> DataFrame:
     """M6: abs of cosine scores; distances abs then ``1 - (x-min)/(max-min)`` per model
-    (a constant group gives null)."""
-    w = Window.partitionBy(by)
+    (a constant group gives null).
+
+    min/max per model come from a grouped aggregate (partial, map-side) joined
+    back on the model - one row per model - rather than from a window, which
+    would sort a whole model's rows in one task."""
     d = F.abs(F.col(dist_col))
-    mn, mx = F.min(d).over(w), F.max(d).over(w)
-    return scores.select("*", F.abs(F.col(cos_col)).alias("cos_abs"),
-                         (F.lit(1.0) - (d - mn) / F.when(mx != mn, mx - mn)).alias("dist_norm"))
+    mm = scores.groupBy(by).agg(F.min(d).alias("_mn"), F.max(d).alias("_mx"))
+    j = scores.join(mm, by)
+    return j.select(*scores.columns, F.abs(F.col(cos_col)).alias("cos_abs"),
+                    (F.lit(1.0) - (d - F.col("_mn")) / F.when(F.col("_mx") != F.col("_mn"), F.col("_mx") - F.col("_mn")))
+                    .alias("dist_norm"))
 
 
 def recall_curve(runs: DataFrame, cps: DataFrame, run_keys, step: int = 100, upto: int = 10_000,
@@ -229,8 +234,8 @@ def _label_total(df: DataFrame, topic: str) -> DataFrame:
 def base_vs_rerank(base: DataFrame, reranked: DataFrame, cps: DataFrame, k_table: DataFrame,
                    topic: str = "topic") -> DataFrame:
     """Recall of the base run and the reranked run at each topic's n, with an average row."""
-    kb = base.join(F.broadcast(k_table.select(topic, "top_n")), topic)
-    kr = reranked.join(F.broadcast(k_table.select(topic, "top_n")), topic)
+    kb = base.join(k_table.select(topic, "top_n"), topic)
+    kr = reranked.join(k_table.select(topic, "top_n"), topic)
     rb = recall_at_k(kb, cps, topic=topic, k_col="top_n").select(topic, F.col("recall").alias("base"))
     rr_ = recall_at_k(kr, cps, topic=topic, k_col="top_n").select(topic, F.col("recall").alias("reranked"))
     return _label_total(rb.join(rr_, topic, "full").rollup(topic)

@@ -48,7 +48,8 @@ def remove_stop_words(toks: DataFrame, stop_words, col: str = "term") -> DataFra
         return toks
     if isinstance(stop_words, (list, tuple, set)):
         stop_words = toks.sparkSession.createDataFrame([(w,) for w in sorted(set(stop_words))], [col])
-    return toks.join(F.broadcast(stop_words.select(F.col(stop_words.columns[0]).alias(col))), col, "left_anti")
+    from quarry.operators.common import broadcast_if_small
+    return toks.join(broadcast_if_small(stop_words.select(F.col(stop_words.columns[0]).alias(col))), col, "left_anti")
 
 
 def token_arrays(df: DataFrame, text_col: str, keys: list[str], stop_words=None) -> DataFrame:
@@ -92,7 +93,7 @@ def bm25_plus(queries: DataFrame, docs: DataFrame, k: int | None = 10, *, group:
     stats = n_docs.join(total, g, "left").select(
         *g, "_N", (F.coalesce(F.col("_T"), F.lit(0)) / F.col("_N")).alias("_avgdl"))
     dfreq = post.groupBy(*g, "term").agg(F.count("*").alias("_df"))
-    idf = dfreq.join(F.broadcast(stats), g).select(
+    idf = dfreq.join(stats, g).select(
         *g, "term", F.log((F.col("_N") + 1) / F.col("_df")).alias("_idf"), "_avgdl")
 
     qtok = token_arrays(queries, query_text, g + [query_id], stop_words)
@@ -210,7 +211,8 @@ def cut_per_topic(long_rank: DataFrame, top_n, topic: str = "topic", rank_col: s
     """Cut a long ranking at an int or at a per-topic n (DataFrame ``topic, top_n``)."""
     if isinstance(top_n, int):
         return long_rank.filter(F.col(rank_col) <= top_n)
-    return long_rank.join(F.broadcast(top_n.select(topic, "top_n")), topic).filter(
+    # one row per topic
+    return long_rank.join(top_n.select(topic, "top_n"), topic).filter(
         F.col(rank_col) <= F.col("top_n")).drop("top_n")
 
 

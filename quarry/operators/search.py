@@ -30,6 +30,9 @@ from quarry.functions.vectors import cosine, neg_euclidean, np_round_half_away,
 
 MAX_QUERIES_PER_PASS = 4096  # x 1024 dims x 8 bytes = 32 MiB broadcast
 FAN_IN = 64
+# Above this many partial rows (partitions x queries x k) a first, cheap pass
+# fixes a score floor per query so that partitions only ship rows above it.
+PRUNE_ROWS = 20_000_000
 
 
 def _score_block(C: np.ndarray, Q: np.ndarray, metric: str, qnorm2: np.ndarray) -> np.ndarray:
@@ -45,10 +48,12 @@ def _score_block(C: np.ndarray, Q: np.ndarray, metric: str, qnorm2: np.ndarray)
     raise ValueError(f"unknown metric {metric}")
 
 
-def _make_scorer(bc, k, metric, digits, id_col, vec_col, key_col, out_q, fan_in, compact_factor=2):
+def _make_scorer(bc, k, metric, digits, id_col, vec_col, key_col, out_q, fan_in, compact_factor=2,
+                 tau_bc=None, probe=False):
     def run(batches):
         from pyspark import TaskContext
         q_ids, q_keys, Q, qn2 = bc.value
+        tau = tau_bc.value if tau_bc is not None else None
         blk = TaskContext.get().partitionId() // fan_in
         n = len(q_ids)
         buf = []
@@ -69,6 +74,8 @@ def _make_scorer(bc, k, metric, digits, id_col, vec_col, key_col, out_q, fan_in,
             S = _score_block(C, Q, metric, qn2)
             S = np_round_half_away(S, digits) if digits is not None else S
             valid = np.isfinite(S)
+            if tau is not None:
+                valid &= S >= tau[None, :]
             if q_keys is not None:
                 ck = pdf[key_col].to_numpy()
                 valid &= (ck[:, None] == q_keys[None, :])
@@ -91,7 +98,11 @@ def _make_scorer(bc, k, metric, digits, id_col, vec_col, key_col, out_q, fan_in,
                 buf, buf_rows = [], 0
                 yield _emit(out, q_ids, q_keys, blk, out_q, id_col, key_col)
         if buf:
-            yield _emit(compact(buf), q_ids, q_keys, blk, out_q, id_col, key_col)
+            out = compact(buf)
+            if probe:
+                yield pd.DataFrame({"_q": out["_q"].to_numpy(np.int64), "score": out["score"].to_numpy()})
+            else:
+                yield _emit(out, q_ids, q_keys, blk, out_q, id_col, key_col)
 
     return run
 
@@ -123,12 +134,20 @@ def search(queries: DataFrame, corpus: DataFrame, k: int | None = 10_000, *,
            query_id: str = "query_id", query_vec: str = "vector",
            id_col: str = "id", vec_col: str = "embedding", key: str | None = None,
            metric: str = "cosine", digits: int | None = 6,
-           max_queries_per_pass: int = MAX_QUERIES_PER_PASS, fan_in: int = FAN_IN) -> DataFrame:
+           max_queries_per_pass: int = MAX_QUERIES_PER_PASS, fan_in: int = FAN_IN,
+           prune: bool | None = None) -> DataFrame:
     """Exact top-k search (R1/R2): ``query_id, id, score, rank`` (+ ``key``).
 
     ``key``: score a query only against corpus rows with the same key value
     (e.g. a topic's candidate set, or a model's corpus).  ``k=None`` returns
     every (query, row) score without a rank.
+
+    ``prune`` (default: when partitions x queries x k exceeds ``PRUNE_ROWS``):
+    a probe pass keeps only the top ``ceil(2k / partitions)`` scores per query
+    and partition; the k-th best of their union is a valid floor for the
+    global k-th score, so the scoring pass ships only rows at or above it -
+    about k rows per query in total instead of k per partition.  Exact: every
+    true top-k row scores at least the floor, ties included.
     """
     spark = queries.sparkSession
     qcols = [query_id, query_vec] + ([key] if key else [])
@@ -141,7 +160,7 @@ def search(queries: DataFrame, corpus: DataFrame, k: int | None = 10_000, *,
         parts = [search(qsel.filter(F.pmod(F.xxhash64(F.col(query_id)), F.lit(n_pass)) == i), corpus, k,
                         query_id=query_id, query_vec=query_vec, id_col=id_col, vec_col=vec_col, key=key,
                         metric=metric, digits=digits, max_queries_per_pass=max_queries_per_pass,
-                        fan_in=fan_in) for i in range(n_pass)]
+                        fan_in=fan_in, prune=prune) for i in range(n_pass)]
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
@@ -167,13 +186,17 @@ def search(queries: DataFrame, corpus: DataFrame, k: int | None = 10_000, *,
               T.StructField("_blk", T.LongType())]
     if key:
         fields.append(T.StructField(key, queries.schema[key].dataType))
+    n_parts = max(1, csel.rdd.getNumPartitions())
+    tau_bc = None
+    if k is not None and n_parts > 1 and (prune or (prune is None and n_parts * n_q * k > PRUNE_ROWS)):
+        tau_bc = spark.sparkContext.broadcast(
+            _score_floor(csel, bc, k, n_parts, metric, digits, id_col, vec_col, key, query_id, fan_in, n_q))
     partial = csel.mapInPandas(
-        _make_scorer(bc, k, metric, digits, id_col, vec_col, key, query_id, fan_in),
+        _make_scorer(bc, k, metric, digits, id_col, vec_col, key, query_id, fan_in, tau_bc=tau_bc),
         T.StructType(fields))
     if k is None:
         return partial.drop("_blk")
 
-    n_parts = max(1, csel.rdd.getNumPartitions())
     merged = partial
     blocks = math.ceil(n_parts / fan_in)
     part = [query_id] + ([key] if key else [])
@@ -188,6 +211,21 @@ def search(queries: DataFrame, corpus: DataFrame, k: int | None = 10_000, *,
             .select(*out_cols))
 
 
+def _score_floor(csel, bc, k, n_parts, metric, digits, id_col, vec_col, key, query_id, fan_in, n_q):
+    """Probe pass: per query, the k-th best score among the per-partition top-m lists
+    (m = ceil(2k / partitions)); -inf where the union holds fewer than k rows."""
+    m = max(1, math.ceil(2 * k / n_parts))
+    probe = csel.mapInPandas(
+        _make_scorer(bc, m, metric, digits, id_col, vec_col, key, query_id, fan_in, probe=True),
+        "_q long, score double")
+    w = Window.partitionBy("_q").orderBy(F.col("score").desc())
+    kth = probe.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == k).select("_q", "score")
+    tau = np.full(n_q, -np.inf)
+    for r in kth.collect():  # one row per query (bounded by the query pass size)
+        tau[r["_q"]] = r["score"]
+    return tau
+
+
 def _empty_result(queries, corpus, query_id, id_col, key, k):
     fields = [T.StructField(query_id, queries.schema[query_id].dataType),
               T.StructField(id_col, corpus.schema[id_col].dataType),

@@ -95,11 +95,11 @@ def read_tagged_csv(spark: SparkSession, path: str, schema: T.StructType, file_t
 
     ``file_topics(file_key, topic)`` maps a key extracted from each file path
     (by ``key_pattern``, default the parent folder name) to a topic.  The
-    mapping has one row per file, so it is broadcast."""
+    mapping has one row per file; AQE broadcasts it once its measured size is small."""
     df = (spark.read.option("header", "true").option("multiLine", "true").option("escape", '"')
           .option("recursiveFileLookup", "true").schema(schema).csv(path))
     df = df.withColumn("file_key", F.regexp_extract(F.col("_metadata.file_path"), key_pattern, 1))
-    return df.join(F.broadcast(file_topics), "file_key").drop("file_key")
+    return df.join(file_topics, "file_key").drop("file_key")
 
 
 # --------------------------------------------------------------------------- S4

@@ -101,3 +101,12 @@ def test_vector_parity_and_nearest(spark, data):
     excl = corpus.filter(F.col("id") == 1005).select("id")
     near = {r["query_id"]: r["id"] for r in srch.nearest(queries, corpus, excl).collect()}
     assert near[6] == 1007  # the duplicates of 1005 remain; smallest id first
+
+
+@pytest.mark.parametrize("k", [3, 40])
+def test_pruned_search_equals_unpruned(spark, data, k):
+    _, _, _, corpus, queries = data
+    c = corpus.repartition(16)
+    a = sorted(map(tuple, srch.search(queries, c, k, prune=False).collect()))
+    b = sorted(map(tuple, srch.search(queries, c, k, prune=True).collect()))
+    assert a == b and len(a) == 7 * k
