@@ -241,18 +241,18 @@ def c22(spark, d):
 
 
 def _benchmark_terms(spark, d):
-    """Per benchmark item (= topic): two OR-groups of its first four tokens."""
+    """Per benchmark item (= topic) two OR-groups over all of its tokens: the tokens at
+    even positions form group 1, those at odd positions group 2 (AND of the two)."""
     b = fx.table(spark, d, "benchmark")
     return (b.select(F.col("item_id").alias("topic"), F.posexplode(tx.tokens("text")).alias("pos", "term"))
-            .filter(F.col("pos") < 4).select("topic", (F.floor(F.col("pos") / 2) + 1).alias("grp"), "term"))
+            .select("topic", (F.pmod(F.col("pos"), F.lit(2)) + 1).alias("grp"), "term").distinct())
 
 
 _C23_CTES = f"""
 terms AS (
-  SELECT DISTINCT topic, CAST(floor(pos / 2) + 1 AS BIGINT) AS grp, term FROM (
+  SELECT DISTINCT topic, CAST(pos % 2 + 1 AS INTEGER) AS grp, term FROM (
     SELECT item_id AS topic, unnest(toks) AS term, generate_subscripts(toks, 1) - 1 AS pos
-    FROM (SELECT item_id, {tx.sql_tokens('text')} AS toks FROM benchmark) b) t
-  WHERE pos < 4),
+    FROM (SELECT item_id, {tx.sql_tokens('text')} AS toks FROM benchmark) b) t),
 doc_terms AS (
   SELECT DISTINCT id, unnest({tx.sql_tokens("concat_ws(' ', title, abstract)")}) AS term
   FROM works WHERE language = 'en' AND abstract IS NOT NULL),
