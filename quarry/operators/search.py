@@ -152,11 +152,12 @@ def search(queries: DataFrame, corpus: DataFrame, k: int | None = 10_000, *,
     spark = queries.sparkSession
     qcols = [query_id, query_vec] + ([key] if key else [])
     qsel = queries.select(*qcols).filter(F.col(query_vec).isNotNull())
-    n_q = qsel.count()
-    if n_q == 0:
+    # one job both checks the bound and fetches the queries
+    qpdf = qsel.limit(max_queries_per_pass + 1).toPandas()
+    if len(qpdf) == 0:
         return _empty_result(queries, corpus, query_id, id_col, key, k)
-    if n_q > max_queries_per_pass:
-        n_pass = math.ceil(n_q / max_queries_per_pass)
+    if len(qpdf) > max_queries_per_pass:
+        n_pass = math.ceil(qsel.count() / max_queries_per_pass)
         parts = [search(qsel.filter(F.pmod(F.xxhash64(F.col(query_id)), F.lit(n_pass)) == i), corpus, k,
                         query_id=query_id, query_vec=query_vec, id_col=id_col, vec_col=vec_col, key=key,
                         metric=metric, digits=digits, max_queries_per_pass=max_queries_per_pass,
@@ -166,7 +167,7 @@ def search(queries: DataFrame, corpus: DataFrame, k: int | None = 10_000, *,
             out = out.unionByName(p)
         return out
 
-    qpdf = qsel.toPandas()
+    n_q = len(qpdf)
     Q = _as_matrix(qpdf[query_vec].to_numpy())
     if metric == "cosine":
         with np.errstate(divide="ignore", invalid="ignore"):

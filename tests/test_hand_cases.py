@@ -141,3 +141,14 @@ def test_feedback_vector(spark):
     neg = spark.createDataFrame([(1, [0.0, 4.0])], "topic int, embedding array<double>")
     out = {r["topic"]: r["vector"] for r in feedback_vector(pos, neg).collect()}
     assert out == {1: [4.0, -2.0], 2: [1.0, 1.0]}
+
+
+def test_bm25_statistics_are_per_group(spark):
+    docs = {("g1", 1): "red fish", ("g1", 2): "blue fish fish", ("g2", 3): "red red sky", ("g2", 4): "sky"}
+    ddf = spark.createDataFrame([(g, i, t) for (g, i), t in docs.items()], ["topic", "id", "text"])
+    qdf = spark.createDataFrame([("g1", 1, "red fish"), ("g2", 2, "red fish")], ["topic", "query_id", "query"])
+    got = {(r["topic"], r["id"]): r["score"] for r in rr.bm25_plus(qdf, ddf, 10, group="topic", fill=True).collect()}
+    for g in ("g1", "g2"):
+        part = {i: t.split() for (gg, i), t in docs.items() if gg == g}
+        want = _bm25_plus_brute(["red", "fish"], part)
+        assert {i: got[(g, i)] for i in part} == pytest.approx(want)

@@ -110,3 +110,11 @@ def test_pruned_search_equals_unpruned(spark, data, k):
     a = sorted(map(tuple, srch.search(queries, c, k, prune=False).collect()))
     b = sorted(map(tuple, srch.search(queries, c, k, prune=True).collect()))
     assert a == b and len(a) == 7 * k
+
+
+def test_invariant_to_input_order(spark, data):
+    _, _, _, corpus, queries = data
+    a = sorted(map(tuple, srch.search(queries, corpus, 25).collect()))
+    b = sorted(map(tuple, srch.search(queries.orderBy(F.rand(7)), corpus.orderBy(F.rand(3)).repartition(5), 25)
+                   .collect()))
+    assert a == b
