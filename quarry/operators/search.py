@@ -33,6 +33,12 @@ FAN_IN = 64
 # Above this many partial rows (partitions x queries x k) a first, cheap pass
 # fixes a score floor per query so that partitions only ship rows above it.
 PRUNE_ROWS = 20_000_000
+# A task's top-k buffer holds up to 2 x queries x k rows: queries per pass are
+# capped so that stays near 10 M rows (k = 10,000 -> 500 queries per pass).
+MAX_BUFFER_ROWS = 5_000_000
+# Without a cut every (query, row) pair of a batch is output: keep a batch's
+# output near 1 M rows.
+MAX_QUERIES_UNCUT = 256
 
 
 def _score_block(C: np.ndarray, Q: np.ndarray, metric: str, qnorm2: np.ndarray) -> np.ndarray:
@@ -150,6 +156,10 @@ def search(queries: DataFrame, corpus: DataFrame, k: int | None = 10_000, *,
     true top-k row scores at least the floor, ties included.
     """
     spark = queries.sparkSession
+    if k is None:
+        max_queries_per_pass = min(max_queries_per_pass, MAX_QUERIES_UNCUT)
+    else:
+        max_queries_per_pass = max(1, min(max_queries_per_pass, MAX_BUFFER_ROWS // k))
     qcols = [query_id, query_vec] + ([key] if key else [])
     qsel = queries.select(*qcols).filter(F.col(query_vec).isNotNull())
     # one job both checks the bound and fetches the queries

@@ -62,7 +62,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     Read from ``spark.checkpoint.dir`` (set by the cluster).  Only when it is
     unset (local runs, tests) a scratch folder is created and registered.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
