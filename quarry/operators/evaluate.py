@@ -160,13 +160,18 @@ def quartile_means(effect: DataFrame, topic: str = "topic", value: str = "recall
                    round_half_away(F.avg("bot"), 3).alias("avg_bot_25"))
 
 
-def compare_prompts(a: DataFrame, b: DataFrame, topic: str = "topic", value: str = "recall") -> DataFrame:
-    """Per topic max/min/mean of two settings and their difference (a - b)."""
+def compare_prompts(a: DataFrame, b: DataFrame, topic: str = "topic", value: str = "recall",
+                    digits: int = 9) -> DataFrame:
+    """Per topic max/min/mean of two settings and their difference (a - b).
+
+    Means and differences are rounded (``digits``), so equal settings compare
+    as equal regardless of summation order."""
     def stats(df, s):
         return df.groupBy(topic).agg(F.max(value).alias(f"max_{s}"), F.min(value).alias(f"min_{s}"),
-                                     F.avg(value).alias(f"mean_{s}"))
+                                     round_half_away(F.avg(value), digits).alias(f"mean_{s}"))
     j = stats(a, "a").join(stats(b, "b"), topic)
-    return j.select("*", *[(F.col(f"{m}_a") - F.col(f"{m}_b")).alias(f"diff_{m}") for m in ("max", "min", "mean")])
+    return j.select("*", *[round_half_away(F.col(f"{m}_a") - F.col(f"{m}_b"), digits).alias(f"diff_{m}")
+                           for m in ("max", "min", "mean")])
 
 
 def prompt_summary(cmp: DataFrame) -> DataFrame:
@@ -174,7 +179,8 @@ def prompt_summary(cmp: DataFrame) -> DataFrame:
     return cmp.agg(F.sum(F.when(F.col("diff_mean") > 0, 1).otherwise(0)).cast("bigint").alias("n_a_better"),
                    F.sum(F.when(F.col("diff_mean") < 0, 1).otherwise(0)).cast("bigint").alias("n_b_better"),
                    F.sum(F.when(F.col("diff_mean") == 0, 1).otherwise(0)).cast("bigint").alias("n_same"),
-                   F.avg("mean_a").alias("mean_a"), F.avg("mean_b").alias("mean_b"))
+                   round_half_away(F.avg("mean_a"), 9).alias("mean_a"),
+                   round_half_away(F.avg("mean_b"), 9).alias("mean_b"))
 
 
 def model_recall(ranked: DataFrame, cps: DataFrame, ks=(1000, 10_000), model: str = "model",

@@ -17,6 +17,13 @@ from quarry.sources import io as sio
 
 V = fx.with_views
 K_RUN = 100
+DIG = 9  # averaged outputs are reported at 9 digits (independent of summation order)
+
+
+def rnd(df, *cols):
+    for c in cols:
+        df = df.withColumn(c, round_half_away(c, DIG))
+    return df
 
 
 # ----------------------------------------------------------------------------- fixtures
@@ -123,10 +130,10 @@ m5 AS (SELECT coalesce(o.topic, k.topic) AS topic, o.recall AS ours, k.recall AS
 """
 
 
-@register("M4_mean_recall_limit_k", V("SELECT topic, recall, n_runs FROM m4", M4_CTE))
+@register("M4_mean_recall_limit_k", V("SELECT topic, round(recall, 9) AS recall, n_runs FROM m4", M4_CTE))
 def m4(spark, d):
     k = ev.topic_k(fx.slr_results(spark, d), fx.eval_cps(spark, d))
-    return ev.mean_recall(seed_runs(spark, d), fx.eval_cps(spark, d), ["run"], limit_k=k)
+    return rnd(ev.mean_recall(seed_runs(spark, d), fx.eval_cps(spark, d), ["run"], limit_k=k), "recall")
 
 
 def _m5(spark, d):
@@ -136,9 +143,10 @@ def _m5(spark, d):
     return ev.compare_recall(ours, kw, ev.topic_k(fx.slr_results(spark, d), cps))
 
 
-@register("M5_compare_recall", V("SELECT topic, ours, keyword, sample_size FROM m5", M4_CTE))
+@register("M5_compare_recall", V(
+    "SELECT topic, round(ours, 9) AS ours, round(keyword, 9) AS keyword, sample_size FROM m5", M4_CTE))
 def m5(spark, d):
-    return _m5(spark, d)
+    return rnd(_m5(spark, d), "ours", "keyword")
 
 
 # ----------------------------------------------------------------------------- models
@@ -253,13 +261,13 @@ hits AS (SELECT r.run, r.topic, CAST(ceil(r.rank / 10) AS BIGINT) AS b
 cur AS (SELECT s.run, s.topic, s.b, (SELECT count(*) FROM hits h WHERE h.run = s.run AND h.topic = s.topic
                                      AND h.b <= s.b) / n.n_cps AS recall
         FROM spine s JOIN ncps n ON n.topic = s.topic),
-curve AS (SELECT b * 10 AS k, avg(recall) AS recall FROM (
+curve AS (SELECT b * 10 AS k, round(avg(recall), 9) AS recall FROM (
             SELECT run, b, avg(recall) AS recall FROM cur GROUP BY run, b) x GROUP BY b)
 """
 
 
 def _curve(spark, d):
-    return ev.recall_curve(seed_runs(spark, d), fx.eval_cps(spark, d), ["run"], step=10, upto=100)
+    return rnd(ev.recall_curve(seed_runs(spark, d), fx.eval_cps(spark, d), ["run"], step=10, upto=100), "recall")
 
 
 @register("M7_recall_curve", V("SELECT k, recall FROM curve", CURVE_CTE))
@@ -293,9 +301,12 @@ def m9(spark, d):
 CMP_CTE = EFFECT_CTE + """,
 cmp AS (
   SELECT a.topic, a.max_a, a.min_a, a.mean_a, b.max_b, b.min_b, b.mean_b,
-         a.max_a - b.max_b AS diff_max, a.min_a - b.min_b AS diff_min, a.mean_a - b.mean_b AS diff_mean
-  FROM (SELECT topic, max(recall) AS max_a, min(recall) AS min_a, avg(recall) AS mean_a FROM effect GROUP BY topic) a
-  JOIN (SELECT topic, max(recall) AS max_b, min(recall) AS min_b, avg(recall) AS mean_b FROM effect50 GROUP BY topic) b
+         round(a.max_a - b.max_b, 9) AS diff_max, round(a.min_a - b.min_b, 9) AS diff_min,
+         round(a.mean_a - b.mean_b, 9) AS diff_mean
+  FROM (SELECT topic, max(recall) AS max_a, min(recall) AS min_a, round(avg(recall), 9) AS mean_a
+        FROM effect GROUP BY topic) a
+  JOIN (SELECT topic, max(recall) AS max_b, min(recall) AS min_b, round(avg(recall), 9) AS mean_b
+        FROM effect50 GROUP BY topic) b
     ON a.topic = b.topic)
 """
 
@@ -315,17 +326,17 @@ def m10(spark, d):
 SELECT CAST(sum(CASE WHEN diff_mean > 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_a_better,
        CAST(sum(CASE WHEN diff_mean < 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_b_better,
        CAST(sum(CASE WHEN diff_mean = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_same,
-       avg(mean_a) AS mean_a, avg(mean_b) AS mean_b FROM cmp""", CMP_CTE))
+       round(avg(mean_a), 9) AS mean_a, round(avg(mean_b), 9) AS mean_b FROM cmp""", CMP_CTE))
 def m10b(spark, d):
     return ev.prompt_summary(_cmp(spark, d))
 
 
 @register("M20_recall_spread", V("""
-SELECT topic, min(recall) AS "min", quantile_cont(recall, 0.25) AS q1, quantile_cont(recall, 0.5) AS median,
-       quantile_cont(recall, 0.75) AS q3, max(recall) AS "max"
+SELECT topic, min(recall) AS "min", round(quantile_cont(recall, 0.25), 9) AS q1,
+       round(quantile_cont(recall, 0.5), 9) AS median, round(quantile_cont(recall, 0.75), 9) AS q3, max(recall) AS "max"
 FROM effect GROUP BY topic""", EFFECT_CTE))
 def m20(spark, d):
-    return ev.recall_spread(effect(spark, d))
+    return rnd(ev.recall_spread(effect(spark, d)), "q1", "median", "q3")
 
 
 WIDE_CTE = RUNS_CTE + """,
@@ -356,18 +367,18 @@ def m12(spark, d):
 
 
 @register("M12_grid_summary", V("""
-SELECT run, avg(recall) AS recall FROM (
+SELECT run, round(avg(recall), 9) AS recall FROM (
   SELECT run, topic, avg(recall) AS recall FROM (""" + recall_sql("runs", ["run"]) + """) x GROUP BY run, topic) y
 GROUP BY run""", RUNS_CTE))
 def m12b(spark, d):
     per = ev.grid_recall(seed_runs(spark, d), fx.eval_cps(spark, d), ["run"]).withColumn("has_text", F.lit(False))
-    return ev.grid_summary(per, "run")
+    return rnd(ev.grid_summary(per, "run"), "recall")
 
 
 @register("M13_paired_recall", V("""
-SELECT coalesce(CAST(topic AS VARCHAR), 'Average') AS topic, avg(n_cps) AS n_cps, avg(found_real) AS found_real,
-       avg(recall_real) AS recall_real,
-       avg(found_generated) AS found_generated, avg(recall_generated) AS recall_generated,
+SELECT coalesce(CAST(topic AS VARCHAR), 'Average') AS topic, round(avg(n_cps), 9) AS n_cps,
+       round(avg(found_real), 9) AS found_real, round(avg(recall_real), 9) AS recall_real,
+       round(avg(found_generated), 9) AS found_generated, round(avg(recall_generated), 9) AS recall_generated,
        topic IS NULL AS is_average
 FROM (SELECT coalesce(a.topic, b.topic) AS topic, a.n_cps, a.n_found AS found_real, a.recall AS recall_real,
              b.n_found AS found_generated, b.recall AS recall_generated
@@ -377,7 +388,8 @@ FROM (SELECT coalesce(a.topic, b.topic) AS topic, a.n_cps, a.n_found AS found_re
 GROUP BY ROLLUP (topic)""", RUNS_CTE))
 def m13(spark, d):
     runs = seed_runs(spark, d)
-    return ev.paired_recall(runs.filter("run = 1"), runs.filter("run = 2"), fx.eval_cps(spark, d), 50)
+    out = ev.paired_recall(runs.filter("run = 1"), runs.filter("run = 2"), fx.eval_cps(spark, d), 50)
+    return rnd(out, "n_cps", "found_real", "recall_real", "found_generated", "recall_generated")
 
 
 M14_CTE = METHODS_CTES + """,
@@ -391,7 +403,8 @@ rk AS (SELECT f.topic, f.id, f.rank, k.top_n FROM fused f JOIN topick k ON k.top
 
 
 @register("M14_base_vs_rerank", V("""
-SELECT coalesce(CAST(topic AS VARCHAR), 'Average') AS topic, avg(base) AS base, avg(reranked) AS reranked,
+SELECT coalesce(CAST(topic AS VARCHAR), 'Average') AS topic, round(avg(base), 9) AS base,
+       round(avg(reranked), 9) AS reranked,
        topic IS NULL AS is_average FROM (
   SELECT coalesce(a.topic, b.topic) AS topic, a.recall AS base, b.recall AS reranked
   FROM (""" + recall_sql("bk", [], "rank <= top_n") + """) a
@@ -403,11 +416,11 @@ def m14(spark, d):
     fused = rr.rerank_all(methods, 50).filter("method = 'rrf'").select("topic", "id", "rank")
     cps = fx.eval_cps(spark, d)
     k = ev.topic_k(fx.slr_results(spark, d), cps)
-    return ev.base_vs_rerank(run.select("topic", "id", "rank"), fused, cps, k)
+    return rnd(ev.base_vs_rerank(run.select("topic", "id", "rank"), fused, cps, k), "base", "reranked")
 
 
 @register("M15_method_recall", V("""
-SELECT method, coalesce(CAST(topic AS VARCHAR), 'Average') AS topic, avg(recall) AS recall,
+SELECT method, coalesce(CAST(topic AS VARCHAR), 'Average') AS topic, round(avg(recall), 9) AS recall,
        topic IS NULL AS is_average FROM (
   SELECT method, topic, avg(recall) AS recall FROM (""" + recall_sql(
     "(SELECT 'f1' AS file, * FROM (SELECT topic, method, id, rank FROM methods UNION ALL "
@@ -418,7 +431,7 @@ def m15(spark, d):
     from quarry.operators import rerank as rr
     _, methods = _methods(spark, d)
     long = rr.rerank_all(methods, 50).withColumn("file", F.lit("f1"))
-    return ev.method_recall(long, fx.eval_cps(spark, d))
+    return rnd(ev.method_recall(long, fx.eval_cps(spark, d)), "recall")
 
 
 @register("M16_availability", V("""

@@ -135,7 +135,7 @@ def f7(spark, d):
 
 
 @register("F8_average_curves", V("""
-SELECT CAST(s.i AS BIGINT) AS k, avg(coalesce(c.recall, 1.0)) AS recall
+SELECT CAST(s.i AS BIGINT) AS k, round(avg(coalesce(c.recall, 1.0)), 9) AS recall
 FROM (SELECT t.topic, i FROM (SELECT DISTINCT topic FROM curves) t, range(0, 150) r(i)) s
 LEFT JOIN (SELECT c.topic, c.i, c.recall FROM curves c JOIN topick k ON k.topic = c.topic
            WHERE c.run = 1 AND c.i < k.top_n) c ON c.topic = s.topic AND c.i = s.i
@@ -143,13 +143,14 @@ GROUP BY s.i""", CURVE_CTE))
 def f8(spark, d):
     k = ev.topic_k(fx.slr_results(spark, d), fx.eval_cps(spark, d))
     c = curves(spark, d).filter("run = 1").join(k, "topic").filter(F.col("i") < F.col("top_n"))
-    return fb.average_curves(c.select("topic", "i", "recall"), 150)
+    out = fb.average_curves(c.select("topic", "i", "recall"), 150)
+    return out.withColumn("recall", round_half_away("recall", 9))
 
 
 @register("F9_screening_best", V("""
-SELECT avg(best) AS mean_best, count(*) AS n_topics FROM (
+SELECT round(avg(best), 9) AS mean_best, count(*) AS n_topics FROM (
   SELECT topic, avg(b) AS best FROM (
     SELECT run, topic, max(recall) AS b FROM curves WHERE i < 50 GROUP BY run, topic) x GROUP BY topic) y""",
                                    CURVE_CTE))
 def f9(spark, d):
-    return fb.screening_best(curves(spark, d), 50, [])
+    return fb.screening_best(curves(spark, d), 50, []).withColumn("mean_best", round_half_away("mean_best", 9))
