@@ -151,16 +151,32 @@ def core_query_set(cps: DataFrame, cfg: DataFrame, done: DataFrame | None = None
 
 
 def select_core(effect: DataFrame, kind: str = "best", seed: int = 42) -> DataFrame:
-    """Per topic the best / middle (n//2) / worst / seeded-random core id by ``n_cores``."""
-    order = [F.col("n_cores").desc(), F.col("core_id").asc()]
-    if kind == "random":
-        order = [F.xxhash64(F.col("core_id"), F.lit(seed)), F.col("core_id")]
-    w = Window.partitionBy("topic").orderBy(*order)
+    """Per topic the best / middle (n//2) / worst / seeded-random core id by ``n_cores``.
+
+    Order: ``n_cores`` desc, then ``core_id`` asc.  best, worst and random are
+    grouped ``min`` over a struct (map-side partial aggregation, no per-topic
+    sort); only the middle needs positions, from a per-topic window."""
+    cols = effect.columns
+    rest = [c for c in cols if c not in ("topic", "core_id", "n_cores")]
+    if kind in ("best", "worst", "random"):
+        if kind == "best":
+            key = [(-F.col("n_cores")).alias("_k1"), F.col("core_id").alias("_k2")]
+            pick = F.min
+        elif kind == "worst":
+            key = [(-F.col("n_cores")).alias("_k1"), F.col("core_id").alias("_k2")]
+            pick = F.max
+        else:
+            key = [F.xxhash64(F.col("core_id"), F.lit(seed)).alias("_k1"), F.col("core_id").alias("_k2")]
+            pick = F.min
+        packed = F.struct(*key, *[F.col(c) for c in ["core_id", "n_cores"] + rest]).alias("_m")
+        agg = effect.groupBy("topic").agg(pick(packed).alias("_m"))
+        return agg.select("topic", *[F.col("_m")[c].alias(c) for c in ["core_id", "n_cores"] + rest]).select(*cols)
+    if kind != "middle":
+        raise ValueError(kind)
+    w = Window.partitionBy("topic").orderBy(F.col("n_cores").desc(), F.col("core_id").asc())
     ranked = (effect.withColumn("_pos", F.row_number().over(w))
               .withColumn("_n", F.count("*").over(Window.partitionBy("topic"))))
-    target = {"best": F.lit(1), "random": F.lit(1), "worst": F.col("_n"),
-              "middle": F.floor(F.col("_n") / 2) + 1}[kind]
-    return ranked.filter(F.col("_pos") == target).drop("_pos", "_n")
+    return ranked.filter(F.col("_pos") == F.floor(F.col("_n") / 2) + 1).drop("_pos", "_n")
 
 
 # --------------------------------------------------------------------------- E1
