@@ -69,10 +69,23 @@ def dedupe_id(df: DataFrame, id_col: str = "id", priority: str | None = "priorit
     return keep_first(df, [id_col], [priority] if priority else [])
 
 
-def match_titles(left: DataFrame, right: DataFrame, min_sim: float = 0.995, **kw) -> DataFrame:
-    """C11: for each left row its best right row by vector similarity, kept above ``min_sim``."""
-    from quarry.operators.search import search
-    return search(left, right, 1, **kw).filter(F.col("score") > F.lit(min_sim)).drop("rank")
+def match_titles(left: DataFrame, right: DataFrame, min_sim: float = 0.995, approx: bool = False,
+                 **kw) -> DataFrame:
+    """C11: for each left row its best right row by vector similarity, kept above ``min_sim``.
+
+    Exact (default): the blocked search with k = 1.  ``approx=True`` blocks
+    candidates by random-projection LSH first (for a left side too large to
+    ship as query passes); every pair it returns is a true pair above the
+    threshold with its exact score, but a best partner outside the candidate
+    buckets can be missed."""
+    from quarry.operators.search import search, search_approx
+    if approx:
+        # unit vectors: cosine >= min_sim  <=>  distance <= sqrt(2 - 2 * min_sim)
+        dist = (2.0 - 2.0 * min_sim) ** 0.5
+        hits = search_approx(left, right, 1, max_distance=max(dist, 1e-6), **kw)
+    else:
+        hits = search(left, right, 1, **kw)
+    return hits.filter(F.col("score") > F.lit(min_sim)).drop("rank")
 
 
 def missing_ids(a: DataFrame, b: DataFrame, a_col: str = "id", b_col: str = "id") -> DataFrame:

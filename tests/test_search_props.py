@@ -118,3 +118,13 @@ def test_invariant_to_input_order(spark, data):
     b = sorted(map(tuple, srch.search(queries.orderBy(F.rand(7)), corpus.orderBy(F.rand(3)).repartition(5), 25)
                    .collect()))
     assert a == b
+
+
+def test_match_titles_approx_subset_of_exact(spark, data):
+    from quarry.operators.clean import match_titles
+    _, _, _, corpus, queries = data
+    exact = {(r["query_id"], r["id"]) for r in match_titles(queries, corpus, 0.5).collect()}
+    above = {(r["query_id"], r["id"]) for r in srch.search(queries, corpus, None).filter("score > 0.5").collect()}
+    approx = {(r["query_id"], r["id"]) for r in match_titles(queries, corpus, 0.5, approx=True).collect()}
+    assert exact <= above and approx <= above and (6, 1005) in exact
+    assert len({q for q, _ in approx}) == len(approx)  # at most one partner per left row
