@@ -85,9 +85,13 @@ def format_questions(cfg: DataFrame, rq_count: int = 1, include_sub: bool = Fals
         "query", F.concat(F.lit(QUESTIONS_HEADER), F.col("query"), F.lit(SUPPORT_SEP), F.col(text_col)))
 
 
-def query_grid(cfg: DataFrame, texts: DataFrame | None = None, rq_counts=(1, 2, 3, 4),
+# The question counts of the query-structure grid.
+GRID_RQ_COUNTS = (1, 3, 5, 100)
+
+
+def query_grid(cfg: DataFrame, texts: DataFrame | None = None, rq_counts=GRID_RQ_COUNTS,
                has_text=(True, False), include_sub=(True, False), text_col: str = "text") -> DataFrame:
-    """E5: every (rq_count, has_text, include_sub) variant per topic.
+    """E5: every (rq_count, has_text, include_sub) variant per topic (4 x 2 x 2).
 
     The grid is a literal array exploded per topic (a generator, no join)."""
     grid = F.array(*[F.struct(F.lit(r).alias("rq_count"), F.lit(h).alias("has_text"), F.lit(s).alias("include_sub"))

@@ -36,7 +36,7 @@ qblock AS (
                     CASE WHEN include_sub THEN array_to_string(list_transform(subs,
                          lambda x, j: 'RQ' || rq_no || '.' || j || ': ' || x || chr(10)), '') ELSE '' END,
                     '' ORDER BY rq_no) AS questions
-  FROM cfg, (SELECT unnest([1, 2, 3, 4]) AS rq_count),
+  FROM cfg, (SELECT unnest([1, 2, 3, 5, 100]) AS rq_count),
        (SELECT unnest([true, false]) AS include_sub)
   WHERE rq_no <= rq_count
   GROUP BY topic, rq_count, include_sub)
@@ -74,7 +74,8 @@ SELECT q.topic, q.rq_count, h.has_text, q.include_sub,
                                  || chr(10) || ' ' || b.text
             ELSE q.questions END AS query
 FROM qblock q CROSS JOIN (SELECT unnest([true, false]) AS has_text) h
-LEFT JOIN benchmark b ON b.item_id = q.topic""", CFG_SQL))
+LEFT JOIN benchmark b ON b.item_id = q.topic
+WHERE q.rq_count IN (1, 3, 5, 100)""", CFG_SQL))
 def e5(spark, d):
     texts = fx.table(spark, d, "benchmark").select(F.col("item_id").alias("topic"), "text")
     return em.query_grid(topic_config(spark, d), texts).select(
