@@ -219,12 +219,12 @@ def grid_summary(per_variant: DataFrame, by: str) -> DataFrame:
 
 
 def paired_recall(a: DataFrame, b: DataFrame, cps: DataFrame, k: int | None = None, topic: str = "topic",
-                  suffixes=("real", "generated")) -> DataFrame:
-    """Found counts and ratios of two settings per topic, joined with suffixes,
-    plus an average row (topic null) from ``rollup``."""
-    ra = recall_at_k(a, cps, k, topic=topic).select(
+                  suffixes=("real", "generated"), count: str = "titled") -> DataFrame:
+    """Found counts (core rows with a title) and ratios of two settings per topic,
+    joined with suffixes, plus an ``Average`` row from ``rollup``."""
+    ra = recall_at_k(a, cps, k, topic=topic, count=count).select(
         topic, "n_cps", F.col("n_found").alias(f"found_{suffixes[0]}"), F.col("recall").alias(f"recall_{suffixes[0]}"))
-    rb = recall_at_k(b, cps, k, topic=topic).select(
+    rb = recall_at_k(b, cps, k, topic=topic, count=count).select(
         topic, F.col("n_found").alias(f"found_{suffixes[1]}"), F.col("recall").alias(f"recall_{suffixes[1]}"))
     j = ra.join(rb, topic, "full")
     cols = [c for c in j.columns if c != topic]
@@ -250,9 +250,10 @@ def base_vs_rerank(base: DataFrame, reranked: DataFrame, cps: DataFrame, k_table
 
 def method_recall(long_rank: DataFrame, cps: DataFrame, file_col: str = "file", method: str = "method",
                   topic: str = "topic") -> DataFrame:
-    """Recall per (file, topic, method), mean over files per (topic, method), plus
-    per-method averages over topics (topic null) from ``rollup``."""
-    per = recall_at_k(long_rank, cps, run_keys=[file_col, method], topic=topic)
+    """Recall per (file, topic, method) as distinct found ids / distinct core ids,
+    mean over files per (topic, method), plus per-method averages over topics
+    (an ``Average`` row from ``rollup``)."""
+    per = recall_at_k(long_rank, cps, run_keys=[file_col, method], topic=topic, count="ids")
     tm = per.groupBy(topic, method).agg(F.avg("recall").alias("recall"))
     return _label_total(tm.rollup(method, topic).agg(F.avg("recall").alias("recall"))
                         .filter(F.col(method).isNotNull()), topic)

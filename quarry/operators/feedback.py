@@ -157,10 +157,15 @@ def average_curves(curves: DataFrame, length: int, topic: str = "topic", step: s
     return full.groupBy(step).agg(F.avg(value).alias(value)).select(F.col(step).cast("bigint").alias("k"), value)
 
 
-def screening_best(curves: DataFrame, top_n: int, keys: list[str], topic: str = "topic", step: str = "i",
+def screening_best(curves: DataFrame, top_n, keys: list[str], topic: str = "topic", step: str = "i",
                    value: str = "recall", run: str = "run") -> DataFrame:
-    """per topic (and keys) the best recall within the first top_n steps, mean over
-    runs; then the mean over topics per keys."""
-    best = (curves.filter(F.col(step) < top_n).groupBy(*keys, topic, run).agg(F.max(value).alias("_b"))
+    """per topic (and keys) the best recall within the first top_n steps (an int,
+    or a ``topic, top_n`` table), mean over runs; then the mean over topics per keys."""
+    if isinstance(top_n, int):
+        cut = curves.filter(F.col(step) < top_n)
+    else:
+        cut = curves.join(top_n.select(topic, F.col("top_n").alias("_n")), topic).filter(
+            F.col(step) < F.col("_n")).drop("_n")
+    best = (cut.groupBy(*keys, topic, run).agg(F.max(value).alias("_b"))
             .groupBy(*keys, topic).agg(F.avg("_b").alias("best")))
     return best.groupBy(*keys).agg(F.avg("best").alias("mean_best"), F.count("*").alias("n_topics"))

@@ -232,12 +232,14 @@ def rerank_all(methods: dict[str, DataFrame], top_n, topic: str = "topic", id_co
 def rerank_merge(reranked: DataFrame, base_run: DataFrame, topic: str = "topic", id_col: str = "id",
                  c: int = RRF_C, methods: list[str] | None = None) -> DataFrame:
     """Add the base ranking as one more method, cut at the reranked list's
-    length per topic, and fuse everything by RRF: ``topic, id, rrf, rank``."""
+    length per topic, fuse everything by RRF and cut the fused list at that
+    length too: ``topic, id, rrf, rank``."""
     r = reranked if methods is None else reranked.filter(F.col("method").isin(methods))
     length = r.groupBy(topic).agg(F.max("rank").alias("top_n"))
     base = cut_per_topic(base_run.select(topic, id_col, "rank"), length, topic).withColumn("method", F.lit("base"))
-    return rrf(r.select(topic, "method", id_col, "rank").unionByName(base.select(topic, "method", id_col, "rank")),
-               [topic], c=c)
+    fused = rrf(r.select(topic, "method", id_col, "rank").unionByName(base.select(topic, "method", id_col, "rank")),
+                [topic], c=c)
+    return cut_per_topic(fused, length, topic)
 
 
 def hyqe_rerank(run: DataFrame, generated: DataFrame, top_n: int, topic: str = "topic", id_col: str = "id",

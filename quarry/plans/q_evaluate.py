@@ -382,8 +382,8 @@ SELECT coalesce(CAST(topic AS VARCHAR), 'Average') AS topic, round(avg(n_cps), 9
        topic IS NULL AS is_average
 FROM (SELECT coalesce(a.topic, b.topic) AS topic, a.n_cps, a.n_found AS found_real, a.recall AS recall_real,
              b.n_found AS found_generated, b.recall AS recall_generated
-      FROM (""" + recall_sql("(SELECT * FROM runs WHERE run = 1)", [], "rank <= 50") + """) a
-      FULL JOIN (""" + recall_sql("(SELECT * FROM runs WHERE run = 2)", [], "rank <= 50") + """) b
+      FROM (""" + recall_sql("(SELECT * FROM runs WHERE run = 1)", [], "rank <= 50", "count(t.title)") + """) a
+      FULL JOIN (""" + recall_sql("(SELECT * FROM runs WHERE run = 2)", [], "rank <= 50", "count(t.title)") + """) b
         ON a.topic = b.topic) j
 GROUP BY ROLLUP (topic)""", RUNS_CTE))
 def m13(spark, d):

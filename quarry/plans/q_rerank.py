@@ -145,10 +145,12 @@ def r12(spark, d):
 
 
 def _methods(spark, d):
+    """The per-topic rankings to fuse; each is written once (bounded: topics x n rows)
+    because the fusion, the cuts and the merge all read them."""
     run = base_run(spark, d)
-    bm = rr.hyqe_rerank(run, generated_queries(spark, d), TOP_N)
+    bm = materialize(rr.hyqe_rerank(run, generated_queries(spark, d), TOP_N), "rank-bm25")
     cand = run.select("topic", "id").join(fx.corpus(spark, d), "id")
-    vec = rr.rerank_by_vector(cand, second_seed_vectors(spark, d), TOP_N)
+    vec = materialize(rr.rerank_by_vector(cand, second_seed_vectors(spark, d), TOP_N), "rank-vector")
     return run, {"base": run.select("topic", "id", "rank"), "bm25": bm.select("topic", "id", "rank"),
                  "vector": vec.select("topic", "id", "rank")}
 
@@ -172,7 +174,7 @@ def r13(spark, d):
     return rr.rerank_all(methods, TOP_N)
 
 
-@register("R14_rerank_merge", V("SELECT topic, id, rrf, rank FROM fused", METHODS_CTES))
+@register("R14_rerank_merge", V(f"SELECT topic, id, rrf, rank FROM fused WHERE rank <= {TOP_N}", METHODS_CTES))
 def r14(spark, d):
     run, methods = _methods(spark, d)
     reranked = rr.rerank_all({k: v for k, v in methods.items() if k != "base"}, TOP_N)
