@@ -92,20 +92,23 @@ def bm25_plus(queries: DataFrame, docs: DataFrame, k: int | None = 10, *, group:
     total = post.groupBy(*g).agg(F.sum("_tf").alias("_T"))
     stats = n_docs.join(total, g, "left").select(
         *g, "_N", (F.coalesce(F.col("_T"), F.lit(0)) / F.col("_N")).alias("_avgdl"))
-    dfreq = post.groupBy(*g, "term").agg(F.count("*").alias("_df"))
-    idf = dfreq.join(stats, g).select(
-        *g, "term", F.log((F.col("_N") + 1) / F.col("_df")).alias("_idf"), "_avgdl")
-
     qtok = token_arrays(queries, query_text, g + [query_id], stop_words)
     qterms = (qtok.select(*g, query_id, explode_tokens("_toks")).filter(F.col("term").isNotNull())
               .groupBy(*g, query_id, "term").agg(F.count("*").alias("_qf")))
     small_q = qterms.count() <= MAX_BROADCAST_ROWS  # query side only: no corpus work in this check
+    # only the postings of query terms matter from here on: a semi join against
+    # the (broadcast) query vocabulary before any per-term aggregation
+    vocab = qterms.select(*g, "term").distinct()
+    qpost = post.join(F.broadcast(vocab) if small_q else vocab, g + ["term"])
+    dfreq = qpost.groupBy(*g, "term").agg(F.count("*").alias("_df"))
+    idf = dfreq.join(stats, g).select(
+        *g, "term", F.log((F.col("_N") + 1) / F.col("_df")).alias("_idf"), "_avgdl")
     qterms = qterms.join(idf, g + ["term"], "left").na.fill(0.0, ["_idf"])
     const = qterms.groupBy(*g, query_id).agg(F.sum(F.col("_qf") * F.col("_idf") * F.lit(delta)).alias("_c"))
     qside = qterms.filter(F.col("_idf") > 0).select(*g, query_id, "term", "_qf", "_idf", "_avgdl")
     if small_q:
         qside = F.broadcast(qside)
-    contrib = (post.join(qside, g + ["term"])
+    contrib = (qpost.join(qside, g + ["term"])
                .select(*g, query_id, doc_id,
                        (F.col("_qf") * F.col("_idf") * (F.col("_tf") * (k1 + 1)) /
                         (F.col("_tf") + k1 * (1 - b + b * F.col("_dl") / F.col("_avgdl")))).alias("_s")))
