@@ -117,9 +117,22 @@ def bm25_plus(queries: DataFrame, docs: DataFrame, k: int | None = 10, *, group:
     if digits is not None:
         scored = scored.withColumn("score", round_half_away("score", digits))
     if fill and k is not None:
-        # the fill bound needs the match counts first: compute the matches once
-        scored = materialize(scored, "bm25-matched")
-        scored = scored.unionByName(_fill_unmatched(docs, queries, scored, const, g, query_id, doc_id, k, digits))
+        per_group = queries.groupBy(*g).agg(F.countDistinct(query_id).alias("_nq")).agg(F.max("_nq")).first()[0]
+        if (per_group or 0) <= 1:
+            # one query per group (a topic's own query over its candidates): the
+            # unmatched documents are the group's documents minus the matches -
+            # linear in the group, no pairs
+            rest = (docs.select(*g, doc_id).join(queries.select(*g, query_id).distinct(), g)
+                    .join(scored.select(*g, query_id, doc_id), g + [query_id, doc_id], "left_anti"))
+            c = const.select(*g, query_id, (round_half_away("_c", digits) if digits is not None
+                                            else F.col("_c")).alias("score"))
+            scored = scored.unionByName(rest.join(c, g + [query_id]).select(*g, query_id, doc_id, "score"))
+        else:
+            # several queries share a group: take only the smallest ids, bounded by
+            # k + the largest match count, which needs the matches first
+            scored = materialize(scored, "bm25-matched")
+            scored = scored.unionByName(
+                _fill_unmatched(docs, queries, scored, const, g, query_id, doc_id, k, digits))
     order = [F.col("score").desc(), F.col(doc_id).asc()]
     if k is None:
         return scored

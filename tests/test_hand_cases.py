@@ -152,3 +152,17 @@ def test_bm25_statistics_are_per_group(spark):
         part = {i: t.split() for (gg, i), t in docs.items() if gg == g}
         want = _bm25_plus_brute(["red", "fish"], part)
         assert {i: got[(g, i)] for i in part} == pytest.approx(want)
+
+
+def test_bm25_fill_with_several_queries_per_group(spark):
+    docs = {1: "a b", 2: "c", 3: "d", 4: "a", 5: "e", 6: "b b"}
+    ddf = spark.createDataFrame(list(docs.items()), ["id", "text"])
+    qs = {10: "a", 11: "zzz"}
+    qdf = spark.createDataFrame(list(qs.items()), ["query_id", "query"])
+    out = rr.bm25_plus(qdf, ddf, 4, fill=True).collect()
+    for q, text in qs.items():
+        want = _bm25_plus_brute(text.split(), {i: t.split() for i, t in docs.items()})
+        order = sorted(want, key=lambda i: (-want[i], i))[:4]
+        got = sorted((r for r in out if r["query_id"] == q), key=lambda r: r["rank"])
+        assert [r["id"] for r in got] == order
+        assert [r["score"] for r in got] == pytest.approx([want[i] for i in order])
