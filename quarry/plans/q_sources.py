@@ -30,6 +30,27 @@ def s1(spark, d):
     return sio.build_corpus(spark, path)
 
 
+@register("S4_read_topic_config", """
+WITH cfg AS (
+  SELECT topic, rq_no, main,
+         CASE WHEN len(string_split(main, ', ')) > 1 THEN string_split(main, ', ') ELSE []::VARCHAR[] END AS subs
+  FROM (SELECT item_id AS topic, unnest(string_split(text, '. ')) AS main,
+               generate_subscripts(string_split(text, '. '), 1) AS rq_no FROM benchmark) s)
+SELECT CAST(c.topic AS VARCHAR) AS topic, CAST(c.rq_no AS INTEGER) AS rq_no, c.main,
+       array_to_string(c.subs, '|') AS subs, b.text AS query
+FROM cfg c JOIN benchmark b ON b.item_id = c.topic""")
+def s4(spark, d):
+    """The benchmark-derived topic config written as JSON (one topic object per line)
+    and read back with the config reader."""
+    from quarry.plans.q_embed import topic_config
+    cfg = topic_config(spark, d).join(
+        fx.table(spark, d, "benchmark").select(F.col("item_id").alias("topic"), F.col("text").alias("query")), "topic")
+    path = sio.scratch_path(spark, "topic-config")
+    sio.write_topic_config(cfg, path)
+    back = sio.read_topic_config(spark, path, whole_file=False)
+    return back.select("topic", "rq_no", "main", F.array_join("subs", "|").alias("subs"), "query")
+
+
 @register("S5_write_sized_read_chunks", V("SELECT id, title, language FROM works"))
 def s5(spark, d):
     path = sio.scratch_path(spark, "chunks")

@@ -112,10 +112,14 @@ TOPIC_SCHEMA = T.MapType(T.StringType(), T.StructType([
 ]))
 
 
-def read_topic_config(spark: SparkSession, path: str) -> DataFrame:
+def read_topic_config(spark: SparkSession, path: str, whole_file: bool = True) -> DataFrame:
     """Topic -> research questions JSON, exploded to
-    ``topic, rq_no, main, subs, query, generated`` (rq_no from the ``RQ<i>`` key)."""
-    raw = spark.read.option("multiLine", "true").text(path, wholetext=True)
+    ``topic, rq_no, main, subs, query, generated`` (rq_no from the ``RQ<i>`` key).
+
+    ``whole_file``: each file is one JSON object holding every topic (the
+    reference's layout, one task per file); otherwise every line is such an
+    object, typically one topic per line, and the files split freely."""
+    raw = spark.read.text(path, wholetext=whole_file)
     cfg = raw.select(F.explode(F.from_json("value", TOPIC_SCHEMA)).alias("topic", "t"))
     rqs = cfg.select("topic", F.col("t.query").alias("query"), F.col("t.generated").alias("generated"),
                      F.explode("t.RQs").alias("rq_key", "rq"))
@@ -124,6 +128,19 @@ def read_topic_config(spark: SparkSession, path: str) -> DataFrame:
                       .alias("subs"), "query", "generated")
 
 
+def write_topic_config(cfg: DataFrame, path: str) -> None:
+    """Write ``topic, rq_no, main, subs[, query, generated]`` rows as JSON lines, one
+    ``{topic: {RQs: {RQ<i>: {main, sub}}, query, generated}}`` object per topic."""
+    extra = [c for c in ("query", "generated") if c in cfg.columns]
+    per_topic = cfg.groupBy("topic").agg(
+        F.map_from_entries(F.collect_list(F.struct(
+            F.concat(F.lit("RQ"), F.col("rq_no").cast("string")),
+            F.struct(F.col("main"), F.col("subs").alias("sub"))))).alias("RQs"),
+        *[F.first(c).alias(c) for c in extra])
+    obj = F.create_map(F.col("topic").cast("string"), F.struct("RQs", *extra))
+    per_topic.select(F.to_json(obj).alias("value")).write.mode("overwrite").text(path)
+
+
 # --------------------------------------------------------------------------- S5 / S6
 def write_sized(df: DataFrame, path: str, max_rows: int = 2_000_000, fmt: str = "parquet",
                 mode: str = "overwrite") -> None:
