@@ -76,7 +76,7 @@ def _make_scorer(bc, k, metric, digits, id_col, vec_col, key_col, out_q, fan_in,
             pdf = pdf[pdf[vec_col].notna()]
             if len(pdf) == 0:
                 continue
-            C = _as_matrix(pdf[vec_col].to_numpy(), Q.shape[1])
+            C = _as_matrix(pdf[vec_col].to_numpy(), Q.shape[1], strict=q_keys is None)
             S = _score_block(C, Q, metric, qn2)
             S = np_round_half_away(S, digits) if digits is not None else S
             valid = np.isfinite(S)
@@ -113,13 +113,15 @@ def _make_scorer(bc, k, metric, digits, id_col, vec_col, key_col, out_q, fan_in,
     return run
 
 
-def _as_matrix(vectors, dim: int | None = None) -> np.ndarray:
+def _as_matrix(vectors, dim: int | None = None, strict: bool = False) -> np.ndarray:
     """Stack vectors into a float64 matrix; shorter vectors are zero-padded to ``dim``
     (keyed search over models of different widths: padding keeps dot products
     and norms, and rows are only scored against queries of their own key)."""
     lens = {len(v) for v in vectors}
     if len(lens) == 1 and (dim is None or lens == {dim}):
         return np.stack(vectors).astype(np.float64)
+    if strict:
+        raise ValueError(f"corpus vector lengths {sorted(lens)} differ from the query width {dim}")
     dim = dim or max(lens)
     out = np.zeros((len(vectors), dim), dtype=np.float64)
     for i, v in enumerate(vectors):
@@ -178,6 +180,8 @@ def search(queries: DataFrame, corpus: DataFrame, k: int | None = 10_000, *,
         return out
 
     n_q = len(qpdf)
+    if not key and len({len(v) for v in qpdf[query_vec]}) > 1:
+        raise ValueError("query vectors differ in length (use key= to score groups of different widths)")
     Q = _as_matrix(qpdf[query_vec].to_numpy())
     if metric == "cosine":
         with np.errstate(divide="ignore", invalid="ignore"):

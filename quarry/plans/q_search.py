@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from quarry.operators import evaluate as ev
 from quarry.operators import search as srch

@@ -3,7 +3,6 @@
 import math
 
 import pytest
-from pyspark.sql import functions as F
 
 from quarry.functions import text as tx
 from quarry.operators import evaluate as ev
