@@ -64,6 +64,9 @@ def _make_scorer(bc, k, metric, digits, id_col, vec_col, key_col, out_q, fan_in,
         n = len(q_ids)
         buf = []
         buf_rows = 0
+        # running floor per query: the k-th best score kept so far in this task
+        # (rows below it can no longer enter the task's top-k; ties are kept)
+        floor = np.full(n, -np.inf)
 
         def compact(frames):
             df = pd.concat(frames, ignore_index=True)
@@ -82,6 +85,8 @@ def _make_scorer(bc, k, metric, digits, id_col, vec_col, key_col, out_q, fan_in,
             valid = np.isfinite(S)
             if tau is not None:
                 valid &= S >= tau[None, :]
+            if k is not None:
+                valid &= S >= floor[None, :]
             if q_keys is not None:
                 ck = pdf[key_col].to_numpy()
                 valid &= (ck[:, None] == q_keys[None, :])
@@ -97,8 +102,11 @@ def _make_scorer(bc, k, metric, digits, id_col, vec_col, key_col, out_q, fan_in,
             buf.append(pd.DataFrame({"_q": cols, "id": ids[rows], "score": S[rows, cols]}))
             buf_rows += len(rows)
             if k is not None and buf_rows > compact_factor * n * k:
-                buf = [compact(buf)]
-                buf_rows = len(buf[0])
+                kept = compact(buf)
+                buf, buf_rows = [kept], len(kept)
+                g = kept.groupby("_q", sort=False)["score"]
+                full = g.size() >= k
+                floor[full.index[full.to_numpy()].to_numpy()] = g.min()[full].to_numpy()
             elif k is None and buf_rows >= 65536:
                 out = compact(buf)
                 buf, buf_rows = [], 0

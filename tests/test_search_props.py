@@ -128,3 +128,17 @@ def test_match_titles_approx_subset_of_exact(spark, data):
     approx = {(r["query_id"], r["id"]) for r in match_titles(queries, corpus, 0.5, approx=True).collect()}
     assert exact <= above and approx <= above and (6, 1005) in exact
     assert len({q for q, _ in approx}) == len(approx)  # at most one partner per left row
+
+
+def test_running_floor_with_many_batches(spark, data):
+    # small Arrow batches force many compactions per task; the answer must not change
+    qv, cv, ids, corpus, queries = data
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = srch.search(queries, corpus.repartition(2), 3).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
+    want = _brute(qv, cv, ids, 3)
+    for q in qv:
+        rows = sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])
+        assert [r["id"] for r in rows] == [i for i, _ in want[q]]
