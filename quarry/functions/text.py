@@ -30,7 +30,6 @@ PUNCTUATION = string.punctuation
 WS_CLASS = "[ \\t\\n\\r\\f\\x0b]"
 # ---------------------------------------------------------------------------
 
-_PUNCT_CLASS = "[" + re.escape(PUNCTUATION) + "]"
 
 
 def _c(x) -> Column:
@@ -99,8 +98,7 @@ def tokens(col) -> Column:
     """R8 without the stop list: lower, split on whitespace, strip ASCII punctuation
     from both ends, drop empty tokens.  Returns ``ARRAY<STRING>`` in text order."""
     parts = F.split(F.lower(_c(col)), WS_CLASS + "+")
-    stripped = F.transform(parts, lambda t: F.regexp_replace(
-        t, "^" + _PUNCT_CLASS + "+|" + _PUNCT_CLASS + "+$", ""))
+    stripped = F.transform(parts, lambda t: F.btrim(t, F.lit(PUNCTUATION)))
     return F.filter(stripped, lambda t: F.length(t) > 0)
 
 
