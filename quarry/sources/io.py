@@ -179,15 +179,31 @@ def read_result(spark: SparkSession, path: str, schema: T.StructType | None = No
 
 
 # --------------------------------------------------------------------------- S8 / S9
+# Requests up to this many ids become a literal IN filter pushed into the scan.
+MAX_PUSHED_IDS = 10_000
+
+
+def write_by_id(df: DataFrame, path: str, n_files: int, id_col: str = "id") -> None:
+    """Lay a table out for id lookups: range-partitioned and sorted by id, so every
+    file and row group covers a narrow id range and Parquet min/max statistics
+    let a lookup skip almost all of them (the reference keeps a key-value index)."""
+    (df.repartitionByRange(n_files, id_col).sortWithinPartitions(id_col)
+     .write.mode("overwrite").parquet(path))
+
+
 def lookup(table: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:
     """All rows of ``table`` whose id is requested; unknown ids are skipped.
 
-    The request list is broadcast only when it is known small (checked count),
-    otherwise the semi join shuffles.  On a table written sorted/bucketed by id
-    the Parquet min/max statistics prune files."""
+    Small requests (counted, at most ``MAX_PUSHED_IDS``) become an ``IN`` filter
+    that reaches the Parquet scan, so on a table written by ``write_by_id`` only
+    the files and row groups whose id range holds a requested id are read.
+    Larger requests are a broadcast semi join while under ``MAX_BROADCAST_IDS``,
+    beyond that a shuffled semi join."""
     req = ids.select(id_col).distinct()
-    n = req.count()
-    if n <= MAX_BROADCAST_IDS:
+    head = req.limit(MAX_PUSHED_IDS + 1).collect()
+    if len(head) <= MAX_PUSHED_IDS:
+        return table.filter(F.col(id_col).isin([r[0] for r in head]))
+    if req.count() <= MAX_BROADCAST_IDS:
         req = F.broadcast(req)
     return table.join(req, id_col, "left_semi")
 

@@ -91,3 +91,15 @@ def test_classifiers_rank_unlabelled_only(spark, sf):
     for kind in ("svm", "gbt"):
         out = rank_by_classifier(e.select("id", "embedding"), lab, kind, 7).collect()
         assert len(out) == 7 and all(r["id"] >= 200 for r in out)
+
+
+def test_lookup_on_id_layout_prunes_and_skips_unknown(spark, sf):
+    base = tempfile.mkdtemp(prefix="quarry-test-lookup-")
+    w = fx.works(spark, sf)
+    sio.write_by_id(w, f"{base}/by_id", 8)
+    table = spark.read.parquet(f"{base}/by_id")
+    req = spark.createDataFrame([(3,), (5,), (5,), (10 ** 9,)], ["id"])
+    got = sorted(r["id"] for r in sio.lookup(table, req).collect())
+    assert got == [3, 5]
+    plan = sio.lookup(table, req)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(id" in plan or "In(id," in plan
