@@ -103,3 +103,27 @@ def test_lookup_on_id_layout_prunes_and_skips_unknown(spark, sf):
     assert got == [3, 5]
     plan = sio.lookup(table, req)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [In(id" in plan or "In(id," in plan
+
+
+def test_score_pairs_and_encode_take_user_functions(spark):
+    from quarry.operators.embed import encode
+    from quarry.operators.rerank import score_pairs
+
+    def _length_scorer():  # defined here so the workers receive it by value
+        def score(q, d):
+            return d.fillna("").str.len().astype("float64")
+        return score
+
+    def _char_encoder():
+        import numpy as np
+
+        def enc(texts):
+            return np.array([[len(t), t.count("a"), 1.0] for t in texts], dtype="float32")
+        return enc
+    pairs = spark.createDataFrame([(1, 10, "q", "aa"), (1, 11, "q", "aaaa"), (2, 12, "q", "a")],
+                                  ["topic", "id", "query", "text"])
+    ranked = {(r["topic"], r["id"]): r["rank"] for r in
+              score_pairs(pairs, ["topic"], scorer_factory=_length_scorer).collect()}
+    assert ranked == {(1, 11): 1, (1, 10): 2, (2, 12): 1}
+    vecs = {r["id"]: list(r["embedding"]) for r in encode(pairs.select("id", "text"), _char_encoder).collect()}
+    assert vecs[11] == [4.0, 4.0, 1.0] and len(vecs) == 3
