@@ -18,15 +18,34 @@ from pyspark.sql import types as T
 
 def resume_ingest(spark: SparkSession, src: str, sink: str, checkpoint: str, schema: T.StructType,
                   fn: Callable[[DataFrame], DataFrame] | None = None, fmt: str = "parquet",
-                  max_files_per_trigger: int | None = None, timeout_s: int | None = None) -> None:
-    """Process every input file under ``src`` not processed before; append to ``sink``."""
+                  max_files_per_trigger: int | None = None, timeout_s: int | None = None,
+                  unique_key: str | None = None) -> None:
+    """Process every input file under ``src`` not processed before; append to ``sink``.
+
+    ``unique_key``: ids may repeat across or inside input files; each micro-batch
+    is then deduplicated on the key and anti-joined with the ids already in the
+    sink before it is appended (``foreachBatch``), so the sink holds every id
+    once and a replayed batch adds nothing.  No streaming state is kept."""
     reader = spark.readStream.schema(schema).format(fmt)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = reader.load(src)
     out = fn(stream) if fn else stream
-    q = (out.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint)
-         .outputMode("append").trigger(availableNow=True).start())
+    writer = out.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    if unique_key is None:
+        q = writer.format("parquet").option("path", sink).outputMode("append").start()
+    else:
+        out_schema = out.schema
+
+        def append_unseen(batch: DataFrame, batch_id: int) -> None:
+            ss = batch.sparkSession
+            try:
+                existing = ss.read.schema(out_schema).parquet(sink)
+            except Exception:  # noqa: BLE001 - first batch: no sink yet
+                existing = ss.createDataFrame([], out_schema)
+            unseen(batch, existing, unique_key).write.mode("append").parquet(sink)
+
+        q = writer.foreachBatch(append_unseen).start()
     q.awaitTermination(timeout_s)
     if q.isActive:
         q.stop()
@@ -35,5 +54,7 @@ def resume_ingest(spark: SparkSession, src: str, sink: str, checkpoint: str, sch
 
 
 def unseen(batch: DataFrame, sink: DataFrame, id_col: str = "id") -> DataFrame:
-    """Batch fallback: rows whose id is not in the sink yet (anti join), one row per id."""
-    return batch.dropDuplicates([id_col]).join(sink.select(id_col), id_col, "left_anti")
+    """Batch fallback: rows whose id is not in the sink yet (anti join), one row per id
+    (deterministically the smallest row of the id, C10, so a replay picks the same)."""
+    from quarry.operators.clean import dedupe_id
+    return dedupe_id(batch, id_col, None).join(sink.select(id_col), id_col, "left_anti")

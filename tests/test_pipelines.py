@@ -127,3 +127,14 @@ def test_score_pairs_and_encode_take_user_functions(spark):
     assert ranked == {(1, 11): 1, (1, 10): 2, (2, 12): 1}
     vecs = {r["id"]: list(r["embedding"]) for r in encode(pairs.select("id", "text"), _char_encoder).collect()}
     assert vecs[11] == [4.0, 4.0, 1.0] and len(vecs) == 3
+
+
+def test_resume_ingest_unique_ids_across_files(spark, sf):
+    base = tempfile.mkdtemp(prefix="quarry-test-ingest-uniq-")
+    w = fx.works(spark, sf).select("id", "title")
+    w.filter("id < 120").write.parquet(f"{base}/in/a")
+    w.filter("id >= 80").unionByName(w.filter("id >= 150")).write.parquet(f"{base}/in/b")  # overlaps + dupes
+    resume_ingest(spark, f"{base}/in/*", f"{base}/out", f"{base}/ck", w.schema, unique_key="id")
+    resume_ingest(spark, f"{base}/in/*", f"{base}/out", f"{base}/ck", w.schema, unique_key="id")
+    out = spark.read.parquet(f"{base}/out")
+    assert out.count() == out.select("id").distinct().count() == w.count()
