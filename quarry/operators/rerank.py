@@ -88,10 +88,16 @@ def bm25_plus(queries: DataFrame, docs: DataFrame, k: int | None = 10, *, group:
     post = (dtok.select(*g, doc_id, F.size("_toks").alias("_dl"), explode_tokens("_toks"))
             .filter(F.col("term").isNotNull())
             .groupBy(*g, doc_id, "_dl", "term").agg(F.count("*").alias("_tf")))
-    n_docs = docs.groupBy(*g).agg(F.count("*").alias("_N"))
-    total = post.groupBy(*g).agg(F.sum("_tf").alias("_T"))
-    stats = n_docs.join(total, g, "left").select(
-        *g, "_N", (F.coalesce(F.col("_T"), F.lit(0)) / F.col("_N")).alias("_avgdl"))
+    if group == "_g":
+        # one corpus-wide group: N and avgdl are scalar subqueries (run once, no join)
+        n_all = docs.agg(F.count("*")).scalar()
+        avgdl_all = F.coalesce(post.agg(F.sum("_tf")).scalar(), F.lit(0)) / n_all
+        stats = None
+    else:
+        n_docs = docs.groupBy(*g).agg(F.count("*").alias("_N"))
+        total = post.groupBy(*g).agg(F.sum("_tf").alias("_T"))
+        stats = n_docs.join(total, g, "left").select(
+            *g, "_N", (F.coalesce(F.col("_T"), F.lit(0)) / F.col("_N")).alias("_avgdl"))
     qtok = token_arrays(queries, query_text, g + [query_id], stop_words)
     qterms = (qtok.select(*g, query_id, explode_tokens("_toks")).filter(F.col("term").isNotNull())
               .groupBy(*g, query_id, "term").agg(F.count("*").alias("_qf")))
@@ -101,8 +107,11 @@ def bm25_plus(queries: DataFrame, docs: DataFrame, k: int | None = 10, *, group:
     vocab = qterms.select(*g, "term").distinct()
     qpost = post.join(F.broadcast(vocab) if small_q else vocab, g + ["term"])
     dfreq = qpost.groupBy(*g, "term").agg(F.count("*").alias("_df"))
-    idf = dfreq.join(stats, g).select(
-        *g, "term", F.log((F.col("_N") + 1) / F.col("_df")).alias("_idf"), "_avgdl")
+    if stats is None:
+        idf = dfreq.select(*g, "term", F.log((n_all + 1) / F.col("_df")).alias("_idf"), avgdl_all.alias("_avgdl"))
+    else:
+        idf = dfreq.join(stats, g).select(
+            *g, "term", F.log((F.col("_N") + 1) / F.col("_df")).alias("_idf"), "_avgdl")
     qterms = qterms.join(idf, g + ["term"], "left").na.fill(0.0, ["_idf"])
     const = qterms.groupBy(*g, query_id).agg(F.sum(F.col("_qf") * F.col("_idf") * F.lit(delta)).alias("_c"))
     qside = qterms.filter(F.col("_idf") > 0).select(*g, query_id, "term", "_qf", "_idf", "_avgdl")
