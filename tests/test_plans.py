@@ -45,3 +45,13 @@ def test_filter_and_projection_reach_the_scan(spark, sf):
     df = read_chunks(spark, f"{sf}/documents.parquet").filter("lang = 'fr'").select("doc_id")
     p = _plan(df)
     assert "EqualTo(lang,fr)" in p and "ReadSchema: struct<doc_id:bigint,lang:string>" in p
+
+
+def test_no_registered_query_plans_a_cross_product(spark, sf):
+    import __spark_entry__ as E
+    offenders = []
+    for name, fn in E.queries().items():
+        p = _plan(fn(spark, sf))
+        if "CartesianProduct" in p or "BroadcastNestedLoopJoin" in p:
+            offenders.append(name)
+    assert offenders == []
