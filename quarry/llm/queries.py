@@ -42,3 +42,9 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = encode(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
     return (decode(ids, path, with_text=False)
             .select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")))
+
+
+@register()
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.substring import remove_repeats
+    return remove_repeats(_table(spark, sf_dir, "documents"), window=50, with_text=False)
