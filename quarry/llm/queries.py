@@ -48,3 +48,9 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.substring import remove_repeats
     return remove_repeats(_table(spark, sf_dir, "documents"), window=50, with_text=False)
+
+
+@register()
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.minhash import near_duplicates
+    return near_duplicates(_table(spark, sf_dir, "documents"), k=2, pct=80)
