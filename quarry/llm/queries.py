@@ -54,3 +54,9 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.minhash import near_duplicates
     return near_duplicates(_table(spark, sf_dir, "documents"), k=2, pct=80)
+
+
+@register()
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.vectors import near_vectors
+    return near_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.93)
