@@ -60,3 +60,9 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.vectors import near_vectors
     return near_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
+@register()
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.quality import quality
+    return quality(_table(spark, sf_dir, "documents")).drop("probability")
