@@ -66,3 +66,10 @@ def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.quality import quality
     return quality(_table(spark, sf_dir, "documents")).drop("probability")
+
+
+@register()
+def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.secrets import find_secrets
+    return (find_secrets(_table(spark, sf_dir, "documents"))
+            .select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_random"))
