@@ -73,3 +73,9 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.secrets import find_secrets
     return (find_secrets(_table(spark, sf_dir, "documents"))
             .select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_random"))
+
+
+@register()
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.html_text import extract
+    return extract(_table(spark, sf_dir, "pages"))
