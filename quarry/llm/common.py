@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators.common import materialize
 
-__all__ = ["id_text", "materialize", "connected_components", "checked_broadcast"]
+__all__ = ["id_text", "materialize", "connected_components", "small_batches"]
 
 
 def id_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -17,9 +22,17 @@ def id_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                      F.col(f"`{text_col}`").cast("string").alias("_text"))
 
 
-def checked_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """A broadcast hint only if ``df`` was counted and has at most ``max_rows`` rows; else the planner joins."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def small_batches(batches: Iterator[pa.RecordBatch], column: str = "_text", max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of at most ``max_bytes`` of ``column`` (a longer value is alone), so that a
+    task's memory follows bytes, not rows."""
+    for b in batches:
+        size = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(b.column(column)), 0), np.int64))
+        start = 0
+        while start < b.num_rows:
+            before = size[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(size, before + max_bytes, "right")))
+            yield b.slice(start, stop - start)
+            start = stop
 
 
 def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:

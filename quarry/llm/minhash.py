@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import connected_components, id_text, materialize
+from quarry.llm.common import connected_components, id_text, materialize, small_batches
 from quarry.llm.hashing import mix, window_hashes, word_hashes
 
 BUCKET_BITS = 9            # 512 registers
@@ -78,7 +78,7 @@ def plausible(a: np.ndarray, others: np.ndarray, similarity: float) -> np.ndarra
 
 def _sketch(src: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small_batches(batches):
             n, cls, sk = [], [], []
             for t in b.column("_text").to_pylist():
                 u = shingles(t, k)
@@ -132,7 +132,7 @@ def _confirmed(src: DataFrame, reps: DataFrame, pairs: DataFrame, k: int, pct: i
     need = likely.select(F.explode(F.array("a", "b")).alias("_id")).distinct().join(reps.select(F.col("rep").alias("_id"), "cls"), "_id")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small_batches(batches):
             ids, out = [], []
             for doc, t, cls in zip(b.column("_id").to_pylist(), b.column("_text").to_pylist(), b.column("cls").to_pylist()):
                 u = shingles(t, k).tobytes()
