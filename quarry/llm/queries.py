@@ -79,3 +79,9 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.html_text import extract
     return extract(_table(spark, sf_dir, "pages"))
+
+
+@register()
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.language_model import score
+    return score(_table(spark, sf_dir, "documents"), modulus=7, held=2)
