@@ -1,22 +1,79 @@
-"""A training corpus from ``documents``: quality rules, near-dedup, substring dedup, secret scan, packing."""
+"""A training corpus from ``documents``: quality rules, near-dedup, substring dedup, secret scan, packing.
+
+Every stage takes (spark, docs, sf_dir), works on all its predecessor kept, and returns the columns of
+``documents``; the last one returns the packed pieces. Ids are joined null-safe; texts are changed by id
+and hash of the text, so repeated ids stay apart.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quarry.llm.minhash import near_duplicates
 from quarry.llm.packing import pack
+from quarry.llm.quality import quality
+from quarry.llm.secrets import find_secrets, redact
+from quarry.llm.substring import remove_repeats
 from quarry.operators.common import materialize
 
+WORD = r"[^\x20\x09-\x0D]"
+
+
+def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """``docs`` without the ids of ``rejected``."""
+    bad = rejected.select(F.col("doc_id").alias("_bad")).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+
+
+def _matched(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``docs`` with the columns of ``found`` (doc_id, text_hash, ...), null where there is no row."""
+    own = found.dropDuplicates(["doc_id", "text_hash"]).withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
+    return docs.join(own, docs["doc_id"].eqNullSafe(own["_id"]) & (F.xxhash64(docs["text"]) == own["_hash"]), "left")
+
+
+def _with_text(docs: DataFrame, columns: list[str], text: F.Column) -> DataFrame:
+    """The columns of documents with a new text and its length."""
+    fresh = docs.withColumn("_new", text)
+    new = {"text": F.col("_new"), "n_chars": F.char_length("_new").cast("long")}
+    return fresh.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in columns])
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    return _without(docs, quality(docs).where("not kept"))
+
+
+def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays: five-word shingles, similarity 0.8."""
+    return _without(docs, near_duplicates(docs, k=5, pct=80).where("not kept"))
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 50 words that an earlier document has go; texts without removals stay as they are.
+    A document of which nothing is left goes."""
+    found = remove_repeats(docs, window=50, longest=False).where("n_removed > 0").select("doc_id", "text_hash", "kept_text")
+    out = _with_text(_matched(docs, found).where("kept_text is null or kept_text <> ''"), docs.columns, F.coalesce("kept_text", "text"))
+    return out
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every secret in a text becomes ``[SECRET]``."""
+    found = find_secrets(docs).where("size(found) > 0").select("doc_id", "text_hash", "found")
+    return _with_text(_matched(docs, found), docs.columns,
+                      F.when(F.col("found").isNull(), F.col("text")).otherwise(redact(F.col("text"), F.col("found"))))
+
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents that are left, placed into sequences of 1024 tokens."""
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2, capacity=1024)
 
 
-STAGES = [("best_fit_packing", best_fit_packing)]
+STAGES = [("quality_rules", quality_rules), ("minhash_near_dedup", minhash_near_dedup), ("substring_dedup", substring_dedup),
+          ("secret_scan", secret_scan), ("best_fit_packing", best_fit_packing)]
 
-ORACLE_SQL = None  # probabilities, sketches and tokenisers are beyond SQL; tests hold the rows against a brute-force version
+ORACLE_SQL = None  # tokenisers, sampled bins and sketches are beyond SQL; tests hold the rows against a brute-force version
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,10 +48,10 @@ def _base_level(src: DataFrame, window: int) -> DataFrame:
                     continue
                 h = window_hashes(word_hashes(ws), half)
                 chosen.append(_longs(np.unique(h[winnow(h, window - half + 1)])))
-            yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array(n, pa.int64()), pa.array(sha, pa.binary()),
-                                              _lists(chosen, pa.int64())], ["_id", "n", "sha", "chosen"])
+            yield pa.RecordBatch.from_arrays([b.column("_id"), b.column("key"), pa.array(n, pa.int64()), pa.array(sha, pa.binary()),
+                                              _lists(chosen, pa.int64())], ["_id", "key", "n", "sha", "chosen"])
 
-    return src.mapInArrow(run, "_id long, n long, sha binary, chosen array<long>")
+    return src.withColumn("key", F.xxhash64("_text")).mapInArrow(run, "_id long, key long, n long, sha binary, chosen array<long>")
 
 
 def _repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -144,7 +144,7 @@ def _strike(docs: DataFrame, window: int) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text",
                    with_text: bool = True, longest: bool = True) -> DataFrame:
-    """(id, n_words, n_removed, kept_sha256, longest_repeat[, kept_text]) for every row of ``docs``.
+    """(id, n_words, n_removed, kept_sha256, longest_repeat[, kept_text, text_hash]) for every row of ``docs``.
 
     Words are maximal runs of characters other than space and \\x09-\\x0D. A word goes if a window of
     ``window`` words that covers it also starts in a document with a smaller id; windows are judged on the
@@ -153,7 +153,8 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
     and so on until no candidate survives. The full length decides what goes; the further levels give
     ``longest_repeat``, the largest length ``window * 2**k`` at which the document shares a window (0: none;
     left out without ``longest``). ``kept_text`` (null where nothing goes: the text stays as it is) is the
-    words kept, joined by one space; it comes with ``with_text``.
+    words kept, joined by one space; it comes with ``with_text``, and so does ``text_hash``, xxhash64 of the
+    row's text, to join it back.
 
     Scale: the lowest level keeps about two of every ``window // 2 + 2`` windows (chosen by smallest hash,
     without loss); documents of the same words are one until the end, so groups of exact copies cost one
@@ -208,5 +209,5 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
         whole = F.lit(window) * F.pow(F.lit(2.0), F.floor(F.log2(F.col("n") / F.lit(window)))).cast("int")
         cols.append(F.coalesce(F.when(whole_copy, whole), F.col("reach"), F.lit(0)).cast("long").alias("longest_repeat"))
     if with_text:
-        cols.append(F.when(whole_copy, F.lit("")).otherwise(F.col("kept")).alias("kept_text"))
+        cols += [F.when(whole_copy, F.lit("")).otherwise(F.col("kept")).alias("kept_text"), F.col("key").alias("text_hash")]
     return out.select(*cols)
