@@ -11,10 +11,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import id_text
+from quarry.llm.common import id_text, small_batches
 from quarry.llm.pieces import SegmentEncoder, byte_chars
 
 
+# The usual split pattern of byte-level BPE (fixed value); for it, plain words need no pattern matching.
+LETTERS_OR_PUNCTUATION = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(tok): int(rank) for tok, rank in (line.split() for line in f if line.strip())}
@@ -54,8 +58,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tk = ranks_tokenizer(read_ranks(ranks_path), pattern)
-        enc = SegmentEncoder(tk, lambda token, _: len(token), ids=True)
-        for b in batches:
+        enc = SegmentEncoder(tk, lambda token, _: len(token), ids=True, words=pattern == LETTERS_OR_PUNCTUATION)
+        for b in small_batches(batches):
             texts = [t or "" for t in b.column("_text").to_pylist()]
             if not offsets:
                 yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array(enc.map(texts), pa.binary())], ["id", "ids"])
@@ -91,7 +95,7 @@ def decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = token_bytes(read_ranks(ranks_path)).__getitem__
-        for b in batches:
+        for b in small_batches(batches, "_ids"):
             ids = [x or b"" for x in b.column("_ids").to_pylist()]
             raw = [b"".join(map(of, np.frombuffer(x, "<u4").tolist())) for x in ids]
             cols = [b.column("_id"), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(raw, pa.binary())]

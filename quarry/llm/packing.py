@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import id_text
+from quarry.llm.common import id_text, small_batches
 from quarry.llm.pieces import encoder
 
 
@@ -78,7 +78,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, bins = encoder(tokenizer_path, ids=True), OpenBins(capacity, max_open)
         end = int(end_id).to_bytes(4, "little")
-        for b in batches:
+        for b in small_batches(batches):
             texts = [t or "" for t in b.column("_text").to_pylist()]
             rows = []
             for doc, part, ids in zip(b.column("_id").to_pylist(), b.column("_part").to_pylist(), enc.map(texts)):

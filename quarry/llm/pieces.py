@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 
@@ -18,8 +19,9 @@ import numpy as np
 WHITE = (" \t\n\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
          "\u2028\u2029\u202f\u205f\u3000")
 BATCH_CHARS = 1 << 20      # segments are looked up for texts of about this size together
+TAIL = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"  # ASCII punctuation of a word's end; no apostrophe, no <|>
 JOIN_CHARS = 10_000        # new segments are encoded as strings of about this length
-MEMO_SEGMENTS = 1_000_000  # segments kept per task
+MEMO_SEGMENTS = 500_000    # segments kept per task
 MEMO_CHARS = 64            # longer segments are encoded whenever they occur
 
 
@@ -49,7 +51,9 @@ def encoder(path: str, ids: bool = False, batch_chars: int = BATCH_CHARS) -> "Se
     tokens with one character for each byte."""
     tk = load_tokenizer(path)
     added = tk.get_added_tokens_decoder()
-    return SegmentEncoder(tk, lambda token, i: len(token.encode()) if i in added else len(token), ids, batch_chars)
+    plain = tk.normalizer is None and type(tk.pre_tokenizer).__name__ == "ByteLevel" and not tk.pre_tokenizer.add_prefix_space \
+        and tk.pre_tokenizer.use_regex and not any(t.content.strip(TAIL).isalpha() for t in added.values() if t.content[0] not in TAIL)
+    return SegmentEncoder(tk, lambda token, i: len(token.encode()) if i in added else len(token), ids, batch_chars, words=plain)
 
 
 class SegmentEncoder:
@@ -59,7 +63,7 @@ class SegmentEncoder:
     safe: each ends with a non-space and the next begins with a space) and told apart by their lengths."""
 
     def __init__(self, tokenizer, token_bytes, ids: bool = False, batch_chars: int = BATCH_CHARS,
-                 memo_segments: int = MEMO_SEGMENTS):
+                 memo_segments: int = MEMO_SEGMENTS, words: bool = False):
         self.tokenizer, self.ids, self.batch_chars, self.memo_segments = tokenizer, ids, batch_chars, memo_segments
         self.size = np.zeros(tokenizer.get_vocab_size(), np.int64)
         for token, i in tokenizer.get_vocab().items():
@@ -68,6 +72,10 @@ class SegmentEncoder:
         self.cut = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+").findall
         self.unsafe = re.compile(f"[{WHITE}] ").search
         self.white = frozenset(WHITE)
+        self.words = words
+        self.merge, self.tails = tokenizer.model.tokenize, {"": []}
+        self.shown = {b: c for b, c in enumerate(byte_chars())}
+        self.space = self.shown[32]
 
     def segments(self, text: str) -> list[str]:
         """Keys of the text's segments. Where every space follows a non-space character, plain spaces are
@@ -86,10 +94,27 @@ class SegmentEncoder:
     def text_of(key: str) -> str:
         return key[1:] if key[:1] == "\0" else " " + key
 
+    def word_ids(self, key: str) -> list[int] | None:
+        """Ids of a space, Latin letters and ASCII punctuation after them, or None for any other segment.
+
+        These are two matches of the split pattern (letters with their space, punctuation), whatever the
+        Unicode version, so the model's merges are asked for directly."""
+        word = key.rstrip(TAIL)
+        if not word.isalpha() or max(word) > "\u024f":
+            return None
+        tail = key[len(word):]
+        if tail not in self.tails:
+            self.tails[tail] = [t.id for t in self.merge(tail)]
+        shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.shown)
+        return [t.id for t in self.merge(self.space + shown)] + self.tails[tail]
+
     def learn(self, keys: list[str]) -> None:
         """Encode segments that the memo lacks."""
         joined, alone, size, part = [], [], 0, []
         for k in keys:
+            if self.words and len(k) <= MEMO_CHARS and (ids := self.word_ids(k)) is not None:
+                self.memo[k] = array("I", ids).tobytes() if self.ids else len(ids)
+                continue
             t = self.text_of(k)
             if t[0] in self.white and t[-1] not in self.white:
                 part.append((k, t))

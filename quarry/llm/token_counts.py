@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quarry.llm.common import id_text
+from quarry.llm.common import id_text, small_batches
 from quarry.llm.pieces import encoder
 
 
@@ -41,7 +41,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = None if tokenizer_path.endswith(".model") else encoder(tokenizer_path, batch_chars=batch_chars)
-        for b in batches:
+        for b in small_batches(batches):
             texts = [t or "" for t in b.column("_text").to_pylist()]
             n = list(_piece_counts(tokenizer_path, texts, batch_chars) if enc is None else enc.map(texts))
             yield pa.RecordBatch.from_arrays(
