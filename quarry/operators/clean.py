@@ -73,16 +73,13 @@ def match_titles(left: DataFrame, right: DataFrame, min_sim: float = 0.995, appr
                  **kw) -> DataFrame:
     """C11: for each left row its best right row by vector similarity, kept above ``min_sim``.
 
-    Exact (default): the blocked search with k = 1.  ``approx=True`` blocks
-    candidates by random-projection LSH first (for a left side too large to
-    ship as query passes); every pair it returns is a true pair above the
-    threshold with its exact score, but a best partner outside the candidate
-    buckets can be missed."""
+    Exact (default): the blocked search with k = 1.  ``approx=True`` looks only
+    into the cells nearest to a left row (for a large right side); every pair it
+    returns is a true pair above the threshold with its exact score, but a best
+    partner in another cell can be missed."""
     from quarry.operators.search import search, search_approx
     if approx:
-        # unit vectors: cosine >= min_sim  <=>  distance <= sqrt(2 - 2 * min_sim)
-        dist = (2.0 - 2.0 * min_sim) ** 0.5
-        hits = search_approx(left, right, 1, max_distance=max(dist, 1e-6), **kw)
+        hits = search_approx(left, right, 1, **kw)
     else:
         hits = search(left, right, 1, **kw)
     return hits.filter(F.col("score") > F.lit(min_sim)).drop("rank")
@@ -116,8 +113,9 @@ def align_schema(df: DataFrame, refs_col: str = "referenced_works", type_col: st
                  drop: list[str] | None = None) -> DataFrame:
     """Reference count from a list-literal string, enum remap, constants, drop columns."""
     enum_map = enum_map if enum_map is not None else {"journal-article": "article"}
-    as_json = F.regexp_replace(F.col(refs_col), "'", '"')
-    out = df.withColumn("n_references", F.size(F.from_json(as_json, "array<string>")).cast("bigint"))
+    # list literals quote with ' or ", whichever the value does not hold, and escape with a backslash
+    quoted = {"allowSingleQuotes": "true", "allowBackslashEscapingAnyCharacter": "true"}
+    out = df.withColumn("n_references", F.size(F.from_json(refs_col, "array<string>", quoted)).cast("bigint"))
     if enum_map:
         expr = None
         for k, v in enum_map.items():
@@ -187,26 +185,34 @@ def union_labelled(existing: DataFrame, new: DataFrame, label_from: str = "label
     return existing.unionByName(fresh.select(*existing.columns))
 
 
-def keyword_search(works: DataFrame, terms: DataFrame, k: int = 10_000, lang: str = "en",
+def keyword_search(works: DataFrame, terms: DataFrame, k: int | None = None, lang: str = "en",
                    id_col: str = "id") -> DataFrame:
     """Boolean keyword search: AND of OR-groups over title + abstract tokens.
 
-    ``terms``: ``topic, grp, term`` (lower-case tokens).  A work matches a topic
-    when it hits every group of the topic.  The term table is small and
-    broadcast (its size is checked by the caller's plan; AQE falls back to a
-    shuffle join if it is not); works are tokenised once and deduplicated per
-    (work, token) before the join.  Per topic at most k works, by id.
+    ``terms``: ``topic, grp, term``; a term of several words is a phrase and matches
+    those tokens in a row.  Terms are tokenised as the works are.  A work matches a
+    topic when it hits every group of the topic; ``rank`` is its place by id, and
+    ``k`` (default: no cut) keeps the first k.  The term table is broadcast if it was
+    counted and is small.  Works are tokenised once; tokens are matched against the
+    terms' first tokens, and the rest of a phrase is compared in the row.
     """
     from quarry.operators.common import spread
     docs = spread(works.filter((F.col("language") == lang) & F.col("abstract").isNotNull()))
-    from quarry.operators.rerank import explode_tokens
-    toks = (docs.select(id_col, explode_tokens(F.array_distinct(
-        tx.tokens(F.concat_ws(" ", F.col("title"), F.col("abstract")))))).filter(F.col("term").isNotNull()))
-    from quarry.operators.common import broadcast_if_small
+    from quarry.operators.common import broadcast_if_small, rank_within
+    want = (terms.select("topic", "grp", tx.tokens(F.col("term")).alias("_term")).where(F.size("_term") > 0).distinct()
+            .withColumn("_head", F.col("_term")[0]))
+    toks = docs.select(id_col, tx.tokens(F.concat_ws(" ", F.col("title"), F.col("abstract"))).alias("_toks"))
+    # one row per distinct token, with the tokens after each of its places only where a phrase needs them
+    longest = want.agg(F.max(F.size("_term"))).first()[0] or 1
+    if longest == 1:
+        at = toks.select(id_col, F.explode_outer(F.array_distinct("_toks")).alias("_head")).filter(F.col("_head").isNotNull())
+    else:
+        at = (toks.select(id_col, "_toks", F.posexplode_outer("_toks").alias("_pos", "_head")).filter(F.col("_head").isNotNull())
+              .select(id_col, "_head", F.slice("_toks", F.col("_pos") + 1, longest).alias("_next")))
+    found = at.join(broadcast_if_small(want), "_head")
+    if longest > 1:
+        found = found.where(F.slice("_next", F.lit(1), F.size("_term")) == F.col("_term"))
+    hits = found.groupBy("topic", id_col).agg(F.countDistinct("grp").alias("_hit"))
     n_groups = terms.groupBy("topic").agg(F.countDistinct("grp").alias("_ng"))
-    hits = (toks.join(broadcast_if_small(terms.select("topic", "grp", "term").distinct()), "term")
-            .groupBy("topic", id_col).agg(F.countDistinct("grp").alias("_hit")))
-    matched = hits.join(n_groups, "topic").filter(F.col("_hit") == F.col("_ng"))
-    w = Window.partitionBy("topic").orderBy(id_col)
-    return (matched.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-            .select("topic", id_col, "rank"))
+    matched = hits.join(broadcast_if_small(n_groups), "topic").filter(F.col("_hit") == F.col("_ng"))
+    return rank_within(matched, "topic", [F.col(id_col).asc()], k).select("topic", id_col, "rank")

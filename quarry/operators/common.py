@@ -34,7 +34,15 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     shuffle); only an input that arrives in fewer partitions than the cluster
     has cores (one big row group, a small table) is spread round-robin."""
     want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+    return df.repartition(want) if partitions(df) < want else df
+
+
+def partitions(df: DataFrame) -> int:
+    """Number of partitions without running anything: of the scan, or, where the plan has an exchange, the
+    session's shuffle partitions (adaptive execution may merge some, never make more)."""
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, df.rdd.getNumPartitions())
 
 
 def rank_within(df: DataFrame, keys, order, k: int | None = None, out: str = "rank") -> DataFrame:

@@ -135,10 +135,10 @@ def recall_curve(runs: DataFrame, cps: DataFrame, run_keys, step: int = 100, upt
 
 def core_effect(runs: DataFrame, cps: DataFrame, topic: str = "topic", core_col: str = "core_id",
                 id_col: str = "id", digits: int = 2) -> DataFrame:
-    """M8: per core publication used as the query, the core rows its run found."""
+    """M8: per core publication used as the query, the titled core rows its run found."""
     n_cps = cps.groupBy(topic).agg(F.count("*").alias("n_cps"))
-    found = (runs.select(topic, core_col, id_col).distinct().join(cps.select(topic, id_col), [topic, id_col])
-             .groupBy(topic, core_col).agg(F.count("*").alias("n_cores")))
+    found = (runs.select(topic, core_col, id_col).distinct().join(cps.select(topic, id_col, "title"), [topic, id_col])
+             .groupBy(topic, core_col).agg(F.count("title").alias("n_cores")))
     all_q = runs.select(topic, core_col).distinct()
     return (all_q.join(found, [topic, core_col], "left").na.fill(0, ["n_cores"]).join(n_cps, topic, "left")
             .withColumn("recall", round_half_away(F.col("n_cores") / F.col("n_cps"), digits)))
@@ -207,8 +207,8 @@ def wide(long: DataFrame, row: str, col: str, value: str, cols: list) -> DataFra
 
 
 def grid_recall(grid_runs: DataFrame, cps: DataFrame, variant_keys: list[str], topic: str = "topic") -> DataFrame:
-    """Recall per query variant and topic (whole run)."""
-    return recall_at_k(grid_runs, cps, run_keys=variant_keys, topic=topic)
+    """Recall per query variant and topic (whole run; found core rows with a title)."""
+    return recall_at_k(grid_runs, cps, run_keys=variant_keys, topic=topic, count="titled")
 
 
 def grid_summary(per_variant: DataFrame, by: str) -> DataFrame:

@@ -26,6 +26,8 @@ BM25_K1 = 1.5
 BM25_B = 0.75
 BM25_DELTA = 1.0
 RRF_C = 60
+# A stop list given as a table goes into the token expression up to this size.
+MAX_STOP_WORDS = 20_000
 
 
 def tokenize(df: DataFrame, text_col: str, keys: list[str], stop_words: DataFrame | list[str] | None = None,
@@ -55,7 +57,12 @@ def remove_stop_words(toks: DataFrame, stop_words, col: str = "term") -> DataFra
 def token_arrays(df: DataFrame, text_col: str, keys: list[str], stop_words=None) -> DataFrame:
     """Token array per row (stop words removed inside the array, so empty docs stay)."""
     arr = tx.tokens(F.coalesce(F.col(text_col), F.lit("")))
-    if stop_words is not None and not isinstance(stop_words, DataFrame):
+    if isinstance(stop_words, DataFrame):  # a list of bounded size, checked
+        rows = stop_words.select(stop_words.columns[0]).distinct().limit(MAX_STOP_WORDS + 1).collect()
+        if len(rows) > MAX_STOP_WORDS:
+            raise ValueError(f"a stop list of more than {MAX_STOP_WORDS} words; filter the tokens by an anti join instead")
+        stop_words = [r[0] for r in rows if r[0] is not None]
+    if stop_words:
         sw = F.array(*[F.lit(w) for w in sorted(set(stop_words))])
         arr = F.filter(arr, lambda t: ~F.array_contains(sw, t))
     return df.select(*keys, arr.alias("_toks"))
@@ -81,31 +88,25 @@ def bm25_plus(queries: DataFrame, docs: DataFrame, k: int | None = 10, *, group:
                         doc_text=doc_text, k1=k1, b=b, delta=delta, stop_words=stop_words, digits=digits, fill=fill)
         return out.drop("_g")
     g = [group]
-    # Tokenise once: the postings aggregate is the only consumer of the token
-    # arrays; N comes from a plain count of the documents and avgdl from the
-    # summed term frequencies, so every later use reads the same shuffle.
+    qtok = token_arrays(queries, query_text, g + [query_id], stop_words)
+    qterms = (qtok.select(*g, query_id, explode_tokens("_toks")).filter(F.col("term").isNotNull())
+              .groupBy(*g, query_id, "term").agg(F.count("*").alias("_qf")))
+    small_q = qterms.count() <= MAX_BROADCAST_ROWS  # query side only: no corpus work in this check
+    # The corpus is tokenised for the lengths (averaged map-side) and for the postings.  Only tokens that
+    # some query has leave the row: they are cut by the (broadcast) query vocabulary before any exchange.
     dtok = token_arrays(spread(docs), doc_text, g + [doc_id], stop_words)
-    post = (dtok.select(*g, doc_id, F.size("_toks").alias("_dl"), explode_tokens("_toks"))
-            .filter(F.col("term").isNotNull())
-            .groupBy(*g, doc_id, "_dl", "term").agg(F.count("*").alias("_tf")))
+    vocab = qterms.select(*g, "term").distinct()
+    qpost = (dtok.select(*g, doc_id, F.size("_toks").alias("_dl"), explode_tokens("_toks"))
+             .filter(F.col("term").isNotNull())
+             .join(F.broadcast(vocab) if small_q else vocab, g + ["term"], "left_semi")
+             .groupBy(*g, doc_id, "_dl", "term").agg(F.count("*").alias("_tf")))
     if group == "_g":
         # one corpus-wide group: N and avgdl are scalar subqueries (run once, no join)
         n_all = docs.agg(F.count("*")).scalar()
-        avgdl_all = F.coalesce(post.agg(F.sum("_tf")).scalar(), F.lit(0)) / n_all
+        avgdl_all = dtok.agg(F.avg(F.size("_toks"))).scalar()
         stats = None
     else:
-        n_docs = docs.groupBy(*g).agg(F.count("*").alias("_N"))
-        total = post.groupBy(*g).agg(F.sum("_tf").alias("_T"))
-        stats = n_docs.join(total, g, "left").select(
-            *g, "_N", (F.coalesce(F.col("_T"), F.lit(0)) / F.col("_N")).alias("_avgdl"))
-    qtok = token_arrays(queries, query_text, g + [query_id], stop_words)
-    qterms = (qtok.select(*g, query_id, explode_tokens("_toks")).filter(F.col("term").isNotNull())
-              .groupBy(*g, query_id, "term").agg(F.count("*").alias("_qf")))
-    small_q = qterms.count() <= MAX_BROADCAST_ROWS  # query side only: no corpus work in this check
-    # only the postings of query terms matter from here on: a semi join against
-    # the (broadcast) query vocabulary before any per-term aggregation
-    vocab = qterms.select(*g, "term").distinct()
-    qpost = post.join(F.broadcast(vocab) if small_q else vocab, g + ["term"])
+        stats = dtok.groupBy(*g).agg(F.count("*").alias("_N"), F.avg(F.size("_toks")).alias("_avgdl"))
     dfreq = qpost.groupBy(*g, "term").agg(F.count("*").alias("_df"))
     if stats is None:
         idf = dfreq.select(*g, "term", F.log((n_all + 1) / F.col("_df")).alias("_idf"), avgdl_all.alias("_avgdl"))
@@ -113,7 +114,12 @@ def bm25_plus(queries: DataFrame, docs: DataFrame, k: int | None = 10, *, group:
         idf = dfreq.join(stats, g).select(
             *g, "term", F.log((F.col("_N") + 1) / F.col("_df")).alias("_idf"), "_avgdl")
     qterms = qterms.join(idf, g + ["term"], "left").na.fill(0.0, ["_idf"])
-    const = qterms.groupBy(*g, query_id).agg(F.sum(F.col("_qf") * F.col("_idf") * F.lit(delta)).alias("_c"))
+    # every query has a constant; one without any term (all stop words) has 0
+    const = (queries.select(*g, query_id).distinct()
+             .join(qterms.groupBy(*g, query_id).agg(F.sum(F.col("_qf") * F.col("_idf") * F.lit(delta)).alias("_c")), g + [query_id], "left")
+             .na.fill(0.0, ["_c"]))
+    if small_q:
+        const = F.broadcast(const)  # at most a row per query; the query side was counted
     qside = qterms.filter(F.col("_idf") > 0).select(*g, query_id, "term", "_qf", "_idf", "_avgdl")
     if small_q:
         qside = F.broadcast(qside)
@@ -125,17 +131,16 @@ def bm25_plus(queries: DataFrame, docs: DataFrame, k: int | None = 10, *, group:
     scored = matched.join(const, g + [query_id]).select(*g, query_id, doc_id, (F.col("_s") + F.col("_c")).alias("score"))
     if digits is not None:
         scored = scored.withColumn("score", round_half_away("score", digits))
-    if fill and k is not None:
+    if fill and k is None:
+        # every document of the group, matched or not, for every query: the output is all pairs by request
+        scored = scored.unionByName(_unmatched(docs, queries, scored, const, g, query_id, doc_id, digits))
+    elif fill:
         per_group = queries.groupBy(*g).agg(F.countDistinct(query_id).alias("_nq")).agg(F.max("_nq")).first()[0]
         if (per_group or 0) <= 1:
             # one query per group (a topic's own query over its candidates): the
             # unmatched documents are the group's documents minus the matches -
             # linear in the group, no pairs
-            rest = (docs.select(*g, doc_id).join(queries.select(*g, query_id).distinct(), g)
-                    .join(scored.select(*g, query_id, doc_id), g + [query_id, doc_id], "left_anti"))
-            c = const.select(*g, query_id, (round_half_away("_c", digits) if digits is not None
-                                            else F.col("_c")).alias("score"))
-            scored = scored.unionByName(rest.join(c, g + [query_id]).select(*g, query_id, doc_id, "score"))
+            scored = scored.unionByName(_unmatched(docs, queries, scored, const, g, query_id, doc_id, digits))
         else:
             # several queries share a group: take only the smallest ids, bounded by
             # k + the largest match count, which needs the matches first
@@ -148,6 +153,14 @@ def bm25_plus(queries: DataFrame, docs: DataFrame, k: int | None = 10, *, group:
     return rank_within(scored, g + [query_id], order, k)
 
 
+def _unmatched(docs, queries, scored, const, g, query_id, doc_id, digits):
+    """Every document of a query's group that it does not match, with the query's constant."""
+    rest = (docs.select(*g, doc_id).join(queries.select(*g, query_id).distinct(), g)
+            .join(scored.select(*g, query_id, doc_id), g + [query_id, doc_id], "left_anti"))
+    c = const.select(*g, query_id, (round_half_away("_c", digits) if digits is not None else F.col("_c")).alias("score"))
+    return rest.join(c, g + [query_id]).select(*g, query_id, doc_id, "score")
+
+
 def _fill_unmatched(docs, queries, matched, const, g, query_id, doc_id, k, digits):
     """The smallest-id non-matching documents of each query's group, at most k + the
     query's match count (bounded by k per query, never all pairs)."""

@@ -36,6 +36,8 @@ PRUNE_ROWS = 20_000_000
 # A task's top-k buffer holds up to 2 x queries x k rows: queries per pass are
 # capped so that stays near 10 M rows (k = 10,000 -> 500 queries per pass).
 MAX_BUFFER_ROWS = 5_000_000
+# Scores computed at once in a task (32 MB of doubles).
+BLOCK_SCORES = 4_000_000
 # Without a cut every (query, row) pair of a batch is output: keep a batch's
 # output near 1 M rows.
 MAX_QUERIES_UNCUT = 256
@@ -43,9 +45,8 @@ MAX_QUERIES_UNCUT = 256
 
 def _score_block(C: np.ndarray, Q: np.ndarray, metric: str, qnorm2: np.ndarray) -> np.ndarray:
     if metric == "cosine":
-        cn = np.linalg.norm(C, axis=1)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            return (C @ Q.T) / cn[:, None]
+        cn = np.linalg.norm(C, axis=1)  # a vector of length zero scores 0 with everything
+        return (C @ Q.T) / np.where(cn > 0, cn, 1.0)[:, None]
     if metric == "dot":
         return C @ Q.T
     if metric == "neg_euclidean":
@@ -79,28 +80,26 @@ def _make_scorer(bc, k, metric, digits, id_col, vec_col, key_col, out_q, fan_in,
             pdf = pdf[pdf[vec_col].notna()]
             if len(pdf) == 0:
                 continue
-            C = _as_matrix(pdf[vec_col].to_numpy(), Q.shape[1], strict=q_keys is None)
-            S = _score_block(C, Q, metric, qn2)
-            S = np_round_half_away(S, digits) if digits is not None else S
-            valid = np.isfinite(S)
-            if tau is not None:
-                valid &= S >= tau[None, :]
-            if k is not None:
-                valid &= S >= floor[None, :]
-            if q_keys is not None:
-                ck = pdf[key_col].to_numpy()
-                valid &= (ck[:, None] == q_keys[None, :])
-            b = S.shape[0]
-            if k is not None and k < b:
-                Sm = np.where(valid, S, -np.inf)
-                thr = np.partition(Sm, b - k, axis=0)[b - k]
-                valid &= Sm >= thr[None, :]
-            rows, cols = np.nonzero(valid)
-            if len(rows) == 0:
-                continue
-            ids = pdf[id_col].to_numpy()
-            buf.append(pd.DataFrame({"_q": cols, "id": ids[rows], "score": S[rows, cols]}))
-            buf_rows += len(rows)
+            vectors, ids = pdf[vec_col].to_numpy(), pdf[id_col].to_numpy()
+            for at, cols_of in _blocks(pdf, q_keys, key_col, n):
+                C = _as_matrix(vectors[at], Q.shape[1], strict=q_keys is None)
+                S = _score_block(C, Q[cols_of], metric, qn2[cols_of])
+                S = np_round_half_away(S, digits) if digits is not None else S
+                valid = np.isfinite(S)
+                if tau is not None:
+                    valid &= S >= tau[cols_of][None, :]
+                if k is not None:
+                    valid &= S >= floor[cols_of][None, :]
+                b = S.shape[0]
+                if k is not None and k < b:
+                    Sm = np.where(valid, S, -np.inf)
+                    thr = np.partition(Sm, b - k, axis=0)[b - k]
+                    valid &= Sm >= thr[None, :]
+                rows, cols = np.nonzero(valid)
+                if len(rows) == 0:
+                    continue
+                buf.append(pd.DataFrame({"_q": cols_of[cols], "id": ids[at][rows], "score": S[rows, cols]}))
+                buf_rows += len(rows)
             if k is not None and buf_rows > compact_factor * n * k:
                 kept = compact(buf)
                 buf, buf_rows = [kept], len(kept)
@@ -121,6 +120,21 @@ def _make_scorer(bc, k, metric, digits, id_col, vec_col, key_col, out_q, fan_in,
     return run
 
 
+def _blocks(pdf, q_keys, key_col, n_queries: int):
+    """(row positions, query positions) to score together: rows and queries of the same key only, and
+    at most ``BLOCK_SCORES`` scores at once."""
+    if q_keys is None:
+        groups = [(np.arange(len(pdf)), np.arange(n_queries))]
+    else:
+        codes, names = pd.factorize(pdf[key_col])
+        groups = [(np.flatnonzero(codes == i), np.flatnonzero(q_keys == name)) for i, name in enumerate(names)]
+    for rows, cols in groups:
+        if len(cols):
+            step = max(1, BLOCK_SCORES // len(cols))
+            for i in range(0, len(rows), step):
+                yield rows[i:i + step], cols
+
+
 def _as_matrix(vectors, dim: int | None = None, strict: bool = False) -> np.ndarray:
     """Stack vectors into a float64 matrix; shorter vectors are zero-padded to ``dim``
     (keyed search over models of different widths: padding keeps dot products
@@ -177,11 +191,9 @@ def search(queries: DataFrame, corpus: DataFrame, k: int | None = 10_000, *,
     if len(qpdf) == 0:
         return _empty_result(queries, corpus, query_id, id_col, key, k)
     if len(qpdf) > max_queries_per_pass:
-        n_pass = math.ceil(qsel.count() / max_queries_per_pass)
-        parts = [search(qsel.filter(F.pmod(F.xxhash64(F.col(query_id)), F.lit(n_pass)) == i), corpus, k,
-                        query_id=query_id, query_vec=query_vec, id_col=id_col, vec_col=vec_col, key=key,
-                        metric=metric, digits=digits, max_queries_per_pass=max_queries_per_pass,
-                        fan_in=fan_in, prune=prune) for i in range(n_pass)]
+        parts = [search(q, corpus, k, query_id=query_id, query_vec=query_vec, id_col=id_col, vec_col=vec_col,
+                        key=key, metric=metric, digits=digits, max_queries_per_pass=max_queries_per_pass,
+                        fan_in=fan_in, prune=prune) for q in _passes(qsel, max_queries_per_pass)]
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
@@ -192,14 +204,14 @@ def search(queries: DataFrame, corpus: DataFrame, k: int | None = 10_000, *,
         raise ValueError("query vectors differ in length (use key= to score groups of different widths)")
     Q = _as_matrix(qpdf[query_vec].to_numpy())
     if metric == "cosine":
-        with np.errstate(divide="ignore", invalid="ignore"):
-            Q = Q / np.linalg.norm(Q, axis=1)[:, None]
+        qn = np.linalg.norm(Q, axis=1)
+        Q = Q / np.where(qn > 0, qn, 1.0)[:, None]
     qn2 = (Q * Q).sum(axis=1)
     q_ids = qpdf[query_id].to_numpy()
     q_keys = qpdf[key].to_numpy() if key else None
     bc = spark.sparkContext.broadcast((q_ids, q_keys, Q, qn2))
 
-    from quarry.operators.common import spread
+    from quarry.operators.common import partitions, spread
     ccols = [id_col, vec_col] + ([key] if key else [])
     csel = spread(corpus.select(*ccols))
     id_type = csel.schema[id_col].dataType
@@ -209,7 +221,7 @@ def search(queries: DataFrame, corpus: DataFrame, k: int | None = 10_000, *,
               T.StructField("_blk", T.LongType())]
     if key:
         fields.append(T.StructField(key, queries.schema[key].dataType))
-    n_parts = max(1, csel.rdd.getNumPartitions())
+    n_parts = partitions(csel)
     tau_bc = None
     if k is not None and n_parts > 1 and (prune or (prune is None and n_parts * n_q * k > PRUNE_ROWS)):
         tau_bc = spark.sparkContext.broadcast(
@@ -234,6 +246,36 @@ def search(queries: DataFrame, corpus: DataFrame, k: int | None = 10_000, *,
             .select(*out_cols))
 
 
+def _passes(queries: DataFrame, size: int) -> list[DataFrame]:
+    """The queries in passes of at most ``size``, by position: written once with a running number per
+    partition; the counts per partition (a row each) turn it into a position."""
+    from quarry.operators.common import materialize
+    numbered = materialize(queries.withColumn("_n", F.monotonically_increasing_id()), "search-queries")
+    part = F.shiftright("_n", 33)
+    counts = sorted((r["p"], r["count"]) for r in numbered.groupBy(part.alias("p")).count().collect())
+    out = []
+    ranges = []  # (partition, first number, past the last number) of each pass
+    cur, room = [], size
+    for p, c in counts:
+        start = 0
+        while start < c:
+            take = min(room, c - start)
+            cur.append((p, start, start + take))
+            start, room = start + take, room - take
+            if room == 0:
+                ranges.append(cur)
+                cur, room = [], size
+    if cur:
+        ranges.append(cur)
+    for own in ranges:
+        inside = None
+        for p, a, b in own:
+            one = F.col("_n").between((p << 33) + a, (p << 33) + b - 1)
+            inside = one if inside is None else inside | one
+        out.append(numbered.where(inside).drop("_n"))
+    return out
+
+
 def _score_floor(csel, bc, k, n_parts, metric, digits, id_col, vec_col, key, query_id, fan_in, n_q):
     """Probe pass: per query, the k-th best score among the per-partition top-m lists
     (m = ceil(2k / partitions)); -inf where the union holds fewer than k rows."""
@@ -307,36 +349,44 @@ def vector_parity(a: DataFrame, b: DataFrame, id_col: str = "id", vec_col: str =
 
 def search_approx(queries: DataFrame, corpus: DataFrame, k: int, *, query_id: str = "query_id",
                   query_vec: str = "vector", id_col: str = "id", vec_col: str = "embedding",
-                  bucket_length: float = 1.0, num_tables: int = 8, max_distance: float = 1.2,
-                  digits: int = 6, seed: int = 7) -> DataFrame:
-    """Approximate nearest neighbours by random-projection LSH.
-
-    Vectors are normalised so Euclidean distance is monotone in cosine.  The
-    LSH join only pairs rows sharing a hash bucket (an equi-join on bucket
-    ids), then candidates are re-scored exactly and cut at k.  Result is a
-    subset of the exact answer's candidates with exact scores.
-    """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    def unit(df, idc, vc):
-        return df.select(F.col(idc).alias("_id"), F.col(vc).alias("_raw"),
-                         array_to_vector(F.transform(F.col(vc), lambda x: x.cast("double") /
-                                                     F.sqrt(F.aggregate(F.col(vc), F.lit(0.0),
-                                                                        lambda acc, y: acc + y * y)))
-                                         ).alias("features"))
-
-    qa = unit(queries, query_id, query_vec)
-    ca = unit(corpus, id_col, vec_col)
-    lsh = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket_length,
-                                      numHashTables=num_tables, seed=seed)
-    model = lsh.fit(ca)
-    pairs = model.approxSimilarityJoin(qa, ca, max_distance, distCol="_dist")
-    scored = pairs.select(F.col("datasetA._id").alias(query_id), F.col("datasetB._id").alias(id_col),
-                          round_half_away(cosine(F.col("datasetA._raw"), F.col("datasetB._raw")), digits)
-                          .alias("score"))
+                  cells: int = 64, probes: int = 12, digits: int = 6) -> DataFrame:
+    """Approximate nearest neighbours by cells: ``query_id, id, score, rank``.
+
+    ``cells`` corpus vectors (those whose ids have the smallest md5) are the centres; every row belongs to its
+    most similar centre. A query is scored exactly against the rows of its ``probes`` most similar
+    cells only (the keyed block scorer), and the best k of them are the answer. The same input gives the
+    same cells. Only the centres, ``cells`` rows, are collected. Raise ``cells`` with the corpus, and ``probes``
+    for recall; the share of the corpus that a query reads is about probes / cells."""
+    spark = corpus.sparkSession
+    have = corpus.where(F.col(vec_col).isNotNull())
+    centres = [r[0] for r in have.select(F.col(vec_col).cast("array<double>").alias("v"), F.md5(F.col(id_col).cast("string")).alias("m"), id_col)
+               .orderBy("m", id_col).limit(cells).collect()]
+    if not centres:
+        return _empty_result(queries, corpus, query_id, id_col, None, k)
+    m = np.array(centres)
+    norm = np.linalg.norm(m, axis=1)
+    bc = spark.sparkContext.broadcast(m / np.where(norm > 0, norm, 1.0)[:, None])
+
+    def assign(df, idc, vc, n):
+        fields = T.StructType([df.schema[idc], df.schema[vc], T.StructField("_cell", T.IntegerType())])
+
+        def run(batches):
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                sims = np.round(_as_matrix(pdf[vc].to_numpy(), bc.value.shape[1], strict=True) @ bc.value.T, 9)
+                best = np.argsort(-sims, axis=1, kind="stable")[:, :n]
+                rows = np.repeat(np.arange(len(pdf)), best.shape[1])
+                out = pdf.iloc[rows].copy()
+                out["_cell"] = best.ravel().astype(np.int32)
+                yield out
+
+        return df.select(idc, vc).where(F.col(vc).isNotNull()).mapInPandas(run, fields)
+
+    hits = search(assign(queries, query_id, query_vec, min(probes, len(m))), assign(have, id_col, vec_col, 1), k, query_id=query_id,
+                  query_vec=query_vec, id_col=id_col, vec_col=vec_col, key="_cell", digits=digits)
     w = Window.partitionBy(query_id).orderBy(F.col("score").desc(), F.col(id_col).asc())
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return (hits.select(query_id, id_col, "score").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k))
 
 
 def compare_search(a: DataFrame, b: DataFrame, cps: DataFrame, topic: str = "topic", id_col: str = "id") -> DataFrame:

@@ -264,12 +264,27 @@ ng AS (SELECT topic, count(DISTINCT grp) AS n_groups FROM terms GROUP BY topic)
 
 
 @register("C23_keyword_search", V("""
-SELECT topic, id, rank FROM (
-  SELECT h.topic, h.id, row_number() OVER (PARTITION BY h.topic ORDER BY h.id) AS rank
-  FROM hits h JOIN ng ON ng.topic = h.topic WHERE h.n_hit = ng.n_groups) x
-WHERE rank <= 10000""", _C23_CTES))
+SELECT h.topic, h.id, row_number() OVER (PARTITION BY h.topic ORDER BY h.id) AS rank
+FROM hits h JOIN ng ON ng.topic = h.topic WHERE h.n_hit = ng.n_groups""", _C23_CTES))
 def c23(spark, d):
-    return cl.keyword_search(fx.works(spark, d), _benchmark_terms(spark, d), 10_000)
+    return cl.keyword_search(fx.works(spark, d), _benchmark_terms(spark, d))
+
+
+@register("C23_phrases", V("""
+SELECT ph.topic, g.id, row_number() OVER (PARTITION BY ph.topic ORDER BY g.id) AS rank
+FROM ph JOIN grams g ON g.g = ph.phrase""", f"""
+ph AS (SELECT topic, list_slice(toks, 1, 3) AS phrase
+       FROM (SELECT item_id AS topic, {tx.sql_tokens('text')} AS toks FROM benchmark) b WHERE len(toks) >= 3),
+grams AS (SELECT DISTINCT id, list_slice(toks, i, i + 2) AS g
+          FROM (SELECT id, toks, unnest(range(1, len(toks) - 1)) AS i
+                FROM (SELECT id, {tx.sql_tokens("concat_ws(' ', title, abstract)")} AS toks FROM works
+                      WHERE language = 'en' AND abstract IS NOT NULL) w WHERE len(toks) >= 3) x)
+"""))
+def c23_phrases(spark, d):
+    """Each benchmark item's first three words as one phrase."""
+    toks = fx.table(spark, d, "benchmark").select(F.col("item_id").alias("topic"), tx.tokens("text").alias("t")).where(F.size("t") >= 3)
+    terms = toks.select("topic", F.lit(1).alias("grp"), F.array_join(F.slice("t", 1, 3), " ").alias("term"))
+    return cl.keyword_search(fx.works(spark, d), terms)
 
 
 @register("C24_label_pool_export", V(f"""

@@ -56,3 +56,15 @@ def r2_blocked(spark, sf_dir):
     """The same answer from 16 corpus partitions merged through three window levels (fan-in 2)."""
     q = fx.seed_queries(spark, sf_dir, 3)
     return srch.search(q, fx.corpus(spark, sf_dir).repartition(16), 100, fan_in=2)
+
+
+@register("R1_search_many_passes", """
+SELECT query_id, id, score, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (
+    SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score
+    FROM embeddings a CROSS JOIN embeddings b) s) r
+WHERE rank <= 5""")
+def r1_many(spark, sf_dir):
+    """Every vector is a query, in passes of 128 queries by position."""
+    c = fx.corpus(spark, sf_dir)
+    return srch.search(c.selectExpr("id as query_id", "embedding as vector"), c, 5, max_queries_per_pass=128)

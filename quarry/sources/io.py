@@ -95,11 +95,12 @@ def read_tagged_csv(spark: SparkSession, path: str, schema: T.StructType, file_t
 
     ``file_topics(file_key, topic)`` maps a key extracted from each file path
     (by ``key_pattern``, default the parent folder name) to a topic.  The
-    mapping has one row per file; AQE broadcasts it once its measured size is small."""
+    mapping has one row per file; AQE broadcasts it once its measured size is small.
+    Rows of files that it does not name are kept, with a null topic."""
     df = (spark.read.option("header", "true").option("multiLine", "true").option("escape", '"')
           .option("recursiveFileLookup", "true").schema(schema).csv(path))
     df = df.withColumn("file_key", F.regexp_extract(F.col("_metadata.file_path"), key_pattern, 1))
-    return df.join(file_topics, "file_key").drop("file_key")
+    return df.join(file_topics, "file_key", "left").drop("file_key")
 
 
 # --------------------------------------------------------------------------- S4
@@ -159,16 +160,22 @@ def compact(spark: SparkSession, src: str, dst: str, target_bytes: int = int(2.5
             fmt: str = "parquet") -> int:
     """Rewrite a folder of small files into files of about ``target_bytes``.
 
-    The file count comes from the folder's byte size (metadata only, no scan);
-    ``repartition(n)`` balances rows round-robin.  Returns the file count."""
+    The file count comes from the folder's byte size (metadata only, no scan).
+    Scan partitions are merged without a shuffle, so rows that lay together stay
+    together (the sorted runs of ``write_by_id`` stay whole); only where there are
+    fewer partitions than files are rows dealt anew.  Returns the file count."""
     n = max(1, math.ceil(path_bytes(spark, src) / target_bytes))
-    spark.read.format(fmt).load(src).repartition(n).write.mode("overwrite").format(fmt).save(dst)
+    df = spark.read.format(fmt).load(src)
+    df = df.coalesce(n) if df.rdd.getNumPartitions() >= n else df.repartition(n)
+    df.write.mode("overwrite").format(fmt).save(dst)
     return n
 
 
 # --------------------------------------------------------------------------- S7
-def write_result(df: DataFrame, path: str) -> None:
-    """A small result table as one CSV file with header (report sink)."""
+def write_result(df: DataFrame, path: str, max_rows: int = 5_000_000) -> None:
+    """A small result table as one CSV file with header (report sink); larger tables raise."""
+    if df.limit(max_rows + 1).count() > max_rows:
+        raise ValueError(f"more than {max_rows} rows: not a report; write it as a partitioned table")
     df.coalesce(1).write.mode("overwrite").option("header", "true").csv(path)
 
 
@@ -202,6 +209,10 @@ def lookup(table: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:
     req = ids.select(id_col).distinct()
     head = req.limit(MAX_PUSHED_IDS + 1).collect()
     if len(head) <= MAX_PUSHED_IDS:
+        # Spark hands longer lists than this to Parquet as their range only
+        conf, least = table.sparkSession.conf, "spark.sql.parquet.pushdown.inFilterThreshold"
+        if int(conf.get(least, "10")) < MAX_PUSHED_IDS:
+            conf.set(least, str(MAX_PUSHED_IDS))
         return table.filter(F.col(id_col).isin([r[0] for r in head]))
     if req.count() <= MAX_BROADCAST_IDS:
         req = F.broadcast(req)
@@ -210,7 +221,7 @@ def lookup(table: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:
 
 def contains(table: DataFrame, request: DataFrame, id_col: str = "id", pos_col: str = "pos") -> DataFrame:
     """The requested ids that exist, in request order, duplicates kept."""
-    return (request.join(table.select(id_col).distinct(), id_col, "left_semi")
+    return (request.join(table.select(id_col), id_col, "left_semi")
             .orderBy(pos_col))
 
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -41,7 +42,9 @@ def resume_ingest(spark: SparkSession, src: str, sink: str, checkpoint: str, sch
             ss = batch.sparkSession
             try:
                 existing = ss.read.schema(out_schema).parquet(sink)
-            except Exception:  # noqa: BLE001 - first batch: no sink yet
+            except AnalysisException as e:  # first batch: no sink yet; any other failure must not pass for it
+                if e.getCondition() != "PATH_NOT_FOUND":
+                    raise
                 existing = ss.createDataFrame([], out_schema)
             unseen(batch, existing, unique_key).write.mode("append").parquet(sink)
 

@@ -83,7 +83,7 @@ def test_all_scores_without_k(spark, data):
 
 def test_approx_is_subset_with_exact_scores(spark, data):
     qv, cv, ids, corpus, queries = data
-    approx = srch.search_approx(queries, corpus, 20, bucket_length=2.0, num_tables=6).collect()
+    approx = srch.search_approx(queries, corpus, 20, cells=16, probes=6).collect()
     exact_all = {(r["query_id"], r["id"]): r["score"] for r in srch.search(queries, corpus, None).collect()}
     assert approx, "LSH returned no candidate"
     for r in approx:
