@@ -69,14 +69,12 @@ def np_round_half_away(x: np.ndarray, digits: int) -> np.ndarray:
 def mean_vector(df, key_cols: list[str], vec_col: str, out_col: str = "vector"):
     """Element-wise mean of the vectors of each key (E6, centroid).
 
-    Distributed: vectors are exploded to (key, dim, value), averaged per
-    (key, dim) with map-side partial aggregation, then re-assembled in dim
-    order.  No group is ever collected whole: a key with a third of all rows
-    still aggregates in parallel, and the re-assembly holds one value per dim.
+    ``pyspark.ml.stat.Summarizer``: one buffer of the vector's width per key and
+    task, merged after the shuffle, so a key with a third of all rows still
+    aggregates in parallel.  Null vectors are left out.
     """
-    keys = [F.col(k) for k in key_cols]
-    long = df.select(*keys, F.posexplode(as_double(vec_col)).alias("dim", "x"))
-    per_dim = long.groupBy(*key_cols, "dim").agg(F.avg("x").alias("x"))
-    return (per_dim.groupBy(*key_cols)
-            .agg(F.array_sort(F.collect_list(F.struct("dim", "x"))).alias("_v"))
-            .select(*key_cols, F.transform("_v", lambda s: s["x"]).alias(out_col)))
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+    rows = df.where(F.col(vec_col).isNotNull()).select(*key_cols, array_to_vector(as_double(vec_col)).alias("_v"))
+    return (rows.groupBy(*key_cols).agg(Summarizer.mean(F.col("_v")).alias("_m"))
+            .select(*key_cols, vector_to_array("_m").alias(out_col)))

@@ -146,9 +146,9 @@ def null_audit(df: DataFrame, title_col: str = "title", text_col: str = "text")
 
 
 def sample_complete(df: DataFrame, n: int, seed: int = 42, id_col: str = "id") -> DataFrame:
-    """N complete works in a seeded hash order (deterministic random sample)."""
+    """N complete works in a seeded md5 order (deterministic random sample)."""
     full = df.filter(F.col("title").isNotNull() & F.col("abstract").isNotNull())
-    return full.orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), F.col(id_col)).limit(n)
+    return full.orderBy(F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.lit(str(seed)))), F.col(id_col)).limit(n)
 
 
 def assemble_eval_corpus(parts: list[DataFrame], id_col: str = "id") -> DataFrame:

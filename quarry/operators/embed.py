@@ -29,8 +29,13 @@ PROFILES = {
     "nvembed": {"query": "Instruct: Given a title and an abstract, retrieve the passage that is the most relevant "
                          "to the title and abstract.\nQuery: ",
                 "passage": ""},
+    "s2p": {"query": "Instruct: Given a web search query, retrieve relevant passages that answer the query.\nQuery: ",
+            "passage": ""},
+    "s2s": {"query": "Instruct: Retrieve semantically similar text.\nQuery: ", "passage": ""},
     "none": {"query": "", "passage": ""},
 }
+# Profiles whose model wants its end token after every text.
+SUFFIXES = {"nvembed": "</s>"}
 QUESTIONS_HEADER = "Research Questions:\n"
 SUPPORT_SEP = " [SEP] Supporting Documents:\n "
 TRUNCATE_CHARS = 6000
@@ -39,9 +44,9 @@ FIRST_SEED = 42
 
 
 def prefix_text(df: DataFrame, text_col: str, role: str, profile: str, out: str | None = None) -> DataFrame:
-    """Prepend a model's query or passage prefix."""
+    """Prepend a model's query or passage prefix (and append its end token, where it has one)."""
     p = PROFILES[profile][role]
-    return df.withColumn(out or text_col, F.concat(F.lit(p), F.col(text_col)))
+    return df.withColumn(out or text_col, F.concat(F.lit(p), F.col(text_col), F.lit(SUFFIXES.get(profile, ""))))
 
 
 def truncate_text(df: DataFrame, text_col: str, n: int = TRUNCATE_CHARS, out: str | None = None) -> DataFrame:
@@ -170,7 +175,7 @@ def select_core(effect: DataFrame, kind: str = "best", seed: int = 42) -> DataFr
             key = [(-F.col("n_cores")).alias("_k1"), F.col("core_id").alias("_k2")]
             pick = F.max
         else:
-            key = [F.xxhash64(F.col("core_id"), F.lit(seed)).alias("_k1"), F.col("core_id").alias("_k2")]
+            key = [F.md5(F.concat_ws(":", F.col("core_id").cast("string"), F.lit(str(seed)))).alias("_k1"), F.col("core_id").alias("_k2")]
             pick = F.min
         packed = F.struct(*key, *[F.col(c) for c in ["core_id", "n_cores"] + rest]).alias("_m")
         agg = effect.groupBy("topic").agg(pick(packed).alias("_m"))
@@ -185,10 +190,11 @@ def select_core(effect: DataFrame, kind: str = "best", seed: int = 42) -> DataFr
 
 # --------------------------------------------------------------------------- E1
 def hashed_tfidf(docs: DataFrame, text_col: str = "text", id_col: str = "id", num_features: int = 1 << 12,
-                 out: str = "embedding") -> DataFrame:
+                 out: str = "embedding", fit_on: DataFrame | None = None) -> DataFrame:
     """E1 built-in encoder: Spark ML HashingTF + IDF + L2 normaliser -> ``ARRAY<DOUBLE>``.
 
-    No model file is needed; vectors are comparable by cosine like the
+    ``fit_on``: the texts whose document frequencies count (default: ``docs``); pass the whole corpus when
+    only some of its rows are encoded.  No model file is needed; vectors are comparable by cosine like the
     reference's sentence embeddings."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import IDF, HashingTF, Normalizer
@@ -197,7 +203,8 @@ def hashed_tfidf(docs: DataFrame, text_col: str = "text", id_col: str = "id", nu
     pipe = Pipeline(stages=[HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=num_features),
                             IDF(inputCol="_tf", outputCol="_idf"),
                             Normalizer(inputCol="_idf", outputCol="_v", p=2.0)])
-    model = pipe.fit(toks)
+    fit = toks if fit_on is None else fit_on.select(tx.tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("_tok"))
+    model = pipe.fit(fit)
     return model.transform(toks).select(id_col, vector_to_array("_v").alias(out))
 
 
@@ -230,12 +237,25 @@ def missing_vector_texts(works: DataFrame, emb: DataFrame, id_col: str = "id",
 
 
 def backfill_vectors(works: DataFrame, emb: DataFrame, encoder=None, id_col: str = "id",
-                     num_features: int = 1 << 12) -> DataFrame:
-    """Encode the works that lack a vector and append them to the vector table."""
+                     num_features: int | None = None) -> DataFrame:
+    """Encode the works that lack a vector and append them to the vector table.
+
+    The encoder must be the one that made the table; its vectors must be as wide as the table's, or this
+    raises.  The built-in encoder takes that width and fits its document frequencies on all works."""
     todo = missing_vector_texts(works, emb, id_col)
     base = emb.select(id_col, F.transform("embedding", lambda x: x.cast("float")).alias("embedding"))
     if todo.isEmpty():  # nothing to encode (an IDF fit needs at least one document)
         return base
-    new = hashed_tfidf(todo, "text", id_col, num_features) if encoder is None else encode(todo, encoder, "text", id_col)
-    new = new.select(id_col, F.transform("embedding", lambda x: x.cast("float")).alias("embedding"))
+    first = emb.where("embedding is not null").select(F.size("embedding")).first()
+    width = first[0] if first else num_features or 1 << 12
+    if num_features not in (None, width):
+        raise ValueError(f"the table's vectors have {width} numbers, not {num_features}")
+    if encoder is None:
+        texts = missing_vector_texts(works, emb.limit(0), id_col)
+        new = hashed_tfidf(todo, "text", id_col, width, fit_on=texts)
+    else:
+        new = encode(todo, encoder, "text", id_col)
+    right = F.size("embedding") == width
+    new = new.select(id_col, F.when(right, F.transform("embedding", lambda x: x.cast("float")))
+                     .otherwise(F.raise_error(F.lit(f"the encoder's vectors are not {width} wide"))).alias("embedding"))
     return base.unionByName(new)

@@ -193,30 +193,25 @@ def rrf(rankings: DataFrame, keys: list[str], method: str = "method", id_col: st
     return rank_within(fused, keys, [F.col("rrf").desc(), F.col(id_col).asc()], k)
 
 
-def _default_pair_scorer() -> Callable[[pd.Series, pd.Series], pd.Series]:
-    """Share of query tokens found in the document (a stand-in cross-encoder)."""
-    import re
-
-    def score(q: pd.Series, d: pd.Series) -> pd.Series:
-        out = []
-        for a, b in zip(q.fillna(""), d.fillna("")):
-            qa = set(re.findall(r"\w+", a.lower()))
-            db = set(re.findall(r"\w+", b.lower()))
-            out.append(len(qa & db) / len(qa) if qa else 0.0)
-        return pd.Series(out, dtype="float64")
-    return score
+def token_overlap(query_col: str, doc_col: str):
+    """Share of the distinct query tokens that the document has (0 for a query without tokens)."""
+    q = F.array_distinct(tx.tokens(F.coalesce(F.col(query_col), F.lit(""))))
+    d = tx.tokens(F.coalesce(F.col(doc_col), F.lit("")))
+    return F.when(F.size(q) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(q, d)) / F.size(q))
 
 
 def score_pairs(pairs: DataFrame, keys: list[str], query_col: str = "query", doc_col: str = "text",
                 id_col: str = "id", scorer_factory: Callable | None = None, k: int | None = None) -> DataFrame:
     """Cross-encoder style (query, doc) -> score, ranked within keys.
 
-    ``scorer_factory()`` runs once per Python worker and returns
+    Default: ``token_overlap``, rounded to 9 digits, in the JVM.  ``scorer_factory()`` runs once per Python worker and returns
     ``f(queries: Series, docs: Series) -> Series``."""
-    factory = scorer_factory or _default_pair_scorer
+    if scorer_factory is None:
+        own = pairs.select(*keys, id_col, round_half_away(token_overlap(query_col, doc_col), 9).alias("score"))
+        return rank_within(own, keys, [F.col("score").desc(), F.col(id_col).asc()], k)
 
     def run(batches):
-        f = factory()
+        f = scorer_factory()
         for pdf in batches:
             pdf = pdf.copy()
             pdf["score"] = f(pdf[query_col], pdf[doc_col]).to_numpy()

@@ -191,9 +191,11 @@ def c17(spark, d):
     return cl.null_audit(cl.with_text(fx.eval_cps(spark, d), "passage"))
 
 
-@register("C18_sample_complete")
+@register("C18_sample_complete", V("""
+SELECT id, title FROM works WHERE title IS NOT NULL AND abstract IS NOT NULL
+ORDER BY md5(CAST(id AS VARCHAR) || ':42'), id LIMIT 50"""))
 def c18(spark, d):
-    return cl.sample_complete(fx.works(spark, d), 50, seed=42)
+    return cl.sample_complete(fx.works(spark, d), 50, seed=42).select("id", "title")
 
 
 @register("C19_assemble_eval_corpus", V("""

@@ -47,14 +47,20 @@ qblock AS (
 SELECT id, 'query: ' || title AS query_text,
        'Instruct: Given a research question, retrieve passages that answer the question.' || chr(10) || 'Query:' || title
          AS linq_query,
-       'passage: ' || abstract AS passage_text
+       'passage: ' || abstract AS passage_text,
+       'Instruct: Given a web search query, retrieve relevant passages that answer the query.' || chr(10) || 'Query: ' || title AS s2p_query,
+       'Instruct: Retrieve semantically similar text.' || chr(10) || 'Query: ' || title AS s2s_query,
+       abstract || '</s>' AS nvembed_passage
 FROM works"""))
 def e2(spark, d):
     w = fx.works(spark, d)
     w = em.prefix_text(w, "title", "query", "e5", "query_text")
     w = em.prefix_text(w, "title", "query", "linq", "linq_query")
     w = em.prefix_text(w, "abstract", "passage", "e5", "passage_text")
-    return w.select("id", "query_text", "linq_query", "passage_text")
+    w = em.prefix_text(w, "title", "query", "s2p", "s2p_query")
+    w = em.prefix_text(w, "title", "query", "s2s", "s2s_query")
+    w = em.prefix_text(w, "abstract", "passage", "nvembed", "nvembed_passage")
+    return w.select("id", "query_text", "linq_query", "passage_text", "s2p_query", "s2s_query", "nvembed_passage")
 
 
 @register("E3_truncate_text", "SELECT doc_id, substr(text, 1, 6000) AS text FROM documents")
@@ -130,4 +136,4 @@ def e1(spark, d):
 
 @register("C25_backfill_vectors")
 def c25_full(spark, d):
-    return em.backfill_vectors(fx.works(spark, d), fx.corpus(spark, d), num_features=64)
+    return em.backfill_vectors(fx.works(spark, d), fx.corpus(spark, d))

@@ -484,7 +484,10 @@ def e10(spark, d):
     return out
 
 
-@register("E10_select_core_random")
+@register("E10_select_core_random", V("""
+SELECT topic, core_id, n_cores FROM (
+  SELECT *, row_number() OVER (PARTITION BY topic ORDER BY md5(CAST(core_id AS VARCHAR) || ':42'), core_id) AS r FROM effect) x
+WHERE r = 1""", EFFECT_CTE))
 def e10r(spark, d):
     return em.select_core(effect(spark, d).select("topic", "core_id", "n_cores"), "random", seed=42)
 

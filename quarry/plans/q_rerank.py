@@ -118,7 +118,13 @@ def r9(spark, d):
     return rr.bm25_plus(qs, docs, 10)
 
 
-@register("R10_score_pairs")
+@register("R10_score_pairs", V(f"""
+SELECT topic, id, score, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY topic ORDER BY score DESC, id) AS rank FROM (
+    SELECT r.topic, r.id, round(coalesce(len(list_intersect(list_distinct({tx.sql_tokens("coalesce(q.query, '')")}), {tx.sql_tokens("coalesce(r.text, '')")}))
+           / nullif(len(list_distinct({tx.sql_tokens("coalesce(q.query, '')")})), 0), 0), 9) AS score
+    FROM run1 r JOIN gen q ON q.g = r.topic) s) x
+WHERE rank <= {{TOP_N}}""".replace("{TOP_N}", str(TOP_N)), RUN_CTES))
 def r10(spark, d):
     run = base_run(spark, d)
     pairs = run.join(generated_queries(spark, d), "topic")

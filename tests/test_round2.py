@@ -143,3 +143,13 @@ def test_missing_path_condition(spark, tmp_path):
     with pytest.raises(AnalysisException) as e:
         spark.read.schema("id long").parquet(str(tmp_path / "none"))
     assert e.value.getCondition() == "PATH_NOT_FOUND"
+
+
+def test_backfill_fits_on_the_corpus_and_keeps_the_width(spark):
+    from quarry.operators import embed as em
+    works = spark.createDataFrame([(1, "cat dog", "a b"), (2, "bird", "c"), (3, "cat", "x y")], "id long, title string, abstract string")
+    emb = spark.createDataFrame([(1, [1.0] * 16), (2, [0.5] * 16)], "id long, embedding array<float>")
+    got = {r["id"]: r["embedding"] for r in em.backfill_vectors(works, emb).collect()}
+    assert set(got) == {1, 2, 3} and len(got[3]) == 16 and any(got[3])
+    with pytest.raises(Exception):
+        em.backfill_vectors(works, emb, encoder=lambda: (lambda texts: [[0.0] * 8 for _ in texts])).collect()
