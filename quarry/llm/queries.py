@@ -6,6 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.llm import oracle_sql
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -44,25 +46,25 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")))
 
 
-@register()
+@register(oracle_sql.SUBSTRING)
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.substring import remove_repeats
     return remove_repeats(_table(spark, sf_dir, "documents"), window=50, with_text=False)
 
 
-@register()
+@register(oracle_sql.NEAR)
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.minhash import near_duplicates
     return near_duplicates(_table(spark, sf_dir, "documents"), k=2, pct=80)
 
 
-@register()
+@register(oracle_sql.VECTORS)
 def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.vectors import near_vectors
     return near_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.93)
 
 
-@register()
+@register(oracle_sql.quality_sql())
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.quality import quality
     return quality(_table(spark, sf_dir, "documents")).drop("probability")
