@@ -52,6 +52,12 @@ def _score_block(C: np.ndarray, Q: np.ndarray, metric: str, qnorm2: np.ndarray)
     if metric == "neg_euclidean":
         d2 = (C * C).sum(axis=1)[:, None] + qnorm2[None, :] - 2.0 * (C @ Q.T)
         return -np.sqrt(np.maximum(d2, 0.0))
+    if metric == "both":  # cosine and negative Euclidean distance from one product
+        cn2 = (C * C).sum(axis=1)
+        dots = C @ Q.T
+        norms = np.sqrt(cn2)[:, None] * np.sqrt(qnorm2)[None, :]
+        return np.stack([dots / np.where(norms > 0, norms, 1.0),
+                         -np.sqrt(np.maximum(cn2[:, None] + qnorm2[None, :] - 2.0 * dots, 0.0))])
     raise ValueError(f"unknown metric {metric}")
 
 
@@ -85,6 +91,7 @@ def _make_scorer(bc, k, metric, digits, id_col, vec_col, key_col, out_q, fan_in,
                 C = _as_matrix(vectors[at], Q.shape[1], strict=q_keys is None)
                 S = _score_block(C, Q[cols_of], metric, qn2[cols_of])
                 S = np_round_half_away(S, digits) if digits is not None else S
+                S, other = S if metric == "both" else (S, None)
                 valid = np.isfinite(S)
                 if tau is not None:
                     valid &= S >= tau[cols_of][None, :]
@@ -98,7 +105,10 @@ def _make_scorer(bc, k, metric, digits, id_col, vec_col, key_col, out_q, fan_in,
                 rows, cols = np.nonzero(valid)
                 if len(rows) == 0:
                     continue
-                buf.append(pd.DataFrame({"_q": cols_of[cols], "id": ids[at][rows], "score": S[rows, cols]}))
+                found = pd.DataFrame({"_q": cols_of[cols], "id": ids[at][rows], "score": S[rows, cols]})
+                if other is not None:
+                    found["euc_score"] = other[rows, cols]
+                buf.append(found)
                 buf_rows += len(rows)
             if k is not None and buf_rows > compact_factor * n * k:
                 kept = compact(buf)
@@ -157,6 +167,8 @@ def _emit(df, q_ids, q_keys, blk, out_q, id_col, key_col):
             "_blk": np.full(len(df), blk, dtype=np.int64)}
     if key_col is not None:
         cols[key_col] = q_keys[q]
+    if "euc_score" in df:
+        cols["euc_score"] = df["euc_score"].to_numpy()
     return pd.DataFrame(cols)
 
 
@@ -189,7 +201,7 @@ def search(queries: DataFrame, corpus: DataFrame, k: int | None = 10_000, *,
     # one job both checks the bound and fetches the queries
     qpdf = qsel.limit(max_queries_per_pass + 1).toPandas()
     if len(qpdf) == 0:
-        return _empty_result(queries, corpus, query_id, id_col, key, k)
+        return _empty_result(queries, corpus, query_id, id_col, key, k, metric)
     if len(qpdf) > max_queries_per_pass:
         parts = [search(q, corpus, k, query_id=query_id, query_vec=query_vec, id_col=id_col, vec_col=vec_col,
                         key=key, metric=metric, digits=digits, max_queries_per_pass=max_queries_per_pass,
@@ -221,6 +233,10 @@ def search(queries: DataFrame, corpus: DataFrame, k: int | None = 10_000, *,
               T.StructField("_blk", T.LongType())]
     if key:
         fields.append(T.StructField(key, queries.schema[key].dataType))
+    if metric == "both":
+        if k is not None:
+            raise ValueError("two scores have no single ranking: metric='both' needs k=None")
+        fields.append(T.StructField("euc_score", T.DoubleType()))
     n_parts = partitions(csel)
     tau_bc = None
     if k is not None and n_parts > 1 and (prune or (prune is None and n_parts * n_q * k > PRUNE_ROWS)):
@@ -291,12 +307,14 @@ def _score_floor(csel, bc, k, n_parts, metric, digits, id_col, vec_col, key, que
     return tau
 
 
-def _empty_result(queries, corpus, query_id, id_col, key, k):
+def _empty_result(queries, corpus, query_id, id_col, key, k, metric="cosine"):
     fields = [T.StructField(query_id, queries.schema[query_id].dataType),
               T.StructField(id_col, corpus.schema[id_col].dataType),
               T.StructField("score", T.DoubleType())]
     if key:
         fields.insert(1, T.StructField(key, queries.schema[key].dataType))
+    if metric == "both":
+        fields.append(T.StructField("euc_score", T.DoubleType()))
     if k is not None:
         fields.append(T.StructField("rank", T.IntegerType()))
     return queries.sparkSession.createDataFrame([], T.StructType(fields))
@@ -308,12 +326,10 @@ def score_models(queries: DataFrame, corpus: DataFrame, model: str = "model", qu
     """For every model, every query against that model's corpus: cosine and
     negative Euclidean score, long form ``model, query_id, id, score, euc_score``.
 
-    Both scores come from the blocked scorer keyed by model, so only rows of the
-    same model are paired and nothing beyond the output is materialised."""
-    kw = dict(query_id=query_id, query_vec=query_vec, id_col=id_col, vec_col=vec_col, key=model, digits=digits)
-    cos = search(queries, corpus, None, metric="cosine", **kw)
-    euc = search(queries, corpus, None, metric="neg_euclidean", **kw).withColumnRenamed("score", "euc_score")
-    return cos.join(euc, [model, query_id, id_col]).select(model, query_id, id_col, "score", "euc_score")
+    One pass of the blocked scorer keyed by model gives both scores of a pair, so
+    only rows of the same model are paired and nothing is joined."""
+    return (search(queries, corpus, None, metric="both", query_id=query_id, query_vec=query_vec, id_col=id_col, vec_col=vec_col,
+                   key=model, digits=digits).select(model, query_id, id_col, "score", "euc_score"))
 
 
 def attach_text(hits: DataFrame, texts: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
