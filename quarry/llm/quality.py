@@ -122,8 +122,8 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rul
     base = materialize(counts(docs, id_col, text_col), "quality-counts").withColumn("votes", F.array(*[r() for r in rules.values()]))
     patterns = materialize(base.groupBy("votes").agg(F.count("*").alias("c")), "quality-patterns")
     params = materialize(estimate(patterns, len(rules), rounds), "quality-rates")
-    judged = patterns.select("votes", F.lit(1).alias("_one")).join(F.broadcast(params.withColumn("_one", F.lit(1))), "_one")
-    judged = judged.select("votes", _posterior(F.col("votes"), F.col("p")).alias("probability"))
+    judged = (patterns.select("votes", params.scalar().alias("p"))  # one row: a scalar subquery
+              .select("votes", _posterior(F.col("votes"), F.col("p")).alias("probability")))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return (base.join(F.broadcast(judged), "votes", "left")
             .select(F.col("_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
