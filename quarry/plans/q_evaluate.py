@@ -9,6 +9,7 @@ from quarry.functions.vectors import round_half_away
 from quarry.operators import embed as em
 from quarry.operators import evaluate as ev
 from quarry.operators import search as srch
+from quarry.operators.common import materialize
 from quarry.plans.q_rerank import METHODS_CTES, _methods
 from quarry.plans.q_search import _SEARCH_CTE
 from quarry.plans.registry import register
@@ -59,26 +60,38 @@ LEFT JOIN (SELECT {hk}, {count} AS n_found
            JOIN eval_cps t ON t.topic = h.topic AND t.id = h.id GROUP BY {hk}) f ON {on}"""
 
 
+def core_runs(spark, d, k=K_RUN):
+    """Every core publication of a topic as a query: ``topic, core_id, id, score, rank``."""
+    c = fx.corpus(spark, d)
+    cores = fx.eval_cps(spark, d).select("topic", "id")
+    q = c.join(cores, "id").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
+    return srch.search(q, c, k).join(cores.select("topic", F.col("id").alias("query_id")), "query_id").withColumnRenamed("query_id", "core_id")
+
+
 def effect(spark, d, k=K_RUN):
-    runs = seed_runs(spark, d, k)
-    return ev.core_effect(runs, fx.eval_cps(spark, d))
+    return ev.core_effect(core_runs(spark, d, k), fx.eval_cps(spark, d))
 
 
-EFFECT_CTE = RUNS_CTE + """,
+EFFECT_CTE = RUNS_CTE + f""",
+core_runs AS (
+  SELECT topic, core_id, id, score, row_number() OVER (PARTITION BY core_id ORDER BY score DESC, id) AS rank FROM (
+    SELECT c.topic, c.id AS core_id, e.vec_id AS id, round(list_cosine_similarity(v.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score
+    FROM eval_cps c JOIN embeddings v ON v.vec_id = c.id CROSS JOIN embeddings e) s
+  QUALIFY rank <= {K_RUN}),
 effect AS (
   SELECT q.topic, q.core_id, coalesce(f.n, 0) AS n_cores, c.n_cps,
          round(coalesce(f.n, 0) / c.n_cps, 2) AS recall
-  FROM (SELECT DISTINCT topic, core_id FROM runs) q
+  FROM (SELECT DISTINCT topic, core_id FROM core_runs) q
   LEFT JOIN (SELECT r.topic, r.core_id, count(t.title) AS n
-             FROM (SELECT DISTINCT topic, core_id, id FROM runs) r
+             FROM (SELECT DISTINCT topic, core_id, id FROM core_runs) r
              JOIN eval_cps t ON t.topic = r.topic AND t.id = r.id GROUP BY r.topic, r.core_id) f
     ON f.topic = q.topic AND f.core_id = q.core_id
   LEFT JOIN ncps c ON c.topic = q.topic),
 effect50 AS (
   SELECT q.topic, q.core_id, round(coalesce(f.n, 0) / c.n_cps, 2) AS recall
-  FROM (SELECT DISTINCT topic, core_id FROM runs) q
+  FROM (SELECT DISTINCT topic, core_id FROM core_runs) q
   LEFT JOIN (SELECT r.topic, r.core_id, count(t.title) AS n
-             FROM (SELECT DISTINCT topic, core_id, id FROM runs WHERE rank <= 50) r
+             FROM (SELECT DISTINCT topic, core_id, id FROM core_runs WHERE rank <= 50) r
              JOIN eval_cps t ON t.topic = r.topic AND t.id = r.id GROUP BY r.topic, r.core_id) f
     ON f.topic = q.topic AND f.core_id = q.core_id
   LEFT JOIN ncps c ON c.topic = q.topic)
@@ -312,7 +325,7 @@ cmp AS (
 
 
 def _cmp(spark, d):
-    runs = seed_runs(spark, d)
+    runs = materialize(core_runs(spark, d), "core-runs")  # read by both settings
     cps = fx.eval_cps(spark, d)
     return ev.compare_prompts(ev.core_effect(runs, cps), ev.core_effect(runs.filter("rank <= 50"), cps))
 
@@ -605,9 +618,7 @@ hits AS (SELECT topic, id, score, rank FROM (
 @register("R18_topic_search_run", V("""
 SELECT h.topic, h.id, h.score, h.rank, w.title FROM hits h LEFT JOIN works w ON w.id = h.id""", R18_CTE))
 def r18(spark, d):
-    runs = seed_runs(spark, d)
-    eff = ev.core_effect(runs, fx.eval_cps(spark, d)).select("topic", "core_id", "n_cores")
-    return topic_search_run(spark, d, eff, 50)
+    return topic_search_run(spark, d, effect(spark, d).select("topic", "core_id", "n_cores"), 50)
 
 
 def topic_search_run(spark, d, eff, k):
