@@ -54,10 +54,13 @@ def _base_level(src: DataFrame, window: int) -> DataFrame:
     return src.withColumn("key", F.xxhash64("_text")).mapInArrow(run, "_id long, key long, n long, sha binary, chosen array<long>")
 
 
-def _repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys found in at least two documents, and the smallest one (grouped, combined map-side)."""
-    return (rows.groupBy(*keys).agg(F.min("_id").alias("first"), F.max("_id").alias("last"))
-            .where("first < last").drop("last"))
+def _repeated(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Keys found in at least two documents, and the smallest one (grouped, combined map-side).
+
+    A written table: joined back as it is, both sides of the join are plain exchanges, whose hot
+    partitions adaptive execution can split."""
+    return materialize(rows.groupBy(*keys).agg(F.min("_id").alias("first"), F.max("_id").alias("last"))
+                       .where("first < last").drop("last"), f"{name}-repeated")
 
 
 def _windows_around(cand: DataFrame, window: int) -> DataFrame:
@@ -168,19 +171,19 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
     spark = docs.sparkSession
     src = id_text(docs, id_col, text_col)
     base = materialize(_base_level(src, window), "substring-base")
-    firsts = base.where(f"n >= {window} and _id is not null").groupBy("sha").agg(F.min("_id").alias("rep"))
+    firsts = base.where(f"n >= {window} and _id is not null").groupBy("sha").agg(F.min("_id").alias("rep"), F.max("_id").alias("last"))
     base_rep = base.join(firsts, "sha", "left")
 
     chosen = (firsts.select("sha", F.col("rep").alias("_id")).join(base.select("sha", "_id", "chosen"), ["sha", "_id"])
               .select("_id", "sha", F.explode("chosen").alias("h")))
     chosen = materialize(chosen, "substring-chosen")
-    hits = (chosen.join(_repeated(chosen, ["h"]).select("h"), "h")
+    hits = (chosen.join(_repeated(chosen, ["h"], "substring-chosen").select("h"), "h")
             .groupBy("_id", "sha").agg(F.collect_set("h").alias("hits")))
     cand = materialize(src.join(hits, "_id"), "substring-candidates")
 
     wide = materialize(_windows_around(cand, window).select("_id", "sha", F.explode(F.arrays_zip("start", "h1", "h2")).alias("w"))
                        .select("_id", "sha", "w.*"), "substring-windows")
-    survivors = materialize(wide.join(_repeated(wide, ["h1", "h2"]), ["h1", "h2"]), "substring-survivors")
+    survivors = materialize(wide.join(_repeated(wide, ["h1", "h2"], "substring-windows"), ["h1", "h2"]), "substring-survivors")
     covered = survivors.where("_id > first").groupBy("_id", "sha").agg(F.collect_set("start").alias("covered"))
     struck = _strike(cand.select("_id", "_text", "sha").join(covered, ["_id", "sha"]), window).dropDuplicates(["_id", "sha"])
 
@@ -196,7 +199,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
             rows = (_doubled(level.select("_id", "sha", "start", "h1", "h2"), length)
                     .select("_id", "sha", F.explode(F.arrays_zip("start", "h1", "h2")).alias("w")).select("_id", "sha", "w.*"))
             rows = materialize(rows, f"substring-{length}")
-            level = materialize(rows.join(_repeated(rows, ["h1", "h2"]), ["h1", "h2"]), f"substring-{length}-kept")
+            level = materialize(rows.join(_repeated(rows, ["h1", "h2"], f"substring-{length}"), ["h1", "h2"]), f"substring-{length}-kept")
             length *= 2
         if tables:
             reach = tables[0]
@@ -205,9 +208,9 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
             out = out.join(reach.groupBy("sha").agg(F.max("reach").alias("reach")), "sha", "left")
         else:
             out = out.withColumn("reach", F.lit(None).cast("int"))
-        # an exact copy shares all that it has
+        # documents of the same words share all that they have
         whole = F.lit(window) * F.pow(F.lit(2.0), F.floor(F.log2(F.col("n") / F.lit(window)))).cast("int")
-        cols.append(F.coalesce(F.when(whole_copy, whole), F.col("reach"), F.lit(0)).cast("long").alias("longest_repeat"))
+        cols.append(F.coalesce(F.when(F.col("_id").isNotNull() & (F.col("rep") < F.col("last")), whole), F.col("reach"), F.lit(0)).cast("long").alias("longest_repeat"))
     if with_text:
         cols += [F.when(whole_copy, F.lit("")).otherwise(F.col("kept")).alias("kept_text"), F.col("key").alias("text_hash")]
     return out.select(*cols)
