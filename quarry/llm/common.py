@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.operators.common import materialize
+from quarry.sources.io import scratch_path
 
 __all__ = ["id_text", "materialize", "connected_components", "small_batches"]
 
@@ -22,6 +22,14 @@ def id_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                      F.col(f"`{text_col}`").cast("string").alias("_text"))
 
 
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet (zstd: hashes, ids and words are most of it) under the shared folder and
+    read back: cuts lineage and lets several steps share one computation."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def small_batches(batches: Iterator[pa.RecordBatch], column: str = "_text", max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of at most ``max_bytes`` of ``column`` (a longer value is alone), so that a
     task's memory follows bytes, not rows."""
