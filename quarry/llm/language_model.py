@@ -11,6 +11,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quarry.llm.common import id_text, materialize, small_batches
 
@@ -287,26 +288,94 @@ def _chunks(src: DataFrame, modulus: int, held: int) -> DataFrame:
             .mapInArrow(run, "chunk long, ids array<long>, held array<boolean>, lens array<int>, tokens binary, words array<binary>, counts array<long>"))
 
 
+def _hashes(words: pa.Array) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words.to_pylist()), np.uint64, len(words)).view(np.int64)
+
+
+def _pairs_of(row, at: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct pairs of a chunk, number of the pair of each token): a token's number in the low half of a pair,
+    that of the token before it in the high half. Before the first token of a text stands the end of another."""
+    tok = np.frombuffer(zstandard.ZstdDecompressor().decompress(row.column("tokens")[at].as_py()), np.uint32).astype(np.uint64)
+    return np.unique((np.concatenate([tok[-1:], tok[:-1]]) << np.uint64(32)) | tok, return_inverse=True)
+
+
+def _pairs(chunks: DataFrame, name: str) -> DataFrame:
+    """(hu, hw, chunk, i, total, first): the pairs of words (by hash, the one before first) of each chunk that a reply
+    is due for: those that training texts have twice or more, and those with one such that only held-out texts
+    of the chunk have. All others are known in the chunk itself. ``first`` marks one row of each pair."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                h = _hashes(b.column("words")[r].values)
+                codes, inverse = _pairs_of(b, r)
+                train = np.repeat(~np.asarray(b.column("held")[r].values.to_numpy(zero_copy_only=False), bool), np.asarray(b.column("lens")[r].values))
+                count = np.bincount(inverse[train], minlength=len(codes))
+                hu, hw = h[(codes >> np.uint64(32)).astype(np.int64)], h[(codes & np.uint64(0xFFFFFFFF)).astype(np.int64)]
+                chunk = b.column("chunk")[r].as_py()
+                for s in range(0, len(codes), 50_000):
+                    on = slice(s, min(s + 50_000, len(codes)))
+                    m = on.stop - s
+                    yield pa.RecordBatch.from_arrays([pa.array(hu[on]), pa.array(hw[on]), pa.array(np.full(m, chunk, np.int64)),
+                                                      pa.array(np.arange(s, on.stop, dtype=np.int32)), pa.array(count[on])], ["hu", "hw", "chunk", "i", "c"])
+
+    same = Window.partitionBy("hu", "hw")
+    place = F.struct("chunk", "i")
+    rows = (chunks.select("chunk", "held", "lens", "tokens", "words").mapInArrow(run, "hu long, hw long, chunk long, i int, c long")
+            .withColumn("total", F.sum("c").over(same)).withColumn("first", place == F.min(place).over(same)))
+    return materialize(rows.where("total >= 2 or total = 1 and c = 0").drop("c"), name)
+
+
+def _sums(pairs: DataFrame, value: str) -> DataFrame:
+    """(h, as_word, as_context): sums of ``value`` by the second and by the first word of the pairs."""
+    sides = F.array(F.struct(F.col("hw").alias("h"), F.col(value).alias("as_word"), F.lit(0).cast("long").alias("as_context")),
+                    F.struct(F.col("hu").alias("h"), F.lit(0).cast("long").alias("as_word"), F.col(value).alias("as_context")))
+    return pairs.select(F.inline(sides)).groupBy("h").agg(F.sum("as_word").alias("as_word"), F.sum("as_context").alias("as_context"))
+
+
+def _seat_pairs(pairs: DataFrame, words: DataFrame, d: float, seed: list[int], name: str) -> DataFrame:
+    """``pairs`` (hu, hw, c, t, ts) seated again: a customer opens a table with the odds of its context's restaurant
+    times the word's probability; ``ts`` adds up the tables of all sweeps."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            c = np.asarray(b.column("c"))
+            rng = np.random.default_rng([*seed, int(b.column("hu")[0].as_py()) & 0x7FFFFFFF, int(b.column("hw")[0].as_py()) & 0x7FFFFFFF, len(c)])
+            t = seat(c, (STRENGTH + d * np.asarray(b.column("tu"))) * np.asarray(b.column("above")), d, rng)
+            yield pa.RecordBatch.from_arrays([b.column("hu"), b.column("hw"), b.column("c"), pa.array(t), pa.array(np.asarray(b.column("ts")) + t)], ["hu", "hw", "c", "t", "ts"])
+
+    above = words.select(F.col("h").alias("hw"), F.element_at("p", -1).alias("above"))
+    tables = words.select(F.col("h").alias("hu"), "tu")
+    return materialize(pairs.join(above, "hw").join(tables, "hu").select("hu", "hw", "c", "ts", "tu", "above")
+                       .mapInArrow(run, "hu long, hw long, c long, t long, ts long"), name)
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, held: int = 2,
-          sweeps: int = 3, rounds: int = 3, seed: int = 5) -> DataFrame:
+          sweeps: int = 3, rounds: int = 3, seed: int = 5, order: int = 1) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs``.
 
     A-Z are lower-cased; tokens are maximal runs of characters other than space and \\x09-\\x0D, then one end.
     Texts with crc32(id as text) mod ``modulus`` = ``held`` are held out, all others train. ``base_score`` is
     the sum of log10((c+1)/(N+V+1)); ``score`` is the log10 probability of the text by the model.
 
-    The model is a hierarchy of Pitman-Yor processes: a restaurant of words whose parent spells them, symbol
+    The model is a hierarchy of Pitman-Yor processes. With ``order`` 2 (as registered) each word has a restaurant of the
+    words that follow it, the end of a text one of the words that begin a text; their parent is the restaurant of
+    words, whose customers are their tables. With ``order`` 1 the restaurant of words is the lowest, and the order of
+    a text's words is without meaning. The parent of that restaurant spells the words, symbol
     by symbol, from restaurants of contexts of up to four characters within the word; contexts share the
     restaurant of the context without its first character as parent, down to one without context. The events
     are those of the base, the words known from training and one for every other word: its probability is
-    what the word restaurant leaves to its parent times what the parent leaves to unknown spellings, so that all
-    add up to one. Seating is sampled by Gibbs: dishes are seated again given
-    all other seats; each table of a word is a customer of the spelling, each table of a context one of its
-    parent. ``sweeps`` alternate spelling (``rounds`` each) and words; predictive probabilities are averaged
-    over sweeps. Discounts come from the counts of ones and twos at each level.
+    what the restaurants above leave to their parent times what the last leaves to unknown spellings, so that all
+    add up to one after each word. After a word unknown from training stands the restaurant of words itself.
+    Seating is sampled by Gibbs: dishes are seated again given
+    all other seats; each table of a pair is a customer of the words, each table of a word one of the spelling, each
+    table of a context one of its parent. ``sweeps`` alternate spelling (``rounds`` each), words and pairs; predictive
+    probabilities are averaged over sweeps. Discounts come from the counts of ones and twos at each level.
 
     Scale: tokens are counted in the task, words by hash with map-side sums; documents wait in chunks that hold
-    each word once, so only words, not tokens, are shuffled and joined; chunks are written compressed.
+    each word once, so only words and pairs, not tokens, are shuffled and joined; chunks are written compressed. Pairs are
+    counted in the chunk and shuffled once; a pair seen once has one table whatever happens, so that only pairs
+    seen twice are written, seated and answered.
     The spelling model goes to tasks in slices of bounded size (see ``_spelled``). Words of over 2**20 bytes
     are possible but spelled in one task.
 
@@ -322,62 +391,108 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modul
         for b in batches:
             for i in range(b.num_rows):
                 ws = b.column("words")[i].values
-                h = np.fromiter(map(xxhash.xxh3_64_intdigest, ws.to_pylist()), np.uint64, len(ws)).view(np.int64)
+                h = _hashes(ws)
                 place = (np.int64(b.column("chunk")[i].as_py()) << np.int64(24)) + np.arange(len(ws))
                 for s in range(0, len(ws), 50_000):
                     yield pa.RecordBatch.from_arrays([pa.array(h[s:s + 50_000]), ws[s:s + 50_000], pa.array(place[s:s + 50_000]),
                                                       b.column("counts")[i].values[s:s + 50_000]], ["h", "word", "place", "c"])
 
     entries = chunks.select("chunk", "words", "counts").mapInArrow(hashed, "h long, word binary, place long, c long")
-    words = materialize(entries.where("c > 0").groupBy("h").agg(F.any_value("word").alias("word"), F.sum("c").alias("c"))
-                        .withColumn("t", F.lit(1).cast("long")).withColumn("p", F.lit(0.0)), "lm-words-0")
-    n, v, ones, twos = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
-    d = min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones else 0.5
-    root, p_unknown = [1 / (SYMBOL + 1)] * (SYMBOL + 1), 0.0
+    doubles = F.array().cast("array<double>")
+    words = (entries.where("c > 0").groupBy("h").agg(F.any_value("word").alias("word"), F.sum("c").alias("c"))
+             .withColumns({"t": F.lit(1).cast("long"), "p": doubles, "back": doubles}))
+    d_pair = 0.0
+    if order > 1:
+        due = _pairs(chunks, "lm-pairs")
+        pairs = due.where("first and total >= 2").select("hu", "hw", F.col("total").alias("c"), F.lit(1).cast("long").alias("t"), F.lit(0).cast("long").alias("ts"))
+        often = _sums(pairs, "c").withColumnsRenamed({"as_word": "cw", "as_context": "cu"}).join(_sums(pairs, "t"), "h")
+        # every word is followed by one word, so it is as often a context as a word; once: pairs seen once
+        zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+        words = (words.join(often, "h", "left").withColumns({"once_w": F.col("c") - zero("cw"), "once_u": F.col("c") - zero("cu")})
+                 .withColumns({"k": F.col("once_w") + zero("as_word"), "tu": F.col("once_u") + zero("as_context")})
+                 .drop("cw", "cu", "as_word", "as_context"))
+    else:
+        words = words.withColumn("k", F.col("c"))
+    words = materialize(words, "lm-words-0")
+    n, v, ones, twos = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count_if(F.col("k") == 1), F.count_if(F.col("k") == 2)).first()
+    discount = lambda ones, twos: min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones else 0.5
+    d = discount(ones, twos)
+    if order > 1:
+        d_pair = discount(words.agg(F.sum("once_w")).first()[0] or 0, pairs.where("c = 2").count())
+    root, p_unknown = [1 / (SYMBOL + 1)] * (SYMBOL + 1), []
     for sweep in range(sweeps):
-        tables = words.agg(F.sum("t")).first()[0] or 0
+        tables, customers = words.agg(F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.sum("k"), F.lit(0))).first()
         model = materialize(_spelling_model(_char_counts(words), root, rounds, seed + sweep), f"lm-spelling-{sweep}")
         seen = np.zeros(SYMBOL + 1)
         for r in model.where("kind = 2").groupBy("key").agg(F.sum("value").alias("x")).collect():  # one row a symbol
             seen[r["key"]] = r["x"]
         spelled = _spelled(words, model, np.log(root).tolist(), f"lm-spelled-{sweep}")
         root = ((seen + 1 / (SYMBOL + 1)) / (seen.sum() + 1)).tolist()
+        cols = spelled.columns
 
-        def reseat(batches: Iterator[pa.RecordBatch], tables=tables, sweep=sweep) -> Iterator[pa.RecordBatch]:
+        def reseat(batches: Iterator[pa.RecordBatch], tables=tables, sweep=sweep, cols=cols) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 if not b.num_rows:
                     continue
-                c, h = np.asarray(b.column("c")), np.asarray(b.column("h"))
+                k, h = np.asarray(b.column("k")), np.asarray(b.column("h"))
                 rng = np.random.default_rng([seed, sweep, int(h[0]) & 0x7FFFFFFF, len(h)])
-                new = (STRENGTH + d * tables) * np.exp(np.asarray(b.column("log_p")))
-                t = seat(c, new, d, rng)
-                p = np.asarray(b.column("p")) + (np.maximum(c - d * t, 0) + new) / (STRENGTH + n)
                 spelt = np.exp(np.asarray(b.column("log_p")))
-                yield pa.RecordBatch.from_arrays([b.column("h"), b.column("word"), b.column("c"), pa.array(t), pa.array(p), pa.array(spelt)],
-                                                 ["h", "word", "c", "t", "p", "spelt"])
-
-        words = materialize(spelled.mapInArrow(reseat, "h long, word binary, c long, t long, p double, spelt double"), f"lm-words-{sweep + 1}")
-        unknown_spelling = max(1 - (words.agg(F.sum("spelt")).first()[0] or 0.0), 1e-12)
-        p_unknown += (STRENGTH + d * tables) / (STRENGTH + n) * unknown_spelling
-        words = words.drop("spelt")
-
-    known = words.select("h", "c", F.log10(F.col("p") / sweeps).alias("lp"))
-    replies = entries.select("h", "place").join(known, "h", "left").select(F.shiftright("place", 24).alias("chunk"), F.col("place").bitwiseAND((1 << 24) - 1).cast("int").alias("i"),
-                                                                           F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("lp", F.lit(float(np.log10(p_unknown / sweeps)))).alias("lp"))
+                new = {"t": pa.array(seat(k, (STRENGTH + d * tables) * spelt, d, rng)), "log_p": pa.array(spelt)}
+                yield pa.RecordBatch.from_arrays([new.get(c, b.column(c)) for c in cols], cols)
+
+        words = materialize(spelled.mapInArrow(reseat, spelled.schema).withColumnRenamed("log_p", "spelt"), f"lm-words-{sweep + 1}")
+        tables, spelt = words.agg(F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.sum("spelt"), F.lit(0.0))).first()
+        to_parent = (STRENGTH + d * tables) / (STRENGTH + customers)
+        p_unknown.append(to_parent * max(1 - spelt, 1e-12))
+        p = (F.col("k") - d * F.col("t")) / (STRENGTH + customers) + to_parent * F.col("spelt")
+        words = words.withColumn("p", F.concat("p", F.array(p))).drop("spelt")
+        if order > 1:
+            pairs = _seat_pairs(pairs, words, d_pair, [seed, sweep], f"lm-tables-{sweep}")
+            words = (words.join(_sums(pairs, "t"), "h", "left")
+                     .withColumns({"k": F.col("once_w") + zero("as_word"), "tu": F.col("once_u") + zero("as_context")}).drop("as_word", "as_context")
+                     .withColumn("back", F.concat("back", F.array((STRENGTH + d_pair * F.col("tu")) / (STRENGTH + F.col("c"))))))
+            words = materialize(words, f"lm-customers-{sweep}")
+
+    replies = (entries.select("h", "place").join(words.select("h", "c", "p", "back"), "h", "left")
+               .select(F.shiftright("place", 24).alias("chunk"), F.col("place").bitwiseAND((1 << 24) - 1).cast("int").alias("i"), F.lit(False).alias("pair"),
+                       F.coalesce("c", F.lit(0)).cast("double").alias("c"), "p", "back"))
+    if order > 1:
+        replies = replies.unionByName(due.join(pairs.select("hu", "hw", "c", "ts"), ["hu", "hw"], "left").select(
+            "chunk", "i", F.lit(True).alias("pair"), F.coalesce(F.col("c") - d_pair / sweeps * F.col("ts"), F.lit(1 - d_pair)).alias("c"),
+            F.lit(None).cast("array<double>").alias("p"), F.lit(None).cast("array<double>").alias("back")))
     base_denominator = float(n + v + 1)
 
     def judge(key, left, right):
-        i = np.asarray(left.column("i"))
-        count, lp = np.zeros(len(i)), np.zeros(len(i))
-        count[i], lp[i] = np.asarray(left.column("c")), np.asarray(left.column("lp"))
-        row = right.slice(0, 1)
+        of_pair = np.asarray(left.column("pair").to_numpy(), bool)
+        i, value = np.asarray(left.column("i")), np.asarray(left.column("c"))
+        at = i[~of_pair]
+        count = np.zeros(len(at))
+        count[at] = value[~of_pair]
+        p, back = np.empty((len(at), sweeps)), np.ones((len(at), sweeps))
+        p[:] = p_unknown
+        found = left.filter(pa.compute.is_valid(left.column("p")))
+        on = np.asarray(found.column("i"))
+        p[on] = np.asarray(found.column("p").combine_chunks().flatten()).reshape(-1, sweeps)
+        row = right.slice(0, 1).combine_chunks()
         lens = np.asarray(row.column("lens")[0].values)
         tok = np.frombuffer(zstandard.ZstdDecompressor().decompress(row.column("tokens")[0].as_py()), np.uint32)
+        if order > 1:
+            back[on] = np.asarray(found.column("back").combine_chunks().flatten()).reshape(-1, sweeps)
+            codes, inverse = _pairs_of(row)
+            train = np.repeat(~np.asarray(row.column("held")[0].values.to_numpy(zero_copy_only=False), bool), lens)
+            seats = np.where(np.bincount(inverse[train], minlength=len(codes)) > 0, 1 - d_pair, 0.0)
+            seats[i[of_pair]] = value[of_pair]
+            u, w = (codes >> np.uint64(32)).astype(np.int64), (codes & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            prob = seats / (STRENGTH + count[u])
+            for s in range(sweeps):
+                prob += back[u, s] * p[w, s] / sweeps
+            lp = np.log10(prob)[inverse]
+        else:
+            lp = np.log10(p.mean(1))[tok]
         starts = np.cumsum(lens) - lens
-        per = lambda x: np.add.reduceat(x[tok], starts)
         m = len(lens)
         return pa.table({id_col: row.column("ids")[0].values, "held_out": row.column("held")[0].values, "n_tokens": pa.array(lens.astype(np.int64)),
-                         "n_known": pa.array(per((count > 0).astype(np.int64))), "train_tokens": pa.array(np.full(m, n, np.int64)),
-                         "base_score": pa.array(per(np.log10((count + 1) / base_denominator))), "score": pa.array(per(lp))})
+                         "n_known": pa.array(np.add.reduceat((count > 0).astype(np.int64)[tok], starts)), "train_tokens": pa.array(np.full(m, n, np.int64)),
+                         "base_score": pa.array(np.add.reduceat(np.log10((count + 1) / base_denominator)[tok], starts)), "score": pa.array(np.add.reduceat(lp, starts))})
 
     return replies.groupBy("chunk").cogroup(chunks.select("chunk", "ids", "held", "lens", "tokens").groupBy("chunk")).applyInArrow(judge, out_cols)

@@ -86,4 +86,4 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register()
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.language_model import score
-    return score(_table(spark, sf_dir, "documents"), modulus=7, held=2)
+    return score(_table(spark, sf_dir, "documents"), modulus=7, held=2, order=2)

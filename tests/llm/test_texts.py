@@ -328,3 +328,35 @@ def test_slices_of_the_spelling_model_add_up(docs, monkeypatch):
     many = {str(r["doc_id"]) + str(r["n_tokens"]): r["score"] for r in language_model.score(docs).collect()}
     # the words of a task and so its random numbers may be the same or not; scores stay close
     assert all(abs(one[k] - many[k]) <= 0.02 * abs(one[k]) + 0.5 for k in one)
+
+
+def test_language_model_hears_the_order_of_words(spark, empty):
+    rnd = random.Random(3)
+    is_held = lambda d: zlib.crc32(str(d).encode()) % 7 == 2
+    train, held = ([d for d in range(3000) if is_held(d) == x] for x in (False, True))
+    verse = ["the cat sat", "a cat ran", "sat the cat"]
+    rows = [(train[i], " ".join(rnd.choice(verse) for _ in range(4))) for i in range(60)] + [(None, "the cat ran"), (train[60], None)]
+    known = ["the", "cat", "sat", "a", "ran"]
+    events = [*known, "zzz"]
+    asked = ["", *events, *(f"{u} {w}" for u in events for w in events), "a cat ran the cat sat", "cat the ran a sat cat"]
+    table = spark.createDataFrame(rows + list(zip(held, asked)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["score"] for r in language_model.score(table, order=2).collect()}
+    score = {t: got[d] for d, t in zip(held, asked)}
+    assert score["a cat ran the cat sat"] > score["cat the ran a sat cat"] + 2
+    # P(w|u) by a similar matrix (the end is the last event); each row of P adds up to one, so the greatest eigenvalue is one
+    m = np.ones((7, 7))
+    for a, u in enumerate(events):
+        m[6, a] = 10 ** score[u]
+        for b, w in enumerate(events):
+            m[a, b] = 10 ** (score[f"{u} {w}"] - score[u])
+    m[6, 6] = 10 ** score[""]
+    assert abs(max(abs(np.linalg.eigvals(m))) - 1) < 1e-9
+    assert language_model.score(empty, order=2).collect() == []
+
+
+def test_registered_language_model_is_one_of_word_pairs(spark, sf):
+    from quarry.llm import queries
+    one = language_model.score(spark.read.parquet(f"{sf}/documents.parquet")).where("held_out").toPandas()
+    two = queries.op5_lm_scoring(spark, sf).where("held_out").toPandas()
+    assert two.score.sum() > one.score.sum()
+    print("held-out perplexity", *(10 ** (-x.sum() / one.n_tokens.sum()) for x in (one.base_score, one.score, two.score)))
