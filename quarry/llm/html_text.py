@@ -165,6 +165,11 @@ def measure(root: Node) -> list[Node]:
     return nodes
 
 
+def is_menu(n: Node, threshold: float) -> bool:
+    """Mostly links and less dense than the threshold."""
+    return n.link_chars * 2 > n.chars and n.density < threshold
+
+
 def choose(root: Node) -> tuple[Node, float]:
     """The subtree of the article and the threshold of its body path.
 
@@ -180,8 +185,8 @@ def choose(root: Node) -> tuple[Node, float]:
     inner = frame[-1] if frame else path[-1]
     body = next((n for n in path if n.tag == "body"), path[-1])
     threshold = min(n.density for n in [*frame, body] if n.chars) if any(n.chars for n in [*frame, body]) else 0.0
-    # other children of the body as dense as the path belong to the article as well
-    others = [c for c in body.children if isinstance(c, Node) and not c.drop and c is not inner and c.chars and c.density >= threshold and not c.link_chars]
+    # other children of the body that are no menus belong to the article as well, links in them or not
+    others = [c for c in body.children if isinstance(c, Node) and not c.drop and c is not inner and c.chars and not is_menu(c, threshold)]
     loose = any(isinstance(c, str) and SPACE.sub("", c) for c in body.children)
     return (body if others or loose or not frame else inner), threshold
 
@@ -213,7 +218,7 @@ def blocks(top: Node, threshold: float) -> list[str]:
             todo += reversed(x.children)
         else:
             flush()
-            if x is not top and x.link_chars * 2 > x.chars and x.density < threshold:
+            if x is not top and is_menu(x, threshold):
                 continue
             todo.append(None)
             todo += reversed(x.children)

@@ -271,6 +271,13 @@ def test_page_text():
     assert html_text.main_text("<body><p>a < b and c</p><p>un<!-- never closed") == "a < b and c\n\nun"
 
 
+def test_article_in_several_containers():
+    p = lambda w: f"<p>{' '.join([w] * 40)}</p>"
+    words = lambda w: " ".join([w] * 40)
+    page = f"<body><div>{p('one') * 3}</div><div>{p('two') * 2}<p>three <a href=x>a link</a> {words('four')}</p></div><ul><li><a href=a>home</a><li><a href=b>more</a></ul></body>"
+    assert html_text.main_text(page) == "\n\n".join([words("one")] * 3 + [words("two")] * 2 + ["three a link " + words("four")])
+
+
 def test_pages_of_the_tables(spark, sf):
     import html
     rows = html_text.extract(spark.read.parquet(f"{sf}/pages.parquet")).collect()
