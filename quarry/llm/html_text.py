@@ -31,6 +31,9 @@ FURNITURE = frozenset("ad ads adv advert adverts advertisement advertising banne
                       "notice notices notification overlay pagination pager popup promo promoted promotion related reply replies respond "
                       "search share sharing sidebar sidebars signup skip social sponsor sponsored subscribe subscription toolbar widget".split())
 HEADER_WORDS = frozenset("header".split())
+# Beside one of these in the same name, a word of FURNITURE tells of a layout or a topic ("has-sidebar", "related-work").
+NO_FURNITURE = frozenset("has no with without work works".split())
+LARGE = 0.5               # a named element is no furniture if it holds a density sum of this share of the page's greatest
 # Opening one of these ends an open one of the second set (elements whose end tag may be left out).
 CLOSES = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]),
           "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"])}
@@ -38,25 +41,28 @@ SCOPE = frozenset("table td th ul ol dl body article section main div".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "drop", "order", "chars", "tags", "link_chars", "link_tags", "density", "density_sum")
+    __slots__ = ("tag", "parent", "children", "drop", "named", "order", "chars", "tags", "link_chars", "link_tags", "density", "density_sum")
 
-    def __init__(self, tag: str, parent: Node | None, drop: bool):
-        self.tag, self.parent, self.drop = tag, parent, drop
+    def __init__(self, tag: str, parent: Node | None, drop: bool, named: bool = False):
+        self.tag, self.parent, self.drop, self.named = tag, parent, drop, named
         self.children: list = []  # nodes and strings in page order
 
 
-def _furniture(tag: str, attributes: str, inside_article: bool) -> bool:
-    if tag in DROPPED:
-        return True
-    words = set()
-    if attributes:
-        for _, a, b, c in ATTRIBUTE.findall(attributes):
-            words.update(re.split(r"[^a-z0-9]+", (a or b or c).lower()))
-    if tag in ("html", "body", "article", "main"):
+def _furniture(tag: str, inside_article: bool) -> bool:
+    """Furniture by its element alone."""
+    return tag in DROPPED or tag == "header" and not inside_article
+
+
+def _named(tag: str, attributes: str, inside_article: bool) -> bool:
+    """Called furniture by class, id or role; what it holds decides (see ``take_off``)."""
+    if not attributes or tag in ("html", "body", "article", "main"):
         return False
-    if not inside_article and (tag == "header" or words & HEADER_WORDS):
-        return True
-    return bool(words & FURNITURE)
+    for _, a, b, c in ATTRIBUTE.findall(attributes):
+        for name in (a or b or c).lower().split():
+            words = set(re.split(r"[^a-z0-9]+", name))
+            if not words & NO_FURNITURE and (words & FURNITURE or not inside_article and words & HEADER_WORDS):
+                return True
+    return False
 
 
 def parse(page: str) -> Node:
@@ -102,7 +108,7 @@ def parse(page: str) -> Node:
                 up = up.parent
             if up is not root and up.tag in CLOSES[tag]:
                 cur = up.parent
-        node = Node(tag, cur, _furniture(tag, m[3], article > 0))
+        node = Node(tag, cur, _furniture(tag, article > 0), _named(tag, m[3], article > 0))
         cur.children.append(node)
         if tag in VOID or m[3].endswith("/") and tag not in ("p", "div", "article", "section", "body", "a", "b", "i", "span"):
             continue
@@ -165,6 +171,22 @@ def measure(root: Node) -> list[Node]:
     return nodes
 
 
+def take_off(root: Node) -> None:
+    """Drop what is named furniture, unless it holds a node whose density sum is at least ``LARGE`` of the greatest:
+    a wrapper of the article or of a part as dense as it stays whatever its name."""
+    if not any(n.named for n in _order(root)):
+        return
+    nodes = measure(root)
+    least, holds = LARGE * max(n.density_sum for n in nodes), set()
+    for n in nodes:
+        if n.density_sum >= least:
+            while n is not None and n not in holds:
+                holds.add(n)
+                n = n.parent
+    for n in nodes:
+        n.drop = n.drop or n.named and n not in holds
+
+
 def is_menu(n: Node, threshold: float) -> bool:
     """Mostly links and less dense than the threshold."""
     return n.link_chars * 2 > n.chars and n.density < threshold
@@ -176,6 +198,7 @@ def choose(root: Node) -> tuple[Node, float]:
     From the node with the greatest density sum (the first of equal ones; without markup the whole page) the
     path to the body gives the threshold, its smallest density; the subtree is the highest node of that path
     that is not the page itself, so that all siblings of the densest blocks come along."""
+    take_off(root)
     nodes = measure(root)
     best = max(nodes, key=lambda n: n.density_sum)
     path = [best]
@@ -239,8 +262,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     Composite text density: characters per tag of every node of the page's tree, link-adjusted, and the sum of
     the children's densities. The subtree of the greatest sum, raised along its body path, is the article;
     the path's smallest density is the threshold under which link-dominated blocks go. Menus, headers,
-    footers, sidebars, notices, adverts, forms, scripts, styles and comments are taken off before, by element
-    and by class, id or role. Character references are decoded, white space in a block becomes one space,
+    footers, sidebars, notices, adverts, forms, scripts, styles and comments are taken off before: by element, and
+    by class, id or role where the named element holds no node with half the page's greatest density sum. Character references are decoded, white space in a block becomes one space,
     blocks are trimmed and joined by an empty line in page order; nothing else is dropped or cut.
 
     Pages are parsed one by one inside Arrow batches bounded by bytes; no shuffle. A null or empty page, or one

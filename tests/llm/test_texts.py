@@ -278,6 +278,16 @@ def test_article_in_several_containers():
     assert html_text.main_text(page) == "\n\n".join([words("one")] * 3 + [words("two")] * 2 + ["three a link " + words("four")])
 
 
+def test_names_alone_do_not_make_furniture():
+    body = "".join(f"<p>{' '.join([w] * 40)}</p>" for w in ("one", "two", "three"))
+    want = "\n\n".join(" ".join([w] * 40) for w in ("one", "two", "three"))
+    for wrapper in ("class='page has-sidebar'", "id='content-sidebar-wrap'", "class='entry no-comments'", "role='search'"):
+        page = f"<body><div {wrapper}>{body}<div class='sidebar'>small box</div></div><div id='cookie-notice'>we use <a href=c>cookies</a></div></body>"
+        assert html_text.main_text(page) == want
+    assert html_text.main_text(f"<body><article>{body}<section class='related-work'>Others did it.</section></article></body>") == want + "\n\nOthers did it."
+    assert html_text.main_text(f"<body><div>{body}</div><section class='related'>{body}</section></body>") == want + "\n\n" + want
+
+
 def test_pages_of_the_tables(spark, sf):
     import html
     rows = html_text.extract(spark.read.parquet(f"{sf}/pages.parquet")).collect()
