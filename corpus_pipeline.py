@@ -1,8 +1,9 @@
 """A training corpus from ``documents``: quality rules, near-dedup, substring dedup, secret scan, packing.
 
 Every stage takes (spark, docs, sf_dir), works on all its predecessor kept, and returns the columns of
-``documents``; the last one returns the packed pieces. Ids are joined null-safe; texts are changed by id
-and hash of the text, so repeated ids stay apart.
+``documents``; the last one returns the packed pieces. Verdicts and new texts are joined by id and hash of
+the text, so rows of a repeated id, or without id, stay apart; rows equal in both are one document, of which the
+near-dedup stage keeps one row.
 """
 
 from __future__ import annotations
@@ -21,10 +22,15 @@ from quarry.operators.common import materialize
 WORD = r"[^\x20\x09-\x0D]"
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """``docs`` without the ids of ``rejected``."""
-    bad = rejected.select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_key``, a number for each different id and text: the id itself, and for rows without id and
+    for all texts of a repeated id but one a hash of both from 2 ** 62 on, so that they come after all ids."""
+    text = F.xxhash64("text")
+    several = materialize(docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(text).alias("_first"), F.max(text).alias("_last"))
+                          .where("_first < _last").select(F.col("doc_id").alias("_id"), "_first"), "pipeline-repeated-ids")
+    late = F.lit(1 << 62) + F.xxhash64("doc_id", "text").bitwiseAND((1 << 62) - 1)
+    own = F.when(F.col("doc_id").isNull() | (text != F.col("_first")), late).otherwise(F.col("doc_id").cast("long"))
+    return docs.join(several, F.col("doc_id") == F.col("_id"), "left").select(*[f"`{c}`" for c in docs.columns], own.alias("_key"))
 
 
 def _matched(docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -42,19 +48,25 @@ def _with_text(docs: DataFrame, columns: list[str], text: F.Column) -> DataFrame
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    return _without(docs, quality(docs).where("not kept"))
+    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))  # equal texts get equal verdicts
+    bad = quality(keyed, id_col="_key").where("not kept").select("_key").distinct()
+    return keyed.join(bad, "_key", "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: five-word shingles, similarity 0.8."""
-    return _without(docs, near_duplicates(docs, k=5, pct=80).where("not kept"))
+    keyed = _keyed(docs)
+    kept = near_duplicates(keyed, k=5, pct=80, id_col="_key").where("kept").select("_key").distinct()
+    return keyed.dropDuplicates(["_key"]).join(kept, "_key", "left_semi").select(*[f"`{c}`" for c in docs.columns])
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 words that an earlier document has go; texts without removals stay as they are.
     A document of which nothing is left goes."""
-    found = remove_repeats(docs, window=50, longest=False).where("n_removed > 0").select("doc_id", "text_hash", "kept_text")
-    out = _with_text(_matched(docs, found).where("kept_text is null or kept_text <> ''"), docs.columns, F.coalesce("kept_text", "text"))
+    keyed = _keyed(docs)
+    found = (remove_repeats(keyed, window=50, id_col="_key", longest=False).where("n_removed > 0")
+             .select("_key", "kept_text").dropDuplicates(["_key"]))
+    out = _with_text(keyed.join(found, "_key", "left").where("kept_text is null or kept_text <> ''"), docs.columns, F.coalesce("kept_text", "text"))
     return out
 
 

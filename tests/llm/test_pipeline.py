@@ -48,6 +48,31 @@ def test_stages(spark, small):
     assert collections.Counter(r["doc_id"] for r in packed if r["piece"] == 0) == collections.Counter(d for d, _ in rows_of(clean))
 
 
+def test_rows_without_id_and_of_repeated_ids(spark, texts):
+    stages = dict(corpus_pipeline.STAGES)
+    long = [t for d, t in texts if d is not None and len(brute.words(t)) >= 100][:6]
+    a, b, c = ("%s %s" % (w, t) for w, t in zip(("alpha", "beta", "gamma"), long))
+    passage = " ".join("p%d" % i for i in range(60))
+    table = lambda rows: spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    out = lambda name, rows: sorted(rows_of(stages[name](spark, table(rows), "")), key=str)
+    alone = out("quality_rules", [(i, x) for i, x in enumerate((a, b, c))])
+    clean = [t for _, t in alone]
+    assert len(clean) >= 2
+    # a rejected row takes no other of its id along
+    rows = [(None, x) for x in clean] + [(7, clean[0])]
+    assert out("quality_rules", [*rows, (None, None), (None, "few words"), (7, "")]) == sorted(rows, key=str)
+    # one row of each near-duplicate: repeats of a row, copies without id, texts of one id
+    rows = [(None, a), (None, a), (None, b), (5, a), (5, a), (5, c), (9, c), (None, b + " end")]
+    got = out("minhash_near_dedup", rows)
+    assert sorted(x[1].split()[0] for x in got) == ["alpha", "beta", "gamma"] and (5, a) in got
+    assert [d for d, t in got if t.startswith("beta")] == [None]
+    # passages go from rows without id, and from the second text of an id
+    got = out("substring_dedup", [(1, "one " + passage), (None, "null " + passage), (2, "two " + passage), (2, "too " + passage)])
+    assert sorted(t for _, t in got) == sorted(["one " + passage, "null", "two", "too"])
+    got = out("substring_dedup", [(2, "two " + passage), (2, "too " + passage)])
+    assert sorted(len(t.split()) for _, t in got) == [1, 61]
+
+
 def test_stages_on_nothing(spark, small):
     docs = small.where("false")
     for _, stage in corpus_pipeline.STAGES:
