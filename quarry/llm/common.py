@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quarry.sources.io import scratch_path
 
-__all__ = ["id_text", "materialize", "connected_components", "small_batches"]
+__all__ = ["id_text", "materialize", "connected_components", "small_batches", "integer_vectors", "integer_matrix", "attach"]
 
 
 def id_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -82,3 +82,38 @@ def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:
     if labels is None:
         return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return labels
+
+
+def integer_vectors(vectors: DataFrame, id_col: str, vector_col: str, scale: int, shift: int, *more) -> DataFrame:
+    """(``_id``, ``x``: floor(scale * component) + shift as longs, ...) of the rows whose vector is not null and
+    holds no null or non-finite component; other columns only as given in ``more``."""
+    v = F.col(f"`{vector_col}`").cast("array<double>")
+    odd = F.exists(v, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
+    return (vectors.where(F.col(f"`{vector_col}`").isNotNull() & ~odd)
+            .select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.transform(v, lambda c: F.floor(c * F.lit(float(scale))) + F.lit(shift)).alias("x"), *more))
+
+
+def integer_matrix(column: pa.Array, width: int, fill: int = 0) -> np.ndarray:
+    """The lists of longs as rows of one matrix; shorter lists are filled up."""
+    sizes = np.asarray(pc.fill_null(pc.list_value_length(column), 0), np.int64)
+    flat = np.asarray(column.flatten(), np.int64)
+    if (sizes == width).all():
+        return flat.reshape(len(sizes), width)
+    out = np.full((len(sizes), width), fill, np.int64)
+    out[np.arange(width) < sizes[:, None]] = flat
+    return out
+
+
+def attach(rows: DataFrame, per_key: DataFrame, keys: list[str], count: str, share: int = 1024) -> DataFrame:
+    """``rows`` left-joined, null-safe, with ``per_key``: one written row per key, ``count`` its number of rows in
+    ``rows``. Keys with more than 1/``share`` of all rows, fewer than ``share`` by this rule, are broadcast, so
+    that their rows stay where they are; the others meet by a shuffle in which none is hot."""
+    total = per_key.agg(F.sum(count)).first()[0] or 0
+    hot = F.col(count) > total // share
+    other = per_key.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in per_key.columns if c not in (*keys, count)], hot.alias("_hot"))
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    few, rest = F.broadcast(other.where("_hot").drop("_hot")), other.where("not _hot").drop("_hot")
+    out = rows.join(few, on).unionByName(rows.join(few, on, "left_anti").join(rest, on, "left"))
+    return out.drop(*[f"_k_{k}" for k in keys])

@@ -108,3 +108,43 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
        NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND 1 / (1 + exp(-({odds("em")}))) >= 0.5 AS kept
 FROM voted, em WHERE em.it = {quality.ROUNDS}
 """
+
+CODES = """
+WITH kept AS (SELECT vec_id, label, list_transform(embedding, lambda e: CAST(floor(256 * e::DOUBLE) AS BIGINT)) AS x FROM embeddings
+              WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+parts AS (SELECT vec_id, label, p AS part, x[p * (len(x) // 16) + 1:(p + 1) * (len(x) // 16)] AS x FROM kept, unnest(range(16)) AS t(p)),
+firsts AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept ORDER BY vec_id LIMIT 64),
+c0 AS (SELECT part, entry, x FROM parts JOIN firsts USING (vec_id)),
+a1 AS (SELECT vec_id, label, part, x, arg_min(entry, (d, entry)) AS entry, min(d) AS d
+  FROM (SELECT p.vec_id, p.label, p.part, p.x, c.entry, list_sum(list_transform(list_zip(p.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d
+        FROM parts p JOIN c0 c USING (part)) q GROUP BY vec_id, label, part, x),
+s1 AS (SELECT part, entry, list(m ORDER BY pos) AS x FROM (
+  SELECT part, entry, pos, CAST(sum(v) AS BIGINT) // count(*) - CASE WHEN CAST(sum(v) AS BIGINT) % count(*) < 0 THEN 1 ELSE 0 END AS m
+  FROM (SELECT part, entry, unnest(x) AS v, unnest(range(len(x))) AS pos FROM a1) q GROUP BY part, entry, pos) q GROUP BY part, entry),
+c1 AS (SELECT b.part, b.entry, coalesce(s.x, b.x) AS x FROM c0 b LEFT JOIN s1 s USING (part, entry)),
+a2 AS (SELECT vec_id, label, part, x, arg_min(entry, (d, entry)) AS entry, min(d) AS d
+  FROM (SELECT p.vec_id, p.label, p.part, p.x, c.entry, list_sum(list_transform(list_zip(p.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d
+        FROM parts p JOIN c1 c USING (part)) q GROUP BY vec_id, label, part, x),
+s2 AS (SELECT part, entry, list(m ORDER BY pos) AS x FROM (
+  SELECT part, entry, pos, CAST(sum(v) AS BIGINT) // count(*) - CASE WHEN CAST(sum(v) AS BIGINT) % count(*) < 0 THEN 1 ELSE 0 END AS m
+  FROM (SELECT part, entry, unnest(x) AS v, unnest(range(len(x))) AS pos FROM a2) q GROUP BY part, entry, pos) q GROUP BY part, entry),
+c2 AS (SELECT b.part, b.entry, coalesce(s.x, b.x) AS x FROM c1 b LEFT JOIN s2 s USING (part, entry)),
+a3 AS (SELECT vec_id, label, part, x, arg_min(entry, (d, entry)) AS entry, min(d) AS d
+  FROM (SELECT p.vec_id, p.label, p.part, p.x, c.entry, list_sum(list_transform(list_zip(p.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d
+        FROM parts p JOIN c2 c USING (part)) q GROUP BY vec_id, label, part, x),
+rows AS (SELECT vec_id, label, string_agg(format('{:02x}', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a3 GROUP BY vec_id, label),
+books AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS h FROM c2)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256 FROM rows, books
+"""
+
+WARC = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b) AS n, sha256(b) AS k, sha1(b) AS h FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY k, n) AS first FROM d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         CAST(((('0x' || substr(h, CAST(10 * (i // 8) + 1 AS BIGINT), 10))::BIGINT >> CAST(35 - 5 * (i % 8) AS INTEGER)) & 31) + 1 AS BIGINT), 1)), '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f
+"""

@@ -87,3 +87,24 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.language_model import score
     return score(_table(spark, sf_dir, "documents"), modulus=7, held=2, order=2)
+
+
+@register(oracle_sql.CODES)
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.codes import compress, digest
+    coded, books = compress(_table(spark, sf_dir, "embeddings"))
+    return coded.withColumn("codebooks_sha256", F.lit(digest(books)))
+
+
+@register()
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.whitening import whiten
+    return whiten(_table(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation AS long)"))
+
+
+@register(oracle_sql.WARC)
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm import warc
+    folder = warc.archive_folder(spark)
+    warc.write_pages(_table(spark, sf_dir, "pages"), folder, min_bytes=0)
+    return warc.read_digests(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
