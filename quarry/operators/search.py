@@ -365,44 +365,16 @@ def vector_parity(a: DataFrame, b: DataFrame, id_col: str = "id", vec_col: str =
 
 def search_approx(queries: DataFrame, corpus: DataFrame, k: int, *, query_id: str = "query_id",
                   query_vec: str = "vector", id_col: str = "id", vec_col: str = "embedding",
-                  cells: int = 64, probes: int = 12, digits: int = 6) -> DataFrame:
-    """Approximate nearest neighbours by cells: ``query_id, id, score, rank``.
-
-    ``cells`` corpus vectors (those whose ids have the smallest md5) are the centres; every row belongs to its
-    most similar centre. A query is scored exactly against the rows of its ``probes`` most similar
-    cells only (the keyed block scorer), and the best k of them are the answer. The same input gives the
-    same cells. Only the centres, ``cells`` rows, are collected. Raise ``cells`` with the corpus, and ``probes``
-    for recall; the share of the corpus that a query reads is about probes / cells."""
-    spark = corpus.sparkSession
-    have = corpus.where(F.col(vec_col).isNotNull())
-    centres = [r[0] for r in have.select(F.col(vec_col).cast("array<double>").alias("v"), F.md5(F.col(id_col).cast("string")).alias("m"), id_col)
-               .orderBy("m", id_col).limit(cells).collect()]
-    if not centres:
-        return _empty_result(queries, corpus, query_id, id_col, None, k)
-    m = np.array(centres)
-    norm = np.linalg.norm(m, axis=1)
-    bc = spark.sparkContext.broadcast(m / np.where(norm > 0, norm, 1.0)[:, None])
-
-    def assign(df, idc, vc, n):
-        fields = T.StructType([df.schema[idc], df.schema[vc], T.StructField("_cell", T.IntegerType())])
-
-        def run(batches):
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                sims = np.round(_as_matrix(pdf[vc].to_numpy(), bc.value.shape[1], strict=True) @ bc.value.T, 9)
-                best = np.argsort(-sims, axis=1, kind="stable")[:, :n]
-                rows = np.repeat(np.arange(len(pdf)), best.shape[1])
-                out = pdf.iloc[rows].copy()
-                out["_cell"] = best.ravel().astype(np.int32)
-                yield out
-
-        return df.select(idc, vc).where(F.col(vc).isNotNull()).mapInPandas(run, fields)
-
-    hits = search(assign(queries, query_id, query_vec, min(probes, len(m))), assign(have, id_col, vec_col, 1), k, query_id=query_id,
-                  query_vec=query_vec, id_col=id_col, vec_col=vec_col, key="_cell", digits=digits)
-    w = Window.partitionBy(query_id).orderBy(F.col("score").desc(), F.col(id_col).asc())
-    return (hits.select(query_id, id_col, "score").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k))
+                  cells: int | None = None, probes: int | None = None, digits: int = 6) -> DataFrame:
+    """Approximate nearest neighbours: ``query_id, id, score, rank``, scores exact.
+
+    Trains an index over ``corpus`` in the shared folder and asks it. To ask the same corpus again, keep the
+    index (``vector_index.build``, ``open_index``, ``search_index``). Without ``probes`` they are measured for
+    the recall that ``vector_index.TARGET`` names."""
+    from quarry.operators import vector_index as vi
+    from quarry.sources.io import scratch_path
+    index = vi.build(corpus, scratch_path(corpus.sparkSession, "vector-index"), id_col, vec_col, cells)
+    return vi.search_index(queries, index, k, query_id=query_id, query_vec=query_vec, id_col=id_col, probes=probes, digits=digits)
 
 
 def compare_search(a: DataFrame, b: DataFrame, cps: DataFrame, topic: str = "topic", id_col: str = "id") -> DataFrame:

@@ -528,44 +528,6 @@ def r5(spark, d):
     return srch.nearest(q, fx.corpus(spark, d), fx.seeds(spark, d).select("id"))
 
 
-_CELLS_CTE = """
-centres AS (SELECT vec_id AS cid, embedding::DOUBLE[] AS v, row_number() OVER (ORDER BY md5(CAST(vec_id AS VARCHAR)), vec_id) AS n
-            FROM embeddings WHERE embedding IS NOT NULL QUALIFY n <= 64),
-cell_of AS (SELECT e.vec_id AS id, e.embedding::DOUBLE[] AS v, c.n AS cell,
-                   row_number() OVER (PARTITION BY e.vec_id ORDER BY round(list_cosine_similarity(e.embedding::DOUBLE[], c.v), 9) DESC, c.n) AS r
-            FROM embeddings e CROSS JOIN centres c QUALIFY r = 1),
-probe AS (SELECT q.query_id, q.topic, q.vector, c.n AS cell,
-                 row_number() OVER (PARTITION BY q.query_id ORDER BY round(list_cosine_similarity(q.vector, c.v), 9) DESC, c.n) AS r
-          FROM seed_queries q CROSS JOIN centres c QUALIFY r <= 12),
-approx AS (SELECT p.query_id, p.topic, x.id, round(list_cosine_similarity(p.vector, x.v), 6) AS score,
-                  row_number() OVER (PARTITION BY p.query_id ORDER BY round(list_cosine_similarity(p.vector, x.v), 6) DESC, x.id) AS rank
-           FROM probe p JOIN cell_of x ON x.cell = p.cell QUALIFY rank <= 50)
-"""
-
-
-@register("R6_search_approx", V("SELECT query_id, id, score, rank FROM approx WHERE query_id IN (SELECT query_id FROM seed_queries WHERE run = 1)", _CELLS_CTE))
-def r6(spark, d):
-    q = fx.seed_queries(spark, d, 1)
-    return srch.search_approx(q, fx.corpus(spark, d), 50)
-
-
-@register("R7_exact_against_approx", V("""
-SELECT c.topic, c.n_cps, coalesce(a.f, 0) AS found_a, coalesce(b.f, 0) AS found_b, coalesce(o.f, 0) AS overlap,
-       coalesce(a.f, 0) / c.n_cps AS recall_a, coalesce(b.f, 0) / c.n_cps AS recall_b
-FROM (SELECT topic, count(*) AS n_cps FROM (SELECT DISTINCT topic, id FROM eval_cps) x GROUP BY topic) c
-LEFT JOIN (SELECT topic, count(*) AS f FROM (SELECT DISTINCT topic, id FROM runs WHERE run = 1 AND rank <= 50) r
-           WHERE (topic, id) IN (SELECT topic, id FROM eval_cps) GROUP BY topic) a ON a.topic = c.topic
-LEFT JOIN (SELECT topic, count(*) AS f FROM (SELECT DISTINCT topic, id FROM one) r
-           WHERE (topic, id) IN (SELECT topic, id FROM eval_cps) GROUP BY topic) b ON b.topic = c.topic
-LEFT JOIN (SELECT x.topic, count(*) AS f FROM (SELECT DISTINCT topic, id FROM runs WHERE run = 1 AND rank <= 50) x
-           JOIN (SELECT DISTINCT topic, id FROM one) y ON x.topic = y.topic AND x.id = y.id GROUP BY x.topic) o ON o.topic = c.topic""",
-                                       RUNS_CTE + "," + _CELLS_CTE + ", one AS (SELECT * FROM approx WHERE query_id IN (SELECT query_id FROM seed_queries WHERE run = 1))"))
-def r7b(spark, d):
-    q = fx.seed_queries(spark, d, 1)
-    approx = srch.search_approx(q, fx.corpus(spark, d), 50).join(q.select("query_id", "topic"), "query_id")
-    return srch.compare_search(seed_runs(spark, d).filter("run = 1 and rank <= 50"), approx, fx.eval_cps(spark, d))
-
-
 @register("R7_compare_search", V("""
 SELECT c.topic, c.n_cps, coalesce(a.f, 0) AS found_a, coalesce(b.f, 0) AS found_b, coalesce(o.f, 0) AS overlap,
        coalesce(a.f, 0) / c.n_cps AS recall_a, coalesce(b.f, 0) / c.n_cps AS recall_b

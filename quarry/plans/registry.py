@@ -31,4 +31,4 @@ def load_all() -> None:
         importlib.import_module(f"quarry.plans.{mod}")
 
 
-MODULES = ["q_search", "q_clean", "q_embed", "q_rerank", "q_evaluate", "q_feedback", "q_topics", "q_sources"]
+MODULES = ["q_search", "q_clean", "q_embed", "q_rerank", "q_evaluate", "q_feedback", "q_topics", "q_sources", "q_index"]
