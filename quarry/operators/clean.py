@@ -76,7 +76,8 @@ def match_titles(left: DataFrame, right: DataFrame, min_sim: float = 0.995, appr
     Exact (default): the blocked search with k = 1.  ``approx=True`` looks only
     into the cells nearest to a left row (for a large right side); every pair it
     returns is a true pair above the threshold with its exact score, but a best
-    partner in another cell can be missed."""
+    partner in another cell can be missed. For a high threshold and a large left side, ``metric_join.best_partners``
+    gives the exact answer without collecting either."""
     from quarry.operators.search import search, search_approx
     if approx:
         hits = search_approx(left, right, 1, **kw)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quarry.functions import text as tx
 from quarry.operators import clean as cl
 from quarry.operators import search as srch
+from quarry.operators.metric_join import best_partners
 from quarry.plans.q_search import _SEARCH_CTE
 from quarry.plans.registry import register
 from quarry.sources import fixtures as fx
@@ -121,6 +122,23 @@ def c11(spark, d):
     return cl.match_titles(q, corpus, 0.3)
 
 
+# A second encoding of the same titles: components in steps of 0.05.
+_C11_COARSE = "list_transform(embedding, lambda e: floor(20 * e::DOUBLE + 0.5) / 20)"
+
+
+@register("C11_match_core_titles", V(f"""
+SELECT query_id, id, score FROM (
+  SELECT a.id AS query_id, b.id, round(list_cosine_similarity(e.embedding::DOUBLE[], b.v), 6) AS score,
+         row_number() OVER (PARTITION BY a.id ORDER BY round(list_cosine_similarity(e.embedding::DOUBLE[], b.v), 6) DESC, b.id) AS rn
+  FROM eval_cps a JOIN embeddings e ON e.vec_id = a.id CROSS JOIN (SELECT vec_id AS id, {_C11_COARSE} AS v FROM embeddings) b) x
+WHERE rn = 1 AND score > 0.995"""))
+def c11_cores(spark, d):
+    """Every core publication against a second, coarser encoding of all rows at 0.995, by the metric join."""
+    cores = fx.eval_cps(spark, d).select("id").join(fx.corpus(spark, d), "id").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
+    coarse = fx.corpus(spark, d).select("id", F.transform("embedding", lambda e: F.floor(e.cast("double") * 20 + 0.5) / F.lit(20.0)).alias("embedding"))
+    return best_partners(cores, coarse, 0.995)
+
+
 @register("C12_missing_ids", """
 SELECT vec_id AS id, 'a_not_b' AS direction FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents)
 UNION ALL

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quarry.functions import text as tx
 from quarry.functions.vectors import round_half_away
 from quarry.operators import evaluate as ev
 from quarry.operators import feedback as fb
+from quarry.operators.common import materialize
 from quarry.plans.q_evaluate import RUNS_CTE, seed_runs
 from quarry.plans.q_rerank import base_run
 from quarry.plans.registry import register
@@ -25,8 +27,10 @@ def pool_vectors(spark, d):
     return p.join(fx.corpus(spark, d), "id")
 
 
-def reviewed(spark, d):
-    return pool(spark, d).filter(F.col("rank") <= REVIEWED).select("topic", "id", "included")
+def _topic_pool(spark, d):
+    """The topics' candidates, searched and written once, with those already screened."""
+    p = materialize(pool(spark, d), "topic-pool")
+    return p, p.filter(F.col("rank") <= REVIEWED).select("topic", "id", "included")
 
 
 POOL_CTE = RUNS_CTE + """,
@@ -79,14 +83,16 @@ SELECT topic, id, score, rank FROM (
     WHERE p.rank > """ + str(REVIEWED) + """) s) r
 WHERE rank <= 5""", POOL_CTE))
 def f4(spark, d):
-    pv = pool_vectors(spark, d).select("topic", "id", "embedding")
-    return fb.rank_by_feedback(pv, reviewed(spark, d), 5).select("topic", "id", "score", "rank")
+    p, lab = _topic_pool(spark, d)
+    pv = p.select("topic", "id").join(fx.corpus(spark, d), "id").select("topic", "id", "embedding")
+    return fb.rank_by_feedback(pv, lab, 5).select("topic", "id", "score", "rank")
 
 
 def _one_review(spark, d):
     """All topics' candidates as one review (the labels of every topic count)."""
-    pv = pool_vectors(spark, d).select("id", "embedding").dropDuplicates(["id"])
-    lab = reviewed(spark, d).groupBy("id").agg(F.max("included").alias("included"))
+    p, lab = _topic_pool(spark, d)
+    pv = p.join(fx.corpus(spark, d), "id").select("id", "embedding").dropDuplicates(["id"])
+    lab = lab.groupBy("id").agg(F.max("included").alias("included"))
     return pv, lab
 
 
@@ -110,11 +116,95 @@ def f5_mlp(spark, d):
 
 @register("F6_rank_by_text")
 def f6(spark, d):
-    p = pool(spark, d).select("id", F.concat_ws(" ", "title", "abstract").alias("text")).dropDuplicates(["id"])
-    lab = reviewed(spark, d).groupBy("id").agg(F.max("included").alias("included"))
+    p, lab = _topic_pool(spark, d)
+    p = p.select("id", F.concat_ws(" ", "title", "abstract").alias("text")).dropDuplicates(["id"])
+    lab = lab.groupBy("id").agg(F.max("included").alias("included"))
     return fb.rank_by_text(p, lab, 10)
 
 
+def _by_topic(spark, d, kind):
+    p, lab = _topic_pool(spark, d)
+    pv = p.select("topic", "id").join(fx.corpus(spark, d), "id")
+    return fb.rank_topics_by_classifier(pv, lab, kind, 10)
+
+
+# Fisher's discriminant in SQL: the regularised scatter S of a topic, then S w = difference of means by conjugate gradients.
+LDA_CTE = """,
+lrow AS (SELECT l.topic, l.included AS c, p.v FROM lab l JOIN pv p ON p.topic = l.topic AND p.id = l.id),
+lcount AS (SELECT topic, sum(c) AS n1, sum(1 - c) AS n0 FROM lrow GROUP BY topic HAVING sum(c) > 0 AND sum(1 - c) > 0),
+lmean AS (SELECT topic, c, list(m ORDER BY i) AS m FROM (
+            SELECT topic, c, i, avg(x) AS m FROM (SELECT topic, c, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM lrow) u GROUP BY topic, c, i) g GROUP BY topic, c),
+ldev AS (SELECT r.topic, list_transform(list_zip(r.v, m.m), lambda z: z[1] - z[2]) AS z FROM lrow r JOIN lmean m ON m.topic = r.topic AND m.c = r.c JOIN lcount n ON n.topic = r.topic),
+lcell AS (SELECT topic, i, j, sum(z[i] * z[j]) / count(*) AS s FROM ldev, range(1, 65) a(i), range(1, 65) b(j) GROUP BY topic, i, j),
+ltrace AS (SELECT topic, sum(s) / count(*) AS t FROM lcell WHERE i = j GROUP BY topic),
+lmat AS (SELECT topic, list(a ORDER BY i) AS a FROM (
+           SELECT c.topic, i, list(0.9::DOUBLE * s + CASE WHEN i = j THEN 0.1::DOUBLE * t ELSE 0 END ORDER BY j) AS a FROM lcell c JOIN ltrace USING (topic) GROUP BY c.topic, i) r GROUP BY topic),
+lsys AS (SELECT p.topic, a, list_transform(list_zip(p.m, q.m), lambda z: z[1] - z[2]) AS b FROM lmean p JOIN lmean q ON q.topic = p.topic AND q.c = 0 JOIN lmat t ON t.topic = p.topic WHERE p.c = 1),
+cg(topic, it, x, r, p) AS (
+  SELECT topic, 0, list_transform(b, lambda e: 0::DOUBLE), b, b FROM lsys
+  UNION ALL
+  SELECT topic, it + 1, x, r, list_transform(list_zip(r, p), lambda z: z[1] + CASE WHEN old > 1e-300 THEN list_dot_product(r, r) / old ELSE 0 END * z[2]) FROM (
+    SELECT topic, it, list_transform(list_zip(x, p), lambda z: z[1] + al * z[2]) AS x, list_transform(list_zip(r, ap), lambda z: z[1] - al * z[2]) AS r, p, old FROM (
+      SELECT topic, it, x, r, p, ap, old, CASE WHEN list_dot_product(p, ap) > 1e-300 THEN old / list_dot_product(p, ap) ELSE 0 END AS al FROM (
+        SELECT g.topic, it, x, r, p, list_dot_product(r, r) AS old, list_transform(s.a, lambda e: list_dot_product(e, p)) AS ap
+        FROM cg g JOIN lsys s ON s.topic = g.topic WHERE it < 40) q1) q2) q3),
+lda AS (SELECT g.topic, g.x AS w, ln(n1 / n0) - list_dot_product(g.x, list_transform(list_zip(p.m, q.m), lambda z: (z[1] + z[2]) / 2)) AS b
+        FROM cg g JOIN lcount n ON n.topic = g.topic JOIN lmean p ON p.topic = g.topic AND p.c = 1 JOIN lmean q ON q.topic = g.topic AND q.c = 0 WHERE it = 40)
+"""
+
+
+@register("F5_rank_by_discriminant", V("""
+SELECT topic, id, score, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY topic ORDER BY score DESC, id) AS rank FROM (
+    SELECT p.topic, p.id, round(list_dot_product(l.w, p.v) + l.b, 6) AS score FROM pv p JOIN lda l ON l.topic = p.topic WHERE p.rank > """ + str(REVIEWED) + """) s) r
+WHERE rank <= 10""", POOL_CTE + LDA_CTE).replace("WITH ", "WITH RECURSIVE ", 1))
+def f5_lda(spark, d):
+    """Each topic's own discriminant ranks its candidates that are not screened yet."""
+    return _by_topic(spark, d, "lda")
+
+
+@register("F5_topics_svm")
+def f5_topics_svm(spark, d):
+    return _by_topic(spark, d, "svm")
+
+
+@register("F5_topics_mlp")
+def f5_topics_mlp(spark, d):
+    return _by_topic(spark, d, "mlp")
+
+
+@register("F5_topics_gbt")
+def f5_topics_gbt(spark, d):
+    return _by_topic(spark, d, "gbt")
+
+
+@register("F6_rank_topics_by_text", V(f"""
+SELECT topic, id, score, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY topic ORDER BY score DESC, id) AS rank FROM (
+    SELECT p.topic, p.id, round(coalesce(s.s, 0), 6) AS score FROM pool p JOIN tboth b ON b.topic = p.topic
+    LEFT JOIN (SELECT x.topic, x.id, sum(x.x * (coalesce(w.w, 0) + t.o)) AS s FROM tx x JOIN ttot t ON t.topic = x.topic
+               LEFT JOIN tw w ON w.topic = x.topic AND w.term = x.term GROUP BY x.topic, x.id) s ON s.topic = p.topic AND s.id = p.id
+    WHERE p.rank > {REVIEWED}) z) r
+WHERE rank <= 10""", POOL_CTE + f""",
+ttf AS (SELECT topic, id, term, count(*) AS tf FROM (SELECT topic, id, unnest({tx.sql_tokens("concat_ws(' ', title, abstract)")}) AS term FROM pool) u GROUP BY topic, id, term),
+tn AS (SELECT topic, count(*) AS n FROM pool GROUP BY topic),
+tidf AS (SELECT f.topic, term, ln((1 + n) / (1 + count(*))) + 1 AS idf FROM ttf f JOIN tn ON tn.topic = f.topic GROUP BY f.topic, term, n),
+traw AS (SELECT f.topic, id, f.term, tf * idf AS x FROM ttf f JOIN tidf i ON i.topic = f.topic AND i.term = f.term),
+tx AS (SELECT r.topic, r.id, term, x / norm AS x FROM traw r JOIN (SELECT topic, id, sqrt(sum(x * x)) AS norm FROM traw GROUP BY topic, id) n ON n.topic = r.topic AND n.id = r.id),
+tboth AS (SELECT topic, sum(included) AS pos, sum(1 - included) AS neg FROM lab GROUP BY topic HAVING sum(included) > 0 AND sum(1 - included) > 0),
+tc AS (SELECT x.topic, term, sum(CASE WHEN included = 1 THEN x * (pos + neg) / 2 / pos ELSE 0 END) AS p, sum(CASE WHEN included = 0 THEN x * (pos + neg) / 2 / neg ELSE 0 END) AS q
+       FROM tx x JOIN lab l ON l.topic = x.topic AND l.id = x.id JOIN tboth b ON b.topic = x.topic GROUP BY x.topic, term),
+ttot AS (SELECT b.topic, ln((coalesce(q, 0) + {fb.NB_ALPHA}::DOUBLE * v) / (coalesce(p, 0) + {fb.NB_ALPHA}::DOUBLE * v)) AS o FROM tboth b
+         LEFT JOIN (SELECT topic, sum(p) AS p, sum(q) AS q FROM tc GROUP BY topic) s ON s.topic = b.topic
+         JOIN (SELECT topic, count(*) AS v FROM tidf GROUP BY topic) v ON v.topic = b.topic),
+tw AS (SELECT topic, term, ln((p + {fb.NB_ALPHA}::DOUBLE) / (q + {fb.NB_ALPHA}::DOUBLE)) AS w FROM tc)
+"""))
+def f6_topics(spark, d):
+    """Each topic's own word weights rank its candidates that are not screened yet."""
+    p, lab = _topic_pool(spark, d)
+    return fb.rank_topics_by_text(p.select("topic", "id", F.concat_ws(" ", "title", "abstract").alias("text")), lab, 10)
+
+
 CURVE_CTE = RUNS_CTE + """,
 spine AS (SELECT p.run, p.topic, i FROM (SELECT DISTINCT run, topic FROM runs) p, range(0, 100) t(i)),
 hits AS (SELECT r.run, r.topic, r.rank FROM runs r JOIN eval_cps c ON c.topic = r.topic AND c.id = r.id),
