@@ -298,8 +298,9 @@ def curve_points(curve: DataFrame, every: int | None = None, ks=None, k_col: str
 
 def score_histogram(scores: DataFrame, value: str = "score", by: list[str] | None = None, bins: int = 2000,
                     lo: float = 0.0, hi: float = 1.0) -> DataFrame:
-    """Counts per bin (last bin closed) and key."""
+    """Counts per bin (last bin closed) and key; values outside ``lo`` to ``hi`` belong to no bin."""
     by = by or []
+    scores = scores.where(F.col(value).between(lo, hi))
     b = F.least(F.floor((F.col(value) - lo) / (hi - lo) * bins), F.lit(bins - 1)).cast("int")
     return scores.groupBy(*by, b.alias("bin")).agg(F.count("*").alias("n"))
 

@@ -109,6 +109,21 @@ def e7(spark, d):
     return em.prompt_table(fx.works(spark, d), "title", "source", "similar_doc", 3)
 
 
+_E7_SQL = {k: "'" + v.replace("'", "''").replace("{field}", "' || source || '") + "'" for k, v in em.PROMPTS.items()}
+
+
+@register("E7_prompt_kinds", V(" UNION ALL ".join(f"""
+SELECT '{k}' AS kind, id, CAST(seed AS INTEGER) AS seed, {_E7_SQL[k]} AS system, abstract AS user
+FROM works, (SELECT unnest(range(42, 44)) AS seed)""" for k in em.PROMPTS)))
+def e7_kinds(spark, d):
+    """Requests of every kind for every work."""
+    out = None
+    for kind in em.PROMPTS:
+        own = em.prompt_table(fx.works(spark, d), "abstract", "source", kind, 2).select(F.lit(kind).alias("kind"), "*")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 @register("E8_parse_publications", V(f"""
 SELECT id, {tx.sql_render('indented', 'title', 'abstract')} AS text FROM works"""))
 def e8(spark, d):

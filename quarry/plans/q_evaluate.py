@@ -5,12 +5,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quarry.functions import text as tx
 from quarry.functions.vectors import round_half_away
 from quarry.operators import embed as em
 from quarry.operators import evaluate as ev
+from quarry.operators import rerank
 from quarry.operators import search as srch
 from quarry.operators.common import materialize
-from quarry.plans.q_rerank import METHODS_CTES, _methods
+from quarry.operators.topic_run import topic_search_run as topic_search_run_with_texts
+from quarry.plans.q_embed import CFG_SQL, topic_config
+from quarry.plans.q_rerank import METHODS_CTES, _methods, bm25_sql, methods_of
 from quarry.plans.q_search import _SEARCH_CTE
 from quarry.plans.registry import register
 from quarry.sources import fixtures as fx
@@ -60,11 +64,16 @@ LEFT JOIN (SELECT {hk}, {count} AS n_found
            JOIN eval_cps t ON t.topic = h.topic AND t.id = h.id GROUP BY {hk}) f ON {on}"""
 
 
-def core_runs(spark, d, k=K_RUN):
-    """Every core publication of a topic as a query: ``topic, core_id, id, score, rank``."""
+def core_runs(spark, d, k=K_RUN, with_seed=False):
+    """Every core publication of a topic as a query: ``topic, core_id, id, score, rank``; ``with_seed``: its mean
+    with the topic's first core publication."""
     c = fx.corpus(spark, d)
     cores = fx.eval_cps(spark, d).select("topic", "id")
-    q = c.join(cores, "id").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
+    q = c.join(cores, "id").select("topic", F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
+    if with_seed:
+        seed = fx.seed_queries(spark, d, 1).select("topic", F.col("vector").alias("seed"))
+        q = q.join(seed, "topic").withColumn("vector", F.zip_with("vector", "seed", lambda a, b: (a.cast("double") + b.cast("double")) / 2))
+    q = q.select("query_id", "vector")
     return srch.search(q, c, k).join(cores.select("topic", F.col("id").alias("query_id")), "query_id").withColumnRenamed("query_id", "core_id")
 
 
@@ -86,14 +95,6 @@ effect AS (
              FROM (SELECT DISTINCT topic, core_id, id FROM core_runs) r
              JOIN eval_cps t ON t.topic = r.topic AND t.id = r.id GROUP BY r.topic, r.core_id) f
     ON f.topic = q.topic AND f.core_id = q.core_id
-  LEFT JOIN ncps c ON c.topic = q.topic),
-effect50 AS (
-  SELECT q.topic, q.core_id, round(coalesce(f.n, 0) / c.n_cps, 2) AS recall
-  FROM (SELECT DISTINCT topic, core_id FROM core_runs) q
-  LEFT JOIN (SELECT r.topic, r.core_id, count(t.title) AS n
-             FROM (SELECT DISTINCT topic, core_id, id FROM core_runs WHERE rank <= 50) r
-             JOIN eval_cps t ON t.topic = r.topic AND t.id = r.id GROUP BY r.topic, r.core_id) f
-    ON f.topic = q.topic AND f.core_id = q.core_id
   LEFT JOIN ncps c ON c.topic = q.topic)
 """
 
@@ -260,7 +261,7 @@ def m11c(spark, d):
 
 @register("M19_score_histogram", V("""
 SELECT model, CAST(least(floor((abs(score) - 0.0) / (1.0 - 0.0) * 2000), 1999) AS INTEGER) AS bin, count(*) AS n
-FROM mscores GROUP BY ALL""", MODEL_CTE))
+FROM mscores WHERE abs(score) BETWEEN 0 AND 1 GROUP BY ALL""", MODEL_CTE))
 def m19(spark, d):
     s = ev.minmax_score(model_scores(spark, d))
     return ev.score_histogram(s, "cos_abs", ["model"], bins=2000)
@@ -311,7 +312,21 @@ def m9(spark, d):
     return ev.quartile_means(effect(spark, d))
 
 
-CMP_CTE = EFFECT_CTE + """,
+CMP_CTE = EFFECT_CTE + f""",
+prompt_runs AS (
+  SELECT topic, core_id, id, row_number() OVER (PARTITION BY core_id ORDER BY score DESC, id) AS rank FROM (
+    SELECT c.topic, c.id AS core_id, e.vec_id AS id,
+           round(list_cosine_similarity(list_transform(list_zip(v.embedding::DOUBLE[], s.vector), lambda z: (z[1] + z[2]) / 2), e.embedding::DOUBLE[]), 6) AS score
+    FROM eval_cps c JOIN embeddings v ON v.vec_id = c.id JOIN seed_queries s ON s.topic = c.topic AND s.run = 1 CROSS JOIN embeddings e) s
+  QUALIFY rank <= {K_RUN}),
+effect_b AS (
+  SELECT q.topic, q.core_id, round(coalesce(f.n, 0) / c.n_cps, 2) AS recall
+  FROM (SELECT DISTINCT topic, core_id FROM prompt_runs) q
+  LEFT JOIN (SELECT r.topic, r.core_id, count(t.title) AS n
+             FROM (SELECT DISTINCT topic, core_id, id FROM prompt_runs) r
+             JOIN eval_cps t ON t.topic = r.topic AND t.id = r.id GROUP BY r.topic, r.core_id) f
+    ON f.topic = q.topic AND f.core_id = q.core_id
+  LEFT JOIN ncps c ON c.topic = q.topic),
 cmp AS (
   SELECT a.topic, a.max_a, a.min_a, a.mean_a, b.max_b, b.min_b, b.mean_b,
          round(a.max_a - b.max_b, 9) AS diff_max, round(a.min_a - b.min_b, 9) AS diff_min,
@@ -319,15 +334,15 @@ cmp AS (
   FROM (SELECT topic, max(recall) AS max_a, min(recall) AS min_a, round(avg(recall), 9) AS mean_a
         FROM effect GROUP BY topic) a
   JOIN (SELECT topic, max(recall) AS max_b, min(recall) AS min_b, round(avg(recall), 9) AS mean_b
-        FROM effect50 GROUP BY topic) b
+        FROM effect_b GROUP BY topic) b
     ON a.topic = b.topic)
 """
 
 
 def _cmp(spark, d):
-    runs = materialize(core_runs(spark, d), "core-runs")  # read by both settings
+    """Two ways to ask with a core publication: alone, and together with the topic's first one."""
     cps = fx.eval_cps(spark, d)
-    return ev.compare_prompts(ev.core_effect(runs, cps), ev.core_effect(runs.filter("rank <= 50"), cps))
+    return ev.compare_prompts(ev.core_effect(core_runs(spark, d), cps), ev.core_effect(core_runs(spark, d, with_seed=True), cps))
 
 
 @register("M10_compare_prompts", V("SELECT * FROM cmp", CMP_CTE))
@@ -388,6 +403,54 @@ def m12b(spark, d):
     return rnd(ev.grid_summary(per, "run"), "recall")
 
 
+VARIANT_CTE = CFG_SQL.strip() + """,
+gridq AS (SELECT q.topic, q.rq_count, h.has_text, q.include_sub,
+                 q.topic * 16 + CASE q.rq_count WHEN 1 THEN 0 WHEN 3 THEN 4 WHEN 5 THEN 8 ELSE 12 END + CASE WHEN h.has_text THEN 2 ELSE 0 END + CASE WHEN q.include_sub THEN 1 ELSE 0 END AS query_id,
+                 CASE WHEN h.has_text THEN 'Research Questions:' || chr(10) || q.questions || ' [SEP] Supporting Documents:' || chr(10) || ' ' || b.text ELSE q.questions END AS query
+          FROM qblock q CROSS JOIN (SELECT unnest([true, false]) AS has_text) h JOIN benchmark b ON b.item_id = q.topic
+          WHERE q.rq_count IN (1, 3, 5, 100) AND q.topic IN (SELECT topic FROM eval_cps)),
+ncps AS (SELECT topic, count(*) AS n_cps FROM eval_cps GROUP BY topic),""" + bm25_sql(
+    "(SELECT 0 AS g, doc_id AS id, text FROM documents)", "(SELECT 0 AS g, query_id, query FROM gridq)", "v", K_RUN).rstrip() + """,
+vrun AS (SELECT g.rq_count, g.has_text, g.include_sub, g.topic, r.id, r.rank FROM v_ranked r JOIN gridq g ON g.query_id = r.query_id)
+"""
+
+
+def variant_runs(spark, d):
+    """E5 -> R9: the sixteen query variants of every topic that has core publications, each asked as keywords over all documents."""
+    topics = fx.eval_cps(spark, d).select(F.col("topic").cast("long").alias("topic")).distinct()
+    texts = fx.table(spark, d, "benchmark").select(F.col("item_id").alias("topic"), "text")
+    grid = em.query_grid(topic_config(spark, d).join(topics, "topic", "left_semi"), texts)
+    step = F.when(F.col("rq_count") == 1, 0).when(F.col("rq_count") == 3, 4).when(F.col("rq_count") == 5, 8).otherwise(12)
+    grid = materialize(grid.withColumn("query_id", F.col("topic") * 16 + step + F.col("has_text").cast("int") * 2 + F.col("include_sub").cast("int")), "query-grid")
+    docs = fx.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    hits = rerank.bm25_plus(grid.select("query_id", "query"), docs, K_RUN)
+    return hits.join(grid.select("query_id", F.col("topic").cast("int").alias("topic"), "rq_count", "has_text", "include_sub"), "query_id")
+
+
+VARIANT = ["rq_count", "has_text", "include_sub"]
+
+
+@register("M12_variant_recall", V("SELECT rq_count, has_text, include_sub, topic, n_cps, n_found, recall FROM (" +
+                                  recall_sql("vrun", VARIANT, count="count(t.title)") + ") x", VARIANT_CTE))
+def m12_variants(spark, d):
+    """Recall of the sixteen variants per topic."""
+    return ev.grid_recall(variant_runs(spark, d), fx.eval_cps(spark, d), VARIANT)
+
+
+@register("M12_variant_summary", V("""
+SELECT 'rq_count' AS setting, CAST(rq_count AS VARCHAR) AS value, round(avg(recall), 9) AS recall FROM (
+  SELECT rq_count, topic, avg(recall) AS recall FROM rec WHERE NOT has_text GROUP BY rq_count, topic) y GROUP BY rq_count
+UNION ALL
+SELECT 'include_sub', CAST(include_sub AS VARCHAR), round(avg(recall), 9) FROM (
+  SELECT include_sub, topic, avg(recall) AS recall FROM rec WHERE NOT has_text GROUP BY include_sub, topic) y GROUP BY include_sub""",
+                                     VARIANT_CTE + ", rec AS (" + recall_sql("vrun", VARIANT, count="count(t.title)") + ")"))
+def m12_variant_summary(spark, d):
+    """Mean recall by number of questions and by sub-questions, of the variants without text."""
+    per = materialize(ev.grid_recall(variant_runs(spark, d), fx.eval_cps(spark, d), VARIANT), "variant-recall")
+    out = [rnd(ev.grid_summary(per, by), "recall").select(F.lit(by).alias("setting"), F.col(by).cast("string").alias("value"), "recall") for by in ("rq_count", "include_sub")]
+    return out[0].unionByName(out[1])
+
+
 @register("M13_paired_recall", V("""
 SELECT coalesce(CAST(topic AS VARCHAR), 'Average') AS topic, round(avg(n_cps), 9) AS n_cps,
        round(avg(found_real), 9) AS found_real, round(avg(recall_real), 9) AS recall_real,
@@ -436,15 +499,19 @@ def m14(spark, d):
 SELECT method, coalesce(CAST(topic AS VARCHAR), 'Average') AS topic, round(avg(recall), 9) AS recall,
        topic IS NULL AS is_average FROM (
   SELECT method, topic, avg(recall) AS recall FROM (""" + recall_sql(
-    "(SELECT 'f1' AS file, * FROM (SELECT topic, method, id, rank FROM methods UNION ALL "
-    "SELECT topic, 'rrf', id, rank FROM fused WHERE rank <= 50) u)", ["file", "method"]) + """) x
+    "(" + " UNION ALL ".join(f"SELECT 'f{r}' AS file, * FROM (SELECT topic, method, id, rank FROM methods_{r} UNION ALL "
+                             f"SELECT topic, 'rrf', id, rank FROM fused_{r} WHERE rank <= 50) u{r}" for r in (1, 2, 3)) + ")", ["file", "method"]) + """) x
   GROUP BY method, topic) y
-GROUP BY ROLLUP (method, topic) HAVING method IS NOT NULL""", M14_CTE))
+GROUP BY ROLLUP (method, topic) HAVING method IS NOT NULL""", _SEARCH_CTE + "".join(methods_of(r) for r in (1, 2, 3)) + """,
+ncps AS (SELECT topic, count(*) AS n_cps FROM eval_cps GROUP BY topic)"""))
 def m15(spark, d):
+    """Three files of reranked runs, one per seed run."""
     from quarry.operators import rerank as rr
-    _, methods = _methods(spark, d)
-    long = rr.rerank_all(methods, 50).withColumn("file", F.lit("f1"))
-    return rnd(ev.method_recall(long, fx.eval_cps(spark, d)), "recall")
+    long = None
+    for r in (1, 2, 3):
+        own = rr.rerank_all(_methods(spark, d, r)[1], 50).withColumn("file", F.lit(f"f{r}"))
+        long = own if long is None else long.unionByName(own)
+    return rnd(ev.method_recall(materialize(long, "reranked-files"), fx.eval_cps(spark, d)), "recall")
 
 
 @register("M16_availability", V("""
@@ -594,3 +661,18 @@ def topic_search_run(spark, d, eff, k):
         "query_id", "topic")
     return hits.join(fx.works(spark, d).select("id", "title"), "id", "left").select(
         "topic", "id", "score", "rank", "title")
+
+
+@register("R18_run_with_texts", V(f"""
+SELECT h.topic, h.id, h.score, h.rank,
+       'Research Questions:' || chr(10) || q.questions || ' [SEP] Supporting Documents:' || chr(10) || ' ' || ({tx.sql_render('core', 'c.title', 'c.abstract')}) AS query,
+       {tx.sql_render('run', 'w.title', 'w.abstract')} AS text
+FROM hits h JOIN best b ON b.topic = h.topic LEFT JOIN eval_cps c ON c.id = b.core_id AND c.topic = b.topic
+LEFT JOIN qblock q ON q.topic = h.topic AND q.rq_count = 2 AND q.include_sub LEFT JOIN works w ON w.id = h.id""", R18_CTE + "," + CFG_SQL.strip()))
+def r18_texts(spark, d):
+    """The whole run table: questions with the best core publication as query, and the texts of the hits."""
+    cps = fx.eval_cps(spark, d)
+    texts = fx.works(spark, d).select("id", tx.render_text("title", "abstract", "run").alias("text"))
+    cfg = topic_config(spark, d).withColumn("topic", F.col("topic").cast("int"))
+    return topic_search_run_with_texts(effect(spark, d).select("topic", "core_id", "n_cores"), cps, cfg, fx.corpus(spark, d), texts, 50,
+                                       extra=fx.seeds(spark, d).filter("run = 1"), rq_count=2, include_sub=True)

@@ -216,7 +216,8 @@ curves AS (SELECT s.run, s.topic, CAST(s.i AS INTEGER) AS i,
 
 
 def curves(spark, d):
-    return fb.screening_curve(seed_runs(spark, d), fx.eval_cps(spark, d), 100, keys=["run"])
+    """The curves of all runs; the runs are searched and written once, as curves read them twice."""
+    return fb.screening_curve(materialize(seed_runs(spark, d), "seed-runs"), fx.eval_cps(spark, d), 100, keys=["run"])
 
 
 @register("F7_screening_curve", V("SELECT run, topic, i, recall FROM curves", CURVE_CTE))
@@ -226,14 +227,14 @@ def f7(spark, d):
 
 @register("F8_average_curves", V("""
 SELECT CAST(s.i AS BIGINT) AS k, round(avg(coalesce(c.recall, 1.0)), 9) AS recall
-FROM (SELECT t.topic, i FROM (SELECT DISTINCT topic FROM curves) t, range(0, 150) r(i)) s
-LEFT JOIN (SELECT c.topic, c.i, c.recall FROM curves c JOIN topick k ON k.topic = c.topic
-           WHERE c.run = 1 AND c.i < k.top_n) c ON c.topic = s.topic AND c.i = s.i
+FROM (SELECT t.run, t.topic, i FROM (SELECT DISTINCT run, topic FROM curves) t, range(0, 150) r(i)) s
+LEFT JOIN (SELECT c.run, c.topic, c.i, c.recall FROM curves c JOIN topick k ON k.topic = c.topic
+           WHERE c.i < k.top_n) c ON c.run = s.run AND c.topic = s.topic AND c.i = s.i
 GROUP BY s.i""", CURVE_CTE))
 def f8(spark, d):
     k = ev.topic_k(fx.slr_results(spark, d), fx.eval_cps(spark, d))
-    c = curves(spark, d).filter("run = 1").join(k, "topic").filter(F.col("i") < F.col("top_n"))
-    out = fb.average_curves(c.select("topic", "i", "recall"), 150)
+    c = curves(spark, d).join(k, "topic").filter(F.col("i") < F.col("top_n"))
+    out = fb.average_curves(c.select(F.struct("run", "topic").alias("curve"), "i", "recall"), 150, topic="curve")
     return out.withColumn("recall", round_half_away("recall", 9))
 
 

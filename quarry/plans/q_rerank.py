@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from quarry.functions import text as tx
@@ -58,9 +60,9 @@ def _run_texts(spark, d):
     return cl.with_text(fx.works(spark, d), "run").select("id", "text")
 
 
-def base_run(spark, d, k=100):
-    """Topic run: run-1 seed vector of each topic searched over the whole corpus, with texts."""
-    q = fx.seed_queries(spark, d, 1)
+def base_run(spark, d, k=100, run_no=1):
+    """Topic run: a seed vector of each topic (the first) searched over the whole corpus, with texts."""
+    q = fx.seed_queries(spark, d, run_no).filter(F.col("run") == run_no)
     hits = srch.search(q, fx.corpus(spark, d), k).join(q.select("query_id", "topic"), "query_id")
     run = srch.attach_text(hits, _run_texts(spark, d)).select("topic", "id", "score", "rank", "text")
     # the run feeds several rankers: write it once to the shared checkpoint folder
@@ -118,6 +120,31 @@ def r9(spark, d):
     return rr.bm25_plus(qs, docs, 10)
 
 
+STOP_WORDS = """a about above after again against all am an and any are as at be because been before being below between both but by
+can did do does doing down during each few for from further had has have having he her here hers him his how i if in into is it its
+just me more most my no nor not now of off on once only or other our out over own same she should so some such than that the their
+them then there these they this those through to too under until up very was we were what when where which while who whom why will
+with you your""".split()
+_STOP_SQL = "[" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "]"
+
+
+def _without_stop_words(ctes: str) -> str:
+    """The BM25 twin with the stop list: every token list is filtered."""
+    parts = re.split(r"(list_filter\(list_transform\(regexp_split_to_array\(.*?, lambda t: length\(t\) > 0\))", ctes)
+    return "".join(f"list_filter({x}, lambda t: NOT list_contains({_STOP_SQL}, t))" if x.startswith("list_filter(list_transform(regexp") else x for x in parts)
+
+
+@register("R9_bm25_plus_stop_words", "WITH " + _without_stop_words(bm25_sql(
+    "(SELECT 0 AS g, doc_id AS id, text FROM documents)",
+    "(SELECT 0 AS g, item_id AS query_id, text AS query FROM benchmark)", "b", 10).strip()) + """
+SELECT query_id, id, score, rank FROM b_ranked""")
+def r9_stop(spark, d):
+    """BM25Plus with a stop list that leaves queries and documents."""
+    docs = fx.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    qs = fx.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return rr.bm25_plus(qs, docs, 10, stop_words=STOP_WORDS)
+
+
 @register("R10_score_pairs", V(f"""
 SELECT topic, id, score, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY topic ORDER BY score DESC, id) AS rank FROM (
@@ -150,10 +177,10 @@ def r12(spark, d):
     return rr.rrf(hits.withColumnRenamed("run", "method"), ["topic"])
 
 
-def _methods(spark, d):
+def _methods(spark, d, run_no=1):
     """The per-topic rankings to fuse; each is written once (bounded: topics x n rows)
     because the fusion, the cuts and the merge all read them."""
-    run = base_run(spark, d)
+    run = base_run(spark, d, run_no=run_no)
     bm = materialize(rr.hyqe_rerank(run, generated_queries(spark, d), TOP_N), "rank-bm25")
     cand = run.select("topic", "id").join(fx.corpus(spark, d), "id")
     vec = materialize(rr.rerank_by_vector(cand, second_seed_vectors(spark, d), TOP_N), "rank-vector")
@@ -172,6 +199,12 @@ fused AS (
 """
 
 
+def methods_of(run_no: int) -> str:
+    """``METHODS_CTES`` without the search for another seed run; its tables end in the run's number."""
+    names = re.compile(r"\b(run1|gen|cand|vec|methods|fused|h_[a-z]+)\b")
+    return names.sub(rf"\1_{run_no}", METHODS_CTES[len(_SEARCH_CTE):].replace("r.run = 1", f"r.run = {run_no}"))
+
+
 @register("R13_rerank_all", V(f"""
 SELECT topic, method, id, rank FROM methods
 UNION ALL SELECT topic, 'rrf' AS method, id, rank FROM fused WHERE rank <= {TOP_N}""", METHODS_CTES))
@@ -202,3 +235,21 @@ SELECT g AS topic, id, score, rank FROM h_ranked WHERE rank <= 20""",
                                  RUN_CTES + "," + bm25_sql("cand", "gen", "h", 20, fill=True)))
 def r17(spark, d):
     return rr.hyqe_rerank(base_run(spark, d), generated_queries(spark, d), 20).select("topic", "id", "score", "rank")
+
+
+@register("R13_rerank_with_pairs", V(f"""
+SELECT topic, method, id, rank FROM four
+UNION ALL SELECT topic, 'rrf' AS method, id, rank FROM (
+  SELECT topic, id, row_number() OVER (PARTITION BY topic ORDER BY rrf DESC, id) AS rank FROM (
+    SELECT topic, id, round(sum(1.0 / (rank - 1 + 60)), 9) AS rrf FROM four GROUP BY topic, id) f) x WHERE rank <= {TOP_N}""", METHODS_CTES + f""",
+four AS (SELECT topic, method, id, rank FROM methods UNION ALL
+  SELECT topic, 'pairs', id, rank FROM (
+    SELECT *, row_number() OVER (PARTITION BY topic ORDER BY score DESC, id) AS rank FROM (
+      SELECT r.topic, r.id, round(coalesce(len(list_intersect(list_distinct({tx.sql_tokens("coalesce(q.query, '')")}), {tx.sql_tokens("coalesce(r.text, '')")}))
+             / nullif(len(list_distinct({tx.sql_tokens("coalesce(q.query, '')")})), 0), 0), 9) AS score
+      FROM run1 r JOIN gen q ON q.g = r.topic) s) x WHERE rank <= {TOP_N})"""))
+def r13_pairs(spark, d):
+    """All four rankings of a topic's candidates fused: base, keywords, vectors and scored pairs."""
+    run, methods = _methods(spark, d)
+    pairs = materialize(rr.score_pairs(run.join(generated_queries(spark, d), "topic"), ["topic"], "query", "text", k=TOP_N), "rank-pairs")
+    return rr.rerank_all({**methods, "pairs": pairs.select("topic", "id", "rank")}, TOP_N)
