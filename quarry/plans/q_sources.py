@@ -85,6 +85,19 @@ def s6(spark, d):
     return spark.read.parquet(big).select("id", "title", "abstract")
 
 
+@register("S6_compact_by_size", "SELECT true AS within_target, true AS one_below_half, (SELECT count(*) FROM documents) AS n_rows")
+def s6_sizes(spark, d):
+    """The compacted files against the target: none above it, and of the planned groups at most one below half of it."""
+    small, big, target = sio.scratch_path(spark, "small"), sio.scratch_path(spark, "compacted"), 256 * 1024
+    sio.write_sized(fx.works(spark, d).repartition(4), small, max_rows=40)
+    sizes = dict(sio.list_files(spark, small))
+    groups = [sum(sizes[f] for f in g) for g in sio.plan_groups(list(sizes.items()), target)]
+    sio.compact(spark, small, big, target_bytes=target, order_by="id")
+    out = [n for _, n in sio.list_files(spark, big)]
+    return spark.read.parquet(big).agg(F.lit(max(out) <= target).alias("within_target"), F.lit(sum(2 * g < target for g in groups) <= 1).alias("one_below_half"),
+                                       F.count("*").alias("n_rows"))
+
+
 @register("S7_write_read_result", V("""
 SELECT t.topic, coalesce(least(c.n, 10000), 10000) AS top_n
 FROM (SELECT DISTINCT topic FROM eval_cps) t
@@ -102,6 +115,14 @@ def s8(spark, d):
     return sio.lookup(fx.works(spark, d), fx.seeds(spark, d).select("id"))
 
 
+@register("S8_lookup_buckets", V("SELECT id, title FROM works WHERE id % 3 <> 1"))
+def s8_buckets(spark, d):
+    """Two thirds of all ids, asked from a table bucketed by id."""
+    table = "lookup_" + sio.scratch_path(spark, "t").rsplit("-", 1)[1]
+    sio.write_buckets(fx.works(spark, d).select("id", "title"), table, 8)
+    return sio.lookup_buckets(spark, table, fx.table(spark, d, "documents").select(F.col("doc_id").alias("id")).where("id % 3 <> 1"))
+
+
 @register("S9_contains", """
 SELECT conv_id AS id, turn AS pos FROM conversations WHERE conv_id IN (SELECT doc_id FROM documents)""")
 def s9(spark, d):

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from quarry.session import checkpoint_dir
 
+# Field names and types of the input.
 RAW_WORK_SCHEMA = T.StructType([
     T.StructField("id", T.StringType()),
     T.StructField("title", T.StringType()),
@@ -104,6 +105,7 @@ def read_tagged_csv(spark: SparkSession, path: str, schema: T.StructType, file_t
 
 
 # --------------------------------------------------------------------------- S4
+# Field names and types of the input.
 RQ_SCHEMA = T.StructType([T.StructField("main", T.StringType()),
                           T.StructField("sub", T.ArrayType(T.StringType()))])
 TOPIC_SCHEMA = T.MapType(T.StringType(), T.StructType([
@@ -156,19 +158,90 @@ def path_bytes(spark: SparkSession, path: str) -> int:
     return int(fs.getContentSummary(p).getLength())
 
 
-def compact(spark: SparkSession, src: str, dst: str, target_bytes: int = int(2.5 * 1024 ** 3),
-            fmt: str = "parquet") -> int:
-    """Rewrite a folder of small files into files of about ``target_bytes``.
+# Planned files written by one job (a scan each in its plan).
+GROUPS_PER_JOB = 64
+
+
+def list_files(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """(path, bytes) of the data files below ``path``: a listing, nothing is opened."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    it = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(p, True)
+    out = []
+    while it.hasNext():
+        f = it.next()
+        if not f.getPath().getName().startswith(("_", ".")):
+            out.append((f.getPath().toString(), int(f.getLen())))
+    return sorted(out)
+
+
+def plan_groups(files: list[tuple[str, int]], target_bytes: int) -> list[list[str]]:
+    """First fit decreasing: groups of files of at most ``target_bytes`` together (a larger file is alone), at most one of
+    them below half of it. The free space of the groups lies in a tree, so each file finds its group in log time."""
+    size = 1 << max(0, len(files) - 1).bit_length()
+    free = [target_bytes] * (2 * size)  # node i covers nodes 2 i and 2 i + 1; leaves are groups
+    groups: list[list[str]] = []
+    for path, n in sorted(files, key=lambda f: (-f[1], f[0])):
+        at = 1
+        if n > target_bytes:
+            at = size + len(groups)
+        else:
+            while at < size:
+                at = 2 * at if free[2 * at] >= n else 2 * at + 1
+        if at - size == len(groups):
+            groups.append([])
+        groups[at - size].append(path)
+        free[at] = max(-1, free[at] - n)
+        while at > 1:
+            at //= 2
+            free[at] = max(free[2 * at], free[2 * at + 1])
+    return groups
 
-    The file count comes from the folder's byte size (metadata only, no scan).
-    Scan partitions are merged without a shuffle, so rows that lay together stay
-    together (the sorted runs of ``write_by_id`` stay whole); only where there are
-    fewer partitions than files are rows dealt anew.  Returns the file count."""
-    n = max(1, math.ceil(path_bytes(spark, src) / target_bytes))
-    df = spark.read.format(fmt).load(src)
-    df = df.coalesce(n) if df.rdd.getNumPartitions() >= n else df.repartition(n)
-    df.write.mode("overwrite").format(fmt).save(dst)
-    return n
+
+def compact(spark: SparkSession, src: str, dst: str, target_bytes: int = int(2.5 * 1024 ** 3),
+            fmt: str = "parquet", order_by: str | None = None) -> int:
+    """Rewrite the files of a folder into files of at most about ``target_bytes``. Returns their number.
+
+    The files are dealt into groups by first fit decreasing over their listed sizes (``plan_groups``); one
+    task reads a group and writes it as one file, so nothing is shuffled and rows of a file stay together,
+    sorted by ``order_by`` if given. A file above the target, read or written, is cut into equal parts; only a
+    single row may be larger. Rows are kept as they are; the schema is kept by one file without rows."""
+    files = list_files(spark, src)
+    sizes = dict(files)
+    schema = spark.read.format(fmt).load(src).schema
+    read = lambda paths: spark.read.format(fmt).schema(schema).load(paths).coalesce(1)
+    ordered = lambda df: df.sortWithinPartitions(order_by) if order_by else df
+    whole = [g for g in plan_groups(files, target_bytes) if sizes[g[0]] <= target_bytes]
+    spark.createDataFrame([], schema).coalesce(1).write.mode("overwrite").format(fmt).save(dst)
+    for i in range(0, len(whole), GROUPS_PER_JOB):
+        out = None
+        for g in whole[i:i + GROUPS_PER_JOB]:
+            out = ordered(read(g)) if out is None else out.union(ordered(read(g)))
+        out.write.mode("append").format(fmt).save(dst)
+
+    def cut(path: str, n: int) -> bool:
+        """The rows of one file in equal parts below the target; False for a single row."""
+        own = read([path])
+        rows = own.count()
+        if rows > 1:
+            per_file = max(1, rows // (-(-n // target_bytes) + 1))
+            ordered(own).write.mode("append").option("maxRecordsPerFile", per_file).format(fmt).save(dst)
+        return rows > 1
+
+    for path, n in files:
+        if n > target_bytes and not cut(path, n):
+            read([path]).write.mode("append").format(fmt).save(dst)
+    done = set()
+    while True:  # encoded together, rows may take more bytes than they did apart: such files are cut as well
+        large = [f for f in list_files(spark, dst) if f[1] > target_bytes and f[0] not in done]
+        if not large:
+            break
+        for path, n in large:
+            done.add(path)
+            if cut(path, n):
+                p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+                p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, False)
+    return len(list_files(spark, dst))
 
 
 # --------------------------------------------------------------------------- S7
@@ -188,6 +261,8 @@ def read_result(spark: SparkSession, path: str, schema: T.StructType | None = No
 # --------------------------------------------------------------------------- S8 / S9
 # Requests up to this many ids become a literal IN filter pushed into the scan.
 MAX_PUSHED_IDS = 10_000
+# ... together with at most this many id ranges, which Parquet statistics are held against.
+MAX_RANGES = 64
 
 
 def write_by_id(df: DataFrame, path: str, n_files: int, id_col: str = "id") -> None:
@@ -201,24 +276,55 @@ def write_by_id(df: DataFrame, path: str, n_files: int, id_col: str = "id") -> N
 def lookup(table: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:
     """All rows of ``table`` whose id is requested; unknown ids are skipped.
 
-    Small requests (counted, at most ``MAX_PUSHED_IDS``) become an ``IN`` filter
-    that reaches the Parquet scan, so on a table written by ``write_by_id`` only
+    Small requests (counted, at most ``MAX_PUSHED_IDS``) become an ``IN`` filter and a few
+    ranges that reach the Parquet scan, so on a table written by ``write_by_id`` only
     the files and row groups whose id range holds a requested id are read.
     Larger requests are a broadcast semi join while under ``MAX_BROADCAST_IDS``,
-    beyond that a shuffled semi join."""
+    beyond that a shuffled semi join; see ``lookup_buckets`` for a table that is not shuffled."""
     req = ids.select(id_col).distinct()
     head = req.limit(MAX_PUSHED_IDS + 1).collect()
     if len(head) <= MAX_PUSHED_IDS:
-        # Spark hands longer lists than this to Parquet as their range only
-        conf, least = table.sparkSession.conf, "spark.sql.parquet.pushdown.inFilterThreshold"
-        if int(conf.get(least, "10")) < MAX_PUSHED_IDS:
-            conf.set(least, str(MAX_PUSHED_IDS))
-        return table.filter(F.col(id_col).isin([r[0] for r in head]))
+        wanted = [r[0] for r in head]
+        return table.filter(_ranges(wanted, id_col) & F.col(id_col).isin(wanted))
     if req.count() <= MAX_BROADCAST_IDS:
         req = F.broadcast(req)
     return table.join(req, id_col, "left_semi")
 
 
+def _ranges(wanted: list, id_col: str, most: int = MAX_RANGES) -> F.Column:
+    """A condition that holds for all of ``wanted`` and reaches the scan whatever the length of the list (Spark hands
+    long IN lists to Parquet as one range): at most ``most`` ranges of ids, cut at the widest gaps."""
+    own = sorted(w for w in wanted if w is not None)
+    if not own:
+        return F.lit(False)
+    if isinstance(own[0], str):
+        cuts = [len(own) * i // most for i in range(1, most)]
+    else:
+        cuts = sorted(sorted(range(1, len(own)), key=lambda i: own[i - 1] - own[i])[:most - 1])
+    starts = sorted({0, *(c for c in cuts if c > 0)})
+    cond = None
+    for a, b in zip(starts, [*starts[1:], len(own)]):
+        one = F.col(id_col).between(F.lit(own[a]), F.lit(own[b - 1]))
+        cond = one if cond is None else cond | one
+    return cond
+
+
+def write_buckets(df: DataFrame, table: str, buckets: int, id_col: str = "id") -> None:
+    """A table for large id requests: bucketed and sorted by id in the warehouse, with Parquet bloom filters on the id,
+    so that a request scattered over all id ranges still skips row groups."""
+    (df.write.mode("overwrite").format("parquet").bucketBy(buckets, id_col).sortBy(id_col)
+     .option(f"parquet.bloom.filter.enabled#{id_col}", "true").saveAsTable(table))
+
+
+def lookup_buckets(spark: SparkSession, table: str, ids: DataFrame, id_col: str = "id") -> DataFrame:
+    """S8 for requests of any size on a ``write_buckets`` table: a semi join bucket by bucket. Only the requested ids
+    are shuffled, into the table's own buckets; the table is read where it lies. Small requests go by ``lookup``."""
+    req = ids.select(id_col).distinct()
+    if len(req.limit(MAX_PUSHED_IDS + 1).collect()) <= MAX_PUSHED_IDS:
+        return lookup(spark.table(table), req, id_col)
+    return spark.table(table).join(req.hint("merge"), id_col, "left_semi")
+
+
 def contains(table: DataFrame, request: DataFrame, id_col: str = "id", pos_col: str = "pos") -> DataFrame:
     """The requested ids that exist, in request order, duplicates kept."""
     return (request.join(table.select(id_col), id_col, "left_semi")
