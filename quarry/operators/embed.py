@@ -237,11 +237,12 @@ def missing_vector_texts(works: DataFrame, emb: DataFrame, id_col: str = "id",
 
 
 def backfill_vectors(works: DataFrame, emb: DataFrame, encoder=None, id_col: str = "id",
-                     num_features: int | None = None) -> DataFrame:
+                     num_features: int | None = None, encode_frame: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Encode the works that lack a vector and append them to the vector table.
 
     The encoder must be the one that made the table; its vectors must be as wide as the table's, or this
-    raises.  The built-in encoder takes that width and fits its document frequencies on all works."""
+    raises.  ``encode_frame``: (id, text) to (id, embedding), a kept encoder.  The built-in hashing encoder takes
+    the table's width and fits its document frequencies on all works."""
     todo = missing_vector_texts(works, emb, id_col)
     base = emb.select(id_col, F.transform("embedding", lambda x: x.cast("float")).alias("embedding"))
     if todo.isEmpty():  # nothing to encode (an IDF fit needs at least one document)
@@ -250,7 +251,9 @@ def backfill_vectors(works: DataFrame, emb: DataFrame, encoder=None, id_col: str
     width = first[0] if first else num_features or 1 << 12
     if num_features not in (None, width):
         raise ValueError(f"the table's vectors have {width} numbers, not {num_features}")
-    if encoder is None:
+    if encode_frame is not None:
+        new = encode_frame(todo)
+    elif encoder is None:
         texts = missing_vector_texts(works, emb.limit(0), id_col)
         new = hashed_tfidf(todo, "text", id_col, width, fit_on=texts)
     else:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quarry.functions import text as tx
 from quarry.functions.vectors import round_half_away
 from quarry.operators import embed as em
+from quarry.operators.text_encoder import encode_texts, fit_encoder
 from quarry.plans.registry import register
 from quarry.sources import fixtures as fx
 
@@ -152,3 +153,41 @@ def e1(spark, d):
 @register("C25_backfill_vectors")
 def c25_full(spark, d):
     return em.backfill_vectors(fx.works(spark, d), fx.corpus(spark, d))
+
+
+def kept_encoder(spark, d):
+    """The folder of the encoder fitted on all works, once per application."""
+    from quarry.plans.q_index import _kept
+    texts = fx.works(spark, d).select("id", tx.render_text(F.coalesce("title", F.lit("")), F.coalesce("abstract", F.lit("")), "passage").alias("text"))
+    return _kept(spark, d, "encoder", lambda f: fit_encoder(texts, f))
+
+
+@register("E1_encode_dense")
+def e1_dense(spark, d):
+    """Every work's text by the kept encoder: 64 numbers, whole words."""
+    texts = fx.works(spark, d).select("id", tx.render_text(F.coalesce("title", F.lit("")), F.coalesce("abstract", F.lit("")), "passage").alias("text"))
+    return encode_texts(texts, kept_encoder(spark, d))
+
+
+@register("C25_backfill_dense")
+def c25_dense(spark, d):
+    """Works without a vector, encoded by the kept encoder of the table's width and appended."""
+    return em.backfill_vectors(fx.works(spark, d), fx.corpus(spark, d), encode_frame=lambda docs: encode_texts(docs, kept_encoder(spark, d)))
+
+
+@register("S10_encode_ingest", V("""
+SELECT id, true AS has_vector FROM works WHERE language = 'en' AND title IS NOT NULL AND abstract IS NOT NULL"""))
+def s10_encode(spark, d):
+    """Complete English works arrive in overlapping files, twice, and become vectors once each."""
+    from quarry.operators import clean as cl
+    from quarry.sources.io import scratch_path
+    from quarry.streaming.ingest import encode_ingest
+    base, folder = scratch_path(spark, "encode-ingest"), kept_encoder(spark, d)
+    w = fx.works(spark, d).select("id", "title", "abstract", "language")
+    render = lambda df: cl.complete_works(df).select("id", tx.render_text("title", "abstract", "passage").alias("text"))
+    for i in range(2):  # the second run brings new files that repeat ids of the first
+        w.where(F.pmod("id", F.lit(3)) != i).repartition(2).write.mode("append").parquet(f"{base}/in")
+        for _ in range(2):  # run again: nothing new
+            encode_ingest(spark, f"{base}/in", f"{base}/out", f"{base}/ckpt", w.schema, lambda df: encode_texts(df, folder), render, max_files_per_trigger=2)
+    out = spark.read.schema("id long, embedding array<float>").parquet(f"{base}/out")
+    return out.select("id", (F.size("embedding") == 64).alias("has_vector"))
