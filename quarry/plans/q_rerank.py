@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as tx
 from quarry.operators import clean as cl
+from quarry.operators import pair_ranker
 from quarry.operators.common import materialize
 from quarry.operators import rerank as rr
 from quarry.operators import search as srch
@@ -253,3 +254,45 @@ def r13_pairs(spark, d):
     run, methods = _methods(spark, d)
     pairs = materialize(rr.score_pairs(run.join(generated_queries(spark, d), "topic"), ["topic"], "query", "text", k=TOP_N), "rank-pairs")
     return rr.rerank_all({**methods, "pairs": pairs.select("topic", "id", "rank")}, TOP_N)
+
+
+def _pair_table(spark, d):
+    """Features of every topic's candidates, with their quality label where there is one; topics of even number train."""
+    run = base_run(spark, d)
+    feats = pair_ranker.pair_features(run, generated_queries(spark, d), fx.corpus(spark, d), second_seed_vectors(spark, d))
+    lab = fx.table(spark, d, "labels").groupBy(F.col("doc_id").alias("id")).agg(F.max("quality").cast("int").alias("y"))
+    return materialize(feats.join(lab, "id", "left"), "pair-table")
+
+
+def _learned(spark, d):
+    table = _pair_table(spark, d)
+    return table.where("topic % 2 = 1"), pair_ranker.fit(table.where("topic % 2 = 0 and y is not null"), pair_ranker.FEATURES, "y")
+
+
+@register("R10_learned_pairs")
+def r10_learned(spark, d):
+    """Candidates of the topics of odd number by a pair scorer learned from the labelled ones of even number."""
+    held, weights = _learned(spark, d)
+    return pair_ranker.rank(held, weights, TOP_N)
+
+
+@register("R10_learned_order", V("""
+SELECT count(DISTINCT r.topic) AS n_topics, true AS beats_overlap FROM run1 r JOIN labels l ON l.doc_id = r.id WHERE r.topic % 2 = 1""", RUN_CTES))
+def r10_order(spark, d):
+    """Among labelled candidates of the held-out topics, the learned order puts good documents before others more
+    often than token overlap alone."""
+    held, weights = _learned(spark, d)
+    held = held.where("y is not null")
+    good = held.where("y = 1").select("topic", "id")
+    better = pair_ranker.order_quality(pair_ranker.rank(held, weights), good) > pair_ranker.order_quality(pair_ranker.rank(held, {"overlap": 1.0}), good)
+    return held.agg(F.countDistinct("topic").alias("n_topics"), F.lit(better).alias("beats_overlap"))
+
+
+@register("R13_rerank_with_learned_pairs")
+def r13_learned(spark, d):
+    """Base, keywords, vectors and learned pair scores of the held-out topics, fused."""
+    candidates, weights = _learned(spark, d)
+    learned = materialize(pair_ranker.rank(candidates, weights, TOP_N), "rank-learned").select("topic", "id", "rank")
+    _, methods = _methods(spark, d)
+    held = {name: df.where("topic % 2 = 1") for name, df in methods.items()}
+    return rr.rerank_all({**held, "learned": learned}, TOP_N)
