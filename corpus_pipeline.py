@@ -22,63 +22,74 @@ from quarry.operators.common import materialize
 WORD = r"[^\x20\x09-\x0D]"
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_key``, a number for each different id and text: the id itself, and for rows without id and
+def _rows(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, text): the caller's columns as one struct, so that none of them can clash with a stage's own."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text")
+
+
+def _keyed(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``key``, a number for each different id and text: the id itself, and for rows without id and
     for all texts of a repeated id but one a hash of both from 2 ** 62 on, so that they come after all ids."""
     text = F.xxhash64("text")
-    several = materialize(docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(text).alias("_first"), F.max(text).alias("_last"))
-                          .where("_first < _last").select(F.col("doc_id").alias("_id"), "_first"), "pipeline-repeated-ids")
+    several = materialize(rows.where("doc_id is not null").groupBy("doc_id").agg(F.min(text).alias("first"), F.max(text).alias("last"))
+                          .where("first < last").select(F.col("doc_id").alias("id"), "first"), "pipeline-repeated-ids")
     late = F.lit(1 << 62) + F.xxhash64("doc_id", "text").bitwiseAND((1 << 62) - 1)
-    own = F.when(F.col("doc_id").isNull() | (text != F.col("_first")), late).otherwise(F.col("doc_id").cast("long"))
-    return docs.join(several, F.col("doc_id") == F.col("_id"), "left").select(*[f"`{c}`" for c in docs.columns], own.alias("_key"))
-
-
-def _matched(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """``docs`` with the columns of ``found`` (doc_id, text_hash, ...), null where there is no row."""
-    own = found.dropDuplicates(["doc_id", "text_hash"]).withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
-    return docs.join(own, docs["doc_id"].eqNullSafe(own["_id"]) & (F.xxhash64(docs["text"]) == own["_hash"]), "left")
+    own = F.when(F.col("doc_id").isNull() | (text != F.col("first")), late).otherwise(F.col("doc_id").cast("long"))
+    return rows.join(several, F.col("doc_id") == F.col("id"), "left").select("row", "doc_id", "text", own.alias("key"))
 
 
-def _with_text(docs: DataFrame, columns: list[str], text: F.Column) -> DataFrame:
-    """The columns of documents with a new text and its length."""
-    fresh = docs.withColumn("_new", text)
-    new = {"text": F.col("_new"), "n_chars": F.char_length("_new").cast("long")}
-    return fresh.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in columns])
+def _with_text(rows: DataFrame, text: F.Column) -> DataFrame:
+    """The caller's rows with a new text and, where they have it, its length."""
+    row = F.col("row").withField("text", text)
+    if "n_chars" in rows.schema["row"].dataType.names:
+        row = row.withField("n_chars", F.coalesce(F.char_length(text).cast("long"), F.col("row.n_chars")))
+    return rows.select(row.alias("row")).select("row.*")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))  # equal texts get equal verdicts
-    bad = quality(keyed, id_col="_key").where("not kept").select("_key").distinct()
-    return keyed.join(bad, "_key", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    """Documents that the quality rules reject go; equal texts get equal verdicts.
+
+    Null and empty texts have no words and go; a text of any length is judged whole; repeated rows, and rows of
+    one id, are judged each by their text. An empty table stays empty. All columns come back as they were."""
+    keyed = _rows(docs).withColumn("key", F.xxhash64("doc_id", "text"))
+    bad = quality(keyed.select("key", "text"), id_col="key").where("not kept").select("key").distinct()
+    return keyed.join(bad, "key", "left_anti").select("row.*")
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: five-word shingles, similarity 0.8."""
-    keyed = _keyed(docs)
-    kept = near_duplicates(keyed, k=5, pct=80, id_col="_key").where("kept").select("_key").distinct()
-    return keyed.dropDuplicates(["_key"]).join(kept, "_key", "left_semi").select(*[f"`{c}`" for c in docs.columns])
+    """One document of each group of near-duplicates stays: five-word shingles, similarity 0.8.
+
+    Of rows equal in id and text one stays; rows of a repeated id or without id are documents of their own and come
+    after all others. Texts without words are near to nothing and stay. An empty table stays empty."""
+    keyed = _keyed(_rows(docs))
+    kept = near_duplicates(keyed.select("key", "text"), k=5, pct=80, id_col="key").where("kept").select("key").distinct()
+    return keyed.dropDuplicates(["key"]).join(kept, "key", "left_semi").select("row.*")
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 words that an earlier document has go; texts without removals stay as they are.
-    A document of which nothing is left goes."""
-    keyed = _keyed(docs)
-    found = (remove_repeats(keyed, window=50, id_col="_key", longest=False).where("n_removed > 0")
-             .select("_key", "kept_text").dropDuplicates(["_key"]))
-    out = _with_text(keyed.join(found, "_key", "left").where("kept_text is null or kept_text <> ''"), docs.columns, F.coalesce("kept_text", "text"))
-    return out
+
+    A document of which nothing is left goes; null and empty texts lose nothing and stay. Earlier: smaller id;
+    rows of a repeated id or without id come last. An empty table stays empty."""
+    keyed = _keyed(_rows(docs))
+    found = (remove_repeats(keyed.select("key", "text"), window=50, id_col="key", longest=False).where("n_removed > 0")
+             .select("key", "kept_text").dropDuplicates(["key"]))
+    return _with_text(keyed.join(found, "key", "left").where("kept_text is null or kept_text <> ''"), F.coalesce("kept_text", "text"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every secret in a text becomes ``[SECRET]``."""
-    found = find_secrets(docs).where("size(found) > 0").select("doc_id", "text_hash", "found")
-    return _with_text(_matched(docs, found), docs.columns,
-                      F.when(F.col("found").isNull(), F.col("text")).otherwise(redact(F.col("text"), F.col("found"))))
+    """Every secret in a text becomes ``[SECRET]``; all rows stay.
+
+    Null and empty texts have none. Rows equal in id and text share their finds. An empty table stays empty."""
+    rows = _rows(docs)
+    found = (find_secrets(rows.select("doc_id", "text")).where("size(found) > 0").dropDuplicates(["doc_id", "text_hash"])
+             .select(F.col("doc_id").alias("id"), "text_hash", "found"))
+    own = rows.join(found, rows["doc_id"].eqNullSafe(found["id"]) & (F.xxhash64(rows["text"]) == found["text_hash"]), "left")
+    return _with_text(own, F.when(F.col("found").isNull(), F.col("text")).otherwise(redact(F.col("text"), F.col("found"))))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents that are left, placed into sequences of 1024 tokens."""
+    """Pieces of the documents that are left, placed into sequences of 1024 tokens; an empty text is its end token."""
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2, capacity=1024)
 
 
