@@ -82,3 +82,23 @@ def test_stages_on_nothing(spark, small):
 
 def test_run(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+CLASHES = ["_id", "_key", "key", "row", "_new", "_first", "first", "last", "_last", "_hash", "id", "found", "text_hash", "kept_text", "kept", "_text", "value"]
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES[:-1])
+def test_stages_keep_clashing_columns_and_odd_rows(spark, name, stage):
+    words = " ".join("word%d" % (i % 97) for i in range(300))
+    other = " ".join("thing%d and" % i for i in range(60))
+    rows = [(1, words), (1, words), (1, other), (2, None), (3, ""), (None, other), (None, None), (4, words + " more"), (5, other * 400),
+            (6, "the password = \"hunter22xyz\" is here, with enough other words around it to pass every rule of the first stage")]
+    full = [(d, t, "en", None, len(t or ""), *["x%d" % i for i in range(len(CLASHES))]) for d, t in rows]
+    docs = spark.createDataFrame(full, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHES))
+    got = stage(spark, docs, "")
+    assert got.schema.names == docs.schema.names
+    for r in got.collect():
+        assert [r[c] for c in CLASHES] == ["x%d" % i for i in range(len(CLASHES))] and r["n_chars"] == len(r["text"] or "")
+    assert stage(spark, docs.where("false"), "").collect() == []
+    plain = stage(spark, docs.select("doc_id", "text", "lang", "source", "n_chars"), "")
+    assert sorted(map(str, plain.collect())) == sorted(map(str, got.select(*plain.columns).collect()))
