@@ -21,7 +21,7 @@ SPACE = re.compile(f"[{WHITE}]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())  # up to their own end tag
 # Elements that never hold the article.
-DROPPED = frozenset("head script style title noscript template iframe object svg math canvas form button select textarea label "
+DROPPED = frozenset("head script style title noscript template iframe object svg math canvas button select textarea label "
                     "nav aside footer menu dialog noembed noframes xmp audio video map".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data dfn del em font i img ins kbd mark q rp rt ruby s samp small span "
                    "strike strong sub sup time tt u var wbr".split())
@@ -33,7 +33,18 @@ FURNITURE = frozenset("ad ads adv advert adverts advertisement advertising banne
 HEADER_WORDS = frozenset("header".split())
 # Beside one of these in the same name, a word of FURNITURE tells of a layout or a topic ("has-sidebar", "related-work").
 NO_FURNITURE = frozenset("has no with without work works".split())
-LARGE = 0.5               # a named element is no furniture if it holds a density sum of this share of the page's greatest
+# Readers' words: such an element is never a wrapper of the article.
+READERS = frozenset("comment comments disqus replies reply respond".split())
+# Words of a page's layout: with one of FRAMES in the same name, the element may be the wrapper of article and the other.
+LAYOUT = frozenset("banner footer header masthead menu nav navbar navigation overlay related search share sharing sidebar sidebars toolbar".split())
+FRAMES = frozenset("container content layout main outer page site wrap wrapper".split())
+MARKS = frozenset("article main h1".split())  # they tell where the article is
+# What an element's name says of it.
+PLAIN, WEAK, NAMED, FRAME, OF_READERS = range(5)
+# Words that alone prove little: what is called so goes only if it is thin (``take_off``).
+WEAK_WORDS = frozenset("overlay pagination pager related search share sharing skip social toolbar widget".split())
+FAR_MORE = 4              # so many times the text outside makes an element with the article's marks its wrapper
+THIN = 0.5                # holds no node with this share of the page's greatest density sum
 # Opening one of these ends an open one of the second set (elements whose end tag may be left out).
 CLOSES = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]),
           "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"])}
@@ -43,7 +54,7 @@ SCOPE = frozenset("table td th ul ol dl body article section main div".split())
 class Node:
     __slots__ = ("tag", "parent", "children", "drop", "named", "order", "chars", "tags", "link_chars", "link_tags", "density", "density_sum")
 
-    def __init__(self, tag: str, parent: Node | None, drop: bool, named: bool = False):
+    def __init__(self, tag: str, parent: Node | None, drop: bool, named: int = PLAIN):
         self.tag, self.parent, self.drop, self.named = tag, parent, drop, named
         self.children: list = []  # nodes and strings in page order
 
@@ -53,16 +64,19 @@ def _furniture(tag: str, inside_article: bool) -> bool:
     return tag in DROPPED or tag == "header" and not inside_article
 
 
-def _named(tag: str, attributes: str, inside_article: bool) -> bool:
-    """Called furniture by class, id or role; what it holds decides (see ``take_off``)."""
+def _named(tag: str, attributes: str, inside_article: bool) -> int:
+    """What class, id and role call the element; where the article is decides what becomes of it (``take_off``). A
+    form is treated as if it was called furniture."""
+    out = NAMED if tag == "form" else PLAIN
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return out
     for _, a, b, c in ATTRIBUTE.findall(attributes):
         for name in (a or b or c).lower().split():
             words = set(re.split(r"[^a-z0-9]+", name))
-            if not words & NO_FURNITURE and (words & FURNITURE or not inside_article and words & HEADER_WORDS):
-                return True
-    return False
+            found = words & (FURNITURE if inside_article else FURNITURE | HEADER_WORDS)
+            if found and not words & NO_FURNITURE:
+                out = max(out, OF_READERS if found & READERS else WEAK if found <= WEAK_WORDS else FRAME if found <= LAYOUT and words & FRAMES else NAMED)
+    return out
 
 
 def parse(page: str) -> Node:
@@ -172,19 +186,48 @@ def measure(root: Node) -> list[Node]:
 
 
 def take_off(root: Node) -> None:
-    """Drop what is named furniture, unless it holds a node whose density sum is at least ``LARGE`` of the greatest:
-    a wrapper of the article or of a part as dense as it stays whatever its name."""
-    if not any(n.named for n in _order(root)):
-        return
+    """Drop what is called furniture; its place relative to the article decides, not its size alone.
+
+    Outermost such elements are held against the page outside all of them. Without any text outside, the one
+    with the greatest density sum is a wrapper. Else an element is a wrapper if its name speaks of a frame and it
+    has more text than the outside, or if it has far more, holds the article's marks, and no article or main element
+    stands outside; readers' comments are none. Wrappers stay, and what is in them is judged in the same way;
+    all others go, however dense they are. What only a weak word names goes if it is thin beside the article."""
+    while True:
+        outer, chars, marked, todo = [], 0, False, [root]
+        while todo:
+            n = todo.pop()
+            if n.named > WEAK:
+                outer.append(n)
+                continue
+            marked = marked or n.tag in ("article", "main")
+            if n.tag != "a":
+                chars += sum(len(SPACE.sub("", c)) for c in n.children if isinstance(c, str))
+                todo += [c for c in n.children if isinstance(c, Node) and not c.drop]
+        if not outer:
+            break
+        nodes = measure(root)
+        if not chars:
+            best = max(nodes, key=lambda n: n.density_sum if n.chars else -1.0)
+            while best is not None and best not in outer:
+                best = best.parent
+        for n in outer:
+            if not chars:
+                stays = n is best
+            else:
+                own = n.chars - n.link_chars
+                stays = n.named == FRAME and own > chars or n.named == NAMED and not marked and own > FAR_MORE * chars and any(x.tag in MARKS for x in _order(n))
+            n.drop, n.named = not stays, PLAIN
     nodes = measure(root)
-    least, holds = LARGE * max(n.density_sum for n in nodes), set()
-    for n in nodes:
-        if n.density_sum >= least:
-            while n is not None and n not in holds:
-                holds.add(n)
-                n = n.parent
-    for n in nodes:
-        n.drop = n.drop or n.named and n not in holds
+    if any(n.named for n in nodes):
+        least, holds = THIN * max(n.density_sum for n in nodes), set()
+        for n in nodes:
+            if n.density_sum >= least:
+                while n is not None and n not in holds:
+                    holds.add(n)
+                    n = n.parent
+        for n in nodes:
+            n.drop = n.drop or bool(n.named) and n not in holds
 
 
 def is_menu(n: Node, threshold: float) -> bool:
@@ -263,7 +306,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     the children's densities. The subtree of the greatest sum, raised along its body path, is the article;
     the path's smallest density is the threshold under which link-dominated blocks go. Menus, headers,
     footers, sidebars, notices, adverts, forms, scripts, styles and comments are taken off before: by element, and
-    by class, id or role where the named element holds no node with half the page's greatest density sum. Character references are decoded, white space in a block becomes one space,
+    by class, id or role where the place of the named element is not around the article (``take_off``). Character
+    references are decoded, white space in a block becomes one space,
     blocks are trimmed and joined by an empty line in page order; nothing else is dropped or cut.
 
     Pages are parsed one by one inside Arrow batches bounded by bytes; no shuffle. A null or empty page, or one
