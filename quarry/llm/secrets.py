@@ -29,6 +29,11 @@ ENCODINGS = [("decimal", DIGITS), ("hex", DIGITS + "abcdef"), ("HEX", DIGITS + "
 _SETS = [(name, frozenset(a), {c: i for i, c in enumerate(a)}) for name, a in ENCODINGS]
 RANDOM_LEVEL = 0.001      # a candidate stays random unless the battery rejects that at this level
 TEXT_CHANGES = 0.1        # how often neighbouring characters of ordinary runs change their class
+# Percent of each letter in ordinary text (mean over a few European languages), and of each digit in numbers.
+LETTERS = dict(a=8.9, b=1.6, c=3.2, d=4.4, e=14.7, f=1.4, g=1.9, h=3.2, i=7.3, j=0.4, k=0.7, l=4.5, m=2.7, n=7.6, o=5.8, p=2.3, q=0.7,
+               r=6.6, s=7.1, t=7.0, u=4.6, v=1.4, w=1.1, x=0.3, y=0.9, z=0.6)
+NUMBERS = {"0": 22, "1": 18, "2": 13, "3": 9, "4": 7, "5": 8, "6": 6, "7": 5, "8": 6, "9": 6}
+NEAR_DIGIT = 0.5          # how often a digit of an ordinary number repeats its neighbour or counts up or down from it
 LENGTHS = (32, 64)        # strata of length: under 32, under 64, longer
 TOP = 3000                # evidence is kept in hundredths of a decade, up to 30 decades
 
@@ -77,18 +82,47 @@ def battery(token: str) -> float:
     return math.exp(-half) * (1 + half + half * half / 2)
 
 
-def text_evidence(token: str) -> int:
-    """-100 * log10 of the chance that an ordinary run of this length changes between lower case, upper case,
-    digits and signs as often as this one (upper binomial tail), rounded down: evidence against text."""
-    cls = [0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3 for c in token]
-    m = len(cls) - 1
-    k = sum(a != b for a, b in zip(cls, cls[1:]))
-    if k <= m * TEXT_CHANGES:
+def _ordinary() -> tuple[list[dict], list[dict]]:
+    """(log chance of a character after one of another class or at the start, of a digit after a digit)."""
+    letters, numbers = sum(LETTERS.values()), sum(NUMBERS.values())
+    own = {c: math.log(v / letters) for c, v in LETTERS.items()}
+    out = {**own, **{c.upper(): v for c, v in own.items()}, **{c: math.log(v / numbers) for c, v in NUMBERS.items()},
+           **{c: math.log(1 / 5) for c in "+/_=-"}}
+    after = {}
+    for a in NUMBERS:
+        near = {str(d) for d in (int(a) - 1, int(a), int(a) + 1) if 0 <= d <= 9}
+        for b, v in NUMBERS.items():
+            after[a + b] = math.log((1 - NEAR_DIGIT) * v / numbers + (NEAR_DIGIT / len(near) if b in near else 0))
+    return out, after
+
+
+_CHAR, _DIGITS = _ordinary()
+_STAY, _CHANGE = math.log(1 - TEXT_CHANGES), math.log(TEXT_CHANGES / 3)
+
+
+def evidence(token: str) -> int:
+    """Evidence against an ordinary run, in hundredths of a decade, rounded down and at least 0.
+
+    An ordinary run keeps its character class (lower case, upper case, digits, signs) nine times of ten, and has the
+    letters of ordinary text; its digits often repeat or count. The run is held against uniform characters of its
+    inferred encoding: an ordinary run reaches a likelihood ratio of x with a chance of at most 1 / x, whatever its
+    length, which is a p-value that false-discovery control may rank. The battery's own p-value multiplies the
+    ratio: what fits randomness badly counts less, and what the battery rejects at ``RANDOM_LEVEL`` not at all."""
+    p = battery(token)
+    if p < RANDOM_LEVEL:
         return 0
-    logs = [math.lgamma(m + 1) - math.lgamma(i + 1) - math.lgamma(m - i + 1) + i * math.log(TEXT_CHANGES) + (m - i) * math.log1p(-TEXT_CHANGES)
-            for i in range(k, min(m, k + 400) + 1)]
-    top = max(logs)
-    return min(TOP, max(0, int(-100 * (top + math.log(sum(math.exp(v - top) for v in logs))) / math.log(10))))
+    _, x, size = infer_encoding(token)
+    body = token[:len(x)]
+    cls = [0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3 for c in body]
+    log = math.log(1 / 4) + _CHAR[body[0]]
+    for i in range(1, len(body)):
+        if cls[i] != cls[i - 1]:
+            log += _CHANGE + _CHAR[body[i]]
+        else:
+            log += _STAY + (_DIGITS[body[i - 1] + body[i]] if cls[i] == 2 else _CHAR[body[i]])
+    # letters of one case say nothing about which encoding was meant: every encoding is charged as one of all
+    ratio = -len(body) * math.log(size) - math.log(len(ENCODINGS)) - log + math.log(p)
+    return min(TOP, max(0, int(100 * ratio / math.log(10))))
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -100,16 +134,15 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """(start, end, stratum, evidence) of every long run that touches no base span. Runs that the battery
-    rejects as random have no evidence, but count among the tested."""
+    """(start, end, stratum, evidence) of every long run that touches no base span; runs without evidence count
+    among the tested."""
     out = []
     for m in CANDIDATE.finditer(text):
         s, e = m.span()
         if any(a < e and s < b for a, _, b in taken):
             continue
         stratum = sum(e - s >= x for x in LENGTHS)
-        evidence = text_evidence(m[0])
-        out.append((s, e, stratum, evidence if evidence and battery(m[0]) >= RANDOM_LEVEL else 0))
+        out.append((s, e, stratum, evidence(m[0])))
     return out
 
 
@@ -154,8 +187,8 @@ def find_secrets(docs: DataFrame, q: float = 0.01, id_col: str = "doc_id", text_
     """(id, n_assign, n_access, n_hex, n_random, base_sha256, spans, found, text_hash) for every row of ``docs``.
 
     Fixed patterns give the base spans. Every other run of 20 or more characters of ``[A-Za-z0-9+/_=-]`` that
-    touches none is tested: the battery must not reject that it is random in its inferred encoding, and the
-    chance of an ordinary run to look like it must pass the Benjamini-Hochberg threshold of its stratum of
+    touches none is tested by the battery in its inferred encoding (``battery``) and against ordinary runs
+    (``evidence``), whose combined p-value must pass the Benjamini-Hochberg threshold of its stratum of
     length, over all runs of all documents, at level ``q``. ``spans``: kind:start:end by start, then kind, joined
     by commas (code points, end exclusive); ``found``: the same as an array of structs; ``text_hash``: xxhash64
     of the text, to join spans back to texts.
