@@ -72,19 +72,20 @@ VOTES = [
 
 def quality_sql() -> str:
     m = len(VOTES)
-    (g0, b0), (g_lo, g_hi), (b_lo, b_hi) = quality.START, quality.GOOD_SPAN, quality.BAD_SPAN
+    (g0, b0), (wg, wb) = quality.START, quality.WEIGHT
     votes = ", ".join(f"CASE WHEN {bad} THEN 0 WHEN {good} THEN 1 ELSE 2 END" for bad, good in VOTES)
 
     def odds(p: str) -> str:
         return f"ln({p}.prior / (1 - {p}.prior)) + " + " + ".join(
             f"CASE votes[{j}] WHEN 1 THEN ln({p}.good[{j}] / {p}.bad[{j}]) WHEN 0 THEN ln((1 - {p}.good[{j}]) / (1 - {p}.bad[{j}])) ELSE 0 END" for j in range(1, m + 1))
 
-    def rate(j: int, weight: str, a: float, lo: float, hi: float) -> str:
+    def rate(j: int, weight: str, a: float, share: float) -> str:
         up, on = (f"coalesce(sum(CASE WHEN votes[{j}] {test} THEN {weight} END), 0)" for test in ("= 1", "< 2"))
-        return f"greatest({lo}::DOUBLE, least({hi}::DOUBLE, ({up} + 2 * {a}::DOUBLE) / ({on} + 2)))"
+        known = f"{share}::DOUBLE * (sum(c) + 1)"
+        return f"({up} + {known} * {a}::DOUBLE) / ({on} + {known})"
 
-    def rates(weight: str, a: float, lo: float, hi: float) -> str:
-        return "[" + ", ".join(rate(j, weight, a, lo, hi) for j in range(1, m + 1)) + "]"
+    def rates(weight: str, a: float, share: float) -> str:
+        return "[" + ", ".join(rate(j, weight, a, share) for j in range(1, m + 1)) + "]"
 
     return f"""
 WITH RECURSIVE w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws FROM documents),
@@ -101,8 +102,7 @@ pat AS (SELECT votes, CAST(count(*) AS DOUBLE) AS c FROM voted GROUP BY votes),
 em(it, prior, good, bad) AS (
   SELECT 0, 0.85::DOUBLE, {[g0] * m}::DOUBLE[], {[b0] * m}::DOUBLE[]
   UNION ALL
-  SELECT it + 1, greatest(0.05::DOUBLE, least(0.99::DOUBLE, (sum(g) + 1.7::DOUBLE) / (sum(c) + 2))),
-         {rates("g", g0, g_lo, g_hi)}, {rates("c - g", b0, b_lo, b_hi)}
+  SELECT it + 1, (sum(g) + 1.7::DOUBLE) / (sum(c) + 2), {rates("g", g0, wg)}, {rates("c - g", b0, wb)}
   FROM (SELECT em.it, votes, c, c / (1 + exp(-({odds("em")}))) AS g FROM em, pat WHERE em.it < {quality.ROUNDS}) x GROUP BY it)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
        NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND 1 / (1 + exp(-({odds("em")}))) >= 0.5 AS kept

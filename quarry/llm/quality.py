@@ -12,10 +12,10 @@ from quarry.llm.common import id_text, materialize
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
 ROUNDS = 30
-# What is known of the rules beforehand, as bounds of what is estimated. How often a rule that votes is for a
-# document: almost always if it is good; if it is bad, often still, as there are many ways to be bad and a
-# rule sees one. So a vote against weighs more than one for.
-START, GOOD_SPAN, BAD_SPAN = (0.9999, 0.7), (0.99, 0.9999), (0.5, 0.95)
+# What is known of the rules beforehand, as pseudo-counts: how often a rule that votes is for a good and for a bad
+# document (almost always if it is good; if it is bad, often still, as there are many ways to be bad and a rule sees
+# one), and the share of all documents that this knowledge weighs as much as. The estimates are free within (0, 1).
+START, WEIGHT = (0.999, 0.7), (0.2, 0.02)
 
 
 def _vote(bad: Column, good: Column) -> Column:
@@ -79,25 +79,26 @@ def _posterior(votes: Column, p: Column) -> Column:
 def estimate(patterns: DataFrame, n_rules: int, rounds: int = ROUNDS) -> DataFrame:
     """One row ``p``: the share of good documents and, per rule, how often it votes for a document when it
     votes, among good and among bad ones. Expectation-maximisation over the counts of vote patterns
-    (``votes`` array, ``c``), at most 3 ** n_rules rows, as a fold over the rounds. The rates start
-    at ``START`` and stay within ``GOOD_SPAN`` and ``BAD_SPAN``, the share within [0.05, 0.99]."""
+    (``votes`` array, ``c``), at most 3 ** n_rules rows, as a fold over the rounds. The rates start at ``START``, which
+    also counts like ``WEIGHT`` of all documents in every round (a Beta prior); nothing is clamped."""
     one = patterns.agg(F.sort_array(F.collect_list(F.struct("votes", F.col("c").cast("double").alias("c")))).alias("x"))
     start = F.struct(F.lit(0.85).alias("prior"), F.array(*[F.struct(F.lit(START[0]).alias("good"), F.lit(START[1]).alias("bad"))] * n_rules).alias("rate"))
     total = lambda xs, f: F.aggregate(xs, F.lit(0.0), lambda a, x: a + f(x))
-    clamp = lambda v, lo, hi: F.greatest(F.lit(lo), F.least(F.lit(hi), v))
 
     def step(p: Column, _: Column) -> Column:
         # a transform over a one-element array names the posteriors, so they are computed once a round
         post = F.array(F.transform("x", lambda x: F.struct(x["votes"].alias("votes"), (x["c"] * _posterior(x["votes"], p)).alias("g"), x["c"].alias("c"))))
 
         def rates(q: Column) -> Column:
+            every = total(q, lambda x: x["c"]) + 1
+
             def rate(j: int) -> Column:
                 up = lambda x, m: F.when(x["votes"][j] == 1, m).otherwise(0.0)
                 on = lambda x, m: F.when(x["votes"][j] < 2, m).otherwise(0.0)
                 good, bad = (lambda x: x["g"]), (lambda x: x["c"] - x["g"])
-                share = lambda m, a, span: clamp((total(q, lambda x: up(x, m(x))) + 2 * a) / (total(q, lambda x: on(x, m(x))) + 2), *span)
-                return F.struct(share(good, START[0], GOOD_SPAN).alias("good"), share(bad, START[1], BAD_SPAN).alias("bad"))
-            prior = clamp((total(q, lambda x: x["g"]) + 1.7) / (total(q, lambda x: x["c"]) + 2), 0.05, 0.99)
+                share = lambda m, k: (total(q, lambda x: up(x, m(x))) + WEIGHT[k] * every * START[k]) / (total(q, lambda x: on(x, m(x))) + WEIGHT[k] * every)
+                return F.struct(share(good, 0).alias("good"), share(bad, 1).alias("bad"))
+            prior = (total(q, lambda x: x["g"]) + 1.7) / (every + 1)
             return F.struct(prior.alias("prior"), F.array(*[rate(j) for j in range(n_rules)]).alias("rate"))
         return F.transform(post, rates)[0]
 
