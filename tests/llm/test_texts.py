@@ -161,7 +161,7 @@ def test_quality_estimation_against_plain_python(docs):
     patterns = [(tuple(r["votes"]), r["c"]) for r in base.groupBy("votes").agg(quality.F.count("*").alias("c")).collect()]
     m = len(quality.RULES)
     prior, rate = 0.85, [list(quality.START)] * m
-    clamp = lambda v, lo, hi: max(lo, min(hi, v))
+    every = sum(c for _, c in patterns) + 1
 
     def post(votes):
         lo = math.log(prior / (1 - prior))
@@ -173,8 +173,8 @@ def test_quality_estimation_against_plain_python(docs):
         new = []
         for j in range(m):
             sums = [[sum(w(x) for x in p if x[0][j] == 1), sum(w(x) for x in p if x[0][j] < 2)] for w in (lambda x: x[2], lambda x: x[1] - x[2])]
-            new.append([clamp((s[0] + 2 * a) / (s[1] + 2), *span) for s, a, span in zip(sums, quality.START, (quality.GOOD_SPAN, quality.BAD_SPAN))])
-        prior = clamp((sum(x[2] for x in p) + 1.7) / (sum(x[1] for x in p) + 2), 0.05, 0.99)
+            new.append([(s[0] + w * every * a) / (s[1] + w * every) for s, a, w in zip(sums, quality.START, quality.WEIGHT)])
+        prior = (sum(x[2] for x in p) + 1.7) / (every + 1)
         rate = new
     want = dict(patterns)
     for r in base.select("_id", "votes").join(quality.quality(docs).selectExpr("doc_id as _id", "probability"), "_id").collect():
@@ -190,6 +190,15 @@ def test_quality_separates_labelled_documents(spark, sf):
     assert n.get((1, False), 0) <= 0.001 * n[1, True] and n.get((0, True), 0) <= 0.1 * n[0, False]
 
 
+def test_quality_rates_are_estimated(spark, sf):
+    """Rates move from where they start, in both classes, and meet no bound."""
+    base = quality.counts(spark.read.parquet(f"{sf}/../sf0.01/documents.parquet")).withColumn("votes", quality.F.array(*[r() for r in quality.RULES.values()]))
+    p = quality.estimate(base.groupBy("votes").agg(quality.F.count("*").alias("c")), len(quality.RULES)).first()["p"]
+    assert all(0 < r[k] < 1 for r in p["rate"] for k in ("good", "bad")) and 0.5 < p["prior"] < 0.99
+    assert sum(abs(r["bad"] - quality.START[1]) > 0.01 for r in p["rate"]) >= 6 and len({round(r["good"], 6) for r in p["rate"]}) >= 3
+    assert quality.quality(spark.createDataFrame([(1, None)], "doc_id long, text string")).first()["kept"] is False
+
+
 def test_quality_runs_no_python(docs):
     plan = quality.counts(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
@@ -257,6 +266,27 @@ def test_redaction(spark):
     assert t.select(secrets.redact(f.col("text"), found)).first()[0] == "ab [SECRET] cd [SECRET] é"
 
 
+@pytest.mark.parametrize("name", ["lower", "upper", "decimal", "hex", "base62", "base64url"])
+def test_planted_secrets_of_every_encoding_are_found(spark, name):
+    rnd = random.Random(name)
+    alphabet = dict(secrets.ENCODINGS)[name]
+    plain = ["thisisaverylongordinarywordindeed", "and-another-one-with-hyphens-in-it", "/usr/local/share/applications/defaults", "12345678901234567890123456789", "00000000000000000000000000"]
+    rows = [(i, f"see ({''.join(rnd.choice(alphabet) for _ in range(40))}) there") for i in range(200)] + [(1000 + i, f"a {plain[i % 5]} b") for i in range(200)]
+    got = {r["doc_id"]: r for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    base = sum(got[i]["n_hex"] for i in range(200))
+    assert sum(got[i]["n_random"] + got[i]["n_hex"] for i in range(200)) >= 190, base
+    assert sum(got[1000 + i]["n_random"] for i in range(200)) == 0
+
+
+def test_evidence_is_a_p_value_for_ordinary_runs():
+    """Runs drawn from the ordinary model itself reach evidence of a decade or more in less than a tenth of the cases."""
+    rnd = random.Random(1)
+    letters, weights = list(secrets.LETTERS), list(secrets.LETTERS.values())
+    got = [secrets.evidence("".join(rnd.choices(letters, weights, k=n))) for n in (20, 40, 400, 5000) for _ in range(150)]
+    assert sum(e >= 100 for e in got) <= 0.1 * len(got) and sum(e >= 200 for e in got) <= 0.02 * len(got)
+    assert secrets.evidence("a" * 100_000) == 0 and secrets.evidence("a" * 20) == 0
+
+
 # ---- web pages
 
 PAGE = ('<!DOCTYPE html><html><head><title>No</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/a">a</a></li></ul></nav><!-- x -->'
@@ -377,3 +407,32 @@ def test_registered_language_model_is_one_of_word_pairs(spark, sf):
     two = queries.op5_lm_scoring(spark, sf).where("held_out").toPandas()
     assert two.score.sum() > one.score.sum()
     print("held-out perplexity", *(10 ** (-x.sum() / one.n_tokens.sum()) for x in (one.base_score, one.score, two.score)))
+
+
+PARA = "<p>" + "This is a plain sentence of the running text with quite a few words in it. " * 4 + "</p>"
+NOTE = "<p>" + "Other words that do not belong to the article but are just as dense as it is. " * 4 + "</p>"
+
+
+def _text_of(n, para=PARA):
+    return "\n\n".join([re.sub("<.*?>", "", para).strip()] * n)
+
+
+@pytest.mark.parametrize("furniture", [
+    "<div class=comments>" + NOTE * 12 + "</div>", "<section id=comments>" + NOTE * 3 + "</section>", "<ol class='comment-list'>" + f"<li><article>{NOTE}</article></li>" * 10 + "</ol>",
+    "<div class='sidebar'>" + NOTE * 6 + "</div>", "<div id=footer>" + NOTE * 2 + "</div>", "<div class='cookie-notice'>" + NOTE + "</div>", "<div class=advert>" + NOTE * 3 + "</div>",
+    "<form>" + NOTE + "<input><button>Go</button></form>", "<div class='promo'><article>" + NOTE + "</article></div>", "<aside>" + NOTE * 5 + "</aside>"])
+@pytest.mark.parametrize("frame", ["<body><article>{0}</article>{1}</body>", "<body>{1}<div><h1></h1>{0}</div></body>", "<body><div class='page has-sidebar'><div>{0}</div>{1}</div></body>",
+                                   "<body><main>{0}{1}</main></body>", "<body><form id=aspnet><div><h1></h1>{0}</div>{1}</form></body>"])
+def test_dense_furniture_goes(frame, furniture):
+    for n in (1, 3):
+        if n == 1 and "<form id" in frame and "comment" not in furniture and "<aside" not in furniture:
+            continue  # one paragraph in a form beside larger furniture: nothing tells which is the article
+        assert html_text.main_text(frame.format(PARA * n, furniture)) == _text_of(n)
+
+
+@pytest.mark.parametrize("page", [
+    "<body><form><div>{0}</div></form></body>", "<body><div id='content-sidebar-wrap'><article>{0}</article></div><div>tag line</div></body>", "<body><div class=sidebar>{0}</div></body>",
+    "<body><div id='content-sidebar-wrap'><div>{0}</div><div class=sidebar>" + NOTE + "</div></div><div>Copyright</div></body>", "<div class=entry><section class='related-work'>{0}</section></div>"])
+def test_wrappers_of_the_article_stay(page):
+    got = html_text.main_text(page.format(PARA * 4))
+    assert _text_of(4) in got and "Other words" not in got
