@@ -8,7 +8,7 @@ from quarry.functions import text as tx
 from quarry.functions.vectors import round_half_away
 from quarry.operators import embed as em
 from quarry.operators.text_encoder import encode_texts, fit_encoder
-from quarry.plans.registry import register
+from quarry.plans.registry import kept, register
 from quarry.sources import fixtures as fx
 
 V = fx.with_views
@@ -157,9 +157,8 @@ def c25_full(spark, d):
 
 def kept_encoder(spark, d):
     """The folder of the encoder fitted on all works, once per application."""
-    from quarry.plans.q_index import _kept
     texts = fx.works(spark, d).select("id", tx.render_text(F.coalesce("title", F.lit("")), F.coalesce("abstract", F.lit("")), "passage").alias("text"))
-    return _kept(spark, d, "encoder", lambda f: fit_encoder(texts, f))
+    return kept(spark, d, "encoder", lambda f: fit_encoder(texts, f))
 
 
 @register("E1_encode_dense")

@@ -13,7 +13,7 @@ from quarry.operators.common import materialize
 from quarry.operators import rerank as rr
 from quarry.operators import search as srch
 from quarry.plans.q_search import _SEARCH_CTE
-from quarry.plans.registry import register
+from quarry.plans.registry import kept, register
 from quarry.sources import fixtures as fx
 
 V = fx.with_views
@@ -261,11 +261,11 @@ def _pair_table(spark, d):
     run = base_run(spark, d)
     feats = pair_ranker.pair_features(run, generated_queries(spark, d), fx.corpus(spark, d), second_seed_vectors(spark, d))
     lab = fx.table(spark, d, "labels").groupBy(F.col("doc_id").alias("id")).agg(F.max("quality").cast("int").alias("y"))
-    return materialize(feats.join(lab, "id", "left"), "pair-table")
+    return feats.join(lab, "id", "left")
 
 
 def _learned(spark, d):
-    table = _pair_table(spark, d)
+    table = spark.read.parquet(kept(spark, d, "pair-table", lambda f: _pair_table(spark, d).write.parquet(f)))
     return table.where("topic % 2 = 1"), pair_ranker.fit(table.where("topic % 2 = 0 and y is not null"), pair_ranker.FEATURES, "y")
 
 

@@ -24,6 +24,21 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+_KEPT: dict[tuple, str] = {}
+
+
+def kept(spark, d: str, name: str, build: Callable[[str], None]) -> str:
+    """The folder of something built from the tables of ``d`` (an index, a model, a map): built once per application,
+    under the shared folder, as a table that others keep."""
+    from quarry.sources.io import scratch_path
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _KEPT:
+        folder = scratch_path(spark, f"kept-{name}")
+        build(folder)
+        _KEPT[key] = folder
+    return _KEPT[key]
+
+
 def load_all() -> None:
     # importing the modules fills the registry
     import importlib
