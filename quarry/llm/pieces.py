@@ -20,8 +20,11 @@ WHITE = (" \t\n\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u200
          "\u2028\u2029\u202f\u205f\u3000")
 BATCH_CHARS = 1 << 20      # segments are looked up for texts of about this size together
 TAIL = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"  # ASCII punctuation of a word's end; no apostrophe, no <|>
+# A line end or nothing, letters up to U+024F (those that Python calls letters), punctuation; no letters for other segments.
+_LETTERS = "".join(c for c in map(chr, range(0x250)) if c.isalpha())
+LATIN = re.compile(f"(\0\n)?(?:([{_LETTERS}]+)([{re.escape(TAIL)}]*)$(?!\n))?").match
 JOIN_CHARS = 10_000        # new segments are encoded as strings of about this length
-MEMO_SEGMENTS = 500_000    # segments kept per task
+MEMO_SEGMENTS = 500_000    # segments kept per worker
 MEMO_CHARS = 64            # longer segments are encoded whenever they occur
 
 
@@ -46,9 +49,24 @@ def load_tokenizer(path: str):
     return tk
 
 
+def per_worker(key: tuple, make):
+    """What ``make()`` gives, made once per Python worker process. Workers serve many tasks; this package comes to
+    them by value with every task, so its own globals would not last."""
+    import sys
+    import types
+    kept = sys.modules.setdefault("quarry_worker_kept", types.ModuleType("quarry_worker_kept")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 def encoder(path: str, ids: bool = False, batch_chars: int = BATCH_CHARS) -> "SegmentEncoder":
     """A segment encoder for a byte-level ``.json`` file. Added tokens are written as they are, other
-    tokens with one character for each byte."""
+    tokens with one character for each byte. Tokenizer and memo are those of the worker: tasks add to one memo."""
+    return per_worker(("encoder", path, ids, batch_chars), lambda: _encoder(path, ids, batch_chars))
+
+
+def _encoder(path: str, ids: bool, batch_chars: int) -> "SegmentEncoder":
     tk = load_tokenizer(path)
     added = tk.get_added_tokens_decoder()
     plain = tk.normalizer is None and type(tk.pre_tokenizer).__name__ == "ByteLevel" and not tk.pre_tokenizer.add_prefix_space \
@@ -70,42 +88,49 @@ class SegmentEncoder:
             self.size[i] = token_bytes(token, i)
         self.memo = {}  # segment -> kept; spaced segments are kept without their space, raw ones after "\0"
         self.cut = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+").findall
-        self.unsafe = re.compile(f"[{WHITE}] ").search
+        self.unsafe = re.compile(f"[{WHITE}] |\0").search
+        self.unsafe_line = re.compile(f"[{WHITE}]\n|\n[{WHITE}]").search
         self.white = frozenset(WHITE)
         self.words = words
         self.merge, self.tails = tokenizer.model.tokenize, {"": []}
         self.shown = {b: c for b, c in enumerate(byte_chars())}
         self.space = self.shown[32]
+        self.line_end = [t.id for t in self.merge(self.shown[10])] if words else []
 
     def segments(self, text: str) -> list[str]:
         """Keys of the text's segments. Where every space follows a non-space character, plain spaces are
-        the boundaries (other white space stays inside segments); else every safe boundary is."""
+        the boundaries, and line ends where all stand alone (other white space stays inside segments); else every
+        safe boundary is."""
         if not text:
             return []
         if self.unsafe(text):
             return ["\0" + x for x in self.cut(text)]
+        if "\n" in text and not self.unsafe_line(text):
+            text = text.replace("\n", " \0\n")
         out = text.split(" ")
         if out[0]:
             out[0] = "\0" + out[0]
             return out
-        return out[1:]
+        del out[0]
+        return out
 
     @staticmethod
     def text_of(key: str) -> str:
         return key[1:] if key[:1] == "\0" else " " + key
 
     def word_ids(self, key: str) -> list[int] | None:
-        """Ids of a space, Latin letters and ASCII punctuation after them, or None for any other segment.
+        """Ids of a space or a line end, Latin letters and ASCII punctuation after them, or None for any other segment.
 
-        These are two matches of the split pattern (letters with their space, punctuation), whatever the
-        Unicode version, so the model's merges are asked for directly."""
-        word = key.rstrip(TAIL)
-        if not word.isalpha() or max(word) > "\u024f":
+        These are matches of the split pattern (letters with their space, a single line end, punctuation), whatever
+        the Unicode version, so the model's merges are asked for directly."""
+        line, word, tail = LATIN(key).groups()
+        if not word:
             return None
-        tail = key[len(word):]
         if tail not in self.tails:
             self.tails[tail] = [t.id for t in self.merge(tail)]
         shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.shown)
+        if line:
+            return self.line_end + [t.id for t in self.merge(shown)] + self.tails[tail]
         return [t.id for t in self.merge(self.space + shown)] + self.tails[tail]
 
     def learn(self, keys: list[str]) -> None:
@@ -157,10 +182,12 @@ class SegmentEncoder:
             cut = [self.segments(t) for t in part]
             flat = [k for keys in cut for k in keys]
             kept = list(map(self.memo.get, flat))
-            if None in kept:
-                new = dict.fromkeys(k for k, v in zip(flat, kept) if v is None)
+            missing = [i for i, v in enumerate(kept) if v is None]
+            if missing:
+                new = dict.fromkeys([flat[i] for i in missing])
                 self.learn(list(new))
-                kept = list(map(self.memo.__getitem__, flat))
+                for i in missing:
+                    kept[i] = self.memo[flat[i]]
                 for k in new:
                     if len(k) > MEMO_CHARS:
                         del self.memo[k]
