@@ -11,7 +11,6 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quarry.llm.common import id_text, materialize, small_batches
 
@@ -22,35 +21,101 @@ SYMBOL = (1 << BITS) - 1
 STRENGTH = 1.0                 # of every restaurant
 CHUNK_TOKENS = 2_000_000       # tokens of the documents that are looked up together
 MODEL_ROWS = 4_000_000         # rows of the spelling model that a task holds at once (64 MB)
+SEAT_BLOCK = 1_000_000         # customers that are seated together
+BUCKET_PAIRS = 2_000_000       # tokens, so at most pairs, that are counted together
 END_TOKEN = b"\xff"            # the end of a text as a token; no UTF-8 word has this byte
 
 
+def _free(table: DataFrame) -> None:
+    """Delete a table of this run that only steps already written have read."""
+    spark = table.sparkSession
+    for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 class _Numbers(dict):
     def __missing__(self, word):
         n = self[word] = len(self)
         return n
 
 
+def mix(x: np.ndarray) -> np.ndarray:
+    """64 well mixed bits of each number (splitmix's finaliser)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class Draws:
+    """Random numbers that depend on the seed, a row's own key and the place in the row, so that neither the
+    order of rows nor how they are dealt to tasks changes them."""
+
+    def __init__(self, keys: np.ndarray, *seed: int):
+        salt = np.array([sum((x + 1) * 0x9E3779B97F4A7C15 ** (i + 1) for i, x in enumerate(seed)) % (1 << 64)], np.uint64)
+        self.keys = mix(keys.view(np.uint64) ^ salt)
+
+    def random(self, at: np.ndarray, place: np.ndarray) -> np.ndarray:
+        return (mix(self.keys[at] + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)).astype(float) / (1 << 53)
+
+
 def seat(customers: np.ndarray, new: np.ndarray, discount: float, rng) -> np.ndarray:
     """Number of tables after seating each dish's customers again, one after the other, given all other
     seats: a customer opens a table with odds ``new`` (strength and tables of the restaurant times the parent's
-    probability) against the seats taken less the discounts. Beyond 64 customers they come in groups of a
-    sixteenth of those seated, with one binomial draw each."""
+    probability) against the seats taken less the discounts. All dishes take a customer at a time, and from the
+    32nd on the customers of many dishes come together in blocks (see ``_seat_block``), to the same result.
+    ``rng`` is a numpy generator or ``Draws``."""
+    draw = rng.random if isinstance(rng, Draws) else lambda at, place: rng.random(len(at))
     t = (customers > 0).astype(np.int64)
-    i = 1
-    at = np.flatnonzero(customers > i)
+    at = np.flatnonzero(customers > 1)
+    for i in range(1, 32):
+        if not len(at):
+            return t
+        odds = new[at]
+        t[at] += draw(at, np.array([i])) * (i - discount * t[at] + odds) < odds
+        at = at[customers[at] > i + 1]
+    start = np.full(len(at), 32, np.int64)
     while len(at):
-        step = 1 if i < 64 else i // 16
-        p = new[at] / (i - discount * t[at] + new[at])
-        if step == 1:
-            t[at] += rng.random(len(at)) < p
-        else:
-            t[at] += rng.binomial(np.minimum(step, customers[at] - i), np.minimum(p, 1.0))
-        i += step
-        at = at[customers[at] > i]
+        ends = np.cumsum(customers[at] - start)
+        n = max(1, int(np.searchsorted(ends, SEAT_BLOCK, "right")))
+        dish, since = at[:n], start[:n]
+        size = np.minimum(customers[dish] - since, SEAT_BLOCK)
+        t[dish] += _seat_block(dish, since, size, t[dish], new[dish], discount, draw)
+        start[:n] += size
+        done = 0 if start[0] < customers[at[0]] else n  # a dish of more than a block goes on with the next
+        at, start = at[done:], start[done:]
     return t
 
 
+def _seat_block(dish, since, size, t, new, discount, draw) -> np.ndarray:
+    """New tables of each dish among its next ``size`` customers after ``since``. Whether a customer opens one depends
+    on the tables opened before only within narrow bounds, so most are settled at once; the others are settled again
+    and again from the left until nothing changes, which is what one after the other gives."""
+    first = np.cumsum(size) - size
+    own = np.repeat(np.arange(len(size)), size)
+    after = np.arange(len(own)) - first[own]
+    u = draw(dish[own], since[own] + after)
+    base, odds = (since - discount * t + new)[own], new[own]
+    opens = u * (base + after) < odds                                    # with no table opened in the block before
+    open_to = np.flatnonzero(~opens & (u * (base + (1 - discount) * after) < odds))  # with all of them opened
+    counts = np.cumsum(opens)
+    tables = np.add.reduceat(opens, first, dtype=np.int64)
+    if len(open_to):
+        mine, u, odds = own[open_to], u[open_to], odds[open_to]
+        before = counts[open_to] - (counts[first] - opens[first])[mine]  # settled tables of the block before
+        free = base[open_to] + after[open_to] - discount * before
+        begins = np.searchsorted(mine, mine)
+        now = np.zeros(len(open_to), bool)
+        while True:
+            more = np.concatenate([[0], np.cumsum(now)])
+            again = u * (free - discount * (more[:-1] - more[begins])) < odds
+            if (again == now).all():
+                break
+            now = again
+        tables += np.bincount(mine, now, len(size)).astype(np.int64)
+    return tables
+
+
 def discount_of(customers: np.ndarray) -> float:
     ones, twos = int((customers == 1).sum()), int((customers == 2).sum())
     return min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones else 0.5
@@ -143,7 +208,7 @@ def _char_counts(words: DataFrame) -> DataFrame:
 
 
 def _spelling_model(counts: DataFrame, root: list[float], rounds: int, seed: int) -> DataFrame:
-    """(n, kind, key, value): per level the probabilities of seen symbols (kind 0), the weights of the parents
+    """(n, kind, key, value, part): per level the probabilities of seen symbols (kind 0), the weights of the parents
     (kind 1), and tables by symbol for the root (n 0). All contexts that end in one symbol are one group:
     their parents lie in the same group. The rows are sums over all words, so a group is bounded by the
     different strings of five symbols that end alike, not by the rows that hold them."""
@@ -155,10 +220,11 @@ def _spelling_model(counts: DataFrame, root: list[float], rounds: int, seed: int
         rows.append((0, 2, np.arange(SYMBOL + 1), m["root"].astype(float)))
         return pa.table({"n": pa.array(np.concatenate([np.full(len(k), n, np.int32) for n, _, k, _ in rows])),
                          "kind": pa.array(np.concatenate([np.full(len(k), kind, np.int32) for _, kind, k, _ in rows])),
-                         "key": pa.array(np.concatenate([k for _, _, k, _ in rows])), "value": pa.array(np.concatenate([v for *_, v in rows]).astype(float))})
+                         "key": pa.array(np.concatenate([k for _, _, k, _ in rows])), "value": pa.array(np.concatenate([v for *_, v in rows]).astype(float)),
+                         "part": pa.array(np.concatenate([_part(k if kind == 1 else k >> BITS) for _, kind, k, _ in rows]))})
 
     return (counts.withColumn("last", F.shiftright("code", BITS).bitwiseAND(SYMBOL))
-            .groupBy("last").applyInArrow(run, "n int, kind int, key long, value double"))
+            .groupBy("last").applyInArrow(run, "n int, kind int, key long, value double, part long"))
 
 
 def _as_arrays(rows: pa.Table) -> dict:
@@ -202,12 +268,10 @@ def _spelled(words: DataFrame, model: DataFrame, log_root: list[float], name: st
     model = model.where("kind < 2")
     slices = -(-max(model.count(), 1) // MODEL_ROWS)
     # rows of one symbol of context belong to every slice
-    part = lambda code: F.pmod(F.hash(code.bitwiseAND((1 << 2 * BITS) - 1)), F.lit(slices))
-    context = F.when(F.col("kind") == 1, F.col("key")).otherwise(F.shiftright("key", BITS))
-    out = words.withColumn("log_p", F.lit(0.0))
+    out, held = words.withColumn("log_p", F.lit(0.0)), None
     cols = out.columns
     for s in range(slices):
-        rows = model if slices == 1 else model.where((F.col("n") == 1) | (part(context) == s))
+        rows = model if slices == 1 else model.where((F.col("n") == 1) | (F.col("part") % slices == s))
         arrays = spark.sparkContext.broadcast(_as_arrays(rows.toArrow()))
 
         def run(batches: Iterator[pa.RecordBatch], s=s, arrays=arrays) -> Iterator[pa.RecordBatch]:
@@ -215,7 +279,7 @@ def _spelled(words: DataFrame, model: DataFrame, log_root: list[float], name: st
             for b in small_batches(batches, "word", 1 << 20):
                 code, own = spell(b.column("word"))
                 if slices > 1:
-                    keep = _slice_of(code, slices) == s
+                    keep = _part(code >> BITS) % slices == s
                     code, own = code[keep], own[keep]
                 distinct, inverse = np.unique(code, return_inverse=True)
                 lp = log_symbol(distinct, arrays.value, root)[inverse]
@@ -224,30 +288,16 @@ def _spelled(words: DataFrame, model: DataFrame, log_root: list[float], name: st
 
         out = out.mapInArrow(run, out.schema)
         if s < slices - 1:
-            out = materialize(out, f"{name}-{s}")
+            before, out = held, materialize(out, f"{name}-{s}")
+            held = out
+            if before is not None:
+                _free(before)
     return out
 
 
-def _slice_of(code: np.ndarray, slices: int) -> np.ndarray:
-    """Spark's hash of the last two symbols of context, as ``_spelled`` splits the model."""
-    return _murmur_long((code >> BITS) & ((1 << 2 * BITS) - 1)) % slices
-
-
-def _murmur_long(x: np.ndarray) -> np.ndarray:
-    def rotl(v, r):
-        return ((v << r) | (v >> (32 - r))) & 0xFFFFFFFF
-    h = np.full(len(x), 42, np.int64)
-    for word in (x & 0xFFFFFFFF, (x >> 32) & 0xFFFFFFFF):
-        k = (word * 0xCC9E2D51) & 0xFFFFFFFF
-        k = (rotl(k, 15) * 0x1B873593) & 0xFFFFFFFF
-        h = (rotl(h ^ k, 13) * 5 + 0xE6546B64) & 0xFFFFFFFF
-    h ^= 8
-    h ^= h >> 16
-    h = (h * 0x85EBCA6B) & 0xFFFFFFFF
-    h ^= h >> 13
-    h = (h * 0xC2B2AE35) & 0xFFFFFFFF
-    h ^= h >> 16
-    return np.where(h >= 1 << 31, h - (1 << 32), h)
+def _part(context: np.ndarray) -> np.ndarray:
+    """A hash of the last two symbols of a context, by which the model is sliced."""
+    return (mix((context & ((1 << 2 * BITS) - 1)).astype(np.uint64)) >> np.uint64(1)).astype(np.int64)
 
 
 def _chunks(src: DataFrame, modulus: int, held: int) -> DataFrame:
@@ -299,55 +349,189 @@ def _pairs_of(row, at: int = 0) -> tuple[np.ndarray, np.ndarray]:
     return np.unique((np.concatenate([tok[-1:], tok[:-1]]) << np.uint64(32)) | tok, return_inverse=True)
 
 
-def _pairs(chunks: DataFrame, name: str) -> DataFrame:
-    """(hu, hw, chunk, i, total, first): the pairs of words (by hash, the one before first) of each chunk that a reply
-    is due for: those that training texts have twice or more, and those with one such that only held-out texts
-    of the chunk have. All others are known in the chunk itself. ``first`` marks one row of each pair."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in range(b.num_rows):
-                h = _hashes(b.column("words")[r].values)
-                codes, inverse = _pairs_of(b, r)
-                train = np.repeat(~np.asarray(b.column("held")[r].values.to_numpy(zero_copy_only=False), bool), np.asarray(b.column("lens")[r].values))
-                count = np.bincount(inverse[train], minlength=len(codes))
-                hu, hw = h[(codes >> np.uint64(32)).astype(np.int64)], h[(codes & np.uint64(0xFFFFFFFF)).astype(np.int64)]
-                chunk = b.column("chunk")[r].as_py()
-                for s in range(0, len(codes), 50_000):
-                    on = slice(s, min(s + 50_000, len(codes)))
-                    m = on.stop - s
-                    yield pa.RecordBatch.from_arrays([pa.array(hu[on]), pa.array(hw[on]), pa.array(np.full(m, chunk, np.int64)),
-                                                      pa.array(np.arange(s, on.stop, dtype=np.int32)), pa.array(count[on])], ["hu", "hw", "chunk", "i", "c"])
+def _pack(x: np.ndarray) -> bytes:
+    """Compressed, first bytes of all numbers first."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes())
+
+
+def _unpack(blob: pa.Scalar, kind=np.uint32) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob.as_py()), np.uint8).reshape(size, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
 
-    same = Window.partitionBy("hu", "hw")
-    place = F.struct("chunk", "i")
-    rows = (chunks.select("chunk", "held", "lens", "tokens", "words").mapInArrow(run, "hu long, hw long, chunk long, i int, c long")
-            .withColumn("total", F.sum("c").over(same)).withColumn("first", place == F.min(place).over(same)))
-    return materialize(rows.where("total >= 2 or total = 1 and c = 0").drop("c"), name)
 
+def _deal(key: np.ndarray, buckets: int) -> list[tuple[int, np.ndarray]]:
+    """(bucket, positions of its keys) for every bucket that has some."""
+    bucket = (key % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    cut = np.flatnonzero(np.diff(bucket[order])) + 1
+    return [(int(bucket[on[0]]), on) for on in np.split(order, cut) if len(on)]
 
-def _sums(pairs: DataFrame, value: str) -> DataFrame:
-    """(h, as_word, as_context): sums of ``value`` by the second and by the first word of the pairs."""
-    sides = F.array(F.struct(F.col("hw").alias("h"), F.col(value).alias("as_word"), F.lit(0).cast("long").alias("as_context")),
-                    F.struct(F.col("hu").alias("h"), F.lit(0).cast("long").alias("as_word"), F.col(value).alias("as_context")))
-    return pairs.select(F.inline(sides)).groupBy("h").agg(F.sum("as_word").alias("as_word"), F.sum("as_context").alias("as_context"))
 
+def _batch(rows: list[tuple], fields: str) -> pa.RecordBatch:
+    names, kinds = zip(*(f.split() for f in fields.split(", ")))
+    types = {"long": pa.int64(), "binary": pa.binary(), "double": pa.float64()}
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], types[k]) for i, k in enumerate(kinds)], list(names))
 
-def _seat_pairs(pairs: DataFrame, words: DataFrame, d: float, seed: list[int], name: str) -> DataFrame:
-    """``pairs`` (hu, hw, c, t, ts) seated again: a customer opens a table with the odds of its context's restaurant
-    times the word's probability; ``ts`` adds up the tables of all sweeps."""
+
+def _codes(row, at: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct pairs of a chunk, how often training texts have each, number of the pair of each token)."""
+    codes, inverse = _pairs_of(row, at)
+    held = np.asarray(row.column("held")[at].values.to_numpy(zero_copy_only=False), bool)
+    train = np.repeat(~held, np.asarray(row.column("lens")[at].values))
+    return codes, np.bincount(inverse[train], minlength=len(codes)), inverse
+
+
+MESSAGE = "bucket long, chunk long, at binary, key binary, value binary"
+REPLY = "chunk long, at binary, key binary, total binary, owned binary"
+TABLES = "chunk long, h binary, u binary, w binary, key binary, c binary, t binary, ts binary, twos long"
+DUE = "chunk long, due_at binary, due_key binary, due_total binary, due_owned binary"
+
+
+def _counted(chunks: DataFrame, buckets: int) -> DataFrame:
+    """What each chunk is told of its pairs of words, a row for each bucket of pairs: places, keys, how often all
+    training texts have them, and whether this chunk owns the pair (the first chunk that has it does). Told are pairs that
+    training texts have twice or more, and those that they have once, elsewhere. Others are known in the chunk.
+    A chunk sends packed keys and counts to each bucket of its pairs, so Spark shuffles as many rows as chunks have
+    buckets (at most one for each pair), and a bucket holds about ``BUCKET_PAIRS``: a pair has one entry for each chunk."""
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                h = _hashes(b.column("words")[r].values).view(np.uint64)
+                codes, count, _ = _codes(b, r)
+                key = pair_key(h[(codes >> np.uint64(32)).astype(np.int64)], h[(codes & np.uint64(0xFFFFFFFF)).astype(np.int64)])
+                chunk = b.column("chunk")[r].as_py()
+                rows = [(bucket, chunk, _pack(np.diff(on, prepend=0).astype(np.uint32)), key[on].tobytes(), _pack(count[on].astype(np.uint32)))
+                        for bucket, on in _deal(key, buckets)]
+                for s in range(0, len(rows), 256):
+                    yield _batch(rows[s:s + 256], MESSAGE)
+
+    def add(group, table):
+        table = table.sort_by("chunk")
+        keys = [np.frombuffer(k.as_py(), np.uint64) for k in table.column("key")]
+        count = np.concatenate([_unpack(v) for v in table.column("value")]).astype(np.int64)
+        distinct, first, inverse = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        total = np.bincount(inverse, count, len(distinct)).astype(np.int64)[inverse]
+        owned = np.zeros(len(count), bool)
+        owned[first] = True
+        due = (total >= 2) | ((total == 1) & (count == 0))
+        rows, start = [], 0
+        for m, key in enumerate(keys):
+            on = np.flatnonzero(due[start:start + len(key)])
+            at = np.cumsum(_unpack(table.column("at")[m]).astype(np.int64))[on]
+            if len(on):
+                rows.append((table.column("chunk")[m].as_py(), _pack(np.diff(at, prepend=0).astype(np.uint32)), key[on].tobytes(),
+                             _pack(total[start + on].astype(np.uint32)), _pack((owned & (total >= 2))[start + on].astype(np.uint8))))
+            start += len(key)
+        return pa.Table.from_batches([_batch(rows, REPLY)])
+
+    return (chunks.select("chunk", "held", "lens", "tokens", "words").mapInArrow(send, MESSAGE).groupBy("bucket").applyInArrow(add, REPLY))
+
+
+def pair_key(hu: np.ndarray, hw: np.ndarray) -> np.ndarray:
+    return mix(mix(hu) + hw)
+
+
+def _owned(counted: DataFrame, chunks: DataFrame) -> DataFrame:
+    """A row for each chunk: the pairs it was told of, and those it owns, as numbers in a list of their words'
+    hashes, with customers, tables and the sum of tables over sweeps."""
+    fields = f"{DUE}, {TABLES.removeprefix('chunk long, ')}"
+
+    def run(group, left, right):
+        if not left.num_rows or not right.num_rows:
+            return pa.Table.from_batches([_batch([], fields)])
+        row = right.slice(0, 1).combine_chunks()
+        at = np.concatenate([np.cumsum(_unpack(x).astype(np.int64)) for x in left.column("at")])
+        order = np.argsort(at)
+        key = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in left.column("key")])[order]
+        total = np.concatenate([_unpack(x) for x in left.column("total")])[order]
+        own = np.concatenate([_unpack(x, np.uint8) for x in left.column("owned")])[order].astype(bool)
+        codes = _codes(row)[0][at[order][own]]
+        ends = np.concatenate([codes >> np.uint64(32), codes & np.uint64(0xFFFFFFFF)]).astype(np.int64)
+        used, number = np.unique(ends, return_inverse=True)
+        u, w = np.split(number.astype(np.uint32), 2)
+        c = total[own]
+        return pa.Table.from_batches([_batch([(
+            row.column("chunk")[0].as_py(), _pack(np.diff(at[order], prepend=0).astype(np.uint32)), key.tobytes(), _pack(total), _pack(own.astype(np.uint8)),
+            _hashes(row.column("words")[0].values.take(pa.array(used))).tobytes(), _pack(u), _pack(w), key[own].tobytes(), _pack(c),
+            _pack(np.ones(len(c), np.uint32)), _pack(np.zeros(len(c), np.uint32)), int((c == 2).sum()))], fields)])
+
+    return counted.groupBy("chunk").cogroup(chunks.select("chunk", "held", "lens", "tokens", "words").groupBy("chunk")).applyInArrow(run, fields)
+
+
+def _sums(tables: DataFrame) -> DataFrame:
+    """(h, cw, cu, tw, tu): customers and tables of the owned pairs by their second and by their first word, added
+    up in each chunk before the shuffle."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            c = np.asarray(b.column("c"))
-            rng = np.random.default_rng([*seed, int(b.column("hu")[0].as_py()) & 0x7FFFFFFF, int(b.column("hw")[0].as_py()) & 0x7FFFFFFF, len(c)])
-            t = seat(c, (STRENGTH + d * np.asarray(b.column("tu"))) * np.asarray(b.column("above")), d, rng)
-            yield pa.RecordBatch.from_arrays([b.column("hu"), b.column("hw"), b.column("c"), pa.array(t), pa.array(np.asarray(b.column("ts")) + t)], ["hu", "hw", "c", "t", "ts"])
+            for r in range(b.num_rows):
+                h = np.frombuffer(b.column("h")[r].as_py(), np.int64)
+                u, w, c, t = (_unpack(b.column(x)[r]) for x in ("u", "w", "c", "t"))
+                sums = [np.bincount(i, x, len(h)).astype(np.int64) for x in (c, t) for i in (w, u)]
+                for s in range(0, len(h), 50_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(x[s:s + 50_000]) for x in (h, *sums)], ["h", "cw", "cu", "tw", "tu"])
+
+    return (tables.select("h", "u", "w", "c", "t").mapInArrow(run, "h long, cw long, cu long, tw long, tu long")
+            .groupBy("h").agg(*[F.sum(c).alias(c) for c in ("cw", "cu", "tw", "tu")]))
+
 
-    above = words.select(F.col("h").alias("hw"), F.element_at("p", -1).alias("above"))
-    tables = words.select(F.col("h").alias("hu"), "tu")
-    return materialize(pairs.join(above, "hw").join(tables, "hu").select("hu", "hw", "c", "ts", "tu", "above")
-                       .mapInArrow(run, "hu long, hw long, c long, t long, ts long"), name)
+def _seat_pairs(tables: DataFrame, words: DataFrame, d: float, seed: tuple[int, int]) -> DataFrame:
+    """``tables`` with the owned pairs seated again: a customer opens a table with the odds of its context's restaurant
+    times the word's probability; ``ts`` adds up the tables of all sweeps. Each chunk asks for its words once."""
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                h = np.frombuffer(b.column("h")[r].as_py(), np.int64)
+                for s in range(0, len(h), 50_000):
+                    m = len(h[s:s + 50_000])
+                    yield pa.RecordBatch.from_arrays([pa.array(h[s:s + 50_000]), pa.array(np.full(m, b.column("chunk")[r].as_py())),
+                                                      pa.array(np.arange(s, s + m, dtype=np.int32))], ["h", "chunk", "i"])
+
+    def run(group, left, right):
+        row = right.slice(0, 1).combine_chunks()
+        i = np.asarray(left.column("i"))
+        above, tu = np.zeros(len(i)), np.zeros(len(i))
+        above[i], tu[i] = np.asarray(left.column("above")), np.asarray(left.column("tu"))
+        u, w, c, ts = (_unpack(row.column(x)[0]) for x in ("u", "w", "c", "ts"))
+        draws = Draws(np.frombuffer(row.column("key")[0].as_py(), np.uint64), *seed)
+        t = seat(c.astype(np.int64), (STRENGTH + d * tu[u]) * above[w], d, draws).astype(np.uint32)
+        new = {"t": pa.array([_pack(t)], pa.binary()), "ts": pa.array([_pack(ts + t)], pa.binary())}
+        return pa.table([new.get(x, row.column(x)) for x in row.column_names], row.column_names)
+
+    asked = tables.select("chunk", "h").mapInArrow(ask, "h long, chunk long, i int")
+    answers = asked.join(words.select("h", F.element_at("p", -1).alias("above"), "tu"), "h").drop("h")
+    return answers.groupBy("chunk").cogroup(tables.groupBy("chunk")).applyInArrow(run, tables.schema)
+
+
+def _told(due: DataFrame, tables: DataFrame, d: float, sweeps: int, buckets: int) -> DataFrame:
+    """(chunk, at, value): the customers less the discounted mean tables of every pair a chunk was told of, from
+    the pair's owner by way of its bucket. A pair that training texts have once has one table."""
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                at = np.cumsum(_unpack(b.column("due_at")[r]).astype(np.int64))
+                key, total = np.frombuffer(b.column("due_key")[r].as_py(), np.uint64), _unpack(b.column("due_total")[r])
+                own = _unpack(b.column("due_owned")[r], np.uint8).astype(bool)
+                sat = np.zeros(len(at), np.uint32)  # none: not owned here
+                sat[own] = _unpack(b.column("ts")[r])
+                rows = [(bucket, b.column("chunk")[r].as_py(), _pack(np.diff(at[on], prepend=0).astype(np.uint32)), key[on].tobytes(),
+                         _pack(np.concatenate([total[on], sat[on]]))) for bucket, on in _deal(key, buckets)]
+                for s in range(0, len(rows), 256):
+                    yield _batch(rows[s:s + 256], MESSAGE)
+
+    def fill(group, table):
+        keys = [np.frombuffer(k.as_py(), np.uint64) for k in table.column("key")]
+        values = [np.split(_unpack(v), 2) for v in table.column("value")]
+        distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        sat = np.zeros(len(distinct), np.int64)
+        np.maximum.at(sat, inverse, np.concatenate([v[1] for v in values]).astype(np.int64))
+        sat[sat == 0] = sweeps
+        parts = np.split(sat[inverse], np.cumsum([len(k) for k in keys])[:-1])
+        return pa.table({"chunk": table.column("chunk"), "at": table.column("at"),
+                         "value": pa.array([_pack(v[0] - d / sweeps * x) for v, x in zip(values, parts)], pa.binary())})
+
+    return (due.join(tables.select("chunk", "ts"), "chunk").mapInArrow(send, MESSAGE)
+            .groupBy("bucket").applyInArrow(fill, "chunk long, at binary, value binary"))
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, held: int = 2,
@@ -374,8 +558,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modul
 
     Scale: tokens are counted in the task, words by hash with map-side sums; documents wait in chunks that hold
     each word once, so only words and pairs, not tokens, are shuffled and joined; chunks are written compressed. Pairs are
-    counted in the chunk and shuffled once; a pair seen once has one table whatever happens, so that only pairs
-    seen twice are written, seated and answered.
+    counted in the chunk and shuffled as packed arrays, a row for each chunk and bucket of pairs (see ``_counted``). A pair
+    seen once has one table whatever happens, so that only pairs seen twice are written, seated and answered; each
+    is seated by the first chunk that has it. Random numbers come from each word's or pair's own hash.
+    A sweep's tables are deleted once the next ones are written; the result reads the last.
     The spelling model goes to tasks in slices of bounded size (see ``_spelled``). Words of over 2**20 bytes
     are possible but spelled in one task.
 
@@ -402,15 +588,15 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modul
     words = (entries.where("c > 0").groupBy("h").agg(F.any_value("word").alias("word"), F.sum("c").alias("c"))
              .withColumns({"t": F.lit(1).cast("long"), "p": doubles, "back": doubles}))
     d_pair = 0.0
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     if order > 1:
-        due = _pairs(chunks, "lm-pairs")
-        pairs = due.where("first and total >= 2").select("hu", "hw", F.col("total").alias("c"), F.lit(1).cast("long").alias("t"), F.lit(0).cast("long").alias("ts"))
-        often = _sums(pairs, "c").withColumnsRenamed({"as_word": "cw", "as_context": "cu"}).join(_sums(pairs, "t"), "h")
+        tokens = chunks.agg(F.sum(F.aggregate("lens", F.lit(0).cast("long"), lambda s, x: s + x))).first()[0]
+        buckets = -(-tokens // BUCKET_PAIRS)
+        told = materialize(_owned(_counted(chunks, buckets), chunks), "lm-pairs")
+        due, pairs = told.select(*[f.split()[0] for f in DUE.split(", ")]), told.select(*[f.split()[0] for f in TABLES.split(", ")])
         # every word is followed by one word, so it is as often a context as a word; once: pairs seen once
-        zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-        words = (words.join(often, "h", "left").withColumns({"once_w": F.col("c") - zero("cw"), "once_u": F.col("c") - zero("cu")})
-                 .withColumns({"k": F.col("once_w") + zero("as_word"), "tu": F.col("once_u") + zero("as_context")})
-                 .drop("cw", "cu", "as_word", "as_context"))
+        words = (words.join(_sums(pairs), "h", "left").withColumns({"once_w": F.col("c") - zero("cw"), "once_u": F.col("c") - zero("cu")})
+                 .withColumns({"k": F.col("once_w") + zero("tw"), "tu": F.col("once_u") + zero("tu")}).drop("cw", "cu", "tw"))
     else:
         words = words.withColumn("k", F.col("c"))
     words = materialize(words, "lm-words-0")
@@ -418,7 +604,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modul
     discount = lambda ones, twos: min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones else 0.5
     d = discount(ones, twos)
     if order > 1:
-        d_pair = discount(words.agg(F.sum("once_w")).first()[0] or 0, pairs.where("c = 2").count())
+        d_pair = discount(words.agg(F.sum("once_w")).first()[0] or 0, pairs.agg(F.sum("twos")).first()[0] or 0)
     root, p_unknown = [1 / (SYMBOL + 1)] * (SYMBOL + 1), []
     for sweep in range(sweeps):
         tables, customers = words.agg(F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.sum("k"), F.lit(0))).first()
@@ -435,39 +621,42 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modul
                 if not b.num_rows:
                     continue
                 k, h = np.asarray(b.column("k")), np.asarray(b.column("h"))
-                rng = np.random.default_rng([seed, sweep, int(h[0]) & 0x7FFFFFFF, len(h)])
                 spelt = np.exp(np.asarray(b.column("log_p")))
-                new = {"t": pa.array(seat(k, (STRENGTH + d * tables) * spelt, d, rng)), "log_p": pa.array(spelt)}
+                new = {"t": pa.array(seat(k, (STRENGTH + d * tables) * spelt, d, Draws(h, seed, sweep))), "log_p": pa.array(spelt)}
                 yield pa.RecordBatch.from_arrays([new.get(c, b.column(c)) for c in cols], cols)
 
-        words = materialize(spelled.mapInArrow(reseat, spelled.schema).withColumnRenamed("log_p", "spelt"), f"lm-words-{sweep + 1}")
+        reseated = materialize(spelled.mapInArrow(reseat, spelled.schema).withColumnRenamed("log_p", "spelt"), f"lm-words-{sweep + 1}")
+        for done in (words, model, spelled):  # `spelled` reads the words before, or the last slice's table
+            _free(done)
+        words = reseated
         tables, spelt = words.agg(F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.sum("spelt"), F.lit(0.0))).first()
         to_parent = (STRENGTH + d * tables) / (STRENGTH + customers)
         p_unknown.append(to_parent * max(1 - spelt, 1e-12))
         p = (F.col("k") - d * F.col("t")) / (STRENGTH + customers) + to_parent * F.col("spelt")
         words = words.withColumn("p", F.concat("p", F.array(p))).drop("spelt")
         if order > 1:
-            pairs = _seat_pairs(pairs, words, d_pair, [seed, sweep], f"lm-tables-{sweep}")
-            words = (words.join(_sums(pairs, "t"), "h", "left")
-                     .withColumns({"k": F.col("once_w") + zero("as_word"), "tu": F.col("once_u") + zero("as_context")}).drop("as_word", "as_context")
+            before, pairs = pairs, materialize(_seat_pairs(pairs, words, d_pair, (seed, sweep)), f"lm-tables-{sweep}")
+            if sweep:
+                _free(before)
+            words = (words.drop("tu").join(_sums(pairs).drop("cw", "cu"), "h", "left")
+                     .withColumns({"k": F.col("once_w") + zero("tw"), "tu": F.col("once_u") + zero("tu")}).drop("tw")
                      .withColumn("back", F.concat("back", F.array((STRENGTH + d_pair * F.col("tu")) / (STRENGTH + F.col("c"))))))
             words = materialize(words, f"lm-customers-{sweep}")
+            _free(reseated)
 
     replies = (entries.select("h", "place").join(words.select("h", "c", "p", "back"), "h", "left")
-               .select(F.shiftright("place", 24).alias("chunk"), F.col("place").bitwiseAND((1 << 24) - 1).cast("int").alias("i"), F.lit(False).alias("pair"),
-                       F.coalesce("c", F.lit(0)).cast("double").alias("c"), "p", "back"))
+               .select(F.shiftright("place", 24).alias("chunk"), F.col("place").bitwiseAND((1 << 24) - 1).cast("int").alias("i"),
+                       F.coalesce("c", F.lit(0)).alias("c"), "p", "back", F.lit(None).cast("binary").alias("at"), F.lit(None).cast("binary").alias("value")))
     if order > 1:
-        replies = replies.unionByName(due.join(pairs.select("hu", "hw", "c", "ts"), ["hu", "hw"], "left").select(
-            "chunk", "i", F.lit(True).alias("pair"), F.coalesce(F.col("c") - d_pair / sweeps * F.col("ts"), F.lit(1 - d_pair)).alias("c"),
-            F.lit(None).cast("array<double>").alias("p"), F.lit(None).cast("array<double>").alias("back")))
+        replies = replies.unionByName(_told(due, pairs, d_pair, sweeps, buckets), allowMissingColumns=True)
     base_denominator = float(n + v + 1)
 
     def judge(key, left, right):
-        of_pair = np.asarray(left.column("pair").to_numpy(), bool)
-        i, value = np.asarray(left.column("i")), np.asarray(left.column("c"))
-        at = i[~of_pair]
+        pairs_told = left.filter(pa.compute.is_valid(left.column("at"))).select(["at", "value"])
+        left = left.filter(pa.compute.is_valid(left.column("i")))
+        at = np.asarray(left.column("i"))
         count = np.zeros(len(at))
-        count[at] = value[~of_pair]
+        count[at] = np.asarray(left.column("c"))
         p, back = np.empty((len(at), sweeps)), np.ones((len(at), sweeps))
         p[:] = p_unknown
         found = left.filter(pa.compute.is_valid(left.column("p")))
@@ -478,10 +667,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modul
         tok = np.frombuffer(zstandard.ZstdDecompressor().decompress(row.column("tokens")[0].as_py()), np.uint32)
         if order > 1:
             back[on] = np.asarray(found.column("back").combine_chunks().flatten()).reshape(-1, sweeps)
-            codes, inverse = _pairs_of(row)
-            train = np.repeat(~np.asarray(row.column("held")[0].values.to_numpy(zero_copy_only=False), bool), lens)
-            seats = np.where(np.bincount(inverse[train], minlength=len(codes)) > 0, 1 - d_pair, 0.0)
-            seats[i[of_pair]] = value[of_pair]
+            codes, seen, inverse = _codes(row)
+            seats = np.where(seen > 0, 1 - d_pair, 0.0)
+            for at, value in zip(pairs_told.column("at"), pairs_told.column("value")):
+                seats[np.cumsum(_unpack(at).astype(np.int64))] = _unpack(value, np.float64)
             u, w = (codes >> np.uint64(32)).astype(np.int64), (codes & np.uint64(0xFFFFFFFF)).astype(np.int64)
             prob = seats / (STRENGTH + count[u])
             for s in range(sweeps):
