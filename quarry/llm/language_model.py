@@ -384,7 +384,7 @@ def _codes(row, at: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 MESSAGE = "bucket long, chunk long, at binary, key binary, value binary"
 REPLY = "chunk long, at binary, key binary, total binary, owned binary"
-TABLES = "chunk long, h binary, u binary, w binary, key binary, c binary, t binary, ts binary, twos long"
+TABLES = "chunk long, h binary, u binary, w binary, c binary, t binary, ts binary, twos long"
 DUE = "chunk long, due_at binary, due_key binary, due_total binary, due_owned binary"
 
 
@@ -453,7 +453,7 @@ def _owned(counted: DataFrame, chunks: DataFrame) -> DataFrame:
         c = total[own]
         return pa.Table.from_batches([_batch([(
             row.column("chunk")[0].as_py(), _pack(np.diff(at[order], prepend=0).astype(np.uint32)), key.tobytes(), _pack(total), _pack(own.astype(np.uint8)),
-            _hashes(row.column("words")[0].values.take(pa.array(used))).tobytes(), _pack(u), _pack(w), key[own].tobytes(), _pack(c),
+            _hashes(row.column("words")[0].values.take(pa.array(used))).tobytes(), _pack(u), _pack(w), _pack(c),
             _pack(np.ones(len(c), np.uint32)), _pack(np.zeros(len(c), np.uint32)), int((c == 2).sum()))], fields)])
 
     return counted.groupBy("chunk").cogroup(chunks.select("chunk", "held", "lens", "tokens", "words").groupBy("chunk")).applyInArrow(run, fields)
@@ -475,8 +475,46 @@ def _sums(tables: DataFrame) -> DataFrame:
             .groupBy("h").agg(*[F.sum(c).alias(c) for c in ("cw", "cu", "tw", "tu")]))
 
 
+def _packed(rows: DataFrame) -> DataFrame:
+    """(chunk, i, values) of rows (chunk, i, values: list of doubles): the rows that a task has for one chunk as
+    packed arrays, so that few rows are shuffled and sorted for it."""
+    def flush(chunk, i, values):
+        chunk, i, values = map(np.concatenate, (chunk, i, values))
+        order = np.lexsort((i, chunk))
+        cut = np.flatnonzero(np.diff(chunk[order])) + 1
+        out = [(int(chunk[on[0]]), _pack(np.diff(i[on], prepend=0).astype(np.uint32)), _pack(np.ascontiguousarray(values[on].T).reshape(-1)))
+               for on in np.split(order, cut)]
+        return _batch(out, "chunk long, i binary, values binary")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = ([], [], []), 0
+        for b in batches:
+            if b.num_rows:
+                for to, x in zip(held, (np.asarray(b.column("chunk")), np.asarray(b.column("i"), np.int64),
+                                        np.asarray(b.column("values").flatten()).reshape(b.num_rows, -1))):
+                    to.append(x)
+                n += b.num_rows
+            if n >= 500_000:
+                yield flush(*held)
+                held, n = ([], [], []), 0
+        if n:
+            yield flush(*held)
+
+    return rows.select("chunk", "i", "values").mapInArrow(run, "chunk long, i binary, values binary")
+
+
+def _unpacked(table: pa.Table, n: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(``width`` rows of ``n`` values by place, whether a place has values)."""
+    out, known = np.zeros((width, n)), np.zeros(n, bool)
+    for i, values in zip(table.column("i"), table.column("values")):
+        at = np.cumsum(_unpack(i).astype(np.int64))
+        out[:, at] = _unpack(values, np.float64).reshape(width, -1)
+        known[at] = True
+    return out, known
+
+
 def _seat_pairs(tables: DataFrame, words: DataFrame, d: float, seed: tuple[int, int]) -> DataFrame:
-    """``tables`` with the owned pairs seated again: a customer opens a table with the odds of its context's restaurant
+    """(chunk, t, ts) with the owned pairs seated again: a customer opens a table with the odds of its context's restaurant
     times the word's probability; ``ts`` adds up the tables of all sweeps. Each chunk asks for its words once."""
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -489,22 +527,29 @@ def _seat_pairs(tables: DataFrame, words: DataFrame, d: float, seed: tuple[int,
 
     def run(group, left, right):
         row = right.slice(0, 1).combine_chunks()
-        i = np.asarray(left.column("i"))
-        above, tu = np.zeros(len(i)), np.zeros(len(i))
-        above[i], tu[i] = np.asarray(left.column("above")), np.asarray(left.column("tu"))
+        h = np.frombuffer(row.column("h")[0].as_py(), np.int64)
+        (above, tu), _ = _unpacked(left, len(h), 2)
         u, w, c, ts = (_unpack(row.column(x)[0]) for x in ("u", "w", "c", "ts"))
-        draws = Draws(np.frombuffer(row.column("key")[0].as_py(), np.uint64), *seed)
-        t = seat(c.astype(np.int64), (STRENGTH + d * tu[u]) * above[w], d, draws).astype(np.uint32)
-        new = {"t": pa.array([_pack(t)], pa.binary()), "ts": pa.array([_pack(ts + t)], pa.binary())}
-        return pa.table([new.get(x, row.column(x)) for x in row.column_names], row.column_names)
+        words = h.view(np.uint64)
+        t = seat(c.astype(np.int64), (STRENGTH + d * tu[u]) * above[w], d, Draws(pair_key(words[u], words[w]), *seed)).astype(np.uint32)
+        return pa.table({"chunk": row.column("chunk"), "t": pa.array([_pack(t)], pa.binary()), "ts": pa.array([_pack(ts + t)], pa.binary())})
 
     asked = tables.select("chunk", "h").mapInArrow(ask, "h long, chunk long, i int")
-    answers = asked.join(words.select("h", F.element_at("p", -1).alias("above"), "tu"), "h").drop("h")
-    return answers.groupBy("chunk").cogroup(tables.groupBy("chunk")).applyInArrow(run, tables.schema)
+    answers = asked.join(words.where("c > 1").select("h", F.array(F.element_at("p", -1), F.col("tu").cast("double")).alias("values")), "h")
+    return (_packed(answers).groupBy("chunk").cogroup(tables.select("chunk", "h", "u", "w", "c", "ts").groupBy("chunk"))
+            .applyInArrow(run, "chunk long, t binary, ts binary"))
+
+
+def _with_sums(words: DataFrame, tables: DataFrame) -> DataFrame:
+    """``words`` with the sums over owned pairs; words seen once are in none, and are not shuffled for them."""
+    names = ("cw", "cu", "tw", "tu")
+    zero = F.lit(0).cast("long")
+    often = words.where("c > 1").join(_sums(tables), "h", "left").select(*words.columns, *[F.coalesce(c, zero).alias(c) for c in names])
+    return often.unionByName(words.where("c <= 1").select(*words.columns, *[zero.alias(c) for c in names]))
 
 
 def _told(due: DataFrame, tables: DataFrame, d: float, sweeps: int, buckets: int) -> DataFrame:
-    """(chunk, at, value): the customers less the discounted mean tables of every pair a chunk was told of, from
+    """(chunk, i, values): the customers less the discounted mean tables of every pair a chunk was told of, from
     the pair's owner by way of its bucket. A pair that training texts have once has one table."""
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -527,11 +572,11 @@ def _told(due: DataFrame, tables: DataFrame, d: float, sweeps: int, buckets: int
         np.maximum.at(sat, inverse, np.concatenate([v[1] for v in values]).astype(np.int64))
         sat[sat == 0] = sweeps
         parts = np.split(sat[inverse], np.cumsum([len(k) for k in keys])[:-1])
-        return pa.table({"chunk": table.column("chunk"), "at": table.column("at"),
-                         "value": pa.array([_pack(v[0] - d / sweeps * x) for v, x in zip(values, parts)], pa.binary())})
+        return pa.table({"chunk": table.column("chunk"), "i": table.column("at"),
+                         "values": pa.array([_pack(v[0] - d / sweeps * x) for v, x in zip(values, parts)], pa.binary())})
 
     return (due.join(tables.select("chunk", "ts"), "chunk").mapInArrow(send, MESSAGE)
-            .groupBy("bucket").applyInArrow(fill, "chunk long, at binary, value binary"))
+            .groupBy("bucket").applyInArrow(fill, "chunk long, i binary, values binary"))
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modulus: int = 7, held: int = 2,
@@ -588,15 +633,15 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modul
     words = (entries.where("c > 0").groupBy("h").agg(F.any_value("word").alias("word"), F.sum("c").alias("c"))
              .withColumns({"t": F.lit(1).cast("long"), "p": doubles, "back": doubles}))
     d_pair = 0.0
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     if order > 1:
         tokens = chunks.agg(F.sum(F.aggregate("lens", F.lit(0).cast("long"), lambda s, x: s + x))).first()[0]
         buckets = -(-tokens // BUCKET_PAIRS)
         told = materialize(_owned(_counted(chunks, buckets), chunks), "lm-pairs")
-        due, pairs = told.select(*[f.split()[0] for f in DUE.split(", ")]), told.select(*[f.split()[0] for f in TABLES.split(", ")])
+        due, owned = (told.select(*[f.split()[0] for f in fields.split(", ")]) for fields in (DUE, TABLES))
+        pairs, state = owned, None
         # every word is followed by one word, so it is as often a context as a word; once: pairs seen once
-        words = (words.join(_sums(pairs), "h", "left").withColumns({"once_w": F.col("c") - zero("cw"), "once_u": F.col("c") - zero("cu")})
-                 .withColumns({"k": F.col("once_w") + zero("tw"), "tu": F.col("once_u") + zero("tu")}).drop("cw", "cu", "tw"))
+        words = (_with_sums(materialize(words, "lm-words"), pairs).withColumns({"once_w": F.col("c") - F.col("cw"), "once_u": F.col("c") - F.col("cu")})
+                 .withColumns({"k": F.col("once_w") + F.col("tw"), "tu": F.col("once_u") + F.col("tu")}).drop("cw", "cu", "tw"))
     else:
         words = words.withColumn("k", F.col("c"))
     words = materialize(words, "lm-words-0")
@@ -635,49 +680,44 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modul
         p = (F.col("k") - d * F.col("t")) / (STRENGTH + customers) + to_parent * F.col("spelt")
         words = words.withColumn("p", F.concat("p", F.array(p))).drop("spelt")
         if order > 1:
-            before, pairs = pairs, materialize(_seat_pairs(pairs, words, d_pair, (seed, sweep)), f"lm-tables-{sweep}")
-            if sweep:
+            before, state = state, materialize(_seat_pairs(pairs, words, d_pair, (seed, sweep)), f"lm-tables-{sweep}")
+            if before is not None:
                 _free(before)
-            words = (words.drop("tu").join(_sums(pairs).drop("cw", "cu"), "h", "left")
-                     .withColumns({"k": F.col("once_w") + zero("tw"), "tu": F.col("once_u") + zero("tu")}).drop("tw")
+            pairs = owned.drop("t", "ts").join(state, "chunk")
+            words = (_with_sums(words.drop("tu"), pairs).withColumns({"k": F.col("once_w") + F.col("tw"), "tu": F.col("once_u") + F.col("tu")}).drop("cw", "cu", "tw")
                      .withColumn("back", F.concat("back", F.array((STRENGTH + d_pair * F.col("tu")) / (STRENGTH + F.col("c"))))))
             words = materialize(words, f"lm-customers-{sweep}")
             _free(reseated)
 
-    replies = (entries.select("h", "place").join(words.select("h", "c", "p", "back"), "h", "left")
-               .select(F.shiftright("place", 24).alias("chunk"), F.col("place").bitwiseAND((1 << 24) - 1).cast("int").alias("i"),
-                       F.coalesce("c", F.lit(0)).alias("c"), "p", "back", F.lit(None).cast("binary").alias("at"), F.lit(None).cast("binary").alias("value")))
+    values = F.concat(F.array(F.col("c").cast("double")), "p", *(["back"] if order > 1 else []))
+    replies = _packed(entries.select("h", "place").join(words.select("h", values.alias("values")), "h")
+                      .select(F.shiftright("place", 24).alias("chunk"), F.col("place").bitwiseAND((1 << 24) - 1).cast("int").alias("i"), "values"))
+    replies = replies.withColumn("of", F.lit("word"))
     if order > 1:
-        replies = replies.unionByName(_told(due, pairs, d_pair, sweeps, buckets), allowMissingColumns=True)
+        replies = replies.unionByName(_told(due, pairs, d_pair, sweeps, buckets).withColumn("of", F.lit("pair")))
     base_denominator = float(n + v + 1)
 
     def judge(key, left, right):
-        pairs_told = left.filter(pa.compute.is_valid(left.column("at"))).select(["at", "value"])
-        left = left.filter(pa.compute.is_valid(left.column("i")))
-        at = np.asarray(left.column("i"))
-        count = np.zeros(len(at))
-        count[at] = np.asarray(left.column("c"))
-        p, back = np.empty((len(at), sweeps)), np.ones((len(at), sweeps))
-        p[:] = p_unknown
-        found = left.filter(pa.compute.is_valid(left.column("p")))
-        on = np.asarray(found.column("i"))
-        p[on] = np.asarray(found.column("p").combine_chunks().flatten()).reshape(-1, sweeps)
         row = right.slice(0, 1).combine_chunks()
         lens = np.asarray(row.column("lens")[0].values)
         tok = np.frombuffer(zstandard.ZstdDecompressor().decompress(row.column("tokens")[0].as_py()), np.uint32)
+        of_word = pa.compute.equal(left.column("of"), "word")
+        got, known = _unpacked(left.filter(of_word), int(tok.max()) + 1, 1 + sweeps * (2 if order > 1 else 1))
+        count, p = got[0], np.where(known, got[1:sweeps + 1], np.array(p_unknown)[:, None])
         if order > 1:
-            back[on] = np.asarray(found.column("back").combine_chunks().flatten()).reshape(-1, sweeps)
+            back = np.where(known, got[sweeps + 1:], 1.0)
+            pairs_told = left.filter(pa.compute.invert(of_word))
             codes, seen, inverse = _codes(row)
             seats = np.where(seen > 0, 1 - d_pair, 0.0)
-            for at, value in zip(pairs_told.column("at"), pairs_told.column("value")):
+            for at, value in zip(pairs_told.column("i"), pairs_told.column("values")):
                 seats[np.cumsum(_unpack(at).astype(np.int64))] = _unpack(value, np.float64)
             u, w = (codes >> np.uint64(32)).astype(np.int64), (codes & np.uint64(0xFFFFFFFF)).astype(np.int64)
             prob = seats / (STRENGTH + count[u])
             for s in range(sweeps):
-                prob += back[u, s] * p[w, s] / sweeps
+                prob += back[s][u] * p[s][w] / sweeps
             lp = np.log10(prob)[inverse]
         else:
-            lp = np.log10(p.mean(1))[tok]
+            lp = np.log10(p.mean(0))[tok]
         starts = np.cumsum(lens) - lens
         m = len(lens)
         return pa.table({id_col: row.column("ids")[0].values, "held_out": row.column("held")[0].values, "n_tokens": pa.array(lens.astype(np.int64)),
