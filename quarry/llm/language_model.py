@@ -32,6 +32,7 @@ def _free(table: DataFrame) -> None:
     for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
         folder = spark._jvm.org.apache.hadoop.fs.Path(path)
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    spark._jvm.System.gc()  # Spark deletes shuffle files once the driver has dropped what made them
 
 
 class _Numbers(dict):
@@ -360,9 +361,8 @@ def _unpack(blob: pa.Scalar, kind=np.uint32) -> np.ndarray:
     return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
 
 
-def _deal(key: np.ndarray, buckets: int) -> list[tuple[int, np.ndarray]]:
-    """(bucket, positions of its keys) for every bucket that has some."""
-    bucket = (key % np.uint64(buckets)).astype(np.int64)
+def _deal(bucket: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """(bucket, positions of its members) for every bucket that has some."""
     order = np.argsort(bucket, kind="stable")
     cut = np.flatnonzero(np.diff(bucket[order])) + 1
     return [(int(bucket[on[0]]), on) for on in np.split(order, cut) if len(on)]
@@ -383,13 +383,13 @@ def _codes(row, at: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 MESSAGE = "bucket long, chunk long, at binary, key binary, value binary"
-REPLY = "chunk long, at binary, key binary, total binary, owned binary"
+REPLY = "bucket long, chunk long, at binary, key binary, total binary, owned binary"
 TABLES = "chunk long, h binary, u binary, w binary, c binary, t binary, ts binary, twos long"
-DUE = "chunk long, due_at binary, due_key binary, due_total binary, due_owned binary"
+DUE = "chunk long, due_at binary, due_bucket binary, due_key binary, due_total binary, due_owned binary"
 
 
 def _counted(chunks: DataFrame, buckets: int) -> DataFrame:
-    """What each chunk is told of its pairs of words, a row for each bucket of pairs: places, keys, how often all
+    """What each chunk is told of its pairs of words, a row for each bucket of pairs: places, numbers within the bucket, how often all
     training texts have them, and whether this chunk owns the pair (the first chunk that has it does). Told are pairs that
     training texts have twice or more, and those that they have once, elsewhere. Others are known in the chunk.
     A chunk sends packed keys and counts to each bucket of its pairs, so Spark shuffles as many rows as chunks have
@@ -402,12 +402,12 @@ def _counted(chunks: DataFrame, buckets: int) -> DataFrame:
                 key = pair_key(h[(codes >> np.uint64(32)).astype(np.int64)], h[(codes & np.uint64(0xFFFFFFFF)).astype(np.int64)])
                 chunk = b.column("chunk")[r].as_py()
                 rows = [(bucket, chunk, _pack(np.diff(on, prepend=0).astype(np.uint32)), key[on].tobytes(), _pack(count[on].astype(np.uint32)))
-                        for bucket, on in _deal(key, buckets)]
+                        for bucket, on in _deal((key % np.uint64(buckets)).astype(np.int64))]
                 for s in range(0, len(rows), 256):
                     yield _batch(rows[s:s + 256], MESSAGE)
 
     def add(group, table):
-        table = table.sort_by("chunk")
+        bucket, table = group[0].as_py(), table.sort_by("chunk")
         keys = [np.frombuffer(k.as_py(), np.uint64) for k in table.column("key")]
         count = np.concatenate([_unpack(v) for v in table.column("value")]).astype(np.int64)
         distinct, first, inverse = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
@@ -415,12 +415,15 @@ def _counted(chunks: DataFrame, buckets: int) -> DataFrame:
         owned = np.zeros(len(count), bool)
         owned[first] = True
         due = (total >= 2) | ((total == 1) & (count == 0))
+        used = np.zeros(len(distinct), bool)
+        used[inverse[due]] = True
+        number = (np.cumsum(used) - 1).astype(np.uint32)[inverse]
         rows, start = [], 0
         for m, key in enumerate(keys):
             on = np.flatnonzero(due[start:start + len(key)])
             at = np.cumsum(_unpack(table.column("at")[m]).astype(np.int64))[on]
             if len(on):
-                rows.append((table.column("chunk")[m].as_py(), _pack(np.diff(at, prepend=0).astype(np.uint32)), key[on].tobytes(),
+                rows.append((bucket, table.column("chunk")[m].as_py(), _pack(np.diff(at, prepend=0).astype(np.uint32)), _pack(number[start + on]),
                              _pack(total[start + on].astype(np.uint32)), _pack((owned & (total >= 2))[start + on].astype(np.uint8))))
             start += len(key)
         return pa.Table.from_batches([_batch(rows, REPLY)])
@@ -443,7 +446,9 @@ def _owned(counted: DataFrame, chunks: DataFrame) -> DataFrame:
         row = right.slice(0, 1).combine_chunks()
         at = np.concatenate([np.cumsum(_unpack(x).astype(np.int64)) for x in left.column("at")])
         order = np.argsort(at)
-        key = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in left.column("key")])[order]
+        key = [_unpack(x) for x in left.column("key")]
+        bucket = np.repeat(np.asarray(left.column("bucket"), np.uint64), [len(k) for k in key])[order]
+        key = np.concatenate(key)[order]
         total = np.concatenate([_unpack(x) for x in left.column("total")])[order]
         own = np.concatenate([_unpack(x, np.uint8) for x in left.column("owned")])[order].astype(bool)
         codes = _codes(row)[0][at[order][own]]
@@ -452,7 +457,7 @@ def _owned(counted: DataFrame, chunks: DataFrame) -> DataFrame:
         u, w = np.split(number.astype(np.uint32), 2)
         c = total[own]
         return pa.Table.from_batches([_batch([(
-            row.column("chunk")[0].as_py(), _pack(np.diff(at[order], prepend=0).astype(np.uint32)), key.tobytes(), _pack(total), _pack(own.astype(np.uint8)),
+            row.column("chunk")[0].as_py(), _pack(np.diff(at[order], prepend=0).astype(np.uint32)), _pack(bucket), _pack(key), _pack(total), _pack(own.astype(np.uint8)),
             _hashes(row.column("words")[0].values.take(pa.array(used))).tobytes(), _pack(u), _pack(w), _pack(c),
             _pack(np.ones(len(c), np.uint32)), _pack(np.zeros(len(c), np.uint32)), int((c == 2).sum()))], fields)])
 
@@ -548,30 +553,29 @@ def _with_sums(words: DataFrame, tables: DataFrame) -> DataFrame:
     return often.unionByName(words.where("c <= 1").select(*words.columns, *[zero.alias(c) for c in names]))
 
 
-def _told(due: DataFrame, tables: DataFrame, d: float, sweeps: int, buckets: int) -> DataFrame:
+def _told(due: DataFrame, tables: DataFrame, d: float, sweeps: int) -> DataFrame:
     """(chunk, i, values): the customers less the discounted mean tables of every pair a chunk was told of, from
     the pair's owner by way of its bucket. A pair that training texts have once has one table."""
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in range(b.num_rows):
                 at = np.cumsum(_unpack(b.column("due_at")[r]).astype(np.int64))
-                key, total = np.frombuffer(b.column("due_key")[r].as_py(), np.uint64), _unpack(b.column("due_total")[r])
+                key, total = _unpack(b.column("due_key")[r]), _unpack(b.column("due_total")[r])
                 own = _unpack(b.column("due_owned")[r], np.uint8).astype(bool)
                 sat = np.zeros(len(at), np.uint32)  # none: not owned here
                 sat[own] = _unpack(b.column("ts")[r])
-                rows = [(bucket, b.column("chunk")[r].as_py(), _pack(np.diff(at[on], prepend=0).astype(np.uint32)), key[on].tobytes(),
-                         _pack(np.concatenate([total[on], sat[on]]))) for bucket, on in _deal(key, buckets)]
+                rows = [(bucket, b.column("chunk")[r].as_py(), _pack(np.diff(at[on], prepend=0).astype(np.uint32)), _pack(key[on]),
+                         _pack(np.concatenate([total[on], sat[on]]))) for bucket, on in _deal(_unpack(b.column("due_bucket")[r], np.uint64).astype(np.int64))]
                 for s in range(0, len(rows), 256):
                     yield _batch(rows[s:s + 256], MESSAGE)
 
     def fill(group, table):
-        keys = [np.frombuffer(k.as_py(), np.uint64) for k in table.column("key")]
+        keys = [_unpack(k) for k in table.column("key")]
         values = [np.split(_unpack(v), 2) for v in table.column("value")]
-        distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        sat = np.zeros(len(distinct), np.int64)
-        np.maximum.at(sat, inverse, np.concatenate([v[1] for v in values]).astype(np.int64))
-        sat[sat == 0] = sweeps
-        parts = np.split(sat[inverse], np.cumsum([len(k) for k in keys])[:-1])
+        at, told = np.concatenate(keys), np.concatenate([v[1] for v in values]).astype(np.int64)
+        sat = np.full(int(at.max()) + 1, sweeps)
+        sat[at[told > 0]] = told[told > 0]  # the owner's
+        parts = np.split(sat[at], np.cumsum([len(k) for k in keys])[:-1])
         return pa.table({"chunk": table.column("chunk"), "i": table.column("at"),
                          "values": pa.array([_pack(v[0] - d / sweeps * x) for v, x in zip(values, parts)], pa.binary())})
 
@@ -694,7 +698,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modul
                       .select(F.shiftright("place", 24).alias("chunk"), F.col("place").bitwiseAND((1 << 24) - 1).cast("int").alias("i"), "values"))
     replies = replies.withColumn("of", F.lit("word"))
     if order > 1:
-        replies = replies.unionByName(_told(due, pairs, d_pair, sweeps, buckets).withColumn("of", F.lit("pair")))
+        replies = replies.unionByName(_told(due, pairs, d_pair, sweeps).withColumn("of", F.lit("pair")))
     base_denominator = float(n + v + 1)
 
     def judge(key, left, right):
