@@ -369,6 +369,21 @@ def test_seating():
     assert few < many
 
 
+@pytest.mark.parametrize("block", [1_000_000, 100, 7])
+def test_seating_in_blocks_is_seating_one_after_the_other(monkeypatch, block):
+    monkeypatch.setattr(language_model, "SEAT_BLOCK", block)
+    c = np.array([0, 1, 2, 31, 32, 33, 34, 100, 3000, 500, 77])
+    new = np.array([.5, .1, .9, .3, .01, 20, 9, 4, 200, .005, 3])
+    keys = np.arange(len(c))
+    for d in (0.05, 0.7, 0.95):
+        draws = language_model.Draws(keys, 4, 1)
+        want = (c > 0).astype(int)
+        for x in range(len(c)):
+            for i in range(1, c[x]):
+                want[x] += draws.random(np.array([x]), np.array([i]))[0] * (i - d * want[x] + new[x]) < new[x]
+        assert (language_model.seat(c, new, d, draws) == want).all()
+
+
 def test_slices_of_the_spelling_model_add_up(docs, monkeypatch):
     one = {str(r["doc_id"]) + str(r["n_tokens"]): r["score"] for r in language_model.score(docs).collect()}
     monkeypatch.setattr(language_model, "MODEL_ROWS", 900)
@@ -401,6 +416,17 @@ def test_language_model_hears_the_order_of_words(spark, empty):
     assert language_model.score(empty, order=2).collect() == []
 
 
+def test_language_model_with_many_buckets_of_pairs(spark, monkeypatch):
+    rnd = random.Random(8)
+    table = spark.createDataFrame([(i, " ".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(30)))) for i in range(200)], "doc_id long, text string").repartition(4, "doc_id")
+    one = {r["doc_id"]: r["score"] for r in language_model.score(table, order=2).collect()}
+    monkeypatch.setattr(language_model, "BUCKET_PAIRS", 90)
+    monkeypatch.setattr(language_model, "CHUNK_TOKENS", 300)
+    many = {r["doc_id"]: r["score"] for r in language_model.score(table, order=2).collect()}
+    # draws come from the pairs themselves: neither chunks nor buckets change a score
+    assert one.keys() == many.keys() and all(abs(one[k] - many[k]) < 1e-6 for k in one)
+
+
 def test_registered_language_model_is_one_of_word_pairs(spark, sf):
     from quarry.llm import queries
     one = language_model.score(spark.read.parquet(f"{sf}/documents.parquet")).where("held_out").toPandas()
