@@ -36,8 +36,7 @@ PROFILES = {
 }
 # Profiles whose model wants its end token after every text.
 SUFFIXES = {"nvembed": "</s>"}
-QUESTIONS_HEADER = "Research Questions:\n"
-SUPPORT_SEP = " [SEP] Supporting Documents:\n "
+SUPPORTED_QUESTIONS = "Research Questions:\n{questions} [SEP] Supporting Documents:\n {text}"
 TRUNCATE_CHARS = 6000
 FIRST_SEED = 42
 # ---------------------------------------------------------------------------
@@ -87,7 +86,7 @@ def format_questions(cfg: DataFrame, rq_count: int = 1, include_sub: bool = Fals
     if texts is None:
         return q
     return texts.join(q, "topic").withColumn(
-        "query", F.concat(F.lit(QUESTIONS_HEADER), F.col("query"), F.lit(SUPPORT_SEP), F.col(text_col)))
+        "query", tx.render(SUPPORTED_QUESTIONS, questions=F.col("query"), text=F.col(text_col)))
 
 
 # The question counts of the query-structure grid.
@@ -110,7 +109,7 @@ def query_grid(cfg: DataFrame, texts: DataFrame | None = None, rq_counts=GRID_RQ
     else:
         v = v.withColumn("_t", F.lit(None).cast("string"))
     return v.withColumn("query", F.when(
-        F.col("has_text"), F.concat(F.lit(QUESTIONS_HEADER), F.col("questions"), F.lit(SUPPORT_SEP), F.col("_t")))
+        F.col("has_text"), tx.render(SUPPORTED_QUESTIONS, questions=F.col("questions"), text=F.col("_t")))
         .otherwise(F.col("questions"))).drop("_t", "questions")
 
 
