@@ -398,7 +398,7 @@ def _counted(chunks: DataFrame, buckets: int) -> DataFrame:
         for b in batches:
             for r in range(b.num_rows):
                 h = _hashes(b.column("words")[r].values).view(np.uint64)
-                codes, count, _ = _codes(b, r)
+                codes, count = _codes(b, r)[:2]
                 key = pair_key(h[(codes >> np.uint64(32)).astype(np.int64)], h[(codes & np.uint64(0xFFFFFFFF)).astype(np.int64)])
                 chunk = b.column("chunk")[r].as_py()
                 rows = [(bucket, chunk, _pack(np.diff(on, prepend=0).astype(np.uint32)), key[on].tobytes(), _pack(count[on].astype(np.uint32)))
@@ -610,7 +610,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modul
     counted in the chunk and shuffled as packed arrays, a row for each chunk and bucket of pairs (see ``_counted``). A pair
     seen once has one table whatever happens, so that only pairs seen twice are written, seated and answered; each
     is seated by the first chunk that has it. Random numbers come from each word's or pair's own hash.
-    A sweep's tables are deleted once the next ones are written; the result reads the last.
+    A sweep's tables are deleted once the next ones are written; the result reads the chunks and their answers.
     The spelling model goes to tasks in slices of bounded size (see ``_spelled``). Words of over 2**20 bytes
     are possible but spelled in one task.
 
@@ -696,9 +696,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modul
     values = F.concat(F.array(F.col("c").cast("double")), "p", *(["back"] if order > 1 else []))
     replies = _packed(entries.select("h", "place").join(words.select("h", values.alias("values")), "h")
                       .select(F.shiftright("place", 24).alias("chunk"), F.col("place").bitwiseAND((1 << 24) - 1).cast("int").alias("i"), "values"))
-    replies = replies.withColumn("of", F.lit("word"))
+    replies = materialize(replies.withColumn("of", F.lit("word")), "lm-word-answers")
+    _free(words)
     if order > 1:
-        replies = replies.unionByName(_told(due, pairs, d_pair, sweeps).withColumn("of", F.lit("pair")))
+        replies = replies.unionByName(materialize(_told(due, pairs, d_pair, sweeps).withColumn("of", F.lit("pair")), "lm-pair-answers"))
+        for done in (told, state):
+            _free(done)
     base_denominator = float(n + v + 1)
 
     def judge(key, left, right):
