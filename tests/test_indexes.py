@@ -125,3 +125,26 @@ def test_a_query_opens_its_buckets_only(spark):
     ti.append(_docs(spark, TEXTS), folder, buckets=16)
     plan = ti.postings(spark, folder, spark.createDataFrame([("cat",)], "term string"))._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters" in plan and "bucket" in plan.split("PartitionFilters")[1].split("]")[0] and "In(term" in plan.replace("EqualTo", "In")
+
+
+def test_cells_share_blocks_and_answers_stay(spark, monkeypatch):
+    """A task gets a block of cells: candidates are at most ``depth`` rows per query and block, whatever cells are asked."""
+    first, blocks = vi._deal(np.array([3, 4, 0, 25, 2, 9]), 10)
+    assert list(blocks) == [1, 1, 1, 3, 1, 1] and list(first) == [0, 0, 0, 1, 4, 5]
+    rnd = np.random.default_rng(8)
+    v = np.float32(rnd.standard_normal((600, 8)))
+    c = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "id long, embedding array<float>").repartition(3)
+    index = vi.build(c, scratch_path(spark, "ivf"), cells=12)
+    q = c.select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
+    want = sorted(map(tuple, vi.search_index(q, index, 5, probes=4, depth=20).collect()))
+    monkeypatch.setattr(vi, "BLOCK", 100)
+    monkeypatch.setattr(vi, "ASK", 90)
+    monkeypatch.setattr(vi, "SCORES", 2_000)
+    assert sorted(map(tuple, vi.search_index(q, index, 5, probes=4, depth=20).collect())) == want
+    sizes = []
+    plain = vi.rank_within
+    monkeypatch.setattr(vi, "rank_within", lambda df, *a, **k: sizes.append(df) or plain(df, *a, **k))
+    cands = vi._candidates(q, index, 12, 5, 20)
+    n_blocks = len(np.unique(vi._deal(index.rows, 100)[0]))
+    assert n_blocks < 12 and sizes[0].count() <= 600 * 21 * n_blocks  # a few ties at the cut
+    assert cands.groupBy("query_id").count().where("count <> 20").isEmpty()
