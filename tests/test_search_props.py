@@ -142,3 +142,23 @@ def test_running_floor_with_many_batches(spark, data):
     for q in qv:
         rows = sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])
         assert [r["id"] for r in rows] == [i for i, _ in want[q]]
+
+
+def test_many_passes_are_one_plan_over_the_corpus(spark, data, monkeypatch):
+    """The plan does not grow with the passes; blocks, groups, ties and copies give the same rows as one pass."""
+    qv, cv, ids, corpus, queries = data
+    copies = corpus.unionByName(corpus.withColumn("id", F.col("id") + 100_000))  # every score is tied
+    one = srch.search(queries, copies, 7)
+    monkeypatch.setattr(srch, "BLOCK_NUMBERS", 40 * len(next(iter(cv))))
+    many = srch.search(queries, copies, 7, max_queries_per_pass=1)
+    plan = many._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Union") <= 1 and plan.count("MapInPandas") == 0
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect()))
+    rnd = np.random.default_rng(4)
+    c, q = np.round(rnd.standard_normal((500, 6)), 1), rnd.standard_normal((9, 6))
+    monkeypatch.setattr(srch, "BLOCK_SCORES", 9 * 40)
+    cols, at, s = srch._best_rows(c, q, 11, "dot", 2)
+    full = np_round_half_away(c @ q.T, 2)
+    for j in range(9):
+        assert list(at[cols == j]) == sorted(range(500), key=lambda i: (-full[i, j], i))[:11]
+        assert list(s[cols == j]) == [full[i, j] for i in at[cols == j]]
