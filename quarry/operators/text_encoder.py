@@ -1,15 +1,17 @@
 """A kept text encoder (E1): TF-IDF reduced to a fixed width by randomised range finding; whole words, no hashing.
 
-A fitted encoder is a folder: ``terms`` (term, idf, axis: array<double> of the encoder's width), and ``model``
+A fitted encoder is a folder: ``terms`` (no, term, idf, axis: array<double> of the encoder's width), and ``model``
 (docs, width). Texts are encoded by joining their words with ``terms``, so a vocabulary of any size works, and the same
 folder gives the same vectors for old and new texts.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text as tx
@@ -19,6 +21,9 @@ WIDTH = 64
 EXTRA = 16     # directions sampled beyond the width
 ROUNDS = 2     # passes over the matrix and back that sharpen the range
 MIN_DOCS = 2   # words of a single text tell nothing of another one
+BLOCK_ENTRIES = 1_000_000  # words of texts in one block, about; a task multiplies a block
+CHUNK = 50_000             # of which so many at once
+RANGE = 50_000             # vectors of words that a task adds up, about
 
 
 def _tokens(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -27,12 +32,59 @@ def _tokens(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             .where("term is not null").groupBy("id", "term").agg(F.count("*").alias("tf")))
 
 
-def _sum_of(df: DataFrame, key: str, vec: Column, out: str) -> DataFrame:
-    """The vectors of each key added up: one buffer per key and task, merged after the shuffle."""
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    from pyspark.ml.stat import Summarizer
-    return (df.select(key, array_to_vector(vec).alias("_v")).groupBy(key).agg(Summarizer.sum(F.col("_v")).alias("_s"))
-            .select(key, vector_to_array("_s").alias(out)))
+def _pack(entries: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """The matrix (id, no, x) of ``n`` entries as whole rows dealt into blocks, ``(b, id, no, x)`` with arrays, and the words of
+    each block, ``(b, no)``. A product then ships a word's vector once per block, not once per entry."""
+    cores = entries.sparkSession.sparkContext.defaultParallelism
+    blocks = max(1, -(-n // BLOCK_ENTRIES), min(2 * cores, n // 20_000))
+    rows = (entries.groupBy("id").agg(F.collect_list(F.struct("no", "x")).alias("e"))
+            .select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"), "id", F.col("e.no").alias("no"), F.col("e.x").alias("x")))
+    rows = materialize(rows, "encoder-rows")
+    return rows, materialize(rows.select("b", F.explode("no").alias("no")).distinct(), "encoder-words")
+
+
+def _product(rows: DataFrame, words: DataFrame, vectors: DataFrame, vec: str, then: Callable[[list, np.ndarray], pd.DataFrame], schema: str,
+             unit: bool = False, back: bool = False) -> DataFrame:
+    """Rows times the words' vectors (``no``, ``vec``), a block per task: ``then`` gets the ids and the products. ``unit``: rows are
+    brought to unit length first. ``back``: the products times the rows' transpose, ``then`` gets the words' numbers and sums over the block."""
+    def run(r: pd.DataFrame, w: pd.DataFrame) -> pd.DataFrame:
+        if not len(r) or not len(w):
+            return then([], np.zeros((0, 0)))
+        known = w["no"].to_numpy()
+        order = np.argsort(known)
+        known, v = known[order], np.stack(w[vec].to_numpy())[order]
+        size = r["no"].map(len).to_numpy()
+        at, x = np.searchsorted(known, np.concatenate(r["no"].to_numpy())), np.concatenate(r["x"].to_numpy())
+        ends = np.cumsum(size)
+        starts = ends - size
+        if unit:
+            x = x / np.repeat(np.sqrt(np.add.reduceat(x * x, starts)), size)
+        y, z, first = np.empty((len(r), v.shape[1])), np.zeros_like(v) if back else None, 0
+        while first < len(r):  # whole rows, about CHUNK entries
+            last = max(first + 1, int(np.searchsorted(ends, starts[first] + CHUNK, side="right")))
+            own = slice(starts[first], ends[last - 1])
+            y[first:last] = np.add.reduceat(v[at[own]] * x[own, None], starts[first:last] - starts[first], axis=0)
+            if back:
+                by = np.argsort(at[own], kind="stable")
+                words_here, begin = np.unique(at[own][by], return_index=True)
+                which = np.repeat(np.arange(first, last), size[first:last])[by]
+                z[words_here] += np.add.reduceat(y[which] * x[own][by, None], begin, axis=0)
+            first = last
+        return then(known, z) if back else then(r["id"], y)
+
+    return rows.groupBy("b").cogroup(words.join(vectors.select("no", vec), "no").groupBy("b")).applyInPandas(run, schema)
+
+
+def _sum_of(parts: DataFrame, width: int) -> DataFrame:
+    """(no, v): sums over the parts of blocks, each a range of words' numbers with their vectors one after the other."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        known = np.unique(np.concatenate(pdf["no"].to_numpy()))
+        total = np.zeros((len(known), width))
+        for no, v in zip(pdf["no"], pdf["v"]):
+            total[np.searchsorted(known, no)] += np.reshape(v, (-1, width))
+        return pd.DataFrame({"no": known, "v": list(total)})
+
+    return parts.groupBy("r").applyInPandas(run, "no long, v array<double>")
 
 
 def _gram(df: DataFrame, vec: str, width: int) -> np.ndarray:
@@ -46,8 +98,13 @@ def _gram(df: DataFrame, vec: str, width: int) -> np.ndarray:
         i, j = np.indices((width, width)).reshape(2, -1)
         yield pd.DataFrame({"i": i, "j": j, "x": total.ravel()})
 
+    return _added(df.select(vec).mapInPandas(run, "i int, j int, x double"), width)
+
+
+def _added(parts: DataFrame, width: int) -> np.ndarray:
+    """(i, j, x) of all tasks added up: one symmetric matrix."""
     out = np.zeros((width, width))
-    for r in df.select(vec).mapInPandas(run, "i int, j int, x double").groupBy("i", "j").agg(F.sum("x").alias("x")).collect():
+    for r in parts.groupBy("i", "j").agg(F.sum("x").alias("x")).collect():
         out[r["i"], r["j"]] = r["x"]
     return (out + out.T) / 2
 
@@ -69,52 +126,64 @@ def fit_encoder(docs: DataFrame, folder: str, text_col: str = "text", id_col: st
     direction of ``width`` + ``EXTRA`` numbers, drawn from its own hash; the matrix times these, and back and
     forth ``rounds`` more times, spans the leading range. Vectors of words are made orthonormal through their
     Gram matrix, the only thing besides counts that the driver sees, and turned so that components come by
-    falling weight. All products are joins and grouped sums. Words of fewer than ``min_docs`` texts have no axis."""
+    falling weight. Texts lie in blocks; a product is a task per block that gets its words' vectors, and a grouped sum. Words of
+    fewer than ``min_docs`` texts have no axis."""
     k = width + EXTRA
     tf = materialize(_tokens(docs, id_col, text_col), "encoder-tf")
     n = docs.count()
     idf = (tf.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= min_docs)
-           .select("term", (F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1).alias("idf")))
+           .select("term", (F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1).alias("idf"), F.monotonically_increasing_id().alias("no")))
     idf = materialize(idf, "encoder-idf")
-    raw = tf.join(idf, "term").select("id", "term", (F.col("tf") * F.col("idf")).alias("x"))
-    norm = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    a = materialize(raw.join(norm, "id").select("id", "term", (F.col("x") / F.col("norm")).alias("x")), "encoder-matrix")
+    rows, words = _pack(tf.join(idf, "term").select("id", "no", (F.col("tf") * F.col("idf")).alias("x")), tf.count())
 
     def draw(batches):
         for pdf in batches:
             if len(pdf):
-                yield pd.DataFrame({"term": pdf["term"], "v": [np.random.default_rng([seed, h & (2 ** 63 - 1)]).standard_normal(k) for h in pdf["h"]]})
+                yield pd.DataFrame({"no": pdf["no"], "v": [np.random.default_rng([seed, h & (2 ** 63 - 1)]).standard_normal(k) for h in pdf["h"]]})
+
+    ranges = max(1, words.count() // RANGE)
+
+    def sums(no, z):
+        own = [np.flatnonzero(no % ranges == r) for r in range(ranges)] if len(no) else []
+        return pd.DataFrame({"r": range(len(own)), "no": [no[i] for i in own], "v": [z[i].ravel() for i in own]})
 
-    v = idf.select("term", F.xxhash64("term").alias("h")).mapInPandas(draw, "term string, v array<double>")
-    scaled = lambda c: F.transform(c, lambda e: e * F.col("x"))
+    def gram(ids, y):
+        i, j = np.indices((k, k)).reshape(2, -1)
+        return pd.DataFrame({"i": i, "j": j, "x": (y.T @ y).ravel()} if len(ids) else {"i": [], "j": [], "x": []})
+
+    v = idf.select("no", F.xxhash64("term").alias("h")).mapInPandas(draw, "no long, v array<double>")
     for _ in range(rounds + 1):
-        y = _sum_of(a.join(v, "term"), "id", scaled("v"), "y")                                       # texts x k
-        z = materialize(_sum_of(a.join(y, "id"), "term", scaled("y"), "v"), "encoder-range")          # words x k
+        z = materialize(_sum_of(_product(rows, words, v, "v", sums, "r int, no array<long>, v array<double>", unit=True, back=True), k), "encoder-range")  # words x k
         e, q = np.linalg.eigh(_gram(z, "v", k))
         keep = e > max(e.max(initial=0.0), 0.0) * 1e-12
         turn = q[:, keep] / np.sqrt(e[keep]) if keep.any() else np.zeros((k, k))
         turn = np.hstack([turn, np.zeros((k, k - turn.shape[1]))])
-        v = materialize(_apply(z, "term", "v", turn), "encoder-axes")                                 # orthonormal columns
-    y = _sum_of(a.join(v, "term"), "id", scaled("v"), "y")
-    e, q = np.linalg.eigh(_gram(y, "y", k))
+        v = materialize(_apply(z, "no", "v", turn), "encoder-axes")                                   # orthonormal columns
+    e, q = np.linalg.eigh(_added(_product(rows, words, v, "v", gram, "i int, j int, x double", unit=True), k))
     order = np.argsort(-e, kind="stable")[:width]
-    axes = _apply(v, "term", "v", q[:, order])
-    axes.join(idf, "term").select("term", "idf", F.col("v").alias("axis")).write.mode("overwrite").parquet(f"{folder}/terms")
+    axes = _apply(v, "no", "v", q[:, order])
+    axes.join(idf, "no").select("no", "term", "idf", F.col("v").alias("axis")).write.mode("overwrite").parquet(f"{folder}/terms")
     docs.sparkSession.createDataFrame([(n, width)], "docs long, width int").coalesce(1).write.mode("overwrite").parquet(f"{folder}/model")
 
 
 def encode_texts(docs: DataFrame, folder: str, text_col: str = "text", id_col: str = "id", out: str = "embedding") -> DataFrame:
     """(id, vector of unit length, array<float>) of every text by a kept encoder; a text without known words has the zero
-    vector. The words' axes are broadcast if their counted number is small, else joined by a shuffle."""
+    vector. Words find their numbers by a join (broadcast if their counted number is small); their axes are shipped once
+    per block of texts."""
     spark = docs.sparkSession
     width = spark.read.parquet(f"{folder}/model").first()["width"]
     terms = spark.read.parquet(f"{folder}/terms")
-    one = _tokens(docs, id_col, text_col).join(broadcast_if_small(terms, 500_000), "term")
-    y = _sum_of(one.select("id", F.transform("axis", lambda e: e * F.col("tf") * F.col("idf")).alias("y")), "id", F.col("y"), "y")
-    length = F.sqrt(F.aggregate("y", F.lit(0.0), lambda s, e: s + e * e))
+    tf = materialize(_tokens(docs, id_col, text_col), "encoder-tf")
+    own = tf.join(broadcast_if_small(terms.select("term", "idf", "no"), 500_000), "term").select("id", "no", (F.col("tf") * F.col("idf")).alias("x"))
+    rows, words = _pack(own, tf.count())
+
+    def unit(ids, y):
+        length = np.sqrt((y * y).sum(1, keepdims=True))
+        return pd.DataFrame({"id": ids, "y": list(y / np.where(length > 0, length, 1.0))})
+
+    y = _product(rows, words, terms, "axis", unit, f"id {tf.schema['id'].dataType.simpleString()}, y array<double>")
     zero = F.array_repeat(F.lit(0.0), width)
-    unit = F.when(F.col("_n") > 0, F.transform("y", lambda e: e / F.col("_n"))).otherwise(zero)
-    vectors = y.withColumn("_n", length).select(F.col("id").alias(id_col), unit.cast("array<float>").alias(out))
+    vectors = y.select(F.col("id").alias(id_col), F.col("y").cast("array<float>").alias(out))
     return docs.select(id_col).join(vectors, id_col, "left").select(id_col, F.coalesce(out, zero.cast("array<float>")).alias(out))
 
 

@@ -102,3 +102,17 @@ def test_a_batch_that_failed_half_way_is_run_again(spark, fitted, tmp_path):
     out = spark.read.parquet(sink)
     assert out.count() == out.select("id").distinct().count() == 91 and out.where(F.size("embedding") != 12).isEmpty()
     assert glob.glob(sink + "/batch=*")
+
+
+def test_products_ship_a_word_once_per_block(spark, tmp_path, monkeypatch):
+    """The rows that meet the words' vectors are blocks and their words, not the entries of the matrix."""
+    seen, plain = [], te._product
+    monkeypatch.setattr(te, "BLOCK_ENTRIES", 700)
+    monkeypatch.setattr(te, "_product", lambda rows, words, *a, **k: seen.append((rows, words)) or plain(rows, words, *a, **k))
+    docs = spark.createDataFrame(_texts(200, seed=3), "id long, text string").repartition(4)
+    te.fit_encoder(docs, str(tmp_path / "e"), width=5)
+    got = {r["id"]: np.array(r["embedding"]) for r in te.encode_texts(docs, str(tmp_path / "e")).collect()}
+    rows, words = seen[0]
+    entries = rows.select(F.explode("no")).count()
+    assert rows.select("b").distinct().count() > 1 and words.count() < entries / 2 and words.distinct().count() == words.count()
+    assert len(got) == 200 and all(abs(np.linalg.norm(v) - 1) < 1e-5 for v in got.values())
