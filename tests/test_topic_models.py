@@ -103,3 +103,16 @@ def test_text_ranking_matches_plain_python(spark):
     for i in (5, 6, 7, 8, 9):
         assert abs(got[i] - sum(v * (p[1][w] - p[0][w]) for w, v in vec[i].items())) < 2e-6
     assert got[5] > got[9] > got[6] and got[7] == got[8] == 0
+
+
+def test_topic_model_holds_any_vocabulary(spark):
+    """More words than any fixed bound: the vocabulary is counted first, and a given bound still raises."""
+    from pyspark.sql import functions as F
+    from quarry.operators import topics as tp
+    words = F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(999)), lambda i: F.concat(F.lit("w"), (F.col("id") * 1000 + i).cast("string"))))
+    docs = spark.range(0, 270, 1, 4).select("id", F.concat(F.lit("often often often "), words).alias("text"))
+    got = tp.topic_model(docs, k=2, n_terms=3).collect()
+    assert len(got) == 6 and {r["topic"] for r in got} == {0, 1}
+    assert "often" in {r["term"] for r in got}
+    with pytest.raises(ValueError):
+        tp.topic_model(docs.limit(2), k=2, vocab_size=100)
