@@ -153,3 +153,22 @@ def test_backfill_fits_on_the_corpus_and_keeps_the_width(spark):
     assert set(got) == {1, 2, 3} and len(got[3]) == 16 and any(got[3])
     with pytest.raises(Exception):
         em.backfill_vectors(works, emb, encoder=lambda: (lambda texts: [[0.0] * 8 for _ in texts])).collect()
+
+
+def test_topic_run_computes_the_effect_once(spark):
+    from quarry.operators.topic_run import topic_search_run
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf
+    effect = spark.createDataFrame([(1, 10, 3), (1, 11, 5), (2, 12, 1)], "topic int, core_id long, n_cores long").mapInPandas(count, "topic int, core_id long, n_cores long")
+    cps = spark.createDataFrame([(1, i, f"t{i}", f"a{i}") for i in (10, 11)] + [(2, 12, "t12", None)], "topic int, id long, title string, abstract string")
+    cfg = spark.createDataFrame([(1, 1, "main", [])], "topic int, rq_no int, main string, subs array<string>")
+    vectors = spark.createDataFrame([(i, [float(i), 1.0]) for i in (10, 11, 12)], "id long, embedding array<float>")
+    texts = spark.createDataFrame([(10, "x"), (10, "y"), (11, "z")], "id long, text string")
+    got = topic_search_run(effect, cps, cfg, vectors, texts, 3).collect()
+    assert seen.value == 3
+    assert sorted((r["topic"], r["id"], r["text"] or "") for r in got) == [(t, i, x) for t in (1, 2) for i, x in ((10, "x"), (10, "y"), (11, "z"), (12, ""))]
+    assert {r["topic"]: r["query"] for r in got}[1].startswith("Research Questions:\nRQ1: main") and {r["topic"]: r["query"] for r in got}[2] is None
