@@ -16,6 +16,8 @@ from quarry.operators.search import _as_matrix
 from quarry.operators.vector_index import ASK, BLOCK, _fine, _share, _unit
 
 MAX_PIVOTS = 1024
+ROWS_AT_ONCE = 1024      # rows whose distances to all pivots a task holds (8 MB)
+NUMBERS_AT_ONCE = 1 << 21  # components of the copies of rows that a task gives out together (16 MB)
 
 
 def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -48,24 +50,29 @@ def best_partners(left: DataFrame, right: DataFrame, min_sim: float = 0.995, *,
         return spark.createDataFrame([], out_schema).withColumnsRenamed({"query_id": query_id, "id": id_col})
     p = np.unique(_unit(_as_matrix(np.array(picked, dtype=object) if len({len(v) for v in picked}) > 1 else np.array(picked, float), strict=True)), axis=0)
 
-    def file(batches):
+    def parts(batches):
         for pdf in batches:
+            for i in range(0, len(pdf), ROWS_AT_ONCE):
+                yield pdf.iloc[i:i + ROWS_AT_ONCE]
+
+    def file(batches):
+        for pdf in parts(batches):
             if len(pdf):
                 d = _distances(_unit(_as_matrix(pdf["v"].to_numpy(), p.shape[1], strict=True)), p)
                 cell = d.argmin(1)
                 yield pdf.assign(cell=cell.astype(np.int32), band=np.floor(d[np.arange(len(d)), cell] / reach).astype(np.int32))
 
     def ask(batches):
-        for pdf in batches:
-            if not len(pdf):
-                continue
+        most = max(1, NUMBERS_AT_ONCE // p.shape[1])
+        for pdf in parts(batches):
             d = _distances(_unit(_as_matrix(pdf["v"].to_numpy(), p.shape[1], strict=True)), p)
             row, cell = np.nonzero(d <= d.min(1, keepdims=True) + 2 * reach)
             low = np.floor((d[row, cell] - reach) / reach).astype(np.int32)
             high = np.floor((d[row, cell] + reach) / reach).astype(np.int32)
             for step in range(int((high - low).max(initial=-1)) + 1):
-                on = low + step <= high
-                yield pd.DataFrame({"id": pdf["id"].to_numpy()[row[on]], "v": pdf["v"].to_numpy()[row[on]], "cell": cell[on].astype(np.int32), "band": low[on] + np.int32(step)})
+                on = np.flatnonzero(low + step <= high)
+                for some in (on[i:i + most] for i in range(0, len(on), most)):
+                    yield pd.DataFrame({"id": pdf["id"].to_numpy()[row[some]], "v": pdf["v"].to_numpy()[row[some]], "cell": cell[some].astype(np.int32), "band": low[some] + np.int32(step)})
 
     more = [T.StructField("cell", T.IntegerType()), T.StructField("band", T.IntegerType())]
     filed = materialize(spread(r).mapInPandas(file, T.StructType([*r.schema.fields, *more])), "metric-right")

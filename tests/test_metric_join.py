@@ -44,3 +44,15 @@ def test_best_partners_of_nothing(spark):
     none = spark.createDataFrame([], "id long, embedding array<float>")
     assert mj.best_partners(a, none).collect() == []
     assert mj.best_partners(a.where("false"), spark.createDataFrame(_rows(5, 4, 1, 0), "id long, embedding array<float>")).collect() == []
+
+
+def test_copies_of_left_rows_leave_a_task_in_bounded_parts(spark, monkeypatch):
+    from quarry.operators import metric_join as mj
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(150, 6))
+    left = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x + 0.01)], "query_id long, vector array<double>")
+    right = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<double>")
+    want = sorted(map(tuple, mj.best_partners(left, right, 0.9).collect()))
+    monkeypatch.setattr(mj, "ROWS_AT_ONCE", 7)
+    monkeypatch.setattr(mj, "NUMBERS_AT_ONCE", 30)
+    assert want and sorted(map(tuple, mj.best_partners(left, right, 0.9).collect())) == want
