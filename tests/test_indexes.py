@@ -148,3 +148,16 @@ def test_cells_share_blocks_and_answers_stay(spark, monkeypatch):
     n_blocks = len(np.unique(vi._deal(index.rows, 100)[0]))
     assert n_blocks < 12 and sizes[0].count() <= 600 * 21 * n_blocks  # a few ties at the cut
     assert cands.groupBy("query_id").count().where("count <> 20").isEmpty()
+
+
+def test_index_shuffles_no_tokens_and_joins_repeated_ids(spark, tmp_path):
+    from quarry.operators import text_index as ti
+    rows = [(1, "b a b"), (1, "a c c"), (1, "x"), (None, "a"), (None, "a"), (2, ""), (3, None), (4, "c b a c")]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    folder = str(tmp_path / "i")
+    ti.append(docs, folder)
+    got = sorted(((r["term"], r["id"] or 0, r["dl"], r["tf"], r["positions"]) for r in ti.postings(spark, folder).collect()))
+    assert got == [("a", 0, 1, 2, [0, 0]), ("a", 1, 3, 2, [0, 1]), ("a", 4, 4, 1, [2]), ("b", 1, 3, 2, [0, 2]), ("b", 4, 4, 1, [1]),
+                   ("c", 1, 3, 2, [1, 2]), ("c", 4, 4, 2, [0, 3]), ("x", 1, 1, 1, [0])]
+    plan = ti._row_postings(docs.selectExpr("id", "1 as dl", "split(text, ' ') as _toks"))._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Exchange" not in plan and "Aggregate" not in plan
