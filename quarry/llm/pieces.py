@@ -4,7 +4,8 @@ A byte-level BPE never merges across the matches of its split pattern, and a mat
 non-space character into white space. So every change from a non-space to a space character is a *safe
 boundary*: the tokens of a text are the tokens of its segments between safe boundaries, one after the
 other. Texts are cut there, each distinct segment of a batch is encoded once (``encode_batch_fast``), and
-a memo of bounded size keeps the result for the following batches of the task.
+a memo of bounded size keeps the result for the following batches of the task; the full memo before it is asked for what
+it lacks, so that frequent segments are not encoded again whenever it starts anew.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ TAIL = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"  # ASCII punctuation of a word's end; no
 _LETTERS = "".join(c for c in map(chr, range(0x250)) if c.isalpha())
 LATIN = re.compile(f"(\0\n)?(?:([{_LETTERS}]+)([{re.escape(TAIL)}]*)$(?!\n))?").match
 JOIN_CHARS = 10_000        # new segments are encoded as strings of about this length
-MEMO_SEGMENTS = 500_000    # segments kept per worker
+MEMO_SEGMENTS = 500_000    # segments kept per worker, and as many of the memo before
 MEMO_CHARS = 64            # longer segments are encoded whenever they occur
 
 
@@ -87,10 +88,12 @@ class SegmentEncoder:
         for token, i in tokenizer.get_vocab().items():
             self.size[i] = token_bytes(token, i)
         self.memo = {}  # segment -> kept; spaced segments are kept without their space, raw ones after "\0"
+        self.before = {}  # the memo that was full before this one: what is still met goes over
         self.cut = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+").findall
         self.unsafe = re.compile(f"[{WHITE}] |\0").search
         self.unsafe_line = re.compile(f"[{WHITE}]\n|\n[{WHITE}]").search
         self.white = frozenset(WHITE)
+        self.rare = "\0" + "".join(c for c in WHITE if c not in " \n")
         self.words = words
         self.merge, self.tails = tokenizer.model.tokenize, {"": []}
         self.shown = {b: c for b, c in enumerate(byte_chars())}
@@ -103,9 +106,14 @@ class SegmentEncoder:
         safe boundary is."""
         if not text:
             return []
-        if self.unsafe(text):
+        lines = "\n" in text
+        if any(map(text.__contains__, self.rare)):
+            unsafe, lines = self.unsafe(text), lines and not self.unsafe_line(text)
+        else:  # the same, where spaces and line ends are the only white space: single characters are found much faster
+            unsafe, lines = "  " in text or "\n " in text, lines and " \n" not in text and "\n\n" not in text
+        if unsafe:
             return ["\0" + x for x in self.cut(text)]
-        if "\n" in text and not self.unsafe_line(text):
+        if lines:
             text = text.replace("\n", " \0\n")
         out = text.split(" ")
         if out[0]:
@@ -178,13 +186,17 @@ class SegmentEncoder:
         """For every text its number of tokens, or its ids as bytes."""
         for part in self.batches(texts):
             if len(self.memo) > self.memo_segments:
-                self.memo.clear()
+                self.memo, self.before = {}, self.memo
             cut = [self.segments(t) for t in part]
             flat = [k for keys in cut for k in keys]
             kept = list(map(self.memo.get, flat))
             missing = [i for i, v in enumerate(kept) if v is None]
             if missing:
                 new = dict.fromkeys([flat[i] for i in missing])
+                if self.before:
+                    known = {k: v for k in new if (v := self.before.get(k)) is not None}
+                    self.memo.update(known)
+                    new = [k for k in new if k not in known]
                 self.learn(list(new))
                 for i in missing:
                     kept[i] = self.memo[flat[i]]

@@ -49,3 +49,23 @@ def test_core_effect_reads_the_runs_once(spark):
     got = {(r["topic"], r["core_id"]): (r["n_cores"], r["n_cps"], r["recall"]) for r in out.collect()}
     assert got == {(0, 0): (1, 2, 0.5), (0, 1): (0, 2, 0.0), (0, 2): (0, 2, 0.0),
                    (1, 0): (0, 2, 0.0), (1, 1): (2, 2, 1.0), (1, 2): (0, 2, 0.0)}
+
+
+def test_segments_at_rare_white_space_and_the_memo_before():
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    from quarry.llm.pieces import WHITE, SegmentEncoder, byte_chars
+    tk = Tokenizer(models.BPE(vocab={c: i for i, c in enumerate(byte_chars())}, merges=[]))
+    tk.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    enc = SegmentEncoder(tk, lambda token, _: len(token), memo_segments=3, words=True)
+    for a in (*WHITE, "\0", "x"):
+        for b in (*WHITE, "\0", "x"):
+            for text in (f"one{a}{b}two\nend", f"{a}one {b}two", f"one two{a}{b}"):
+                unsafe, lines = enc.unsafe(text), "\n" in text and not enc.unsafe_line(text)
+                got = enc.segments(text)
+                assert (got == ["\0" + x for x in enc.cut(text)]) if unsafe else (any(k.startswith("\0\n") for k in got[1:]) == bool(lines and "\n" in text[1:]))
+    asked, learn = [], enc.learn
+    enc.learn = lambda keys: (asked.extend(keys), learn(keys))
+    for text in ("common a b c", "common d e f", "common g h i"):
+        assert list(enc.map([text])) == [len(text)]
+    assert asked.count("\0common") == 1  # each text fills the memo, yet the frequent segment is encoded once
