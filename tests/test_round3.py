@@ -69,3 +69,30 @@ def test_segments_at_rare_white_space_and_the_memo_before():
     for text in ("common a b c", "common d e f", "common g h i"):
         assert list(enc.map([text])) == [len(text)]
     assert asked.count("\0common") == 1  # each text fills the memo, yet the frequent segment is encoded once
+
+
+def test_keyword_scores_of_the_corpus_make_no_row_per_pair(spark, tmp_path):
+    from quarry.operators import rerank as rr
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(30)]
+    docs = [(i % 70 if i % 9 else None, " ".join(rng.choice(words, rng.integers(0, 25)))) for i in range(150)] + [(500, None), (501, "")]
+    queries = [(i, " ".join(rng.choice([*words, "none"], 6))) for i in range(12)] + [(12, "w1 w1"), (12, "w2"), (13, ""), (None, "w3")]
+    d = spark.createDataFrame(docs, "id long, text string")
+    q = spark.createDataFrame(queries, "query_id long, query string")
+    seen = []
+    old, rows = (rr.BUCKET_DOCS, rr.BUCKET_SCORES), rr.ROW_DOCS
+    rr.ROW_DOCS = 0
+    for rr.BUCKET_DOCS, rr.BUCKET_SCORES in (old, (16, 40)):
+        for stop in (None, ["w4", "w5"]):
+            got = rr.bm25_plus(q, d, 5, stop_words=stop)
+            assert "FlatMapGroupsInArrow" in got._jdf.queryExecution().optimizedPlan().toString()
+            # the plan by rows, for groups: the same with one group
+            want = rr.bm25_plus(q.withColumn("g", F.lit(1)), d.withColumn("g", F.lit(1)), 5, group="g", stop_words=stop).drop("g")
+            # rows that tie by rank are fixed by id, so results are equal but for the order of sums
+            assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+            seen.append(got.count())
+    rr.BUCKET_DOCS, rr.BUCKET_SCORES = old
+    assert min(seen) > 50
+    assert rr.bm25_plus(q.where("query = ''"), d, 5).count() == 0
+    rr.ROW_DOCS = rows
+    assert rr.bm25_plus(q, d.where("false"), 5).count() == 0
