@@ -427,6 +427,24 @@ def test_language_model_with_many_buckets_of_pairs(spark, monkeypatch):
     assert one.keys() == many.keys() and all(abs(one[k] - many[k]) < 1e-6 for k in one)
 
 
+def test_language_model_leaves_only_its_scores_on_disk(spark, monkeypatch):
+    import os
+    rnd = random.Random(9)
+    table = spark.createDataFrame([(i, " ".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(30)))) for i in range(200)], "doc_id long, text string").repartition(4, "doc_id")
+    written, write = [], language_model.materialize
+    monkeypatch.setattr(language_model, "materialize", lambda df, name: written.append(write(df, name)) or written[-1])
+    monkeypatch.setattr(language_model, "BUCKET_PAIRS", 90)
+    monkeypatch.setattr(language_model, "CHUNK_TOKENS", 300)
+    scores = []
+    for passes in (3, 1):
+        monkeypatch.setattr(language_model, "PASSES", passes)
+        written.clear()
+        scores.append({r["doc_id"]: r["score"] for r in language_model.score(table, order=2).collect()})
+        left = {f.rsplit("/", 2)[1] for w in written for f in w.inputFiles() if os.path.exists(f.removeprefix("file:").replace("///", "/"))}
+        assert len(left) == passes and all(x.startswith("lm-scores") for x in left)
+    assert scores[0].keys() == scores[1].keys() and all(abs(scores[0][k] - scores[1][k]) < 1e-6 for k in scores[0])
+
+
 def test_registered_language_model_is_one_of_word_pairs(spark, sf):
     from quarry.llm import queries
     one = language_model.score(spark.read.parquet(f"{sf}/documents.parquet")).where("held_out").toPandas()
