@@ -83,3 +83,7 @@ def test_index_written_in_parts_is_the_same(spark, tmp_path, monkeypatch):
     ti.append(docs, str(tmp_path / "parts"))
     got = [sorted((r["term"], r["id"], r["dl"], r["tf"], tuple(r["positions"])) for r in ti.postings(spark, str(tmp_path / f)).collect()) for f in ("one", "parts")]
     assert got[0] == got[1] and len(jobs) == 4
+    qs = spark.createDataFrame([(1, "w1 w2"), (2, "w3 w3 w9 none")], "query_id long, query string")
+    best = ti.bm25_from_index(qs, str(tmp_path / "one"), 7).collect()  # in parts
+    monkeypatch.setattr(ti, "PART_DOCS", 10_000)
+    assert sorted(map(tuple, best)) == sorted(map(tuple, ti.bm25_from_index(qs, str(tmp_path / "one"), 7).collect())) and len(best) == 14
