@@ -50,7 +50,7 @@ def test_map_leaves_no_table_of_a_step(spark, monkeypatch):
     v = np.float32(centres[np.arange(160) % 8] + rnd.standard_normal((160, 20)))
     c = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "id long, embedding array<float>").repartition(3)
     monkeypatch.setattr(layout, "EXACT_ROWS", 100)
-    monkeypatch.setattr(layout, "PART_ROWS", 100)
+    monkeypatch.setattr(layout, "PART_ROWS", 60)
     linear, before = tp.project_2d(c).cache(), _left(spark, "layout-")
     places = layout.project_neighbours(c, linear, k=8, epochs=12)
     left = _left(spark, "layout-") - before
